@@ -118,9 +118,10 @@ def powers(n: int) -> np.ndarray:
 
 def distinct_in_rows(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values of each row, and their bounds."""
-    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    order = np.lexsort((values, row))
-    v, r = values[order], row[order]
+    v = values.copy()
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        v[lo:hi].sort()
+    r = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     keep = np.ones(len(v), bool)
     keep[1:] = (v[1:] != v[:-1]) | (r[1:] != r[:-1])
     n = np.bincount(r[keep], minlength=len(bounds) - 1)
