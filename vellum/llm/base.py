@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +64,21 @@ def bucket_digits(rows: int, groups: int = 1, per_bucket: int = 20_000) -> int:
     while 16**digits * groups * per_bucket < rows:
         digits += 1
     return digits
+
+
+def key_bitmap(keys: Column, df: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of bits / 8 bytes, whatever the number of rows, with a bit for each value of the long `keys`.
+
+    It tells which keys surely do not occur; a caller must get the same result where a bit is set in vain.
+    """
+    bit = F.pmod(keys, F.lit(bits)) + 1
+    parts = df.select(F.bitmap_bucket_number(bit).alias("part"), F.bitmap_bit_position(bit).alias("at")).groupBy("part").agg(F.bitmap_construct_agg("at").alias("map"))
+    out = np.zeros(max(bits // 8, 4096), np.uint8)
+    for row in parts.collect():
+        out[(row["part"] - 1) * 4096 : row["part"] * 4096] = np.frombuffer(row["map"], np.uint8)
+    return out
+
+
+def in_bitmap(bitmap: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    at = keys % bits
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, language, mixing, pii, quality, secrets, sharding
+from . import decontaminate, jaccard, language, mixing, pii, quality, secrets, sharding, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_similar(table(spark, sf_dir, "documents"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_languages(table(spark, sf_dir, "documents"))
 
@@ -48,4 +52,4 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_decontaminate, op4_secrets, op5_mix, op6_pii, op7_jaccard, op9_language, op10_shard)}
+    return {f.__name__: f for f in (op1_quality, op3_decontaminate, op4_secrets, op5_mix, op6_pii, op7_jaccard, op8_substrings, op9_language, op10_shard)}
