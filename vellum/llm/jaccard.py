@@ -337,3 +337,21 @@ def join_similar(docs: DataFrame) -> DataFrame:
     merged = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("cid").alias("_cid"), "component_id")
     out = rows.join(merged, (F.col("n") > 0) & (F.col("cid") == F.col("_cid")), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """`docs` without the documents that are not the least of their component; of rows with equal doc_id in a component one stays.
+
+    Documents without words stay, and those without doc_id if their component has no doc_id.
+    """
+    found = save(join_similar(docs), "jaccard-components")
+    least = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = found.where(~least).select(F.col("doc_id").alias("_id"))
+    kept = docs.join(gone.where("_id is not null").distinct().hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left_anti")
+    if not found.where("doc_id is null and component_id is not null").isEmpty():
+        kept = kept.where("doc_id is not null")
+    again = found.where(least & F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(again, F.col("doc_id") == F.col("_id"), "left_anti").unionByName(once)
