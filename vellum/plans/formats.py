@@ -1,0 +1,147 @@
+"""Queries over inline pages and drawings, for operators whose input the driver tables lack."""
+
+from __future__ import annotations
+
+import base64
+import json
+import tempfile
+import uuid
+import zlib
+from urllib.parse import quote
+
+from pyspark.sql import functions as F
+
+from ..operators import attachments, graphs
+from ..sources import drawings, drawio, files, html, macros, plantuml, svg
+from ..streaming import refresh
+
+STORAGE = """<h1>Page</h1>
+<ac:structured-macro ac:name="markdown"><ac:plain-text-body><![CDATA[# Raw *md*]]></ac:plain-text-body></ac:structured-macro>
+<ac:structured-macro ac:name="code"><ac:parameter ac:name="language">sql</ac:parameter><ac:parameter ac:name="title">Q1</ac:parameter><ac:plain-text-body><![CDATA[select 1]]></ac:plain-text-body></ac:structured-macro>
+<ac:structured-macro ac:name="mermaid-cloud"><ac:plain-text-body><![CDATA[
+graph LR
+  A --> B
+]]></ac:plain-text-body></ac:structured-macro>
+<ac:structured-macro ac:name="noformat"><ac:plain-text-body><![CDATA[  kept  ]]></ac:plain-text-body></ac:structured-macro>
+<ac:structured-macro ac:name="excerpt"><ac:rich-text-body><p>short</p></ac:rich-text-body></ac:structured-macro>"""
+TABS = '<div class="aui-tabs"><ul class="tabs-menu"><li>One</li></ul><div class="tabs-pane" data-pane-title="One" style="display:none;" jwtdata="x"><p>a &amp; b</p></div><div class="lazy-loading-div"><p>gone</p></div></div>'
+CELLS = '<mxGraphModel><root><mxCell id="0"/><mxCell id="1" parent="0"/><mxCell id="g" value="Group" style="group" vertex="1" parent="1"/><mxCell id="a" value="A&lt;br&gt;one" style="rounded=1;fillColor=#dae8fc" vertex="1" parent="g"><mxGeometry x="10" y="20" width="80" height="40"/></mxCell><mxCell id="b" value="Store" style="shape=cylinder3" vertex="1" parent="g"><mxGeometry x="300" y="30" width="80" height="40"/></mxCell><mxCell id="e" value="uses" style="dashed=1" edge="1" source="a" target="b" parent="1"/></root></mxGraphModel>'
+SVG = '<svg xmlns="http://www.w3.org/2000/svg"><rect x="0" y="0" width="100" height="50" fill="#dae8fc"/><rect x="200" y="0" width="100" height="50" rx="12" stroke="#000"/><rect x="0" y="90" width="5" height="5" fill="#000"/><text x="50" y="25">Web App</text><text x="250" y="25">API</text><line x1="100" y1="25" x2="200" y2="25" marker-end="url(#a)" stroke-dasharray="4"/><line x1="101" y1="26" x2="199" y2="26"/></svg>'
+PLANTUML = [
+    ("sequence", "@startuml\ntitle Login\nactor User\nparticipant \"Web App\" as W #lightblue\nUser -> W ++ : open\nalt ok\nW --> User : page\nelse bad\nW ->x User : no\nend\nnote right of W\n one\n two\nend note\nreturn done\n@enduml"),
+    ("component", "@startuml\npackage \"Core\" {\n[API] as api #orange\ndatabase \"DB\" as db\n}\napi --> db : sql\napi <..> [Queue]\n@enduml"),
+    ("class", "@startuml\ninterface Shape {\n+area()\n}\nclass Circle {\n-r: float\n+area()\n}\nCircle ..|> Shape\nCircle *-- Point : centre\n@enduml"),
+    ("state", "@startuml\nstate \"In use\" as Busy\n[*] --> Idle\nIdle --> Busy : start\nBusy --> [*]\n@enduml"), ("activity", "@startuml\nstart\n:do it;\nstop\n@enduml"), ("empty", "")]
+RENDERED = f"""<svg xmlns="http://www.w3.org/2000/svg"><g transform="translate(10,20)"><g class="cluster" id="c"><rect x="0" y="0" width="300" height="200"/></g><g class="node default" id="n1" transform="translate(30, 40)"><rect x="-20" y="-10" width="40" height="20"/><text>A</text></g></g><path data-id="L1" data-points="{base64.b64encode(json.dumps([{"x": 1, "y": 2}, {"x": 3, "y": 4}]).encode()).decode()}"/></svg>"""
+DECK = "## Slide 1: Start\n```mermaid\ngraph LR\n  A --> B\n```\n<span style=\"background:#ff0000\">&nbsp;</span> Critical\n**Notes:** say hello\n---\n## Slide 2: End\n"
+RULES = "# Security\n\n```json\n{\"category\": \"security\", \"rules\": [{\"id\": \"S1\", \"name\": \"TLS\", \"severity\": \"critical\", \"required\": true, \"keywords\": [\"tls\"]}], \"vulnerabilities\": [{\"id\": \"V1\", \"name\": \"leak\", \"severity\": \"critical\", \"keywords\": [\"password=\"]}]}\n```\n"
+TABLE = "| ID | Rule | Sev | Req | Keywords | Condition | AST Condition |\n|---|---|---|---|---|---|---|\n| R-001 | TLS everywhere | C | Y | tls, https | all traffic | node:LB exists |\n| broken | row |\n"
+SKILL = "---\nname: iam\ncategory: security\ndescription: checks roles\n---\nbody"
+
+
+def compressed(xml: str) -> str:
+    packer = zlib.compressobj(9, zlib.DEFLATED, -15)
+    return base64.b64encode(packer.compress(quote(xml).encode()) + packer.flush()).decode()
+
+
+DRAWIO = [("plain", CELLS), ("packed", f'<mxfile><diagram name="p">{compressed(CELLS)}</diagram></mxfile>'), ("pages", f"<mxfile><diagram>{CELLS}</diagram><diagram>{CELLS}</diagram></mxfile>"), ("bad", "garbage")]
+
+
+def _pages(spark):
+    return spark.createDataFrame([("p1", STORAGE, ""), ("p2", STORAGE, "<p>view only</p>"), ("p3", "<p>plain</p>", None), ("p4", None, None)], "page_id string, storage_html string, view_html string")
+
+
+def _inline(spark, rows, schema):
+    return spark.createDataFrame(rows, schema)
+
+
+def macro_blocks(spark, sf):
+    return macros.macro_blocks(_pages(spark))
+
+
+def macro_pages(spark, sf):
+    return macros.page_text(_pages(spark))
+
+
+def tabs_flatten(spark, sf):
+    return _inline(spark, [("t", TABS), ("none", None)], "page_id string, html string").select("page_id", html.flatten_tabs(F.col("html")).alias("html"))
+
+
+def drawio_ast(spark, sf):
+    nodes, edges, groups = drawio.graph(drawio.cells(_inline(spark, DRAWIO, "diagram_id string, content string")))
+    part = lambda rows, kind, label: rows.select("diagram_id", F.lit(kind).alias("kind"), "id", label.alias("detail"))
+    return part(nodes, "node", F.concat_ws("|", "label", "shape")).unionByName(part(edges, "edge", F.concat_ws("|", "source", "target", "style"))).unionByName(part(groups, "group", F.concat_ws("|", "label", F.array_join("children", ","))))
+
+
+def svg_ast(spark, sf):
+    nodes, edges, _ = svg.graph(svg.parse(_inline(spark, [("s", SVG), ("raster", '<svg xmlns="http://www.w3.org/2000/svg"><image href="data:image/png;base64,x"/></svg>'), ("bad", "<svg")], "diagram_id string, content string")))
+    part = lambda rows, kind, label: rows.select("diagram_id", F.lit(kind).alias("kind"), "id", label.alias("detail"))
+    return part(nodes, "node", F.concat_ws("|", "label", "shape")).unionByName(part(edges, "edge", F.concat_ws("|", "source", "target", "style")))
+
+
+def _plantuml(spark):
+    return plantuml.diagrams(_inline(spark, PLANTUML, "diagram_id string, block string"))
+
+
+def plantuml_ast(spark, sf):
+    return _plantuml(spark).select("diagram_id", "kind", F.size("nodes").alias("n_nodes"), F.size("edges").alias("n_edges"), F.size("groups").alias("n_groups"))
+
+
+def plantuml_mermaid(spark, sf):
+    return _plantuml(spark).select("diagram_id", "mermaid", "error")
+
+
+def plantuml_rendered(spark, sf):
+    return graphs.render(_plantuml(spark).where("nodes is not null"))
+
+
+def rendered_drawing(spark, sf):
+    return drawings.rendered(_inline(spark, [("d", RENDERED)], "diagram_id string, content string")).select("diagram_id", "kind", "id", "text", "x", "y", F.size("points").alias("n_points"))
+
+
+def slide_decks(spark, sf):
+    return files.slides(_inline(spark, [("deck.md", DECK)], "source string, content string"))
+
+
+def rule_json(spark, sf):
+    return files.rule_blocks(_inline(spark, [("r.md", RULES)], "source string, content string"))
+
+
+def rule_markdown(spark, sf):
+    return files.rule_rows(_inline(spark, [("r.md", TABLE)], "source string, content string"))
+
+
+def skill_files(spark, sf):
+    return files.skills(_inline(spark, [(SKILL,), ("no front",)], "content string"))
+
+
+def macro_matches(spark, sf):
+    m = _inline(spark, [("p", 0, "m0", "Flow"), ("p", 1, "m1", "other"), ("q", 0, "m2", "x")], "page_id string, pos int, macro_id string, name string")
+    f = _inline(spark, [("p", 0, "flow.drawio"), ("p", 1, "b.drawio"), ("q", 0, "only.drawio")], "page_id string, file_pos int, name string")
+    return attachments.match_macros(m, f)
+
+
+def mermaid_lookup(spark, sf):
+    refs = _inline(spark, [("a.png",), ("b.png",), ("c.png",), ("d.png",), ("e.png",)], "image string")
+    manifest = _inline(spark, [("a.png", "A", "AA"), ("b.png", None, "B")], "image string, mmd string, ast_mmd string")
+    found = _inline(spark, [("c.mmd", "C"), ("d.ast.json", "D"), ("e.partial.ast.json", "E")], "name string, mermaid string")
+    return attachments.mermaid_for_images(refs, manifest, found)
+
+
+def incremental_refresh(spark, sf):
+    """Three micro-batches of page versions; a page whose content is the same is not derived again."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="vellum-refresh-")
+    root = f"{base.rstrip('/')}/refresh-{uuid.uuid4().hex}"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("page_id"), F.col("text").alias("content"))
+    for version, keep in ((1, "true"), (2, "page_id % 3 = 0"), (3, "page_id % 5 = 0")):
+        text = F.col("content") if version == 2 else F.concat("content", F.lit(f" v{version}"))
+        rows.where(keep).select("page_id", F.lit(version).alias("version"), text.alias("content")).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema("page_id long, version int, content string").option("maxFilesPerTrigger", "1").parquet(f"{root}/in")
+    done = refresh.refresh(stream, f"{root}/out", f"{root}/state", lambda d: d.select("page_id", "version", "print", F.length("content").alias("n_chars")))
+    done.awaitTermination()
+    return refresh.current(spark, f"{root}/out").select("page_id", "version", "n_chars")
+
+
+QUERIES = {f.__name__: f for f in (
+    macro_blocks, macro_pages, tabs_flatten, drawio_ast, svg_ast, plantuml_ast, plantuml_mermaid, plantuml_rendered, rendered_drawing, slide_decks, rule_json, rule_markdown, skill_files, macro_matches, mermaid_lookup,
+    incremental_refresh)}
