@@ -38,32 +38,32 @@ def unique_ids(rows: DataFrame, base: str = "base", out: str = "safe_id") -> Dat
     where that gives an id twice are numbered once more, one row after the other.
     """
     n = F.row_number().over(Window.partitionBy("diagram_id", base).orderBy("pos")) - 1
-    quick = rows.withColumn(out, F.when(n == 0, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_"), n)))
+    numbered = lambda b, k: F.when(k == 0, b).otherwise(F.concat(b, F.lit("_"), k.cast("string")))
+    quick = rows.withColumn(out, numbered(F.col(base), n))
     quick = quick.withColumn("_twice", F.count(F.lit(1)).over(Window.partitionBy("diagram_id", out)) > 1)
-    quick = quick.withColumn("_clash", F.max("_twice").over(Window.partitionBy("diagram_id")))
-    done, again = quick.where("not _clash").drop("_twice", "_clash"), quick.where("_clash").drop("_twice", "_clash")
+    quick = quick.withColumn("_clash", F.max("_twice").over(Window.partitionBy("diagram_id"))).drop("_twice")
 
-    def number(pdf):
-        pdf = pdf.sort_values("pos")
-        used: set[str] = set()
-        ids = []
-        for b in pdf[base]:
-            name, k = b, 0
-            while name in used:
-                k += 1
-                name = f"{b}_{k}"
-            used.add(name)
-            ids.append(name)
-        return pdf.assign(**{out: ids})
+    def name(used: Column, item: Column) -> Column:
+        tries = F.transform(F.sequence(F.lit(0), F.size(used)), lambda k: numbered(item["b"], k))
+        return F.concat(used, F.array(F.element_at(F.filter(tries, lambda t: ~F.array_contains(used, t)), 1)))
 
-    return done.unionByName(again.groupBy("diagram_id").applyInPandas(number, done.schema))
+    items = F.array_sort(F.collect_list(F.struct("pos", F.col(base).alias("b"))))
+    slow = quick.where("_clash").groupBy("diagram_id").agg(items.alias("i")).select(
+        "diagram_id", F.explode(F.arrays_zip(F.transform("i", lambda x: x["pos"]).alias("pos"), F.aggregate("i", F.array().cast("array<string>"), name).alias("id"))).alias("z"))
+    slow = slow.select("diagram_id", F.col("z.pos").alias("pos"), F.col("z.id").alias("_own"))
+    done = quick.join(slow, ["diagram_id", "pos"], "left").withColumn(out, F.coalesce("_own", out))
+    return done.select(*rows.columns, *([out] if out not in rows.columns else []))
 
 
-def spread_direction(nodes: DataFrame) -> DataFrame:
-    """diagram_id, direction: LR if the nodes spread more than 1.5 times as far across as down, zeros not counting."""
+def _spread() -> Column:
     spread = lambda c: F.max(F.when(F.col(c) != 0, F.col(c))) - F.min(F.when(F.col(c) != 0, F.col(c)))
     wide = (F.count(F.lit(1)) >= 2) & (spread("x") > spread("y") * 1.5)
-    return nodes.groupBy("diagram_id").agg(F.when(wide, "LR").otherwise("TB").alias("direction"))
+    return F.when(wide, "LR").otherwise("TB")
+
+
+def spread_direction(nodes: DataFrame) -> DataFrame:
+    """diagram_id, direction: LR if the nodes spread more than 1.5 times as far across as down, zeros not counting."""
+    return nodes.groupBy("diagram_id").agg(_spread().alias("direction"))
 
 
 def mean_confidence(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -181,40 +181,53 @@ def flowchart_lines(diagrams: DataFrame, nodes: DataFrame, edges: DataFrame, gro
     nodes = _optional(nodes, fill_color="string", stroke_color="string", font_color="string")
     edges, groups = _optional(edges, color="string"), _optional(groups, style="string", fill_color="string")
     nodes = unique_ids(nodes.withColumn("base", D.safe_id_base(F.col("label"), F.col("id"))))
-    some = nodes.select("diagram_id").unionByName(edges.select("diagram_id")).distinct().withColumn("_some", F.lit(True))
-    head = diagrams.join(spread_direction(nodes).withColumnRenamed("direction", "_spread"), "diagram_id", "left").join(some, "diagram_id", "left")
-    given = F.coalesce(F.col("direction"), F.lit("TB"))
-    head = head.withColumn("_way", F.when(given == "TB", F.coalesce("_spread", F.lit("TB"))).otherwise(given))
-    row = lambda rows, section, order, line: rows.select("diagram_id", F.lit(section).alias("section"), order.cast("long").alias("ord"), line.alias("line"))
+
+    def lines(rows: DataFrame, *items: tuple[int, Column, Column] | Column) -> DataFrame:
+        """Every row gives its lines at once, so its table is read once."""
+        made = [x if isinstance(x, Column) else F.array(line(*x)) for x in items]
+        return rows.select("diagram_id", F.inline(F.filter(F.concat(*made), lambda x: x["line"].isNotNull())))
+
+    def line(section: int, order: Column, text: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), order.cast("long").alias("ord"), text.alias("line"))
+
     zero = F.lit(0)
-    parts = [row(head, 0, zero, F.lit("```mermaid")), row(head, 1, zero, F.concat(F.lit("flowchart "), "_way")), row(head, 9, zero, F.lit("```")),
-             row(head.where("_some is null"), 2, zero, F.lit("    A[No diagram data extracted]"))]
-    text = D.node_text(F.col("safe_id"), F.coalesce("label", F.lit("")), F.col("shape"))
+    given = F.coalesce(F.col("direction"), F.lit("TB"))
+    ways = nodes.groupBy("diagram_id").agg(_spread().alias("_spread"))
+    some = edges.select("diagram_id").distinct().withColumn("_edges", F.lit(True))
+    head = diagrams.join(ways, "diagram_id", "left").join(some, "diagram_id", "left")
+    way = F.when(given == "TB", F.coalesce("_spread", F.lit("TB"))).otherwise(given)
+    parts = [lines(head, (0, zero, F.lit("```mermaid")), (1, zero, F.concat(F.lit("flowchart "), way)), (9, zero, F.lit("```")),
+                   (2, zero, F.when(F.col("_spread").isNull() & F.col("_edges").isNull(), "    A[No diagram data extracted]")))]
+
+    # Nodes, in each of their groups or on their own, and their styles.
     member = groups.select("diagram_id", F.col("pos").alias("g"), F.explode(F.array_distinct("children")).alias("id"))
-    inside = member.join(nodes, ["diagram_id", "id"])
-    full = groups.join(inside.select("diagram_id", F.col("g").alias("pos")).distinct(), ["diagram_id", "pos"], "left_semi")
-    tag = F.regexp_replace("label", "[^a-zA-Z0-9_]", "_")
-    block = lambda pos, k: F.col(pos) * 1_000_000 + k
-    parts += [row(full, 3, block("pos", 0), F.concat(F.lit("    subgraph "), tag, F.lit('["'), "label", F.lit('"]'))),
-              row(inside, 3, block("g", F.col("pos") + 1), F.concat(F.lit("        "), text)), row(full, 3, block("pos", 999_999), F.lit("    end"))]
-    parts.append(row(nodes.join(member, ["diagram_id", "id"], "left_anti"), 4, F.col("pos"), F.concat(F.lit("    "), text)))
-    ids = nodes.select("diagram_id", "id", "safe_id")
-    drawn = edges.join(ids.select("diagram_id", F.col("id").alias("source"), F.col("safe_id").alias("s")), ["diagram_id", "source"]).join(
-        ids.select("diagram_id", F.col("id").alias("target"), F.col("safe_id").alias("t")), ["diagram_id", "target"])
-    arrow = D.flow_arrow(F.col("style"), F.col("arrow_start"), F.col("arrow_end"))
-    parts.append(row(drawn, 5, F.col("pos"), D.edge_text(F.col("s"), F.col("t"), F.col("label"), arrow)))
+    homes = member.groupBy("diagram_id", "id").agg(F.array_sort(F.collect_list("g")).alias("_homes"))
+    text = D.node_text(F.col("safe_id"), F.coalesce("label", F.lit("")), F.col("shape"))
     look = _styles(("fill", "fill_color"), ("stroke", "stroke_color"), ("color", "font_color"))
-    parts.append(row(nodes.withColumn("_look", look).where("_look != ''"), 6, F.col("pos"), F.concat(F.lit("    style "), "safe_id", F.lit(" "), "_look")))
+    placed = nodes.join(homes, ["diagram_id", "id"], "left").withColumn("_text", text).withColumn("_look", look)
+    inside = F.transform(F.coalesce("_homes", F.array().cast(placed.schema["_homes"].dataType)), lambda g: line(3, g * 1_000_000 + F.col("pos") + 1, F.concat(F.lit("        "), "_text")))
+    parts.append(lines(placed, inside, (4, F.col("pos"), F.when(F.col("_homes").isNull(), F.concat(F.lit("    "), "_text"))),
+                       (6, F.col("pos"), F.when(F.col("_look") != "", F.concat(F.lit("    style "), "safe_id", F.lit(" "), "_look")))))
+
+    # Groups that have a node.
+    ids = nodes.select("diagram_id", "id", "safe_id")
+    full = groups.join(member.join(ids, ["diagram_id", "id"], "left_semi").select("diagram_id", F.col("g").alias("pos")).distinct(), ["diagram_id", "pos"], "left_semi")
+    tag = F.regexp_replace("label", "[^a-zA-Z0-9_]", "_")
     shade = F.array_join(F.array_compact(F.array(
         F.when(F.col("fill_color") != "", F.concat(F.lit("fill:"), "fill_color", F.lit(",fill-opacity:0.15"))), F.when(F.col("style") == "dashed", "stroke-dasharray:5 5"))), ",")
-    parts.append(row(full.withColumn("_look", shade).where("_look != ''"), 7, F.col("pos"), F.concat(F.lit("    style "), tag, F.lit(" "), "_look")))
+    first = F.col("pos") * 1_000_000
+    parts.append(lines(full, (3, first, F.concat(F.lit("    subgraph "), tag, F.lit('["'), "label", F.lit('"]'))), (3, first + 999_999, F.lit("    end")),
+                       (7, F.col("pos"), F.when(shade != "", F.concat(F.lit("    style "), tag, F.lit(" "), shade)))))
+
+    # Edges with both ends; link styles count these only.
+    drawn = edges.join(ids.select("diagram_id", F.col("id").alias("source"), F.col("safe_id").alias("s")), ["diagram_id", "source"]).join(
+        ids.select("diagram_id", F.col("id").alias("target"), F.col("safe_id").alias("t")), ["diagram_id", "target"])
     nth = F.row_number().over(Window.partitionBy("diagram_id").orderBy("pos")) - 1
     stroke = F.array_join(F.array_compact(F.array(F.when(F.col("color") != "", F.concat(F.lit("stroke:"), "color")), F.when(F.col("style") == "dashed", "stroke-dasharray:5 5"))), ",")
-    parts.append(row(drawn.withColumn("_nth", nth).withColumn("_look", stroke).where("_look != ''"), 8, F.col("_nth"), F.concat(F.lit("    linkStyle "), "_nth", F.lit(" "), "_look")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    arrow = D.flow_arrow(F.col("style"), F.col("arrow_start"), F.col("arrow_end"))
+    parts.append(lines(drawn.withColumn("_nth", nth), (5, F.col("pos"), D.edge_text(F.col("s"), F.col("t"), F.col("label"), arrow)),
+                       (8, F.col("_nth"), F.when(stroke != "", F.concat(F.lit("    linkStyle "), "_nth", F.lit(" "), stroke)))))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 def other_lines(kind: str, diagrams: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +26,24 @@ def keyword_pattern(keyword: str) -> str:
     return plain
 
 
-def rule_pattern(keywords: list[str]) -> str:
-    return "(?i)(" + "|".join(keyword_pattern(k) for k in keywords) + ")"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def prepared(docs: DataFrame) -> DataFrame:
+    """doc_id, _low (a-z for A-Z) and _words (runs of other characters than letters, digits and _ as one blank, blanks around)."""
+    low = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
+    rows = docs.select("doc_id", low.alias("_low"))
+    return rows.withColumn("_words", F.concat(F.lit(" "), F.regexp_replace("_low", "[^a-z0-9_]+", " "), F.lit(" ")))
+
+
+def keyword_test(keyword: str) -> Column:
+    """Over prepared(): plain searches; a pattern only for keywords of several words, and only where their text occurs."""
+    low = keyword.translate(str.maketrans(UPPER, LOWER))
+    if re.fullmatch("[a-z0-9][a-z0-9_]*[a-z0-9]|[a-z0-9]", low):
+        return F.col("_words").contains(f" {low} ")
+    pattern = keyword_pattern(low)
+    there = F.col("_low").contains(low)
+    return there & F.col("_low").rlike(pattern) if pattern.startswith("(^") else there
 
 
 def evidence(docs: DataFrame, rules: DataFrame, compiled: int = COMPILED_RULES) -> DataFrame:
@@ -37,26 +54,25 @@ def evidence(docs: DataFrame, rules: DataFrame, compiled: int = COMPILED_RULES)
     plan is left to the optimiser.
     """
     head = rules.select("rule_id", "keywords").limit(compiled + 1).collect()
-    body = F.coalesce(F.col("text"), F.lit(""))
     if len(head) <= compiled:
-        tests = [F.struct(F.lit(r["rule_id"]).alias("rule_id"), (body.rlike(rule_pattern(r["keywords"])) if r["keywords"] else F.lit(False)).alias("found")) for r in sorted(head)]
+        any_of = lambda words: reduce(lambda a, b: a | b, map(keyword_test, words), F.lit(False))
+        tests = [F.struct(F.lit(r["rule_id"]).alias("rule_id"), any_of(r["keywords"]).alias("found")) for r in sorted(head)]
         if not tests:
             return docs.select("doc_id", F.lit("").alias("rule_id"), F.lit(False).alias("found")).limit(0)
-        return docs.select("doc_id", F.inline(F.array(*tests)))
+        return prepared(docs).select("doc_id", F.inline(F.array(*tests)))
     plain = F.regexp_replace(F.col("keyword"), r"([^A-Za-z0-9_ ])", r"\\$1")
     bounded = F.concat(F.lit("(^|[^A-Za-z0-9_])"), plain, F.lit("($|[^A-Za-z0-9_])"))
     pattern = F.when(F.col("keyword").rlike("^[A-Za-z0-9](.*[A-Za-z0-9])?$"), bounded).otherwise(plain)
     patterns = rules.select("rule_id", F.explode("keywords").alias("keyword")).groupBy("rule_id").agg(
         F.concat(F.lit("(?i)("), F.array_join(F.sort_array(F.collect_list(pattern)), "|"), F.lit(")")).alias("pattern"))
-    return docs.join(patterns).select("doc_id", "rule_id", F.regexp_like(body, F.col("pattern")).alias("found"))
+    return docs.join(patterns).select("doc_id", "rule_id", F.regexp_like(F.coalesce(F.col("text"), F.lit("")), F.col("pattern")).alias("found"))
 
 
 def keyword_hits(docs: DataFrame, rules: DataFrame) -> DataFrame:
     """rule_id, keyword, n_docs: in how many documents each keyword is evident."""
-    body = F.coalesce(F.col("text"), F.lit(""))
     pairs = sorted({(r["rule_id"], k) for r in rules.select("rule_id", "keywords").collect() for k in r["keywords"]})
-    hit = F.array(*[F.struct(F.lit(r).alias("rule_id"), F.lit(k).alias("keyword"), body.rlike("(?i)" + keyword_pattern(k)).alias("found")) for r, k in pairs])
-    return docs.select(F.inline(hit)).groupBy("rule_id", "keyword").agg(F.count_if("found").alias("n_docs"))
+    hit = F.array(*[F.struct(F.lit(r).alias("rule_id"), F.lit(k).alias("keyword"), keyword_test(k).alias("found")) for r, k in pairs])
+    return prepared(docs).select(F.inline(hit)).groupBy("rule_id", "keyword").agg(F.count_if("found").alias("n_docs"))
 
 
 def status(kind: Column, required: Column, found: Column) -> Column:
