@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, jaccard, language, mixing, pii, quality, secrets, sharding, substrings, vectors
 
+from .oracles import oracle_sql as oracle_sql
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

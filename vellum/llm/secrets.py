@@ -125,6 +125,7 @@ def scan_documents(docs: DataFrame, ledger: DataFrame | None = None) -> DataFram
     new = save(scan_versions(docs, ["doc_id"], ledger), "ledger")
     rows = findings_of(docs, ["doc_id"], new if ledger is None else new.unionByName(ledger))
     base = F.filter("findings", lambda x: x["rank"] < len(BASE))
-    counts = [F.size(F.filter("findings", lambda x, i=i: x["rank"] == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(BASE)]
+    of_rank = lambda rank: F.filter("findings", lambda x: x["rank"] == rank)
+    counts = [F.size(of_rank(i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(BASE)]
     return rows.select("doc_id", *counts, F.sha2(span_list(base).cast("binary"), 256).alias("base_sha256"),
                        span_list(F.col("findings")).alias("spans"), F.size("findings").cast("long").alias("n_spans"))
