@@ -14,8 +14,8 @@ from . import ship
 
 ship(__name__)
 
-#: Rows of an Arrow batch that holds whole texts.
-TEXT_ROWS = 2000
+#: Rows and bytes of an Arrow batch that holds whole texts.
+TEXT_ROWS, TEXT_BYTES = 2000, 4 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -45,6 +45,7 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str) ->
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXT_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BYTES))
     return df.mapInArrow(fn, schema)
 
 

@@ -123,20 +123,22 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterato
     yield block
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """`docs` with n_words, n_hit, n_items, items_sha256 and contaminated (and hit_spans, in words).
+def find_contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, prefix: str = "") -> DataFrame:
+    """`docs` with n_words, n_hit, n_items, items_sha256 and contaminated (and hit_spans, in words), `prefix` before each name.
 
     One row per row of `docs`, its other columns kept; columns of the names above are
     replaced.  A null text has no words and nothing is found in it; an item without words has no window; items of
     equal id count once.  Whole texts are searched.  A benchmark above `block_bytes` is
     searched block by block; what a pass finds is carried on to the next one in the row.
     """
-    names = [c for c in docs.columns if c not in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans")]
+    kinds_of = {"n_words": "long", "n_hit": "long", "n_items": "long", "items_sha256": "string", "contaminated": "boolean", "hit_spans": "array<int>"}
+    added = {prefix + name: kind for name, kind in kinds_of.items()}
+    names = [c for c in docs.columns if c not in added]
     result = docs.select(*names)
     spark = docs.sparkSession
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in result.schema)
     state = "_spans array<int>, _items array<string>"
-    found = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_spans array<int>"
+    found = ", ".join(f"`{name}` {kind}" for name, kind in added.items())
     place = names.index("text")
     blocks = list(item_blocks(benchmark, block_bytes))
     for i, block in enumerate(blocks):
@@ -159,7 +161,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int =
                     rows.append((*verdict(len(seq), spans, items), flat) if last else (flat, sorted(items)))
                 if last:
                     kinds = [pa.int64()] * 3 + [pa.string(), pa.bool_(), pa.list_(pa.int32())]
-                    titles = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans"]
+                    titles = list(added)
                 else:
                     kinds, titles = [pa.list_(pa.int32()), pa.list_(pa.string())], ["_spans", "_items"]
                 more = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(kinds), kinds)]

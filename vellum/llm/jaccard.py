@@ -28,7 +28,7 @@ ship(__name__)
 
 SHINGLE = 5
 #: Shingles counted together in a task; those that come twice there are reported as frequent.
-COUNTED = 4_000_000
+COUNTED = 2_000_000
 #: Frequent shingles that are put last at most, and the reported count from which: any choice is right, this one is fast.
 FREQUENT, FREQUENT_FROM = 1_000_000, 8
 #: Prefix shingles of a part of the lists, and parts at least.
@@ -62,12 +62,12 @@ def sets_of(column: pa.Array):
 
 
 def classify(docs: DataFrame) -> DataFrame:
-    """kind 0: doc_id, n, cid of each document; kind 1: n sightings of the frequent shingle cid."""
+    """kind 0: doc_id, n, cid and text_hash of each document; kind 1: n sightings of the frequent shingle cid."""
 
     def frequent(parts: list[np.ndarray], at: pa.DataType):
         found, counts = np.unique(np.concatenate(parts), return_counts=True)
         found, counts = found[counts > 1], counts[counts > 1]
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(found), np.int32)), pa.nulls(len(found), at), pa.array(counts.astype(np.int64)), pa.array(found.view(np.int64))], names=["kind", "doc_id", "n", "cid"])
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(found), np.int32)), pa.nulls(len(found), at), pa.array(counts.astype(np.int64)), pa.array(found.view(np.int64)), pa.nulls(len(found), pa.int64())], names=["kind", "doc_id", "n", "cid", "text_hash"])
 
     def run(batches):
         seen, parts, held, at = set(), [], 0, None
@@ -82,14 +82,15 @@ def classify(docs: DataFrame) -> DataFrame:
                 seen.update(ids.tolist())
                 parts.append(values[np.repeat(new, n)])
                 held += len(parts[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int32)), batch.column(0), pa.array(np.concatenate(ns) if ns else [], pa.int64()), pa.array(np.concatenate(cids) if cids else [], pa.int64())], names=["kind", "doc_id", "n", "cid"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int32)), batch.column(0), pa.array(np.concatenate(ns) if ns else [], pa.int64()), pa.array(np.concatenate(cids) if cids else [], pa.int64()), batch.column(2)], names=["kind", "doc_id", "n", "cid", "text_hash"])
             if held >= COUNTED:
                 yield frequent(parts, at)
                 seen, parts, held = set(), [], 0
         if held:
             yield frequent(parts, at)
 
-    return arrow_map(docs.select("doc_id", "text"), run, f"kind int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, cid long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return arrow_map(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), run, f"kind int, doc_id {kind}, n long, cid long, text_hash long")
 
 
 def parity(values: np.ndarray) -> bytes:
@@ -321,7 +322,7 @@ def similar_links(docs: DataFrame, classes: DataFrame, frequent: DataFrame) -> D
 
 
 def join_similar(docs: DataFrame) -> DataFrame:
-    """One row per row of `docs` (doc_id, text): doc_id, n_shingles, component_id.
+    """One row per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, root (of the component, null without words) and text_hash.
 
     Texts without words and null texts have no shingles and are linked with nothing;
     copies and repeated rows are of one class.  component_id is the least doc_id of
@@ -329,29 +330,31 @@ def join_similar(docs: DataFrame) -> DataFrame:
     read, and an empty table gives an empty one.
     """
     found = save(classify(docs), "jaccard-classes")
-    rows = found.where("kind = 0").select("doc_id", "n", "cid")
+    rows = found.where("kind = 0").select("doc_id", "n", "cid", "text_hash")
     classes = save(rows.where("n > 0").groupBy("cid").agg(F.first("n").alias("n"), F.min("doc_id").alias("least")), "jaccard-least")
     frequent = found.where("kind = 1").groupBy("cid").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_FROM).orderBy(F.desc("n"), "cid").limit(FREQUENT)
     roots = components(similar_links(docs.select("doc_id", "text"), classes, frequent))
     rooted = classes.join(roots, classes["cid"] == roots["node"], "left").select("cid", F.coalesce("root", "cid").alias("root"), "least")
-    merged = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("cid").alias("_cid"), "component_id")
+    merged = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("cid").alias("_cid"), "component_id", "root")
     out = rows.join(merged, (F.col("n") > 0) & (F.col("cid") == F.col("_cid")), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root", "text_hash")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """`docs` without the documents that are not the least of their component; of rows with equal doc_id in a component one stays.
+    """`docs` with one document of each component: the one of least doc_id (null last), of several texts with that doc_id the one of least hash, and of rows alike in both one.
 
-    Documents without words stay, and those without doc_id if their component has no doc_id.
+    Documents without words stay.
     """
     found = save(join_similar(docs), "jaccard-components")
-    least = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    gone = found.where(~least).select(F.col("doc_id").alias("_id"))
-    kept = docs.join(gone.where("_id is not null").distinct().hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left_anti")
-    if not found.where("doc_id is null and component_id is not null").isEmpty():
-        kept = kept.where("doc_id is not null")
-    again = found.where(least & F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id")
+    mark = F.struct(F.col("doc_id").isNull().alias("a"), "doc_id", "text_hash")
+    least = found.where("root is not null").groupBy("root").agg(F.min(mark).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("root").alias("_root"), "m")
+    grouped = found.join(least, F.col("root") == F.col("_root"))
+    own = mark == F.col("m")
+    key = lambda rows: rows.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    kept = docs.join(key(grouped.where(~own)).distinct().hint("shuffle_hash"), same, "left_anti")
+    again = save(key(grouped.where(own)).groupBy("_id", "_hash").count().where("count > 1").select("_id", "_hash"), "jaccard-again")
     if again.isEmpty():
         return kept
-    once = kept.join(again, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, F.col("doc_id") == F.col("_id"), "left_anti").unionByName(once)
+    once = kept.join(again, same, "left_semi").withColumn("_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_key"]).drop("_key")
+    return kept.join(again, same, "left_anti").unionByName(once)

@@ -126,9 +126,9 @@ def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE, train_rows:
     return StringKernel.fit([r[2] for r in rows], [r[1] for r in rows])
 
 
-def identify(docs: DataFrame, model: StringKernel | None) -> DataFrame:
+def identify(docs: DataFrame, model: StringKernel | None, pred_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
     """`docs` with lang_pred and score (columns of these names are replaced); `und` and 0 for a text that is null or has no letter, or without a model."""
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    names = [c for c in docs.columns if c not in (pred_name, score_name)]
     docs = docs.select(*names)
     place = names.index("text")
 
@@ -143,10 +143,10 @@ def identify(docs: DataFrame, model: StringKernel | None) -> DataFrame:
                 best = shares.argmax(axis=1)
                 for i, b, s in zip(part, best, shares[np.arange(len(part)), best]):
                     pred[i], score[i] = model.languages[b], s
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score)], names=[*names, pred_name, score_name])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return arrow_map(docs, run, f"{fields}, lang_pred string, score double")
+    return arrow_map(docs, run, f"{fields}, `{pred_name}` string, `{score_name}` double")
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:

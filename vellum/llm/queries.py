@@ -42,7 +42,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join_similar(table(spark, sf_dir, "documents"))
+    return jaccard.join_similar(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
