@@ -48,3 +48,10 @@ def none(docs):
     return docs.limit(0)
 
 
+@pytest.fixture(autouse=True)
+def few_parts(monkeypatch):
+    """Small tables need no 64 parts."""
+    from vellum.llm import jaccard, substrings
+
+    monkeypatch.setattr(jaccard, "PARTS", 4)
+    monkeypatch.setattr(substrings, "PARTS", 4)

@@ -18,7 +18,7 @@ def sentences(rng, lang, n):
 def test_languages(spark, docs, rows, none):
     rng = random.Random(2)
     known = [(i, sentences(rng, lang, 30), lang) for i, lang in enumerate(["en", "de", "fr"] * 60)]
-    more = [(1000, None, "en"), (1001, "", None), (1002, "123 !!! ...", "en"), (1003, "und " * 50_000, None), (1004, "x", None)]
+    more = [(1000, None, "en"), (1001, "", None), (1002, "123 \u00b2 !!! ...", "en"), (1003, "und " * 50_000, None), (1004, "x", None)]
     table = spark.createDataFrame(known + more + known[:2], "doc_id long, text string, lang string")
     found = language.identify_languages(table).collect()
     by = {r.doc_id: r for r in found}

@@ -35,6 +35,11 @@ TEMPERATURE = 0.25
 LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str) -> bool:
+    found = LETTER.search(text)
+    return bool(found) and (found[0].isalpha() or any(map(str.isalpha, text)))  # the class also holds figures such as a raised 2
+
+
 def symbols(text: str) -> np.ndarray:
     """A letter of a-z or a class of other letters for each character in lower case; runs of anything else are one 0."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
@@ -113,7 +118,7 @@ def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE, train_rows:
             for value in batch.column(3).cast(pa.binary()):
                 text = decoded(value)
                 row[:] = False
-                if LETTER.search(text):
+                if has_letter(text):
                     mark(text, row)
                 sets.append(np.flatnonzero(row).astype(np.int32))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.list_(pa.int32()))], names=["id", "lang", "place", "grams"])
@@ -136,7 +141,7 @@ def identify(docs: DataFrame, model: StringKernel | None, pred_name: str = "lang
         for batch in batches:
             texts = [decoded(v) for v in batch.column(place).cast(pa.binary())]
             pred, score = ["und"] * len(texts), np.zeros(len(texts))
-            known = [i for i, t in enumerate(texts) if model and t and LETTER.search(t)]
+            known = [i for i, t in enumerate(texts) if model and t and has_letter(t)]
             for at in range(0, len(known), BATCH):
                 part = known[at : at + BATCH]
                 shares = model.score([texts[i] for i in part])
