@@ -235,3 +235,32 @@ def test_nothing_imports_the_corpus_operators():
 
     root = Path(__file__).resolve().parent.parent / "vellum"
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and re.search(r"(from|import)\s+\S*\bllm\b", p.read_text())]
+
+
+def test_sinks(spark, tmp_path):
+    from vellum.operators import sinks
+
+    rows = spark.createDataFrame([("a", 1), ("b", 1)], "page_id string, version int")
+    assert sinks.copy_to_index(spark, rows, str(tmp_path), "ix") == 2
+    sinks.copy_to_index(spark, spark.createDataFrame([("b", 2)], "page_id string, version int"), str(tmp_path), "ix")
+    assert {(r.page_id, r.version) for r in spark.read.parquet(str(tmp_path / "ix")).collect()} == {("a", 1), ("b", 2)}
+    docs, table = spark.createDataFrame([(1, "x")], "doc_id long, text string"), validation.rule_table(spark)
+
+    def broken(d, r):
+        raise ValueError
+
+    found = sinks.run_skills({"good": lambda d, r: validation.findings(d, r.limit(2)), "bad": broken}, docs, table, "security")
+    registry = spark.createDataFrame([("good", "security"), ("bad", "security")], "name string, category string")
+    both = validation.collate(validation.findings(docs, table).where("category = 'security'"), found, registry, "security")
+    assert both.where("status = 'SKIPPED'").count() == 1 and both.where("origin = 'good'").count() == 2
+
+
+def test_repairs_and_pages(spark):
+    _, n, e, _ = graph(spark, [("a", "Node_1", "circle", 1.0, 1.0)], [("a", "a", "", "thick", True, True)])
+    fixes = spark.createDataFrame([("d", "a", "API", None, None)], "diagram_id string, id string, label string, shape string, fill_color string")
+    fixed = graphs.apply_repairs(n.withColumn("fill_color", F.lit(None).cast("string")), fixes).first()
+    assert (fixed.label, fixed.shape, fixed.x) == ("API", "circle", 1.0)
+    assert tuple(graphs.style_legend(e).first()) == ("d", ["thick"], True)
+    page = "a\n```mermaid\ngraph LR\n  A —> B\n```\nb —> c\n```mermaid\nnone\n```"
+    row = spark.range(1).select(X.autofix_page(F.lit(page)).alias("p"), X.invalid_blocks(F.lit(page)).alias("bad")).first()
+    assert row.p == "a\n```mermaid\ngraph LR\n  A --> B\n```\nb —> c\n```mermaid\nnone\n```" and row.bad == [1]

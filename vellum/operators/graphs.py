@@ -279,3 +279,17 @@ def render(diagrams: DataFrame) -> DataFrame:
         text = mermaid(lines(part, *exploded(part)))
         out = text if out is None else out.unionByName(text)
     return out
+
+
+def apply_repairs(nodes: DataFrame, repairs: DataFrame) -> DataFrame:
+    """`nodes` with the label, shape and colours that `repairs` (diagram_id, id, label, shape, fill_color) gives; positions stay as they were found."""
+    fixes = repairs.select("diagram_id", "id", *[F.col(c).alias(f"_{c}") for c in ("label", "shape", "fill_color")])
+    out = nodes.join(fixes, ["diagram_id", "id"], "left")
+    for c in ("label", "shape", "fill_color"):
+        out = out.withColumn(c, F.coalesce(f"_{c}", c))
+    return out.select(*nodes.columns)
+
+
+def style_legend(edges: DataFrame) -> DataFrame:
+    """diagram_id, styles (distinct, sorted) and bidirectional."""
+    return edges.groupBy("diagram_id").agg(F.array_sort(F.collect_set("style")).alias("styles"), F.coalesce(F.bool_or(F.col("arrow_start") & F.col("arrow_end")), F.lit(False)).alias("bidirectional"))
