@@ -29,8 +29,15 @@ def keyword_pattern(keyword: str) -> str:
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """`rows` in as many partitions as there are cores at least; a table of many files is left as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def prepared(docs: DataFrame) -> DataFrame:
     """doc_id, _low (a-z for A-Z) and _words (runs of other characters than letters, digits and _ as one blank, blanks around)."""
+    docs = spread(docs.select("doc_id", "text"))
     low = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
     rows = docs.select("doc_id", low.alias("_low"))
     return rows.withColumn("_words", F.concat(F.lit(" "), F.regexp_replace("_low", "[^a-z0-9_]+", " "), F.lit(" ")))
