@@ -156,6 +156,17 @@ def test_terms_that_reveal_an_entity(spark):
     assert "ann@" not in clean[100] and "[EMAIL]" in clean[100] and "Zanz" not in clean[100] and clean[3] == dict(filler)[3]
 
 
+def test_copies_and_capitals_hide_no_term(spark):
+    filler = [(i, f"nothing special about number{i} ordinary words follow here") for i in range(400)]
+    told = [(1000 + i, f"{w} says Zanzibarian and zanzibarian wrote to ann@ex.org about ordinary words {w}") for i, w in enumerate(["alpha", "bravo", "charlie"] + ["delta"] * 60)]
+    copied = [(2000 + i, "Quixotical people write to bob@ex.org about ordinary words") for i in range(60)]
+    found = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(filler + told + copied, "doc_id long, text string")).collect()}
+    body = dict(told + copied)
+    terms = lambda i: {body[i][int(s.split(":")[1]) : int(s.split(":")[2])].lower() for s in found[i].spans.split(",") if s.startswith("term")}
+    assert all("zanzibarian" in terms(i) and "ordinary" not in terms(i) for i, _ in told)
+    assert not any(terms(i) for i, _ in copied)  # one context alone supports nothing
+
+
 def shingles(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", low(text or ""))
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])

@@ -1,7 +1,7 @@
 """Personal data: patterns, and information-theoretic sanitisation around what they find.
 
 Patterns find the protected entities.  The words near an entity are then measured
-over the whole corpus: a term t reveals an entity e to the degree that their
+over the documents of the whole corpus: a term t reveals an entity e to the degree that their
 pointwise mutual information log p(t, e) / (p(t) p(e)) comes near the information
 of e itself, -log p(e), which is reached when t never occurs without e.  Terms above
 the disclosure threshold are covered by spans of their own wherever they stand near
@@ -128,6 +128,7 @@ def document_counts(docs: DataFrame, terms: DataFrame, bits: int = FILTER_BITS)
         filter_, known, counts = sent.value, {}, Counter()
         for batch in batches:
             for value in batch.column(1).cast(pa.binary()):
+                own = set()  # a term counts once, however it is written
                 for word in set(TERM.findall((value.as_py() or b"").decode("utf-8", "replace"))):
                     term = known.get(word)
                     if term is None:
@@ -138,7 +139,8 @@ def document_counts(docs: DataFrame, terms: DataFrame, bits: int = FILTER_BITS)
                         if len(known) < 500_000:
                             known[word] = term
                     if term:
-                        counts[term] += 1
+                        own.add(term)
+                counts.update(own)
             if len(counts) > 500_000:
                 yield pa.RecordBatch.from_pydict({"term": pa.array(counts.keys(), pa.int64()), "n": pa.array(counts.values(), pa.int64())})
                 counts = Counter()
@@ -150,13 +152,13 @@ def document_counts(docs: DataFrame, terms: DataFrame, bits: int = FILTER_BITS)
 def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
     """entity, term: pairs whose mutual information reaches `disclosed` of the entity's information.
 
-    Joint counts are of different contexts, so copies of a text count once; a term's
-    own count is over all documents.
+    All counts are of documents, so copies of a text raise them alike; the support is of
+    different contexts, so copies alone do not make a term disclosing.
     """
-    each = found.select(F.explode("near").alias("x")).select("x.entity", "x.term", "x.context").distinct()
-    joint = each.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support)
+    each = found.select("id.row", F.explode("near").alias("x")).select("row", "x.entity", "x.term", "x.context").distinct()
+    joint = each.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("row").alias("n_both")).where(F.col("contexts") >= support)
     joint = save(joint, "pii-joint")
-    alone = each.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    alone = each.select("entity", "row").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     n = docs.count()
     counted = document_counts(docs, joint.select("term").distinct())
     rows = joint.join(counted, "term").join(alone, "entity")
