@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +19,8 @@ ship(__name__)
 #: Rows and bytes of an Arrow batch that holds whole texts.
 TEXT_ROWS, TEXT_BYTES = 2000, 4 << 20
 WORD = r"[^\x20\x09-\x0D]+"
+#: Tasks that a shuffle of parts has at most; further parts follow one another in these.
+PART_TASKS = 20_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -49,6 +53,18 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str) ->
     return df.mapInArrow(fn, schema)
 
 
+def dealt(df: DataFrame, parts: int) -> DataFrame:
+    """The rows of each `part` together, in one task; a task has its parts one after the other."""
+    return df.repartition(min(parts, PART_TASKS), "part").sortWithinPartitions("part")
+
+
+def by_part(batches: Iterator, place: int) -> Iterator[Iterator[tuple]]:
+    """The rows of one part after the other, read as they come; column `place` of dealt() batches is the part."""
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+    for _, own in groupby(rows, itemgetter(place)):
+        yield own
+
+
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """True where crc32(doc_id as text) mod folds is `fold`; a null doc_id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ship
-from .base import arrow_map, save
+from .base import arrow_map, by_part, dealt, save
 from .graph import components
 from .textvec import LOWER, SPACED, Texts, Words, constants, distinct_in_rows, mix
 
@@ -186,9 +186,9 @@ def shared_lists(packed: DataFrame, parts: int) -> DataFrame:
             pa.nulls(k, pa.binary()) if maps is None else pa.array(maps, pa.binary())], names=["kind", "token", "gid", "value", "map"])
 
     def run(batches):
-        held = []
-        for batch in batches:
-            for kind, entries, maps in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+        for own in by_part(batches, 1):
+            held = []
+            for kind, _, entries, maps in own:
                 if kind == 0:
                     held.append(np.frombuffer(entries, ENTRY))
                 elif kind == 1:
@@ -197,19 +197,20 @@ def shared_lists(packed: DataFrame, parts: int) -> DataFrame:
                 else:
                     m = np.frombuffer(entries, MEMBER)
                     yield rows(2, m["cid"], m["gid"], m["n"], maps)
-        if held:
-            e = np.concatenate(held)
-            del held
-            e = e[np.argsort(e["token"], kind="stable")]
-            token, gid = e["token"], e["gid"]
-            begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            apart = np.maximum.reduceat(gid, begin) != np.minimum.reduceat(gid, begin)  # copies in other tasks are the same group
-            keep = np.repeat(apart, np.diff(np.append(begin, len(e))))
-            for at in range(0, len(e), 500_000):
-                some = e[at : at + 500_000][keep[at : at + 500_000]]
-                yield rows(1, some["token"], some["gid"], some["pos"])
-
-    return arrow_map(packed.repartition(parts, "part"), run, "kind int, token long, gid long, value long, map binary")
+            if held:
+                yield from shared(np.concatenate(held))
+
+    def shared(e):
+        e = e[np.argsort(e["token"], kind="stable")]
+        token, gid = e["token"], e["gid"]
+        begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        apart = np.maximum.reduceat(gid, begin) != np.minimum.reduceat(gid, begin)  # copies in other tasks are the same group
+        keep = np.repeat(apart, np.diff(np.append(begin, len(e))))
+        for at in range(0, len(e), 500_000):
+            some = e[at : at + 500_000][keep[at : at + 500_000]]
+            yield rows(1, some["token"], some["gid"], some["pos"])
+
+    return arrow_map(dealt(packed, parts), run, "kind int, token long, gid long, value long, map binary")
 
 
 def narrowed(pairs: DataFrame, members: DataFrame) -> DataFrame:

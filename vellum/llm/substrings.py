@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ship
-from .base import arrow_map, in_bitmap, key_bitmap, save
+from .base import arrow_map, by_part, dealt, in_bitmap, key_bitmap, save
 from .textvec import SPACED, Texts, Words, mix
 
 ship(__name__)
@@ -30,8 +30,8 @@ ship(__name__)
 WINDOW, GRAM = 20, 8
 #: Anchors or passages put together in a task before they are packed.
 HELD_ANCHORS, HELD_PASSAGES = 2_000_000, 150_000
-#: Anchors of a part of the shuffle, and parts at least.
-PART, PARTS = 1_500_000, 64
+#: Anchors of a part of the shuffle, bytes of text that have one, and parts at least.
+PART, ANCHOR_BYTES, PARTS = 1_500_000, 40, 64
 #: Sightings from which an anchor's windows become shards of their own, so that no shard holds what a large part of the documents shares.
 COMMON = 500
 #: Bits of the filters for repeated anchors, common ones, and documents with spans; all may be set in vain.
@@ -165,16 +165,15 @@ def repeated_anchors(docs: DataFrame, parts: int) -> DataFrame:
             yield packed(held)
 
     def count(batches):
-        held = [np.frombuffer(x, ANCHOR) for batch in batches for x in batch.column(1).to_pylist()]
-        if held:
-            e = np.concatenate(held)
+        for own in by_part(batches, 0):
+            e = np.concatenate([np.frombuffer(entries, ANCHOR) for _, entries in own])
             e = e[np.argsort(e["anchor"], kind="stable")]
             begin = np.flatnonzero(np.concatenate([[True], e["anchor"][1:] != e["anchor"][:-1]]))
             counts = np.add.reduceat(e["count"].astype(np.int64), begin)
             keep = counts > 1
             yield pa.RecordBatch.from_arrays([pa.array(e["anchor"][begin][keep]), pa.array(counts[keep])], names=["anchor", "count"])
 
-    return arrow_map(arrow_map(docs.select("text"), find, "part int, entries binary").repartition(parts, "part"), count, "anchor long, count long")
+    return arrow_map(dealt(arrow_map(docs.select("text"), find, "part int, entries binary"), parts), count, "anchor long, count long")
 
 
 def packed_passages(docs: DataFrame, repeated: np.ndarray, common: np.ndarray, parts: int) -> DataFrame:
@@ -302,17 +301,18 @@ def repeated_spans(packed: DataFrame, parts: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(spans[k])) for k in ("doc", "text", "start", "end")], names=["doc", "text", "start", "end"])
 
     def run(batches):
-        heads, tails = [], []
-        for batch in batches:
-            for passages, words, spans in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+        for own in by_part(batches, 0):
+            heads, tails = [], []
+            for _, passages, words, spans in own:
                 if spans:
                     yield rows(np.frombuffer(spans, SPAN))
                 else:
                     heads.append(np.frombuffer(passages, PASSAGE))
                     tails.append(np.frombuffer(words, np.uint32))
-        if not heads:
-            return
-        head, tail = np.concatenate(heads), np.concatenate(tails)
+            if heads:
+                yield from of_part(np.concatenate(heads), np.concatenate(tails))
+
+    def of_part(head, tail):
         begin = np.cumsum(head["words"].astype(np.int64)) - head["words"]
         order = np.lexsort((head["start"], head["doc"], head["shard"]))
         shard = head["shard"][order]
@@ -332,7 +332,7 @@ def repeated_spans(packed: DataFrame, parts: int) -> DataFrame:
         if out:
             yield rows(merged(np.concatenate(out)))
 
-    return arrow_map(packed.repartition(parts, "part"), run, "doc long, text long, start int, end int")
+    return arrow_map(dealt(packed, parts), run, "doc long, text long, start int, end int")
 
 
 def keep_words(body: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
@@ -357,7 +357,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     rows = docs.select(doc.alias("doc"), F.xxhash64("text").alias("hash"), "text")
-    parts = max(PARTS, -(-docs.count() * 80 // PART))
+    parts = max(PARTS, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (ANCHOR_BYTES * PART)))
     found = save(repeated_anchors(rows, parts), "substrings-anchors")
     repeated = key_bitmap(F.col("anchor"), found, REPEATED_BITS)
     common = key_bitmap(F.col("anchor"), found.where(F.col("count") >= COMMON), COMMON_BITS)
