@@ -120,6 +120,17 @@ def test_mix(docs, rows, none):
     assert max(dealt.values()) - min(dealt.values()) <= 1 and sum(dealt.values()) == sum(r["quota"] for r in quotas.collect())
 
 
+def test_small_sources_get_their_targets_beside_a_large_one(spark):
+    rows = [(i, "w " * 20_000, "b") for i in range(26)] + [(100 + i, "w " * 50, "a") for i in range(4)] + [(200 + i, "w " * 20, "c") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken, target = Counter(), {}
+    for r in mixing.mix_documents(docs).collect():
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert target["a"] == 400 and target["c"] == 200 and all(abs(taken[s] - target[s]) <= 1 for s in "abc")
+    assert Counter(r.source for r in mixing.mixed(docs).collect() if r.source != "b") == {"a": 8, "c": 10}
+
+
 def test_pii(docs, rows, none):
     def luhn(d):
         return sum(sum(divmod(int(c) * 2, 10)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
