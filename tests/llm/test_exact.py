@@ -178,6 +178,26 @@ def test_copies_and_capitals_hide_no_term(spark):
     assert not any(terms(i) for i, _ in copied)  # one context alone supports nothing
 
 
+def test_terms_far_from_an_entity_or_without_it(spark):
+    filler = [(i, f"nothing special about number{i} ordinary words follow here") for i in range(400)]
+    far = "ordinary words follow here nothing special about " * 5
+    told = [(1000 + i, f"Zanzibarian {w} {far} mail {w} to ann@ex.org {far} said zanzibarian {w}") for i, w in enumerate(("alpha", "bravo", "charlie", "delta", "echoes"))]
+    bare = [(2000, f"{far} Zanzibarian {far}"), (2000, f"{far} Zanzibarian {far}"), (None, f"{far} Zanzibarian {far}")]
+    docs = spark.createDataFrame(filler + told + bare, "doc_id long, text string")
+    found = pii.find_personal_data(docs)
+    rows = found.collect()
+    body = dict(told + bare)
+    terms = lambda r: [body[r.doc_id][int(s.split(":")[1]) : int(s.split(":")[2])] for s in r.spans.split(",") if s.startswith("term")]
+    assert len(rows) == 408 and all(r.spans == "" for r in rows if r.doc_id is not None and r.doc_id < 1000)
+    for r in rows:
+        if r.doc_id is None or r.doc_id == 2000:
+            assert terms(r) == ["Zanzibarian"] and r.n_terms == 1
+        elif r.doc_id >= 1000:
+            assert [t for t in terms(r) if t.lower() == "zanzibarian"] == ["Zanzibarian", "zanzibarian"] and "ordinary" not in terms(r)
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs.where("doc_id is null or doc_id != 2000"), found).collect()}
+    assert not any("zanzibarian" in t.lower() for t in clean.values())
+
+
 def shingles(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", low(text or ""))
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])

@@ -1,18 +1,18 @@
 """Personal data: patterns, and information-theoretic sanitisation around what they find.
 
-Patterns find the protected entities.  The words near an entity are then measured
-over the documents of the whole corpus: a term t reveals an entity e to the degree that their
+Patterns find the protected entities.  The words of the documents that hold an entity are
+then measured over the whole corpus: a term t reveals an entity e to the degree that their
 pointwise mutual information log p(t, e) / (p(t) p(e)) comes near the information
 of e itself, -log p(e), which is reached when t never occurs without e.  Terms above
-the disclosure threshold are covered by spans of their own wherever they stand near
-that entity; sanitise() generalises them to their kind or removes them.
+the disclosure threshold are covered by spans of their own wherever they stand, in any
+document; sanitise() generalises them to their kind or removes them.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ KINDS = ("email", "ip", "card", "phone", "term")
 NEAR, TERM_LETTERS = 8, 4
 #: Different contexts that a term and an entity share at least, and the share of the entity's information from which a term discloses it.
 SUPPORT, DISCLOSED = 3, 0.8
-#: Bits of the filter that spares counting terms which stand near no entity; further terms are counted in vain at worst.
+#: Bits of the filters that spare work on terms and entities which are no candidates; further terms are counted in vain at worst.
 FILTER_BITS = 1 << 25
 TERM = re.compile(r"[^\W\d_]{%d,}" % TERM_LETTERS)
 
@@ -74,39 +74,59 @@ def entity(kind: int, value: str) -> str:
     return f"{KINDS[kind]}:{value.lower() if kind < 2 else re.sub('[^0-9]', '', value)}"
 
 
+def digest(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
 def term_id(term: str) -> int:
-    return xxhash.xxh3_64_intdigest(term.lower()) - (1 << 63)
+    return digest(term.lower())
 
 
-def near(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int, int, int]]:
-    """(entity, term, start, end, context) of the terms near each entity; a context is a hash of the words around it."""
+def windows(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, list[int]]]:
+    """(entity, context, terms) of each match: the terms near it and a hash of them as written."""
     out = []
     for start, kind, end in spans:
         terms = [*[(m.start(), m.end()) for m in TERM.finditer(text, max(0, start - 16 * NEAR), start)][-NEAR:],
                  *[(m.start(), m.end()) for m in TERM.finditer(text, end, end + 16 * NEAR)][:NEAR]]
         terms = [t for t in terms if all(t[1] <= s or t[0] >= e for s, _, e in spans)]
         terms = [t for t in terms if not (text[t[0] - 1 : t[0]].isalpha() or text[t[1] : t[1] + 1].isalpha())]  # whole words
-        context = xxhash.xxh3_64_intdigest(" ".join(text[a:b] for a, b in terms)) - (1 << 63)
-        out += [(entity(kind, text[start:end]), term_id(text[a:b]), a, b, context) for a, b in terms]
+        context = digest(" ".join(text[a:b] for a, b in terms))
+        out.append((entity(kind, text[start:end]), context, [term_id(text[a:b]) for a, b in terms]))
     return out
 
 
+def free_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Places of all terms of a text that no match covers."""
+    if not spans:
+        return [m.span() for m in TERM.finditer(text)]
+    covered = bytearray(len(text))
+    for start, _, end in spans:
+        covered[start:end] = b"\x01" * (end - start)
+    return [m.span() for m in TERM.finditer(text) if 1 not in covered[m.start() : m.end()]]
+
+
+def decoded(value: pa.Scalar) -> str:
+    return (value.as_py() or b"").decode("utf-8", "replace")
+
+
 def detect(docs: DataFrame) -> DataFrame:
-    """id, row, spans (start, kind, end, flat), near (entity, term, start, end, context): the patterns' finds in `docs` (id, text)."""
-    kind = docs.schema[0].dataType.simpleString()
-    tuples = pa.struct([("entity", pa.string()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("context", pa.int64())])
+    """doc_id, hash, spans (start, kind, end, flat), entities (entity, key, contexts: how many differ): the patterns' finds in `docs` (doc_id, hash, text)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    tuples = pa.struct([("entity", pa.string()), ("key", pa.int64()), ("contexts", pa.int64())])
 
     def run(batches):
         for batch in batches:
-            spans, terms = [], []
-            for value in batch.column(1).cast(pa.binary()):
-                text = (value.as_py() or b"").decode("utf-8", "replace")
-                found = base_spans(text)
+            spans, entities = [], []
+            for value in batch.column(2).cast(pa.binary()):
+                text = decoded(value)
+                found, contexts = base_spans(text), defaultdict(set)
+                for name, context, _ in windows(text, found):
+                    contexts[name].add(context)
                 spans.append([x for span in found for x in span])
-                terms.append([dict(zip(("entity", "term", "start", "end", "context"), t)) for t in near(text, found)] if found else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(pa.int32())), pa.array(terms, pa.list_(tuples))], names=["id", "spans", "near"])
+                entities.append([{"entity": e, "key": digest(e), "contexts": len(c)} for e, c in contexts.items()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.int32())), pa.array(entities, pa.list_(tuples))], names=["doc_id", "hash", "spans", "entities"])
 
-    return arrow_map(docs, run, f"id {kind}, spans array<int>, near array<struct<entity:string,term:bigint,start:int,end:int,context:bigint>>")
+    return arrow_map(docs, run, f"doc_id {kind}, hash long, spans array<int>, entities array<struct<entity:string,key:bigint,contexts:bigint>>")
 
 
 def term_filter(terms: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -121,15 +141,15 @@ def term_filter(terms: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
 
 
 def document_counts(docs: DataFrame, terms: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """term, n_docs over all of `docs` (id, text), counted in each task before the shuffle, for terms in the filter."""
+    """term, n_docs over all of `docs` (doc_id, hash, text), counted in each task before the shuffle, for terms in the filter."""
     sent = docs.sparkSession.sparkContext.broadcast(term_filter(terms, bits))
 
     def run(batches):
         filter_, known, counts = sent.value, {}, Counter()
         for batch in batches:
-            for value in batch.column(1).cast(pa.binary()):
+            for value in batch.column(2).cast(pa.binary()):
                 own = set()  # a term counts once, however it is written
-                for word in set(TERM.findall((value.as_py() or b"").decode("utf-8", "replace"))):
+                for word in set(TERM.findall(decoded(value))):
                     term = known.get(word)
                     if term is None:
                         term = term_id(word)
@@ -149,22 +169,105 @@ def document_counts(docs: DataFrame, terms: DataFrame, bits: int = FILTER_BITS)
     return arrow_map(docs, run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_docs"))
 
 
+def shared_contexts(docs: DataFrame, strong: DataFrame, support: int, bits: int = FILTER_BITS, held: int = 200_000) -> DataFrame:
+    """entity, term, contexts, n_both: documents that hold both, anywhere, for the entities (entity, key) of `strong`.
+
+    A term near an entity has the words around the entity as contexts, one that stands
+    further off those around the two of them.  Counts above `support` are not exact.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(term_filter(strong.select(F.col("key").alias("term")), bits))
+
+    def listed_pairs(counts):
+        names, terms = zip(*counts) if counts else ((), ())
+        columns = [pa.array(names, pa.string()), pa.array(terms, pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([sorted(c[1])[:support] for c in counts.values()], pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, names=["entity", "term", "n", "shared"])
+
+    def run(batches):
+        filter_, counts = sent.value, {}
+        for batch in batches:
+            for value in batch.column(2).cast(pa.binary()):
+                text = decoded(value)
+                spans = base_spans(text)
+                own, close = {}, defaultdict(set)
+                for name, context, terms in windows(text, spans):
+                    at = digest(name) % bits
+                    if filter_[at >> 3] >> (at & 7) & 1:
+                        own[name] = min(own.get(name, context), context)
+                        for term in terms:
+                            close[name, term].add(context)
+                if not own:
+                    continue
+                places, first = free_terms(text, spans), {}
+                for i, (a, b) in enumerate(places):
+                    first.setdefault(term_id(text[a:b]), i)
+                for name, context in own.items():
+                    for term, i in first.items():
+                        n = counts.setdefault((name, term), [0, set()])
+                        n[0] += 1
+                        if len(n[1]) < support:
+                            around = places[max(0, i - NEAR // 2) : i + NEAR // 2 + 1]
+                            n[1].update(close.get((name, term)) or [digest(f"{context} " + " ".join(text[a:b] for a, b in around))])
+                    if len(counts) > held:
+                        yield listed_pairs(counts)
+                        counts = {}
+        yield listed_pairs(counts)
+
+    rows = arrow_map(docs, run, "entity string, term long, n long, shared array<long>").groupBy("entity", "term")
+    return rows.agg(F.size(F.array_distinct(F.flatten(F.collect_list("shared")))).alias("contexts"), F.sum("n").alias("n_both"))
+
+
 def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
-    """entity, term: pairs whose mutual information reaches `disclosed` of the entity's information.
+    """term: those whose mutual information with an entity reaches `disclosed` of the entity's information.
 
-    All counts are of documents, so copies of a text raise them alike; the support is of
-    different contexts, so copies alone do not make a term disclosing.
+    All counts are of whole documents, so copies of a text raise them alike; the support is
+    of different contexts, so copies alone do not make a term disclosing.
     """
-    each = found.select("id.row", F.explode("near").alias("x")).select("row", "x.entity", "x.term", "x.context").distinct()
-    joint = each.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("row").alias("n_both")).where(F.col("contexts") >= support)
-    joint = save(joint, "pii-joint")
-    alone = each.select("entity", "row").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    n = docs.count()
-    counted = document_counts(docs, joint.select("term").distinct())
-    rows = joint.join(counted, "term").join(alone, "entity")
-    information = -F.log(F.col("n_entity") / float(max(n, 1)))
-    mutual = F.log(F.col("n_both") * float(max(n, 1)) / (F.greatest("n_docs", "n_both") * F.col("n_entity")))
-    return rows.where(mutual >= disclosed * information).select("entity", "term")
+    each = found.select(F.explode("entities").alias("x")).groupBy("x.entity", "x.key").agg(F.sum("x.contexts").alias("contexts"), F.count(F.lit(1)).alias("n_entity"))
+    strong = save(each.where(F.col("contexts") >= support).select("entity", "key", "n_entity"), "pii-entities")
+    if strong.isEmpty():
+        return strong.select(F.col("key").alias("term"))
+    joint = shared_contexts(docs, strong, support).where(F.col("contexts") >= support)
+    joint = save(joint.join(strong.select("entity", "n_entity"), "entity"), "pii-joint")
+    n = float(max(docs.count(), 1))
+    rows = joint.join(document_counts(docs, joint.select("term").distinct()), "term")
+    information = -F.log(F.col("n_entity") / n)
+    mutual = F.log(F.col("n_both") * n / (F.greatest("n_docs", "n_both") * F.col("n_entity")))
+    return rows.where(mutual >= disclosed * information).select("term").distinct()
+
+
+def occurrences(docs: DataFrame, terms: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """doc_id, hash, start, end: all places of `terms` (term) in `docs` (doc_id, hash, text) that no match covers."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sent = docs.sparkSession.sparkContext.broadcast(term_filter(terms, bits))
+
+    def run(batches):
+        filter_, known = sent.value, {}
+        for batch in batches:
+            rows, out = [], []
+            for row, value in enumerate(batch.column(2).cast(pa.binary())):
+                text = decoded(value)
+                hits = []
+                for m in TERM.finditer(text):
+                    term = known.get(m[0])
+                    if term is None:
+                        term = term_id(m[0])
+                        at = term % bits
+                        if not filter_[at >> 3] >> (at & 7) & 1:
+                            term = 0
+                        if len(known) < 500_000:
+                            known[m[0]] = term
+                    if term:
+                        hits.append((term, *m.span()))
+                if hits:
+                    free = set(free_terms(text, base_spans(text)))
+                    hits = [h for h in hits if h[1:] in free]
+                rows += [row] * len(hits)
+                out += hits
+            picked = pa.array(rows, pa.int64())
+            columns = [pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 3, (pa.int64(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(picked), batch.column(1).take(picked), *columns], names=["doc_id", "hash", "term", "start", "end"])
+
+    return arrow_map(docs, run, f"doc_id {kind}, hash long, term long, start int, end int").join(terms, "term", "left_semi").drop("term")
 
 
 def find_personal_data(docs: DataFrame, support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
@@ -173,15 +276,17 @@ def find_personal_data(docs: DataFrame, support: int = SUPPORT, disclosed: float
     Null texts are empty and have the sum of ""; spans are in code points.  Equal rows
     are treated alike; other columns are not read; an empty table gives an empty one.
     """
-    texts = docs.select(F.struct("doc_id", F.monotonically_increasing_id().alias("row")).alias("id"), "text")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
     found = save(detect(texts), "pii")
-    pairs = disclosing(texts, found, support, disclosed)
-    marked = found.where(F.size("near") > 0).select("id", F.explode("near").alias("x")).select("id", "x.entity", "x.term", "x.start", "x.end")
-    marked = marked.join(pairs, ["entity", "term"], "left_semi").select("id", "start", "end").distinct()
-    # A document has a bounded number of terms near its entities: this group is one row of `found`.
-    extra = marked.groupBy(F.col("id.row").alias("_row")).agg(F.flatten(F.sort_array(F.collect_list(F.array("start", F.lit(KINDS.index("term")), "end")))).alias("extra"))
-    rows = found.select("id", "spans").join(extra, F.col("id.row") == F.col("_row"), "left").select(
-        "id", F.col("spans"), F.coalesce("extra", F.array().cast("array<int>")).alias("extra"))
+    terms = save(disclosing(texts, found, support, disclosed), "pii-terms")
+    if terms.isEmpty():
+        rows = found.select("doc_id", "spans", F.array().cast("array<int>").alias("extra"))
+    else:
+        # A group is the terms of one text, however often the row is repeated.
+        marked = occurrences(texts, terms).distinct().groupBy(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")).agg(
+            F.flatten(F.sort_array(F.collect_list(F.array("start", F.lit(KINDS.index("term")), "end")))).alias("extra"))
+        rows = found.join(marked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left").select(
+            "doc_id", "spans", F.coalesce("extra", F.array().cast("array<int>")).alias("extra"))
     fields = "doc_id " + docs.schema["doc_id"].dataType.simpleString() + ", n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_terms long"
 
     def run(batches):
@@ -195,7 +300,7 @@ def find_personal_data(docs: DataFrame, support: int = SUPPORT, disclosed: float
                 out.append((*(kinds[k] for k in range(4)), digest, listed(sorted([*base, *more])), len(more)))
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
             columns = [pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 7, kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).field("doc_id"), *columns], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_terms"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_terms"])
 
     return arrow_map(rows, run, fields)
 
