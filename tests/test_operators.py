@@ -10,6 +10,7 @@ from vellum.operators import attachments, graphs, links, rules, spatial, stalene
 from vellum.plans import formats
 from vellum.schemas import SHIPPED_RULES
 from vellum.sources import drawio, files, html, macros, plantuml, svg
+from vellum.streaming import refresh
 
 
 def one(spark, column, **values):
@@ -59,6 +60,13 @@ def test_staleness_truth_table(spark):
     assert staleness.to_refresh(found).count() == 4
 
 
+def test_a_long_page_changed_at_its_end(spark):
+    page = lambda version, content: spark.createDataFrame([("p", version, content)], "page_id string, version int, content string")
+    state = refresh.changed(page(1, "x" * 70_000 + "a"), None)
+    assert [r.version for r in refresh.changed(page(2, "x" * 70_000 + "b"), state).collect()] == [2]
+    assert refresh.changed(page(2, "x" * 70_000 + "a"), state).isEmpty()
+
+
 def test_attachments(spark):
     rows = spark.createDataFrame([("a.png", 1, 1), ("a.png", 3, 2), ("a.png", 2, 3), ("b.svg", 2, 1), ("b.svg", 2, 2), ("c", None, 1)], "title string, version int, pos int")
     assert {(r.title, r.version, r.pos) for r in attachments.latest(rows, ["title"]).collect()} == {("a.png", 3, 2), ("b.svg", 2, 1), ("c", None, 1)}

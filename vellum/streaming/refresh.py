@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.text import fingerprint
+from ..functions.text import content_hash
 
 
 def changed(batch: DataFrame, state: DataFrame | None) -> DataFrame:
-    """The latest row of each page in a batch (page_id, version, content), without those whose fingerprint is known."""
+    """The latest row of each page in a batch (page_id, version, content) with print, without those whose content is known.
+
+    print is the SHA-256 of the whole content, empty for null.
+    """
     newest = F.row_number().over(Window.partitionBy("page_id").orderBy(F.col("version").desc(), "content"))
-    rows = batch.withColumn("_n", newest).where("_n = 1").drop("_n").withColumn("print", fingerprint(F.col("content")))
+    rows = batch.withColumn("_n", newest).where("_n = 1").drop("_n").withColumn("print", F.coalesce(content_hash(F.col("content")), F.lit("")))
     return rows if state is None else rows.join(state.select("page_id", "print"), ["page_id", "print"], "left_anti")
 
 
