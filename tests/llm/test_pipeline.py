@@ -5,6 +5,7 @@ from collections import Counter
 import corpus_pipeline
 import pytest
 from conftest_llm import got
+from pyspark.sql import functions as F
 
 from vellum.llm import decontaminate, jaccard, queries
 
@@ -48,6 +49,12 @@ def test_run(spark, folder):
     assert one and got(corpus_pipeline.run(spark, folder)) == one
 
 
+def test_no_row_has_a_language(spark, docs, folder):
+    kept = corpus_pipeline.language_id(spark, docs.withColumn("lang", F.lit(None).cast("string")), folder)
+    assert kept.columns == docs.columns
+    assert sorted(r.text for r in kept.collect()) == sorted(r.text for r in docs.collect() if r.text and any(c.isalpha() for c in r.text))
+
+
 def test_an_empty_corpus(spark, docs, folder, tmp_path):
     docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")

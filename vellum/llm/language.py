@@ -154,6 +154,18 @@ def identify(docs: DataFrame, model: StringKernel | None, pred_name: str = "lang
     return arrow_map(docs, run, f"{fields}, `{pred_name}` string, `{score_name}` double")
 
 
+def with_letters(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` whose text has a letter, which are those that identify() names a language for if it has a model."""
+    place = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            texts = (decoded(v) for v in batch.column(place).cast(pa.binary()))
+            yield batch.filter(pa.array([bool(t) and has_letter(t) for t in texts], pa.bool_()))
+
+    return arrow_map(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+
+
 def identify_languages(docs: DataFrame) -> DataFrame:
     """One row per row of `docs` (doc_id, text, lang): doc_id, held_out, lang_pred, score.
 
