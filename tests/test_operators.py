@@ -167,6 +167,13 @@ def test_priority_and_conditions(spark):
     assert {(r.page_id, r.source) for r in found.collect()} == {("a", "consolidated"), ("b", "rules"), ("c", "page")}
 
 
+def test_a_long_chain_of_rules_is_one_group(spark):
+    chain = [(f"r{i:02}",) for i in range(30)]
+    pairs = [(f"r{i:02}", f"r{i + 1:02}") for i in range(29)]
+    found = rules.merge_groups(spark.createDataFrame([*chain, ("s",)], "rule_id string"), spark.createDataFrame(pairs, "a string, b string"))
+    assert {(r.rule_id, r.root) for r in found.collect()} == {(r, "r00") for r, in chain} | {("s", "s")}
+
+
 def test_text(spark):
     assert one(spark, X.html_to_markdown(F.col("h")), h="<h2>A</h2><p>b<br/>c</p><ul><li>d</li></ul><pre>e</pre>") == "## A\n\nb\nc- de"
     assert one(spark, X.clean_label(F.col("h")), h='a&lt;br&gt;b <b>c</b>\n "d"') == "a b c 'd'"

@@ -45,17 +45,20 @@ def similar_rules(rules: DataFrame, shared: int = 3, likeness: float = 0.6) -> D
     return rows.where(index >= likeness).select("a", "b")
 
 
-def merge_groups(rules: DataFrame, pairs: DataFrame, rounds: int = 20) -> DataFrame:
-    """rule_id, root: the least id that similar pairs lead to; a loop of joins that ends when nothing changes."""
+def merge_groups(rules: DataFrame, pairs: DataFrame) -> DataFrame:
+    """rule_id, root: the least id that similar pairs lead to; a loop of joins that ends when nothing changes.
+
+    Each round takes the least root of the neighbours and then that root's own root, so paths shorten as they go.
+    """
     root = rules.select("rule_id", F.col("rule_id").alias("root"))
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    for _ in range(rounds):
+    while True:
         near = both.join(root, both["b"] == root["rule_id"]).groupBy("a").agg(F.min("root").alias("other"))
         new = root.join(near, root["rule_id"] == near["a"], "left").select("rule_id", F.least("root", F.coalesce("other", "root")).alias("new"), "root").checkpoint()
         if new.where("new != root").isEmpty():
-            break
-        root = new.select("rule_id", F.col("new").alias("root"))
-    return root
+            return root
+        jump = new.groupBy(F.col("rule_id").alias("via")).agg(F.min("new").alias("beyond"))
+        root = new.join(jump, new["new"] == jump["via"], "left").select("rule_id", F.coalesce("beyond", "new").alias("root")).checkpoint()
 
 
 def consolidate(rules: DataFrame, root: DataFrame) -> DataFrame:
