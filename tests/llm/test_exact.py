@@ -311,3 +311,37 @@ def test_shard_weights(spark):
 def test_written_shards(spark, docs, rows, tmp_path):
     sharding.write_shards(docs.drop("shard"), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(rows)
+
+
+def twins(length):
+    """The Thue-Morse word over a and b and its complement: sums over their letters with powers as factors are equal."""
+    word = "a"
+    while len(word) < length:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_different_words_are_never_taken_for_equal(spark):
+    lead, rows, want = [f"w{i}" for i in range(19)], [], {}
+    for at, length in enumerate((16, 1024, 2048, 4096)):
+        own = [f"{w}x{at}" for w in lead]
+        texts = [*twins(length), *(" ".join([*own, twin]) for twin in twins(length))]
+        rows += [(10 * at + i, text) for i, text in enumerate(texts)]
+        want |= {10 * at + i: 10 * at + min(i, 2) for i in range(4)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.join_similar(docs).collect()} == want
+    assert {r.n_removed for r in substrings.remove_repeats(docs).collect()} == {0}
+
+
+def test_hashes_of_words():
+    import numpy as np
+    import pyarrow as pa
+
+    from vellum.llm.textvec import Texts, Words
+
+    texts = [" ".join(w) for w in (["ab", "ba", "abcdefgh", "abcdefghi", "a" * 9, "a" * 17], ["ab", "é" * 40, "ab\0", "ab"])] + [None, ""]
+    for _, _, data, offsets in Texts(pa.array(texts)).chunks():
+        words = Words(data, offsets)
+        for hashes in (words.hashes, words.second()):
+            assert len(np.unique(hashes)) == 8 and hashes[0] == hashes[6] == hashes[9]
+        assert not set(words.hashes.tolist()) & set(words.second().tolist())

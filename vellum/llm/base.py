@@ -21,12 +21,16 @@ TEXT_ROWS, TEXT_BYTES = 2000, 4 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 #: Tasks that a shuffle of parts has at most; further parts follow one another in these.
 PART_TASKS = 20_000
+#: Bits of a broadcast filter at most, and rows of a key from which it may be joined apart from the others.
+MOST_BITS, HOT_ROWS = 1 << 30, 2_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is set."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is set and driver and executors are one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="vellum-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -45,7 +49,10 @@ def save(df: DataFrame, name: str) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
-    """mapInArrow with batches small enough for whole texts."""
+    """mapInArrow with batches small enough for whole texts.
+
+    Spark reads the limits when it runs the plan, so they stay set for the session; smaller ones of the caller's are kept.
+    """
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXT_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
@@ -83,6 +90,14 @@ def bucket_digits(rows: int, groups: int = 1, per_bucket: int = 20_000) -> int:
     return digits
 
 
+def bitmap_bits(keys: int) -> int:
+    """Bits of a filter for `keys` values: 16 a value, 128 MB in all at most; beyond that more bits are set in vain."""
+    bits = 1 << 20
+    while bits < 16 * keys and bits < MOST_BITS:
+        bits *= 2
+    return bits
+
+
 def key_bitmap(keys: Column, df: DataFrame, bits: int) -> np.ndarray:
     """A bitmap of bits / 8 bytes, whatever the number of rows, with a bit for each value of the long `keys`.
 
@@ -91,11 +106,42 @@ def key_bitmap(keys: Column, df: DataFrame, bits: int) -> np.ndarray:
     bit = F.pmod(keys, F.lit(bits)) + 1
     parts = df.select(F.bitmap_bucket_number(bit).alias("part"), F.bitmap_bit_position(bit).alias("at")).groupBy("part").agg(F.bitmap_construct_agg("at").alias("map"))
     out = np.zeros(max(bits // 8, 4096), np.uint8)
-    for row in parts.collect():
+    for row in parts.toLocalIterator():
         out[(row["part"] - 1) * 4096 : row["part"] * 4096] = np.frombuffer(row["map"], np.uint8)
     return out
 
 
+def wide_hash(*columns: Column) -> Column:
+    """16 bytes: two hashes of the columns with different seeds."""
+    digits = [F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64(*columns), F.xxhash64(F.lit(0x5DEECE66D), *columns))]
+    return F.unhex(F.concat(*digits))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Each of `names`, with underscores before it until no column of `df` is called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def by_group(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """The inner join of `rows` with one row of `groups` for each `key`, which also tells the `size` of the key in `rows`.
+
+    The keys that have more than a thousandth of all rows are fewer than a thousand, so these are
+    broadcast and their rows stay where they are; no task gets all rows of one key.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    large = F.col(size) > max(HOT_ROWS, total // 1000)
+    hot = F.broadcast(groups.where(large))
+    if not groups.where(large).limit(1).count():
+        return rows.join(groups, key)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(groups.where(~large), key))
+
+
 def in_bitmap(bitmap: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
     at = keys % bits
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)

@@ -20,9 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ship
-from .base import arrow_map, by_part, dealt, save
+from .base import arrow_map, bitmap_bits, by_group, by_part, dealt, in_bitmap, key_bitmap, save, unused, wide_hash
 from .graph import components
-from .textvec import LOWER, SPACED, Texts, Words, constants, distinct_in_rows, mix
+from .textvec import LOWER, SPACED, Texts, Words, distinct_in_rows, mix, wide, wide_array
 
 ship(__name__)
 
@@ -33,8 +33,8 @@ COUNTED = 2_000_000
 FREQUENT, FREQUENT_FROM = 1_000_000, 8
 #: Prefix shingles of a part of the lists, and parts at least.
 PART, PARTS = 1_500_000, 64
-#: Bits of the filter that tells which texts are to be compared.
-FILTER_BITS = 1 << 25
+#: Pairs of one class that a task compares at least.
+SPOKES = 256
 BAND = float(np.log(4 / 3))
 
 
@@ -43,46 +43,54 @@ def overlap_needed(n: Column, m: Column) -> Column:
     return F.floor((3 * (n + m) + 6) / 7)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    grams, bounds = Words(data, offsets, SPACED, LOWER).grams(SHINGLE)
-    return distinct_in_rows(grams, bounds)
+def class_ids(values: np.ndarray, bounds: np.ndarray, grams: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """16 bytes for each text: a hash of its set, and one of all its shingles, with repetitions, by other hashes of the words.
 
+    Texts of one class surely have one set; a set may have several classes, which the join then links.
+    """
+    def sums(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
+        return mix(total[ends[1:]] - total[ends[:-1]] + np.diff(ends).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
-def class_ids(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A hash of each set; sets of different sizes differ."""
-    total = np.concatenate([[np.uint64(0)], np.cumsum(mix(values ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
-    return mix(total[bounds[1:]] - total[bounds[:-1]] + np.diff(bounds).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    return wide(sums(values, bounds), sums(grams, at))
 
 
-def sets_of(column: pa.Array):
-    """(first row, values, bounds, class ids) of runs of rows."""
+def sets_of(column: pa.Array, named: bool = True):
+    """(first row, values, bounds, class ids if `named`) of runs of rows."""
     for lo, _, data, offsets in Texts(column).chunks():
-        values, bounds = shingle_sets(data, offsets)
-        yield lo, values, bounds, class_ids(values, bounds)
+        words = Words(data, offsets, SPACED, LOWER)
+        values, bounds = distinct_in_rows(*words.grams(SHINGLE))
+        yield lo, values, bounds, class_ids(values, bounds, *words.grams(SHINGLE, words.second())) if named else None
 
 
 def classify(docs: DataFrame) -> DataFrame:
-    """kind 0: doc_id, n, cid and text_hash of each document; kind 1: n sightings of the frequent shingle cid."""
+    """kind 0: doc_id, n, cid and text_hash of each document; kind 1: n sightings of a frequent shingle, the token."""
 
     def frequent(parts: list[np.ndarray], at: pa.DataType):
         found, counts = np.unique(np.concatenate(parts), return_counts=True)
         found, counts = found[counts > 1], counts[counts > 1]
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(found), np.int32)), pa.nulls(len(found), at), pa.array(counts.astype(np.int64)), pa.array(found.view(np.int64)), pa.nulls(len(found), pa.int64())], names=["kind", "doc_id", "n", "cid", "text_hash"])
+        k = len(found)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.ones(k, np.int32)), pa.nulls(k, at), pa.array(counts.astype(np.int64)), pa.nulls(k, pa.binary()), pa.array(found.view(np.int64)), pa.nulls(k, pa.binary())],
+            names=["kind", "doc_id", "n", "cid", "token", "text_hash"])
 
     def run(batches):
         seen, parts, held, at = set(), [], 0, None
         for batch in batches:
             at = batch.column(0).type
-            ns, cids = [], []
+            ns, cids, k = [], [], batch.num_rows
             for _, values, bounds, ids in sets_of(batch.column(1)):
                 n = np.diff(bounds)
                 ns.append(n)
                 cids.append(ids)
-                new = np.array([i not in seen for i in ids.tolist()], bool)
-                seen.update(ids.tolist())
+                listed = ids.tolist()
+                new = np.array([i not in seen for i in listed], bool)
+                seen.update(listed)
                 parts.append(values[np.repeat(new, n)])
                 held += len(parts[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int32)), batch.column(0), pa.array(np.concatenate(ns) if ns else [], pa.int64()), pa.array(np.concatenate(cids) if cids else [], pa.int64()), batch.column(2)], names=["kind", "doc_id", "n", "cid", "text_hash"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.zeros(k, np.int32)), batch.column(0), pa.array(np.concatenate(ns) if ns else [], pa.int64()), wide_array(np.concatenate(cids) if cids else np.zeros(0, "V16")),
+                 pa.nulls(k, pa.int64()), batch.column(2)], names=["kind", "doc_id", "n", "cid", "token", "text_hash"])
             if held >= COUNTED:
                 yield frequent(parts, at)
                 seen, parts, held = set(), [], 0
@@ -90,15 +98,15 @@ def classify(docs: DataFrame) -> DataFrame:
             yield frequent(parts, at)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_map(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), run, f"kind int, doc_id {kind}, n long, cid long, text_hash long")
+    return arrow_map(docs.select("doc_id", "text", wide_hash(F.col("text")).alias("text_hash")), run, f"kind int, doc_id {kind}, n long, cid binary, token long, text_hash binary")
 
 
 def parity(values: np.ndarray) -> bytes:
-    """Bit i is the parity of the number of shingles that fall on i; the bits are the power of 2 that the size calls for."""
+    """The number of shingles in 8 bytes, then a bitmap whose bit i is the parity of the number of shingles that fall on i; its bits are the power of 2 that the size calls for."""
     bits = 64
     while bits < len(values):
         bits *= 2
-    return np.packbits(np.bincount((values % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8).tobytes()
+    return len(values).to_bytes(8, "little") + np.packbits(np.bincount((values % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8).tobytes()
 
 
 def differing(a: bytes, b: bytes) -> int:
@@ -111,8 +119,21 @@ def differing(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def possible(x: bytes, y: bytes) -> bool:
+    """Whether two maps of parity() leave enough common shingles possible."""
+    n, m = int.from_bytes(x[:8], "little"), int.from_bytes(y[:8], "little")
+    return 7 * differing(x[8:], y[8:]) <= n + m
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= 75 * (len(x) + len(y) - common)
+
+
 ENTRY = np.dtype([("token", "<i8"), ("gid", "<i8"), ("pos", "<u2")])
-MEMBER = np.dtype([("cid", "<i8"), ("gid", "<i8"), ("n", "<i8")])
+MEMBER = np.dtype([("cid", "V16"), ("gid", "<i8"), ("n", "<i8")])
 
 
 def prefixes(docs: DataFrame, frequent: DataFrame, parts: int) -> DataFrame:
@@ -122,13 +143,13 @@ def prefixes(docs: DataFrame, frequent: DataFrame, parts: int) -> DataFrame:
     surely have lists; kind 2 members and their bitmaps.
     """
     rows = frequent.toArrow()
-    tokens, counts = rows.column("cid").to_numpy(), rows.column("n").to_numpy()
+    tokens, counts = rows.column("token").to_numpy(), rows.column("n").to_numpy()
     order = np.argsort(tokens)
     sent = docs.sparkSession.sparkContext.broadcast((tokens[order], counts[order]))
 
     def run(batches):
         hot, weight = sent.value
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in batches:
             cold, warm, members, maps = [], [], [], []
             for _, values, bounds, ids in sets_of(batch.column(1)):
@@ -177,13 +198,14 @@ def prefixes(docs: DataFrame, frequent: DataFrame, parts: int) -> DataFrame:
 
 
 def shared_lists(packed: DataFrame, parts: int) -> DataFrame:
-    """kind 1: token, gid, pos of shingles that several groups have; kind 2: cid as token, gid, n, map of members."""
+    """kind 1: token, gid, value (place) of shingles that several groups have; kind 2: cid, gid, value (size), map of members."""
 
-    def rows(kind, token, gid, value, maps=None):
-        k = len(token)
+    def rows(kind, gid, value, token=None, cid=None, maps=None):
+        k = len(gid)
         return pa.RecordBatch.from_arrays([
-            pa.array(np.full(k, kind, np.int32)), pa.array(np.ascontiguousarray(token)), pa.array(np.ascontiguousarray(gid)), pa.array(value.astype(np.int64)),
-            pa.nulls(k, pa.binary()) if maps is None else pa.array(maps, pa.binary())], names=["kind", "token", "gid", "value", "map"])
+            pa.array(np.full(k, kind, np.int32)), pa.nulls(k, pa.int64()) if token is None else pa.array(np.ascontiguousarray(token)), pa.nulls(k, pa.binary()) if cid is None else wide_array(cid),
+            pa.array(np.ascontiguousarray(gid)), pa.array(value.astype(np.int64)), pa.nulls(k, pa.binary()) if maps is None else pa.array(maps, pa.binary())],
+            names=["kind", "token", "cid", "gid", "value", "map"])
 
     def run(batches):
         for own in by_part(batches, 1):
@@ -193,10 +215,10 @@ def shared_lists(packed: DataFrame, parts: int) -> DataFrame:
                     held.append(np.frombuffer(entries, ENTRY))
                 elif kind == 1:
                     e = np.frombuffer(entries, ENTRY)
-                    yield rows(1, e["token"], e["gid"], e["pos"])
+                    yield rows(1, e["gid"], e["pos"], token=e["token"])
                 else:
                     m = np.frombuffer(entries, MEMBER)
-                    yield rows(2, m["cid"], m["gid"], m["n"], maps)
+                    yield rows(2, m["gid"], m["n"], cid=m["cid"], maps=maps)
             if held:
                 yield from shared(np.concatenate(held))
 
@@ -208,76 +230,87 @@ def shared_lists(packed: DataFrame, parts: int) -> DataFrame:
         keep = np.repeat(apart, np.diff(np.append(begin, len(e))))
         for at in range(0, len(e), 500_000):
             some = e[at : at + 500_000][keep[at : at + 500_000]]
-            yield rows(1, some["token"], some["gid"], some["pos"])
+            yield rows(1, some["gid"], some["pos"], token=some["token"])
 
-    return arrow_map(dealt(packed, parts), run, "kind int, token long, gid long, value long, map binary")
+    return arrow_map(dealt(packed, parts), run, "kind int, token long, cid binary, gid long, value long, map binary")
 
 
-def narrowed(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """The pairs (a, b of cid) that the bitmaps leave possible."""
-    left = members.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("map").alias("ma"))
-    right = members.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("map").alias("mb"))
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ma", "mb")
+def met_by_hub(pairs: DataFrame, items: DataFrame, prepare, test) -> DataFrame:
+    """The distinct pairs (a, b) for whose `items` (cid, value) `test` holds; `prepare` makes a list of comparable objects of a column of values.
+
+    The pairs of one `a` are dealt to as many tasks as it has SPOKES of them.  Its value goes to each of
+    these once, that of every `b` follows, so a task holds one value and a batch, and nothing moves once a pair but the
+    value of b.
+    """
+    degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SPOKES).alias("tasks"))
+    routed = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), "tasks").alias("salt"))
+    hubs = routed.select("a", "salt").distinct().join(items, F.col("a") == F.col("cid")).select("a", "salt", F.lit(None).cast("binary").alias("b"), "value")
+    spokes = routed.join(items, F.col("b") == F.col("cid")).select("a", "salt", "b", "value")
+    rows = hubs.unionByName(spokes).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def run(batches):
+        hub = None
         for batch in batches:
-            a, b, na, nb, ma, mb = (c.to_pylist() for c in batch.columns)
-            keep = [7 * differing(x, y) <= n + m for n, m, x, y in zip(na, nb, ma, mb)]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(a, keep) if k], pa.int64()), pa.array([x for x, k in zip(b, keep) if k], pa.int64())], names=["a", "b"])
+            others, keep = batch.column(2), []
+            for is_hub, own in zip(others.is_null().to_pylist(), prepare(batch.column(3))):
+                if is_hub:
+                    hub = own
+                keep.append(not is_hub and test(hub, own))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), others.filter(mask)], names=["a", "b"])
 
-    return arrow_map(rows, run, "a long, b long")
+    return arrow_map(rows, run, "a binary, b binary")
+
+
+def narrowed(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs (a, b of cid) that the bitmaps leave possible."""
+    return met_by_hub(pairs, members.select("cid", F.col("map").alias("value")), lambda column: column.to_pylist(), possible)
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cid, text of the classes in `wanted` (cid), once each; a bitmap of fixed size spares moving other texts."""
-    bit = F.pmod("cid", F.lit(FILTER_BITS)) + 1
-    parts = wanted.select(F.bitmap_bucket_number(bit).alias("part"), F.bitmap_bit_position(bit).alias("at")).groupBy("part").agg(F.bitmap_construct_agg("at").alias("map"))
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in parts.collect():
-        bits[(row["part"] - 1) * 4096 : row["part"] * 4096] = np.frombuffer(row["map"], np.uint8)
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
+    """cid, value (the text) of the classes in `wanted` (cid), once each; a bitmap of bounded size spares moving other texts."""
+    wanted = save(wanted.select(first_bytes(F.col("cid")).alias("head")).distinct(), "jaccard-wanted")
+    bits = bitmap_bits(wanted.count())
+    sent = docs.sparkSession.sparkContext.broadcast(key_bitmap(F.col("head"), wanted, bits))
 
     def run(batches):
-        bits, seen = sent.value, set()
+        bitmap, seen = sent.value, set()
         for batch in batches:
             rows, cids = [], []
             for lo, _, _, ids in sets_of(batch.column(0)):
-                at = ids % FILTER_BITS
-                for i in np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).tolist():
-                    if int(ids[i]) not in seen:
-                        seen.add(int(ids[i]))
+                heads = ids.view("<i8").reshape(-1, 2)[:, 0] >> HEAD_SHIFT
+                for i in np.flatnonzero(in_bitmap(bitmap, heads, bits)).tolist():
+                    cid = ids[i].item()
+                    if cid not in seen:
+                        seen.add(cid)
                         rows.append(lo + i)
-                        cids.append(int(ids[i]))
-            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), batch.column(0).take(pa.array(rows, pa.int64()))], names=["cid", "text"])
+                        cids.append(cid)
+            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.binary()), batch.column(0).take(pa.array(rows, pa.int64()))], names=["cid", "value"])
 
-    return arrow_map(docs.select("text"), run, "cid long, text string").dropDuplicates(["cid"])
+    return arrow_map(docs.select("text"), run, "cid binary, value string").dropDuplicates(["cid"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b of cid) whose whole sets are similar enough."""
-    texts = texts_of(docs, pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))))
-    texts = save(texts, "jaccard-texts")
-    left, right = texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")), texts.select(F.col("cid").alias("b"), F.col("text").alias("tb"))
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+#: The part of a class id that first_bytes() leaves.
+HEAD_SHIFT = 8
 
-    def run(batches):
-        for batch in batches:
-            sides = []
-            for column in batch.columns[2:]:
-                out = []
-                for _, values, bounds, _ in sets_of(column):
-                    out += [values[lo:hi] for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-                sides.append(out)
-            keep = []
-            for x, y in zip(*sides):
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= 75 * (len(x) + len(y) - common))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    return arrow_map(rows, run, "a long, b long").distinct()
+def first_bytes(cid: Column) -> Column:
+    """Bytes 2 to 8 of a class id as a number: the first of its two little-endian numbers, shifted by HEAD_SHIFT bits."""
+    number = F.conv(F.concat(*[F.hex(F.substring(cid, i, 1)) for i in range(8, 1, -1)]), 16, 10).cast("long")
+    return F.when(number >= 1 << 55, number - (1 << 56)).otherwise(number)
+
+
+def set_list(column: pa.Array) -> list[np.ndarray]:
+    out = []
+    for _, values, bounds, _ in sets_of(column, named=False):
+        out += [values[lo:hi] for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+    return out
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b of cid) whose whole sets are similar enough."""
+    texts = save(texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("cid"))), "jaccard-texts")
+    return met_by_hub(pairs, texts, set_list, similar)
 
 
 def similar_links(docs: DataFrame, classes: DataFrame, frequent: DataFrame) -> DataFrame:
@@ -285,11 +318,11 @@ def similar_links(docs: DataFrame, classes: DataFrame, frequent: DataFrame) -> D
     total = classes.agg(F.sum((F.col("n") / 4 + 1).cast("long"))).first()[0] or 0
     parts = max(PARTS, -(-total // PART))
     found = save(shared_lists(prefixes(docs, frequent, parts), parts), "jaccard-lists")
-    members = found.where("kind = 2").select(F.col("token").alias("cid"), "gid", F.col("value").alias("n"), "map")
-    members = save(members.dropDuplicates(["cid"]), "jaccard-members")
-    groups = members.groupBy("gid").agg(F.min("cid").alias("rep"), F.first("n").alias("n"), F.count(F.lit(1)).alias("size"))
+    members = save(found.where("kind = 2").select("cid", "gid", F.col("value").alias("n"), "map").dropDuplicates(["cid"]), "jaccard-members")
+    # Members of a group have one size, but for groups whose names collide.
+    groups = members.groupBy("gid").agg(F.min("cid").alias("rep"), F.min("n").alias("n"), F.max("n").alias("most"), F.count(F.lit(1)).alias("size"))
     lists = found.where("kind = 1").groupBy("token", "gid").agg(F.min("value").alias("pos"))
-    lists = save(lists.join(groups, "gid").select("token", "gid", "rep", "n", "pos", F.floor(F.log("n") / BAND).cast("int").alias("band")), "jaccard-groups")
+    lists = save(lists.join(groups, "gid").select("token", "gid", "rep", "n", "most", "pos", F.floor(F.log("n") / BAND).cast("int").alias("band")), "jaccard-groups")
     fits = lambda n, m: 4 * F.least(n, m) >= 3 * F.greatest(n, m)
 
     # First round: the most connected group of each list and size band against the others near its size.
@@ -298,27 +331,27 @@ def similar_links(docs: DataFrame, classes: DataFrame, frequent: DataFrame) -> D
     near = leaders.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "lead")
     pairs = lists.join(near, ["token", "band"]).where((F.col("gid") != F.col("lead.gid")) & fits(F.col("n"), F.col("lead.n")))
     star = members.join(groups.where("size > 1").select("gid", "rep"), "gid").where("cid != rep").select(F.col("rep").alias("a"), F.col("cid").alias("b"))
-    ordered = pairs.select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b"))
-    first = save(verified(save(narrowed(ordered.unionByName(star).distinct(), members), "jaccard-pairs"), docs), "jaccard-links")
+    led = pairs.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"))
+    first = save(verified(save(narrowed(led.unionByName(star).distinct(), members), "jaccard-pairs"), docs), "jaccard-links")
 
     # Second round: all pairs that are still apart.
     roots = save(components(first), "jaccard-roots")
     placed = save(members.join(roots, members["cid"] == roots["node"], "left").select("cid", "gid", F.coalesce("root", "cid").alias("root")), "jaccard-placed")
     parted = placed.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     rest = lists.join(parted, "gid")
-    mixed = rest.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least != most").select("token")
+    mixed = rest.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("greatest")).where("least != greatest").select("token")
     rest = rest.join(mixed, "token", "left_semi")
-    x = rest.select("token", *[F.col(c).alias(f"{c}1") for c in ("gid", "n", "pos", "low", "high")])
-    y = rest.select("token", *[F.col(c).alias(f"{c}2") for c in ("gid", "n", "pos", "low", "high")])
+    x = rest.select("token", *[F.col(c).alias(f"{c}1") for c in ("gid", "n", "most", "pos", "low", "high")])
+    y = rest.select("token", *[F.col(c).alias(f"{c}2") for c in ("gid", "n", "most", "pos", "low", "high")])
     need = overlap_needed(F.col("n1"), F.col("n2"))
     apart = (F.least("low1", "low2") != F.greatest("high1", "high2"))
-    met = x.join(y, "token").where((F.col("gid1") < F.col("gid2")) & apart & fits(F.col("n1"), F.col("n2"))
-                                   & (F.col("pos1") <= F.col("n1") - need) & (F.col("pos2") <= F.col("n2") - need))
+    met = x.join(y, "token").where((F.col("gid1") < F.col("gid2")) & apart & (4 * F.col("most1") >= 3 * F.col("n2")) & (4 * F.col("most2") >= 3 * F.col("n1"))
+                                   & (F.col("pos1") <= F.col("most1") - need) & (F.col("pos2") <= F.col("most2") - need))
     met = met.select("gid1", "gid2").distinct().unionByName(parted.where("low != high").select(F.col("gid").alias("gid1"), F.col("gid").alias("gid2")))
     one, two = (placed.select(F.col("gid").alias(f"gid{i}"), F.col("cid").alias(f"cid{i}"), F.col("root").alias(f"root{i}")) for i in (1, 2))
-    wide = met.join(one, "gid1").join(two, "gid2").where("root1 != root2 and (gid1 != gid2 or cid1 < cid2)")
-    wide = wide.select(F.least("cid1", "cid2").alias("a"), F.greatest("cid1", "cid2").alias("b")).distinct()
-    second = verified(save(narrowed(wide, members), "jaccard-pairs"), docs)
+    wide_pairs = met.join(one, "gid1").join(two, "gid2").where("root1 != root2 and (gid1 != gid2 or cid1 < cid2)")
+    wide_pairs = wide_pairs.select(F.least("cid1", "cid2").alias("a"), F.greatest("cid1", "cid2").alias("b")).distinct()
+    second = verified(save(narrowed(wide_pairs, members), "jaccard-pairs"), docs)
     return first.unionByName(second)
 
 
@@ -327,35 +360,41 @@ def join_similar(docs: DataFrame) -> DataFrame:
 
     Texts without words and null texts have no shingles and are linked with nothing;
     copies and repeated rows are of one class.  component_id is the least doc_id of
-    the component (null only if all of its are null); whole texts are compared, other columns are not
-    read, and an empty table gives an empty one.
+    the component (null only if all of its are null); whole texts are compared, however long, other columns are not
+    read, and an empty table gives an empty one.  Ties cannot arise: a link is a matter of two sets.
     """
     found = save(classify(docs), "jaccard-classes")
     rows = found.where("kind = 0").select("doc_id", "n", "cid", "text_hash")
-    classes = save(rows.where("n > 0").groupBy("cid").agg(F.first("n").alias("n"), F.min("doc_id").alias("least")), "jaccard-least")
-    frequent = found.where("kind = 1").groupBy("cid").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_FROM).orderBy(F.desc("n"), "cid").limit(FREQUENT)
+    classes = save(rows.where("n > 0").groupBy("cid").agg(F.first("n").alias("n"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")), "jaccard-least")
+    frequent = found.where("kind = 1").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_FROM).orderBy(F.desc("n"), "token").limit(FREQUENT)
     roots = components(similar_links(docs.select("doc_id", "text"), classes, frequent))
-    rooted = classes.join(roots, classes["cid"] == roots["node"], "left").select("cid", F.coalesce("root", "cid").alias("root"), "least")
-    merged = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("cid").alias("_cid"), "component_id", "root")
-    out = rows.join(merged, (F.col("n") > 0) & (F.col("cid") == F.col("_cid")), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root", "text_hash")
+    linked = save(classes.join(roots, classes["cid"] == roots["node"]).select("cid", "root", "least", "rows"), "jaccard-linked")
+    least = save(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("size")), "jaccard-components")
+    merged = by_group(linked.select("cid", "root"), least, "root", "size").select("cid", "component_id", "root")
+    alone = classes.join(roots, classes["cid"] == roots["node"], "left_anti").select("cid", F.col("least").alias("component_id"), F.col("cid").alias("root"))
+    named = save(merged.unionByName(alone).join(classes.select("cid", F.col("rows").alias("size")), "cid"), "jaccard-named")
+    worded = by_group(rows.where("n > 0"), named, "cid", "size").select("doc_id", "n", "component_id", "root", "text_hash")
+    without = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("root"), "text_hash")
+    return worded.unionByName(without).withColumnRenamed("n", "n_shingles")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """`docs` with one document of each component: the one of least doc_id (null last), of several texts with that doc_id the one of least hash, and of rows alike in both one.
 
-    Documents without words stay.
+    Documents without words stay, null and empty texts among them; texts of any length are compared whole; columns of
+    any name are kept; an empty table gives an empty one.
     """
     found = save(join_similar(docs), "jaccard-components")
     mark = F.struct(F.col("doc_id").isNull().alias("a"), "doc_id", "text_hash")
-    least = found.where("root is not null").groupBy("root").agg(F.min(mark).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("root").alias("_root"), "m")
-    grouped = found.join(least, F.col("root") == F.col("_root"))
+    least = save(found.where("root is not null").groupBy("root").agg(F.min(mark).alias("m"), F.count(F.lit(1)).alias("size")).where("size > 1"), "jaccard-marks")
+    grouped = by_group(found.where("root is not null").select("doc_id", "text_hash", "root"), least, "root", "size")
     own = mark == F.col("m")
-    key = lambda rows: rows.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    id_, hash_ = unused(docs, "same_id", "same_hash")
+    key = lambda rows: rows.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_))
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (wide_hash(F.col("text")) == F.col(hash_))
     kept = docs.join(key(grouped.where(~own)).distinct().hint("shuffle_hash"), same, "left_anti")
-    again = save(key(grouped.where(own)).groupBy("_id", "_hash").count().where("count > 1").select("_id", "_hash"), "jaccard-again")
+    again = save(key(grouped.where(own)).groupBy(id_, hash_).count().where("count > 1").select(id_, hash_), "jaccard-again")
     if again.isEmpty():
         return kept
-    once = kept.join(again, same, "left_semi").withColumn("_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_key"]).drop("_key")
+    once = kept.join(again, same, "left_semi").withColumn(hash_, wide_hash(F.col("text"))).dropDuplicates(["doc_id", hash_]).drop(hash_)
     return kept.join(again, same, "left_anti").unionByName(once)

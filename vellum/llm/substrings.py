@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ship
-from .base import arrow_map, by_part, dealt, in_bitmap, key_bitmap, save
+from .base import arrow_map, bitmap_bits, by_part, dealt, in_bitmap, key_bitmap, save
 from .textvec import SPACED, Texts, Words, mix
 
 ship(__name__)
@@ -31,11 +31,9 @@ WINDOW, GRAM = 20, 8
 #: Anchors or passages put together in a task before they are packed.
 HELD_ANCHORS, HELD_PASSAGES = 2_000_000, 150_000
 #: Anchors of a part of the shuffle, bytes of text that have one, and parts at least.
-PART, ANCHOR_BYTES, PARTS = 1_500_000, 40, 64
+PART, ANCHOR_BYTES, PARTS = 1_000_000, 40, 64
 #: Sightings from which an anchor's windows become shards of their own, so that no shard holds what a large part of the documents shares.
 COMMON = 500
-#: Bits of the filters for repeated anchors, common ones, and documents with spans; all may be set in vain.
-REPEATED_BITS, COMMON_BITS, SPAN_BITS = 1 << 26, 1 << 23, 1 << 25
 LAST = np.iinfo(np.int64).max
 
 ANCHOR = np.dtype([("anchor", "<i8"), ("count", "<u2")])
@@ -176,12 +174,23 @@ def repeated_anchors(docs: DataFrame, parts: int) -> DataFrame:
     return arrow_map(dealt(arrow_map(docs.select("text"), find, "part int, entries binary"), parts), count, "anchor long, count long")
 
 
-def packed_passages(docs: DataFrame, repeated: np.ndarray, common: np.ndarray, parts: int) -> DataFrame:
+class Filter:
+    """A broadcast bitmap of bounded size of the long `keys` of a written table."""
+
+    def __init__(self, keys: DataFrame, name: str):
+        self.bits = bitmap_bits(keys.count())
+        self.sent = keys.sparkSession.sparkContext.broadcast(key_bitmap(F.col(name), keys, self.bits))
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        return in_bitmap(self.sent.value, keys, self.bits)
+
+
+def packed_passages(docs: DataFrame, repeated: Filter, common: Filter, parts: int) -> DataFrame:
     """part, passages, words, spans: passages of repeated anchors for their shards; spans of those that the same task has earlier.
 
-    `docs` has doc (long), hash (of the text) and text.
+    `docs` has doc (long), hash (of the text) and text.  A passage is named by its shard, which comes of the words' first hashes, and
+    by a hash of their second ones, 128 bits in all; its words go along as 64 bits each.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((repeated, common))
 
     def flush(heads, tails, at):
         head, tail = np.concatenate(heads), np.concatenate(tails)
@@ -213,14 +222,13 @@ def packed_passages(docs: DataFrame, repeated: np.ndarray, common: np.ndarray, p
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["part", "passages", "words", "spans"])
 
     def run(batches):
-        repeated, common = sent.value
         heads, tails, held, at = [], [], 0, 0
         for batch in batches:
             ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for lo, words, (text, anchor, start, n) in anchored(batch.column(2)):
-                hit = in_bitmap(repeated, anchor, REPEATED_BITS)
+                hit = repeated.has(anchor)
                 text, anchor, start, n = text[hit], anchor[hit], start[hit], n[hit]
-                wide = in_bitmap(common, anchor, COMMON_BITS)
+                wide = common.has(anchor)
                 # Each window of a common anchor is a passage, and a shard, of its own.
                 single = np.where(wide, n, 1)
                 offset = np.arange(single.sum()) - np.repeat(np.cumsum(single) - single, single)
@@ -229,13 +237,13 @@ def packed_passages(docs: DataFrame, repeated: np.ndarray, common: np.ndarray, p
                 length = np.where(wide, WINDOW, np.repeat(n, single) + WINDOW - 1)
                 if not len(start):
                     continue
-                small = words.hashes.astype(np.uint32)
                 begin = np.cumsum(length) - length
                 place = np.arange(length.sum()) - np.repeat(begin, length)
-                tail = small[np.repeat(start, length) + place]
-                whole = mix(np.add.reduceat(mix(words.hashes[np.repeat(start, length) + place] + place.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)), begin)).view(np.int64)
+                index, turn = np.repeat(start, length) + place, place.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)
+                tail = words.hashes[index]
+                name = lambda hashes: mix(np.add.reduceat(mix(hashes + turn), begin)).view(np.int64)
                 head = np.empty(len(start), PASSAGE)
-                head["shard"], head["hash"] = np.where(wide, whole, anchor), whole
+                head["shard"], head["hash"] = np.where(wide, name(tail), anchor), name(words.second()[index])
                 head["doc"], head["text"] = ids[lo + text], hashes[lo + text]
                 head["start"], head["words"] = start - words.bounds[text], length
                 heads.append(head)
@@ -308,7 +316,7 @@ def repeated_spans(packed: DataFrame, parts: int) -> DataFrame:
                     yield rows(np.frombuffer(spans, SPAN))
                 else:
                     heads.append(np.frombuffer(passages, PASSAGE))
-                    tails.append(np.frombuffer(words, np.uint32))
+                    tails.append(np.frombuffer(words, np.uint64))
             if heads:
                 yield from of_part(np.concatenate(heads), np.concatenate(tails))
 
@@ -322,7 +330,7 @@ def repeated_spans(packed: DataFrame, parts: int) -> DataFrame:
             if b - a > 1:
                 h = head[order[a:b]]
                 index = np.concatenate([np.arange(s, s + k) for s, k in zip(begin[order[a:b]].tolist(), h["words"].tolist())]) if len(np.unique(h["hash"])) > 1 else None
-                found = shard_spans(h, tail[index] if index is not None else np.zeros(int(h["words"].sum()), np.uint32))
+                found = shard_spans(h, tail[index] if index is not None else np.zeros(int(h["words"].sum()), np.uint64))
                 if len(found):
                     out.append(found)
                     n += len(found)
@@ -359,13 +367,11 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     rows = docs.select(doc.alias("doc"), F.xxhash64("text").alias("hash"), "text")
     parts = max(PARTS, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (ANCHOR_BYTES * PART)))
     found = save(repeated_anchors(rows, parts), "substrings-anchors")
-    repeated = key_bitmap(F.col("anchor"), found, REPEATED_BITS)
-    common = key_bitmap(F.col("anchor"), found.where(F.col("count") >= COMMON), COMMON_BITS)
+    repeated, common = Filter(found, "anchor"), Filter(found.where(F.col("count") >= COMMON), "anchor")
     spans = save(repeated_spans(packed_passages(rows, repeated, common, parts), parts), "substrings-spans")
     # A document's spans are as many as its words at most.
     spans = spans.groupBy("doc", "text").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    marked = key_bitmap(F.col("text"), spans, SPAN_BITS)
-    sent = docs.sparkSession.sparkContext.broadcast(marked)
+    marked = Filter(save(spans.select("text"), "substrings-marked"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     shape = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
 
@@ -386,13 +392,13 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     def untouched(batches):
         for batch in batches:
-            mask = pa.array(~in_bitmap(sent.value, batch.column(1).to_numpy(), SPAN_BITS))
+            mask = pa.array(~marked.has(batch.column(1).to_numpy()))
             batch = batch.filter(mask)
             yield result(batch.column(0), batch.column(2).cast(pa.binary()).to_pylist(), [()] * batch.num_rows)
 
     def touched(batches):
         for batch in batches:
-            yield batch.filter(pa.array(in_bitmap(sent.value, batch.column(1).to_numpy(), SPAN_BITS)))
+            yield batch.filter(pa.array(marked.has(batch.column(1).to_numpy())))
 
     def cut(batches):
         for batch in batches:

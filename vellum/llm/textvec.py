@@ -1,4 +1,7 @@
-"""Words and word n-grams of many texts at a time, as 64-bit hashes in numpy arrays."""
+"""Words and word n-grams of many texts at a time, as hashes in numpy arrays.
+
+Hashes of 64 bits find candidates; what decides that two texts are the same has two of them, 128 bits.
+"""
 
 from __future__ import annotations
 
@@ -71,19 +74,36 @@ class Words:
         if not len(self.starts):
             self.hashes = np.zeros(0, np.uint64)
             return
+        self._folded = fold[data[inside]]
+        self.hashes = self._hash(self._folded, 0)
+
+    def _hash(self, folded: np.ndarray, lane: int) -> np.ndarray:
+        """A 64-bit hash of each word: its blocks of 8 bytes are mixed one by one before they are added up, each with numbers of its own place.
+
+        Words of up to 8 bytes and equal length surely differ in their hashes if they differ.
+        """
         lengths = self.ends - self.starts
+        blocks = (lengths + 7) >> 3
+        first = np.cumsum(blocks) - blocks
+        padded = np.zeros(int(blocks.sum()) * 8, np.uint8)
         begin = np.cumsum(lengths) - lengths
-        place = np.arange(lengths.sum()) - np.repeat(begin, lengths)
-        values = constants(256, 7)[fold][data[inside]] * powers(int(lengths.max()))[place]
-        self.hashes = mix(np.add.reduceat(values, begin) + lengths.astype(np.uint64))
+        padded[np.arange(len(folded)) + np.repeat(first * 8 - begin, lengths)] = folded
+        place = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+        longest = int(blocks.max())
+        mixed = mix(padded.view("<u8") + fixed(longest, 21 + lane)[place]) * fixed(longest, 31 + lane)[place]
+        return mix(np.add.reduceat(mixed, first) + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def second(self) -> np.ndarray:
+        """Hashes of the words that do not depend on the first ones, so both together are 128 bits."""
+        return self._hash(self._folded, 1) if len(self.starts) else self.hashes
 
-    def grams(self, k: int, whole_if_short: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    def grams(self, k: int, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of k consecutive words, text by text, and where each text's begin (one entry more than texts).
 
-        A text of fewer words, but not none, is one gram as a whole if `whole_if_short`.
+        A text of fewer words, but not none, is one gram as a whole.  `hashes` are those of the words, the first ones if not given.
         """
         counts = np.diff(self.bounds)
-        h, factor = self.hashes, constants(k, 11)
+        h, factor = self.hashes if hashes is None else hashes, constants(k, 11)
         if len(h) >= k:
             total = np.zeros(len(h) - k + 1, np.uint64)
             for j in range(k):
@@ -91,7 +111,7 @@ class Words:
             total = mix(total)
         else:
             total = np.zeros(0, np.uint64)
-        short = (counts > 0) & (counts < k) & whole_if_short
+        short = (counts > 0) & (counts < k)
         n = np.maximum(counts - k + 1, 0) + short
         bounds = np.concatenate([[0], np.cumsum(n)])
         index = np.arange(bounds[-1]) + np.repeat(self.bounds[:-1] - bounds[:-1], n)
@@ -104,16 +124,23 @@ class Words:
         return out, bounds
 
 
-_powers = np.ones(1, np.uint64)
+_fixed: dict[int, np.ndarray] = {}
+
+
+def fixed(n: int, stream: int) -> np.ndarray:
+    """At least n constants(), kept for the next call."""
+    if len(_fixed.get(stream, ())) < n:
+        _fixed[stream] = constants(max(n, 256), stream * 0x1000003)
+    return _fixed[stream]
+
+
+def wide(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Two arrays of 64-bit numbers as one of 16 bytes each."""
+    return np.stack([first.view(np.uint64), second.view(np.uint64)], axis=1).astype("<u8").view("V16").ravel()
 
 
-def powers(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        step = np.full(max(n, 256), np.uint64(0x9E3779B97F4A7C15) | np.uint64(1))
-        step[0] = 1
-        _powers = np.cumprod(step, dtype=np.uint64)
-    return _powers
+def wide_array(ids: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(16), len(ids), [None, pa.py_buffer(np.ascontiguousarray(ids).tobytes())]).cast(pa.binary())
 
 
 def distinct_in_rows(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
