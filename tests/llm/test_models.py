@@ -124,3 +124,26 @@ def test_components(spark):
     found = {r.node: r.root for r in graph.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(31)} | {100: 100, 101: 100, 102: 100}
     assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_labels_of_any_type(spark):
+    rows = [(1, [1.0, 2.0, 3.0], 0.2), (2, [1.0, 2.0, 3.0], 0.7), (3, [2.0, 4.0, 6.0], 0.2), (4, [1.0, 2.0, 3.0], 0.0), (5, [1.0, 2.0, 3.0], -0.0)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label double")
+    want = [(1, 1, 1, True), (2, 0, 2, True), (3, 1, 1, False), (4, 1, 4, True), (5, 1, 4, False)]
+    assert got(vectors.near_duplicates(table)) == want
+    named = table.selectExpr("vec_id", "embedding", "concat('label ', abs(label)) as label")
+    assert got(vectors.near_duplicates(named)) == want
+
+
+def test_more_rotations_keep_the_recall():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(500, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    aside = rng.normal(size=x.shape)
+    aside -= (aside * x).sum(axis=1, keepdims=True) * x
+    y = 0.98 * x + np.sqrt(1 - 0.98**2) * aside / np.linalg.norm(aside, axis=1, keepdims=True)  # the least alike that count
+    for turns in vectors.TABLES:
+        a, b = vectors.codes(x, turns), vectors.codes(y, turns)
+        found = np.any([vectors.met(a[:, t], b[:, t]) for t in range(a.shape[1])], axis=0)
+        assert found.mean() >= 0.95
+    assert [vectors.rotations(n, 64) for n in (100, 10_000, 10**6, 10**9, 10**12)] == [2, 3, 4, 5, 6]

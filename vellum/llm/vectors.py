@@ -1,8 +1,9 @@
 """Embedding near-duplicates: cross-polytope hashing after fast Hadamard rotations.
 
 A rotation is three rounds of random signs and a fast Walsh-Hadamard transform; the hash is
-the axis, with its sign, that the rotated vector is nearest to.  Two rotations
-give a bucket of a table, and the next best axes give further buckets to probe.
+the axis, with its sign, that the rotated vector is nearest to.  Some rotations together
+give a bucket of a table, and the next best axes give further buckets to probe.  There are as many rotations as it takes
+for the buckets to outnumber the vectors, so vectors that are not alike rarely meet, at any size of the table.
 Vectors that meet in a bucket are compared exactly, and each pair is counted in the first table in which
 it meets.  Equal vectors are one class with a weight.  A large bucket is cut into blocks, and
 every two blocks are compared in a task of their own: no pair is dropped and none is
@@ -12,24 +13,30 @@ emitted, only sums for each vector and the links that hold a block together.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ship
-from .base import arrow_map, in_bitmap, key_bitmap, save
+from .base import arrow_map, bitmap_bits, by_group, in_bitmap, key_bitmap, save, wide_hash
 from .graph import components
 from .textvec import mix
 
 ship(__name__)
 
 COSINE = 0.98
-#: Tables, rotations of a table, and further buckets that a vector probes in each table.
-TABLES, ROTATIONS, PROBES = 4, 2, 4
-#: Vectors of a block of a large bucket, rows compared at a time, bits of the filter for buckets that several vectors share.
-BLOCK, ROWS, BUCKET_BITS = 2048, 256, 1 << 25
+#: Tables by number of rotations (more where a single one hits more rarely), and further buckets that a vector probes in each table.
+TABLES, PROBES = {2: 4, 3: 4, 4: 4, 5: 6, 6: 8}, 4
+#: Buckets of a table for each vector at least, as far as rotations go.
+ROOM = 32
+#: Vectors of a block of a large bucket, rows compared at a time.
+BLOCK, ROWS = 2048, 256
+#: The next axes of a rotation that are tried, and the rotations in which a probe may differ.
+DEEP, SWAPS = 3, 2
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -50,32 +57,34 @@ def rotate(x: np.ndarray, stream: int) -> np.ndarray:
     return x
 
 
-def codes(x: np.ndarray) -> np.ndarray:
-    """For each unit vector and table its bucket and the buckets to probe, best first: int32 of shape (n, TABLES, 1 + PROBES)."""
+def rotations(vectors: int, d: int) -> int:
+    """The least number of rotations that gives ROOM buckets a vector."""
+    axes = 2 << max(1, (d - 1).bit_length())
+    return next((k for k in TABLES if axes**k >= ROOM * vectors), max(TABLES))
+
+
+def codes(x: np.ndarray, turns: int) -> np.ndarray:
+    """For each unit vector and table its bucket and the buckets to probe, best first: int64 of shape (n, tables, 1 + PROBES); -1 where there are no more."""
     n, d = x.shape
     width = 1 << max(1, (d - 1).bit_length())
     padded = np.zeros((n, width))
     padded[:, :d] = x
-    out = np.empty((n, TABLES, 1 + PROBES), np.int32)
-    rows = np.arange(n)
-    deep = min(3, width)
-    for t in range(TABLES):
-        axes, losses = [], []
-        for r in range(ROTATIONS):
-            y = rotate(padded, t * ROTATIONS + r)
+    out = np.full((n, TABLES[turns], 1 + PROBES), -1, np.int64)
+    rows = np.arange(n)[:, None]
+    deep = min(DEEP, width)
+    choices = np.array([c for c in product(range(deep), repeat=turns) if sum(map(bool, c)) <= SWAPS])
+    for t in range(TABLES[turns]):
+        loss, code = np.zeros((n, len(choices))), np.zeros((n, len(choices)), np.uint64)
+        for r in range(turns):
+            y = rotate(padded, t * turns + r)
             size = np.abs(y)
             near = np.argpartition(-size, deep - 1, axis=1)[:, :deep]
-            near = near[rows[:, None], np.argsort(-size[rows[:, None], near], axis=1, kind="stable")]
-            top = size[rows[:, None], near]
-            axes.append(2 * near + (y[rows[:, None], near] < 0))
-            losses.append((top[:, :1] - top) / top[:, :1])
-        pairs = [(i, j) for i in range(deep) for j in range(deep)]
-        loss = np.stack([losses[0][:, i] + losses[1][:, j] for i, j in pairs], axis=1)
-        code = np.stack([axes[0][:, i] * 2 * width + axes[1][:, j] for i, j in pairs], axis=1)
+            near = near[rows, np.argsort(-size[rows, near], axis=1, kind="stable")]
+            top = size[rows, near]
+            loss += (((top[:, :1] - top) / top[:, :1]) ** 2)[:, choices[:, r]]
+            code = mix(code + (2 * near + (y[rows, near] < 0)).astype(np.uint64)[:, choices[:, r]] + np.uint64(1))
         best = np.argsort(loss, axis=1, kind="stable")[:, : 1 + PROBES]
-        found = code[rows[:, None], best]
-        out[:, t, : found.shape[1]] = found
-        out[:, t, found.shape[1] :] = found[:, :1]
+        out[:, t, : best.shape[1]] = (code[rows, best] >> np.uint64(1)).astype(np.int64)
     return out
 
 
@@ -85,33 +94,44 @@ def usable(embedding) -> F.Column:
     return embedding.isNotNull() & F.coalesce(fine, F.lit(False)) & F.exists(embedding, lambda x: x != 0)
 
 
-def units(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+def units(raw: list[bytes], kind: str = "<f8") -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def coded(classes: DataFrame) -> DataFrame:
-    """node, label, weight, embedding -> node, weight, vector (bytes), codes (bytes), buckets."""
+def coded(classes: DataFrame, total: int) -> DataFrame:
+    """node, label, weight, embedding -> node, label, weight, vector (bytes), codes (bytes), buckets (null where the vector has the bucket already)."""
+    kind = element(classes)
 
     def run(batches):
         for batch in batches:
-            vectors = [np.array(v, np.float64) for v in batch.column(3).to_pylist()]
+            column = batch.column(3)
+            ends = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+            values = column.flatten().to_numpy()
             labels = batch.column(1).to_pylist()
-            made, buckets = [b""] * len(vectors), [None] * len(vectors)
-            for d in sorted({len(v) for v in vectors}):
-                rows = [i for i, v in enumerate(vectors) if len(v) == d]
-                c = codes(units([vectors[i].tobytes() for i in rows]))
-                where = np.array([labels[i] for i in rows], np.int64).astype(np.uint64)
-                salt = mix(where[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(d * TABLES) + np.arange(TABLES, dtype=np.uint64)[None, :])
-                keys = mix(c.astype(np.int64).astype(np.uint64) + salt[:, :, None]).view(np.int64).reshape(len(rows), -1)
-                for i, own, key in zip(rows, c, keys):
-                    made[i], buckets[i] = own.tobytes(), key
+            n = batch.num_rows
+            vectors, made, buckets = [values[a:b].astype(kind).tobytes() for a, b in zip(ends[:-1], ends[1:])], [b""] * n, [None] * n
+            lengths = np.diff(ends)
+            for d in np.unique(lengths).tolist():
+                rows = np.flatnonzero(lengths == d)
+                c = codes(units([vectors[i] for i in rows], kind), rotations(total, d))
+                where = np.array([xxhash.xxh3_64_intdigest(labels[i]) for i in rows], np.uint64)
+                salt = mix(mix(where + np.uint64(d))[:, None] + np.arange(c.shape[1], dtype=np.uint64)[None, :])
+                keys = mix(c.view(np.uint64) + salt[:, :, None]).view(np.int64).reshape(len(rows), -1)
+                missing = c.reshape(len(rows), -1) < 0
+                for i, own, key, none in zip(rows.tolist(), c, keys.tolist(), missing.tolist()):
+                    made[i], buckets[i] = own.tobytes(), [None if x else k for k, x in zip(key, none)]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(2), pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array(made, pa.binary()),
-                pa.array(buckets, pa.list_(pa.int64()))], names=["node", "weight", "vector", "codes", "buckets"])
+                *batch.columns[:3], pa.array(vectors, pa.binary()), pa.array(made, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))],
+                names=["node", "label", "weight", "vector", "codes", "buckets"])
+
+    return arrow_map(classes, run, "node binary, label string, weight long, vector binary, codes binary, buckets array<long>")
+
 
-    return arrow_map(classes, run, "node long, weight long, vector binary, codes binary, buckets array<long>")
+def element(rows: DataFrame) -> str:
+    """The numpy type of the components: float where the column has floats, which lose nothing by that."""
+    return "<f4" if rows.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
 
 
 def met(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -135,10 +155,10 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
     return node, label[node]
 
 
-def compare(nodes, weights, vectors, all_codes, primary, side, table: int, cosine: float) -> Iterator[tuple[np.ndarray, ...]]:
-    """(a, b, kind) rows of one bucket, or of two of its blocks where `side` holds 1 and 2: sums (kind 0: a has b links) and links (kind 1)."""
-    x = units(vectors)
-    c = np.frombuffer(b"".join(all_codes), np.int32).reshape(len(nodes), TABLES, -1)
+def compare(nodes, weights, vectors, all_codes, primary, side, table: int, cosine: float, kind: str) -> Iterator[tuple]:
+    """(a, b, n) rows of one bucket, or of two of its blocks where `side` holds 1 and 2: n more links of a (b null), and pairs a, b that hang together (n null)."""
+    x = units(vectors, kind)
+    c = np.frombuffer(b"".join(all_codes), np.int64).reshape(len(nodes), -1, 1 + PROBES)
     home = c[:, table, 0]
     sums = np.zeros(len(nodes), np.int64)
     links_i, links_j = [], []
@@ -157,7 +177,7 @@ def compare(nodes, weights, vectors, all_codes, primary, side, table: int, cosin
         both = primary[i] & primary[j]
         mutual = ~both & (c[i, table, 1:] == home[j][:, None]).any(axis=1) & (c[j, table, 1:] == home[i][:, None]).any(axis=1)
         here = np.where(primary[i], home[i], home[j])
-        keep = ~mutual | (here == np.minimum(home[i], home[j]))
+        keep = (~mutual | (here == np.minimum(home[i], home[j]))) & met(c[i, table], c[j, table])
         for earlier in range(table):
             keep &= ~met(c[i, earlier], c[j, earlier])
         i, j = i[keep], j[keep]
@@ -168,38 +188,44 @@ def compare(nodes, weights, vectors, all_codes, primary, side, table: int, cosin
             links_i.append(a)
             links_j.append(b)
     some = np.flatnonzero(sums)
-    yield nodes[some], sums[some], np.zeros(len(some), np.int32)
+    yield [nodes[i] for i in some], [None] * len(some), sums[some].tolist()
     if links_i:
         a, b = forest(np.concatenate(links_i), np.concatenate(links_j), len(nodes))
-        yield nodes[a], nodes[b], np.ones(len(a), np.int32)
+        yield [nodes[i] for i in a], [nodes[i] for i in b], [None] * len(a)
 
 
-def bucket_links(found: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """a, b, kind of coded() vectors: kind 0, a has b links more; kind 1, a and b hang together."""
-    size = F.size("buckets")
-    slots = found.select("node", F.posexplode("buckets").alias("slot", "bucket")).dropDuplicates(["node", "bucket"])
-    counts = save(slots.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "vectors-buckets")
-    sent = found.sparkSession.sparkContext.broadcast(key_bitmap(F.col("bucket"), counts, BUCKET_BITS))
+def bucket_links(found: DataFrame, kind: str, cosine: float = COSINE) -> DataFrame:
+    """a, b, n of coded() vectors: a has n links more where b is null, and a and b hang together where it is not."""
     width = 1 + PROBES
+    slots = found.select(F.posexplode("buckets").alias("slot", "bucket")).where("bucket is not null")
+    counts = slots.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("slot") % width == 0).cast("int")).alias("home"))
+    # A bucket that nobody has as its first brings no two vectors together.
+    counts = save(counts.where("n > 1 and home = 1"), "vectors-buckets")
+    bits = bitmap_bits(counts.count())
+    sent = found.sparkSession.sparkContext.broadcast(key_bitmap(F.col("bucket"), counts, bits))
 
     def spread(batches):
         for batch in batches:
-            keys = batch.column(4).flatten().to_numpy().reshape(batch.num_rows, -1)
-            hit = in_bitmap(sent.value, keys.ravel(), BUCKET_BITS).reshape(keys.shape)
-            for slot in range(1, keys.shape[1]):  # a bucket that a vector has already is not probed again
-                hit[:, slot] &= ~(keys[:, :slot] == keys[:, slot : slot + 1]).any(axis=1)
-            row, slot = np.nonzero(hit)
+            row, slot, key = [], [], []
+            lengths = batch.column(5).value_lengths().to_numpy()
+            flat = batch.column(5).flatten()
+            held = flat.is_valid().to_numpy(zero_copy_only=False)
+            keys = flat.fill_null(0).to_numpy()
+            hit = np.flatnonzero(held & in_bitmap(sent.value, keys, bits))
+            begin = np.cumsum(lengths) - lengths
+            row = np.repeat(np.arange(len(lengths)), lengths)[hit]
+            slot, key = hit - begin[row], keys[hit]
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([
-                pa.array(keys[row, slot]), pa.array((slot // width).astype(np.int32)), pa.array(slot % width == 0), *(batch.column(i).take(take) for i in range(4))],
-                names=["bucket", "tab", "home", "node", "weight", "vector", "codes"])
+                pa.array(key), pa.array((slot // width).astype(np.int32)), pa.array(slot % width == 0), *(batch.column(i).take(take) for i in range(5))],
+                names=["bucket", "tab", "home", "node", "label", "weight", "vector", "codes"])
 
-    rows = arrow_map(found, spread, "bucket long, tab int, home boolean, node long, weight long, vector binary, codes binary")
+    rows = arrow_map(found, spread, "bucket long, tab int, home boolean, node binary, label string, weight long, vector binary, codes binary")
     large = counts.where(F.col("n") > BLOCK).select(F.col("bucket").alias("_bucket"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rows = rows.join(large, F.col("bucket") == F.col("_bucket"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "tab", "home", "node", "weight", "vector", "codes")
+    rows = rows.select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "tab", F.length("vector").alias("d"), "label", "own", "home", "node", "weight", "vector", "codes")
 
     def run(batches):
         key, held = None, []
@@ -210,11 +236,12 @@ def bucket_links(found: DataFrame, cosine: float = COSINE) -> DataFrame:
             part = pa.Table.from_batches(held)
             column = lambda name: part.column(name).to_numpy()
             side = (column("own") == key[1]).astype(np.int8) if key[1] != key[2] else np.zeros(part.num_rows, np.int8)
-            for a, b, kind in compare(column("node"), column("weight"), part.column("vector").to_pylist(), part.column("codes").to_pylist(), column("home"), side, part.column("tab")[0].as_py(), cosine):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(kind)], names=["a", "b", "kind"])
+            vectors, bodies, nodes = (part.column(name).to_pylist() for name in ("vector", "codes", "node"))
+            for a, b, n in compare(nodes, column("weight"), vectors, bodies, column("home"), side, key[3], cosine, kind):
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(n, pa.int64())], names=["a", "b", "n"])
 
         for batch in batches:
-            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(6))))
             at = 0
             for i in range(1, len(keys) + 1):
                 if i == len(keys) or keys[i] != keys[at]:
@@ -225,36 +252,54 @@ def bucket_links(found: DataFrame, cosine: float = COSINE) -> DataFrame:
                     at = i
         yield from done()
 
-    ordered = rows.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
-    return arrow_map(ordered, run, "a long, b long, kind int")
+    # The whole key is compared, so buckets whose numbers are equal by chance stay apart.
+    ordered = rows.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "tab", "d", "label")
+    return arrow_map(ordered, run, "a binary, b binary, n long")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """One row per row of `vectors` (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
-    Only vectors of equal labels and lengths are compared.  Those with a null label,
+    Only vectors of equal labels, of any type, and lengths are compared.  Those with a null label,
     and null, empty or zero vectors or any with null or non-finite components, have no links and are components of their own.
-    Equal vectors, repeated rows among them, are linked with each other.
-    component_id is the least vec_id (null only if all are null).  Other columns are not read; an empty
+    Equal vectors, repeated rows among them, are linked with each other; ties cannot arise.
+    component_id is the least vec_id (null only if all are null).  Vectors are compared whole, however long; other columns are not read; an empty
     table gives an empty one.  Pairs that meet in no table are missed; the tests measure how few.
     """
-    value = F.col("embedding").cast("array<double>")
-    rows = vectors.select("vec_id", F.col("label").cast("long").alias("label"), value.alias("embedding"))
+    single = vectors.schema["embedding"].dataType.elementType.typeName() == "float"
+    value = F.col("embedding") if single else F.col("embedding").cast("array<double>")
+    zero = F.lit(0.0).cast("float" if single else "double")
+    label = label_text(vectors)
+    rows = vectors.select("vec_id", label.alias("label"), value.alias("embedding"))
     rows = rows.withColumn("ok", usable(F.col("embedding")) & F.col("label").isNotNull())
-    flat = F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))  # -0.0 is 0.0
-    rows = rows.withColumn("node", F.when(F.col("ok"), F.xxhash64("label", flat)))
+    flat = F.transform("embedding", lambda x: F.when(x == 0, zero).otherwise(x))  # -0.0 is 0.0
+    rows = rows.withColumn("node", F.when(F.col("ok"), wide_hash(F.col("label"), flat)))
     slim = save(rows.select("vec_id", "node"), "vectors-nodes")
     good = rows.where("ok").select("node", "vec_id", "label", "embedding")
-    classes = slim.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight"))
-    reps = good.join(classes.select(F.col("node").alias("_node"), "least", "weight"), (F.col("node") == F.col("_node")) & F.col("vec_id").eqNullSafe(F.col("least")))
-    found = save(coded(reps.dropDuplicates(["node"]).select("node", "label", "weight", "embedding")), "vectors-coded")
-    links = save(bucket_links(found, cosine), "vectors-links")
-    sums = links.where("kind = 0").groupBy(F.col("a").alias("_node")).agg(F.sum("b").alias("others"))
-    roots = components(links.where("kind = 1").select("a", "b"))
-    rooted = classes.join(roots, classes["node"] == roots["node"], "left").select(classes["node"], "least", "weight", F.coalesce("root", classes["node"]).alias("root"))
-    least = rooted.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("component_id"))
-    table = rooted.join(least, F.col("root") == F.col("_root")).join(sums, F.col("node") == F.col("_node"), "left").select(
-        F.col("node").alias("_class"), (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
-    out = slim.join(table, F.col("node") == F.col("_class"), "left")
-    component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    classes = save(slim.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight")), "vectors-classes")
+    first = classes.select(F.col("node").alias("_node"), F.col("least").alias("_least"), "weight")
+    reps = good.join(first, (F.col("node") == F.col("_node")) & F.col("vec_id").eqNullSafe(F.col("_least")))
+    found = save(coded(reps.dropDuplicates(["node"]).select("node", "label", "weight", "embedding"), classes.count()), "vectors-coded")
+    links = save(bucket_links(found, element(rows), cosine), "vectors-links")
+    sums = links.where("b is null").groupBy(F.col("a").alias("_node")).agg(F.sum("n").alias("others"))
+    roots = components(links.where("b is not null").select("a", "b"))
+    linked = save(classes.join(roots, "node").select("node", "least", "root"), "vectors-linked")
+    least = save(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("size")), "vectors-components")
+    placed = by_group(linked.select("node", "root"), least, "root", "size").select("node", "component_id")
+    alone = classes.join(roots, "node", "left_anti").select("node", F.col("least").alias("component_id"))
+    table = placed.unionByName(alone).join(classes.select("node", "weight"), "node").join(sums, F.col("node") == F.col("_node"), "left")
+    table = save(table.select("node", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id", "weight"), "vectors-table")
+    joined = by_group(slim.where("node is not null"), table, "node", "weight").select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    without = slim.where("node is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = joined.unionByName(without)
+    return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def label_text(vectors: DataFrame) -> Column:
+    """The label as text, equal where the labels are."""
+    kind, label = vectors.schema["label"].dataType.typeName(), F.col("label")
+    if kind in ("float", "double"):
+        return F.when(label == 0, F.lit("0.0")).otherwise(label.cast("string"))  # -0.0 is 0.0
+    if kind == "binary":
+        return F.hex(label)
+    return F.to_json(F.struct("label")) if kind in ("struct", "array", "map", "variant") else label.cast("string")
