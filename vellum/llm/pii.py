@@ -13,30 +13,31 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ship
-from .base import arrow_map, save
+from .base import Filter, arrow_map, save, unused, wide_hash
 
 ship(__name__)
 
 #: Fixed patterns of the contract.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+IP = r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: What stands before and after the @ of an address, and IP for runs of digits as wholes: with these no stretch of text is read again and again.
+BEFORE_AT, AFTER_AT = re.compile(r"[A-Za-z0-9._%+-]*"), re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+WHOLE_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Words on either side of an entity that count as near it, and letters that a term has at least.
 NEAR, TERM_LETTERS = 8, 4
 #: Different contexts that a term and an entity share at least, and the share of the entity's information from which a term discloses it.
 SUPPORT, DISCLOSED = 3, 0.8
-#: Bits of the filters that spare work on terms and entities which are no candidates; further terms are counted in vain at worst.
-FILTER_BITS = 1 << 25
 TERM = re.compile(r"[^\W\d_]{%d,}" % TERM_LETTERS)
 
 
@@ -50,12 +51,33 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """The matches of EMAIL, found from each @ outwards.
+
+    Address characters are no @, so a match begins with the first of them after the @ or the match before, and that
+    is as far to the left as any match of this @ begins.
+    """
+    at, low = text.find("@"), 0
+    while at >= 0:
+        after = AFTER_AT.match(text, at + 1)
+        if after:
+            back = text[low:at][::-1]
+            start = at - BEFORE_AT.match(back).end()
+            if start < at:
+                yield start, after.end()
+                low = after.end()
+                at = text.find("@", low)
+                continue
+        low = max(low, at + 1)
+        at = text.find("@", at + 1)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the matches that pass, in order."""
     found = []
     if "@" in text:
-        found += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
-    for m in IP.finditer(text):
+        found += [(start, 0, end) for start, end in addresses(text)]
+    for m in WHOLE_IP.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split(".")):
             found.append((m.start(), 1, m.end()))
     for m in CARD.finditer(text):
@@ -126,26 +148,15 @@ def detect(docs: DataFrame) -> DataFrame:
                 entities.append([{"entity": e, "key": digest(e), "contexts": len(c)} for e, c in contexts.items()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.int32())), pa.array(entities, pa.list_(tuples))], names=["doc_id", "hash", "spans", "entities"])
 
-    return arrow_map(docs, run, f"doc_id {kind}, hash long, spans array<int>, entities array<struct<entity:string,key:bigint,contexts:bigint>>")
+    return arrow_map(docs, run, f"doc_id {kind}, hash binary, spans array<int>, entities array<struct<entity:string,key:bigint,contexts:bigint>>")
 
 
-def term_filter(terms: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bitmap of bits / 8 bytes, whatever the number of terms, with a bit for each term."""
-    bit = F.pmod("term", F.lit(bits)) + 1
-    parts = terms.select(F.bitmap_bucket_number(bit).alias("part"), F.bitmap_bit_position(bit).alias("at")).groupBy("part").agg(F.bitmap_construct_agg("at").alias("map")).collect()
-    out = np.zeros(bits // 8, np.uint8)
-    for row in parts:
-        lo = (row["part"] - 1) * 4096
-        out[lo : lo + 4096] = np.frombuffer(row["map"], np.uint8)
-    return out
-
-
-def document_counts(docs: DataFrame, terms: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """term, n_docs over all of `docs` (doc_id, hash, text), counted in each task before the shuffle, for terms in the filter."""
-    sent = docs.sparkSession.sparkContext.broadcast(term_filter(terms, bits))
+    wanted = Filter(terms, "term")
 
     def run(batches):
-        filter_, known, counts = sent.value, {}, Counter()
+        known, counts = {}, Counter()
         for batch in batches:
             for value in batch.column(2).cast(pa.binary()):
                 own = set()  # a term counts once, however it is written
@@ -153,8 +164,7 @@ def document_counts(docs: DataFrame, terms: DataFrame, bits: int = FILTER_BITS)
                     term = known.get(word)
                     if term is None:
                         term = term_id(word)
-                        at = term % bits
-                        if not filter_[at >> 3] >> (at & 7) & 1:
+                        if not wanted.has_one(term):
                             term = 0
                         if len(known) < 500_000:
                             known[word] = term
@@ -169,13 +179,13 @@ def document_counts(docs: DataFrame, terms: DataFrame, bits: int = FILTER_BITS)
     return arrow_map(docs, run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_docs"))
 
 
-def shared_contexts(docs: DataFrame, strong: DataFrame, support: int, bits: int = FILTER_BITS, held: int = 200_000) -> DataFrame:
+def shared_contexts(docs: DataFrame, strong: DataFrame, support: int, held: int = 200_000) -> DataFrame:
     """entity, term, contexts, n_both: documents that hold both, anywhere, for the entities (entity, key) of `strong`.
 
     A term near an entity has the words around the entity as contexts, one that stands
     further off those around the two of them.  Counts above `support` are not exact.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(term_filter(strong.select(F.col("key").alias("term")), bits))
+    wanted = Filter(strong, "key")
 
     def listed_pairs(counts):
         names, terms = zip(*counts) if counts else ((), ())
@@ -183,15 +193,14 @@ def shared_contexts(docs: DataFrame, strong: DataFrame, support: int, bits: int
         return pa.RecordBatch.from_arrays(columns, names=["entity", "term", "n", "shared"])
 
     def run(batches):
-        filter_, counts = sent.value, {}
+        counts = {}
         for batch in batches:
             for value in batch.column(2).cast(pa.binary()):
                 text = decoded(value)
                 spans = base_spans(text)
                 own, close = {}, defaultdict(set)
                 for name, context, terms in windows(text, spans):
-                    at = digest(name) % bits
-                    if filter_[at >> 3] >> (at & 7) & 1:
+                    if wanted.has_one(digest(name)):
                         own[name] = min(own.get(name, context), context)
                         for term in terms:
                             close[name, term].add(context)
@@ -229,19 +238,19 @@ def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, disclo
     joint = shared_contexts(docs, strong, support).where(F.col("contexts") >= support)
     joint = save(joint.join(strong.select("entity", "n_entity"), "entity"), "pii-joint")
     n = float(max(docs.count(), 1))
-    rows = joint.join(document_counts(docs, joint.select("term").distinct()), "term")
+    rows = joint.join(document_counts(docs, joint.select("term")), "term")
     information = -F.log(F.col("n_entity") / n)
     mutual = F.log(F.col("n_both") * n / (F.greatest("n_docs", "n_both") * F.col("n_entity")))
     return rows.where(mutual >= disclosed * information).select("term").distinct()
 
 
-def occurrences(docs: DataFrame, terms: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, hash, start, end: all places of `terms` (term) in `docs` (doc_id, hash, text) that no match covers."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast(term_filter(terms, bits))
+    wanted = Filter(terms, "term")
 
     def run(batches):
-        filter_, known = sent.value, {}
+        known = {}
         for batch in batches:
             rows, out = [], []
             for row, value in enumerate(batch.column(2).cast(pa.binary())):
@@ -251,8 +260,7 @@ def occurrences(docs: DataFrame, terms: DataFrame, bits: int = FILTER_BITS) -> D
                     term = known.get(m[0])
                     if term is None:
                         term = term_id(m[0])
-                        at = term % bits
-                        if not filter_[at >> 3] >> (at & 7) & 1:
+                        if not wanted.has_one(term):
                             term = 0
                         if len(known) < 500_000:
                             known[m[0]] = term
@@ -267,32 +275,32 @@ def occurrences(docs: DataFrame, terms: DataFrame, bits: int = FILTER_BITS) -> D
             columns = [pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 3, (pa.int64(), pa.int32(), pa.int32()))]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(picked), batch.column(1).take(picked), *columns], names=["doc_id", "hash", "term", "start", "end"])
 
-    return arrow_map(docs, run, f"doc_id {kind}, hash long, term long, start int, end int").join(terms, "term", "left_semi").drop("term")
+    return arrow_map(docs, run, f"doc_id {kind}, hash binary, term long, start int, end int").join(terms, "term", "left_semi").drop("term")
 
 
 def find_personal_data(docs: DataFrame, support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
-    """One row per row of `docs` (doc_id, text): n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms.
+    """One row per row of `docs` (doc_id, text): n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms and text_hash.
 
-    Null texts are empty and have the sum of ""; spans are in code points.  Equal rows
-    are treated alike; other columns are not read; an empty table gives an empty one.
+    Null texts are empty and have the sum of ""; spans are in code points; those that begin together are in the order of KINDS.  Equal rows
+    are treated alike; long texts are read whole, in time that grows with their length; other columns are not read; an empty table gives an empty one.
     """
-    texts = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
+    texts = docs.select("doc_id", wide_hash(F.col("text")).alias("hash"), "text")
     found = save(detect(texts), "pii")
     terms = save(disclosing(texts, found, support, disclosed), "pii-terms")
     if terms.isEmpty():
-        rows = found.select("doc_id", "spans", F.array().cast("array<int>").alias("extra"))
+        rows = found.select("doc_id", "hash", "spans", F.array().cast("array<int>").alias("extra"))
     else:
         # A group is the terms of one text, however often the row is repeated.
         marked = occurrences(texts, terms).distinct().groupBy(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")).agg(
             F.flatten(F.sort_array(F.collect_list(F.array("start", F.lit(KINDS.index("term")), "end")))).alias("extra"))
         rows = found.join(marked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left").select(
-            "doc_id", "spans", F.coalesce("extra", F.array().cast("array<int>")).alias("extra"))
-    fields = "doc_id " + docs.schema["doc_id"].dataType.simpleString() + ", n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_terms long"
+            "doc_id", "hash", "spans", F.coalesce("extra", F.array().cast("array<int>")).alias("extra"))
+    fields = "doc_id " + docs.schema["doc_id"].dataType.simpleString() + ", n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_terms long, text_hash binary"
 
     def run(batches):
         for batch in batches:
             out = []
-            for base, more in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for base, more in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 base = [*zip(base[::3], base[1::3], base[2::3])]
                 more = [*zip(more[::3], more[1::3], more[2::3])]
                 kinds = Counter(k for _, k, _ in base)
@@ -300,7 +308,7 @@ def find_personal_data(docs: DataFrame, support: int = SUPPORT, disclosed: float
                 out.append((*(kinds[k] for k in range(4)), digest, listed(sorted([*base, *more])), len(more)))
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
             columns = [pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 7, kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_terms"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(1)], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_terms", "text_hash"])
 
     return arrow_map(rows, run, fields)
 
@@ -310,16 +318,22 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 
 
 def sanitise(docs: DataFrame, found: DataFrame, remove_terms: bool = False) -> DataFrame:
-    """`docs` (doc_id without repetition, text) with each span of find_personal_data() generalised to [KIND]; terms are removed if asked."""
-    rows = docs.join(found.select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans")), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    """`docs` (doc_id, text and columns of any name) with each span of find_personal_data() generalised to [KIND]; terms are removed if asked.
+
+    Spans are found by doc_id and text, so repeated rows stay as many as they are.  Null and empty texts stay as they are.
+    """
+    same_id, same_hash, spans_name = unused(docs, "same_id", "same_hash", "same_spans")
+    spans = found.where("spans != ''").select(F.col("doc_id").alias(same_id), F.col("text_hash").alias(same_hash), F.col("spans").alias(spans_name)).dropDuplicates([same_id, same_hash])
+    rows = docs.join(spans, F.col("doc_id").eqNullSafe(F.col(same_id)) & (wide_hash(F.col("text")) == F.col(same_hash)), "left")
     names = docs.columns
+    rows = rows.select(*names, spans_name)
     place = names.index("text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches):
         for batch in batches:
             texts = []
-            for text, spans in zip(batch.column(place).to_pylist(), batch.column(len(names) + 1).to_pylist()):
+            for text, spans in zip(batch.column(place).to_pylist(), batch.column(len(names)).to_pylist()):
                 out, at = [], 0
                 for kind, start, end in (s.split(":") for s in (spans or "").split(",") if s):
                     if int(start) >= at:
