@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ship
-from .base import arrow_map
+from .base import arrow_map, unused
 
 ship(__name__)
 
 WINDOW = 13
-#: Bytes of item text that one broadcast holds; a larger benchmark is searched in several passes of this size.
-BLOCK_BYTES = 16_000_000
+#: Bytes of item text that one broadcast holds, whose searchers take some 60 times as much in a worker; a larger benchmark is searched in several passes of this size.
+BLOCK_BYTES = 4_000_000
 #: A-Z to a-z and what is not part of a word to a space, by byte; UTF-8 bytes above 0x7F are parts of words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -36,30 +36,29 @@ def words(text: bytes) -> list[bytes]:
 
 
 class WuManber:
-    """Finds every occurrence of word sequences of one length."""
+    """Finds every occurrence of word sequences of one length m: those of `flat` that begin at `starts`, in the items of `owners`."""
 
-    def __init__(self, patterns: dict[tuple[bytes, ...], set[str]], length: int):
+    def __init__(self, flat: list[bytes], starts: list[int], owners: list[str], length: int):
         self.m, self.b = length, min(2, length)
         self.default = length - self.b + 1
-        self.shift: dict = {}
-        self.bucket: dict = {}
-        for pattern, items in patterns.items():
+        self.flat, self.shift, self.bucket = flat, {}, {}
+        for start, owner in zip(starts, owners):
             for end in range(self.b, length + 1):
-                block = self.block(pattern, end)
+                block = self.block(flat, start + end)
                 self.shift[block] = min(self.shift.get(block, self.default), length - end)
-            self.bucket.setdefault(self.block(pattern, length), []).append((list(pattern), items))
+            self.bucket.setdefault(block, []).extend((start, owner))
 
     def block(self, seq, end: int):
         return seq[end - 1] if self.b == 1 else (seq[end - 2], seq[end - 1])
 
-    def search(self, seq: list[bytes]) -> Iterator[tuple[int, set[str]]]:
-        """(end position, items) of each occurrence, from left to right."""
-        m, shift, default, bucket = self.m, self.shift.get, self.default, self.bucket
+    def search(self, seq: list[bytes]) -> Iterator[tuple[int, str]]:
+        """(end position, item) of each occurrence, from left to right."""
+        m, shift, default, bucket, flat = self.m, self.shift.get, self.default, self.bucket, self.flat
         end, n = m, len(seq)
         if self.b == 1:
             for end in range(1, n + 1):
-                for _, items in bucket.get(seq[end - 1], ()):
-                    yield end, items
+                for item in bucket.get(seq[end - 1], ())[1::2]:
+                    yield end, item
             return
         while end <= n:
             key = (seq[end - 2], seq[end - 1])
@@ -67,21 +66,39 @@ class WuManber:
             if move:
                 end += move
                 continue
-            window = seq[end - m : end]
-            for pattern, items in bucket[key]:
-                if pattern == window:
-                    yield end, items
+            window, held = seq[end - m : end], bucket[key]
+            for start, item in zip(held[::2], held[1::2]):
+                if flat[start : start + m] == window:
+                    yield end, item
             end += 1
 
 
 def searchers(items: list[tuple[str, bytes]]) -> list[WuManber]:
-    by_length: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
+    """One for each length of window; words, items' texts and windows are held once."""
+    same: dict[bytes, bytes] = {}
+    flat: list[bytes] = []
+    by_length: dict[int, tuple[list[int], list[str]]] = {}
     for item, text in items:
-        seq = words(text)
+        seq = [same.setdefault(w, w) for w in words(text)]
         m = min(WINDOW, len(seq))
-        for i in range(len(seq) - m + 1 if m else 0):
-            by_length.setdefault(m, {}).setdefault(tuple(seq[i : i + m]), set()).add(item)
-    return [WuManber(p, m) for m, p in sorted(by_length.items())]
+        starts, owners = by_length.setdefault(m, ([], []))
+        n = len(seq) - m + 1 if m else 0
+        starts.extend(range(len(flat), len(flat) + n))
+        owners.extend([item] * n)
+        flat += seq
+    return [WuManber(flat, *found, m) for m, found in sorted(by_length.items()) if m]
+
+
+class Block:
+    """Some items; a worker that has got the broadcast makes their searchers once."""
+
+    def __init__(self, items: list[tuple[str, bytes]]):
+        self.items, self.made = items, None
+
+    def searchers(self) -> list[WuManber]:
+        if self.made is None:
+            self.made = searchers(self.items)
+        return self.made
 
 
 def find(seq: list[bytes], machines: list[WuManber]) -> tuple[list[tuple[int, int]], set[str]]:
@@ -90,7 +107,7 @@ def find(seq: list[bytes], machines: list[WuManber]) -> tuple[list[tuple[int, in
     for machine in machines:
         for end, which in machine.search(seq):
             spans.append((end - machine.m, end))
-            items |= which
+            items.add(which)
     return merged(spans), items
 
 
@@ -123,12 +140,20 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterato
     yield block
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of `docs` that find_contamination() does not call contaminated, with columns of any name."""
+    prefix = "found_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    return find_contamination(docs, benchmark, prefix=prefix).where(~F.col(prefix + "contaminated")).select(*docs.columns)
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, prefix: str = "") -> DataFrame:
     """`docs` with n_words, n_hit, n_items, items_sha256 and contaminated (and hit_spans, in words), `prefix` before each name.
 
     One row per row of `docs`, its other columns kept; columns of the names above are
-    replaced.  A null text has no words and nothing is found in it; an item without words has no window; items of
-    equal id count once.  Whole texts are searched.  A benchmark above `block_bytes` is
+    replaced, so choose a `prefix` that none begins with.  A null or empty text has no words and nothing is found in it; an item without words has no window; items of
+    equal id count once; repeated rows are searched each; an empty table gives an empty one.  Whole texts are searched, however long.  A benchmark above `block_bytes` is
     searched block by block; what a pass finds is carried on to the next one in the row.
     """
     kinds_of = {"n_words": "long", "n_hit": "long", "n_items": "long", "items_sha256": "string", "contaminated": "boolean", "hit_spans": "array<int>"}
@@ -137,15 +162,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int =
     result = docs.select(*names)
     spark = docs.sparkSession
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in result.schema)
-    state = "_spans array<int>, _items array<string>"
+    held = unused(result, "spans_so_far", "items_so_far")
+    state = f"`{held[0]}` array<int>, `{held[1]}` array<string>"
     found = ", ".join(f"`{name}` {kind}" for name, kind in added.items())
     place = names.index("text")
-    blocks = list(item_blocks(benchmark, block_bytes))
-    for i, block in enumerate(blocks):
-        sent, first, last = spark.sparkContext.broadcast(block), i == 0, i == len(blocks) - 1
+    # The driver holds two blocks at a time; broadcasts keep the others on disk.
+    blocks = item_blocks(benchmark, block_bytes)
+    block, first, last = next(blocks), True, False
+    while not last:
+        following = next(blocks, None)
+        sent, last = spark.sparkContext.broadcast(Block(block)), following is None
 
         def run(batches, sent=sent, first=first, last=last):
-            machines = searchers(sent.value)
+            machines = sent.value.searchers()
             for batch in batches:
                 texts = batch.column(place).cast(pa.binary())
                 kept = batch.columns if first else batch.columns[:-2]
@@ -163,9 +192,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int =
                     kinds = [pa.int64()] * 3 + [pa.string(), pa.bool_(), pa.list_(pa.int32())]
                     titles = list(added)
                 else:
-                    kinds, titles = [pa.list_(pa.int32()), pa.list_(pa.string())], ["_spans", "_items"]
+                    kinds, titles = [pa.list_(pa.int32()), pa.list_(pa.string())], held
                 more = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(kinds), kinds)]
                 yield pa.RecordBatch.from_arrays([*kept, *more], names=[*names, *titles])
 
         result = arrow_map(result, run, f"{fields}, {found if last else state}")
+        block, first = following, False
     return result
