@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -54,7 +56,7 @@ def test_decontamination(spark, docs, rows, none):
 def secret_spans(text, rules):
     out = []
     for rank, rule in enumerate(rules):
-        for m in re.finditer(rule.pattern, text):
+        for m in re.finditer((f"(?<![{rule.after}])" if rule.after else "") + rule.pattern, text):
             if len(m[rule.group]) >= rule.least:
                 out.append((m.start(), rank, m.end(), rule.kind))
     return sorted(out)
@@ -86,6 +88,43 @@ def test_ledger_scans_only_what_is_new(spark):
     assert other.count() == 2  # another rules version has seen nothing yet
 
 
+def test_a_second_run_scans_no_blob(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    first = got(secrets.scan_documents(docs, path))
+    held = spark.read.parquet(path).count()
+    assert held == docs.where("length(text) > 0").select("text").distinct().count()
+    assert got(secrets.scan_documents(docs, path)) == first and spark.read.parquet(path).count() == held
+    more = spark.createDataFrame([(1, "token = abcdefgh"), (2, None), (3, "token = abcdefgh"), (3, "token = abcdefgh")], "doc_id long, text string")
+    assert [r.n_assign for r in secrets.scan_documents(more, path).orderBy("doc_id").collect()] == [1, 0, 1, 1]
+    assert spark.read.parquet(path).count() == held + 1
+    spark.read.parquet(path).write.mode("append").parquet(path + "-twice")
+    spark.read.parquet(path).write.mode("append").parquet(path + "-twice")  # two jobs at once
+    assert got(secrets.scan_documents(docs, path + "-twice")) == first
+
+
+def test_long_texts_take_little_time(spark):
+    """A megabyte of what makes a careless pattern read on and on."""
+    million = ["7" * 1_000_000, "a" * 999_990 + "@", "eyJ" * 333_000, "1." * 500_000, "a@" * 500_000, "x@y.z " * 160_000, "+1" + " " * 999_000, "token=abcdef " * 80_000]
+    for text in million[:6]:
+        began = time.perf_counter()
+        pii.base_spans(text)
+        assert time.perf_counter() - began < 1.5
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(million)], "doc_id long, text string").repartition(8)
+    began = time.perf_counter()
+    found = {r.doc_id: r for r in secrets.scan_documents(docs).collect()}
+    assert time.perf_counter() - began < 60
+    assert found[7].n_assign == 80_000 and found[7].spans.startswith("assign:0:12,assign:13:25,") and found[7].spans.endswith("assign:1039987:1039999") and found[2].spans == ""
+
+
+def test_addresses_are_those_of_the_pattern():
+    rng = random.Random(8)
+    for _ in range(20_000):
+        text = "".join(rng.choice("a1.@_-%+ @") for _ in range(rng.randint(0, 24)))
+        assert list(pii.addresses(text)) == [m.span() for m in re.finditer(pii.EMAIL, text)]
+        text = "".join(rng.choice("0127..  a") for _ in range(rng.randint(0, 24)))
+        assert [m.span() for m in pii.WHOLE_IP.finditer(text)] == [m.span() for m in re.finditer(pii.IP, text)]
+
+
 def test_mix(docs, rows, none):
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     found = mixing.mix_documents(docs)
@@ -107,19 +146,45 @@ def test_mix(docs, rows, none):
     target = share | {s: 2.0 * sizes[s] for s in full}
     taken = Counter()
     assert Counter((r[0], r[1]) for r in result) == Counter((r[0], size(r[1])) for r in rows)
-    for doc_id, n, source_size, aim, took, source, _ in result:
-        assert source_size == sizes[source] and math.isclose(aim, target[source], rel_tol=1e-9) and 0 <= took <= 2 * n
+    by_shard = Counter()
+    for doc_id, n, source_size, aim, took, shards, source, _ in result:
+        assert source_size == sizes[source] and math.isclose(aim, target[source], rel_tol=1e-9) and 0 <= took <= 2 * n and sum(shards) == took and min(shards) >= 0
         taken[source] += took
-    block = max(1, min(mixing.BLOCK_TOKENS, int(1.5 * sum(sizes.values()) / (len(sizes) * mixing.BLOCKS_A_SOURCE))))
-    assert all(abs(taken[s] - target[s]) <= 2 * block for s in names)
+        for s, w in enumerate(shards):
+            by_shard[source, s] += w
+    assert all(abs(taken[s] - target[s]) <= 1 for s in names)
     assert got(mixing.mix_documents(none)) == []
     quotas = mixing.apportion(mixing.source_targets(found.select("source", "size")))
+    block = max(1, min(mixing.BLOCK_TOKENS, int(1.5 * sum(sizes.values()) / (len(sizes) * mixing.BLOCKS_A_SOURCE))))
+    seats = sorted(((-target[s] / (k - 0.5), names.index(s)) for s in names for k in range(1, 2 * sizes[s] // block + 1) if target[s]))[: round(1.5 * sum(sizes.values()) / block)]
+    assert {r["source"]: r["quota"] for r in quotas.collect()} == {s: sum(i == names.index(s) for _, i in seats) for s in names}
     dealt = Counter()
-    for r in mixing.shard_quotas(quotas, 4).collect():
+    for r in mixing.shard_quotas(quotas).collect():
         dealt[r["shard"]] += r["blocks"]
+        assert abs(r["blocks"] * block - by_shard[r["source"], r["shard"]]) <= 3 * block  # the last pick and the shorter blocks of the laps
     assert max(dealt.values()) - min(dealt.values()) <= 1 and sum(dealt.values()) == sum(r["quota"] for r in quotas.collect())
 
 
+def test_picked_blocks_by_brute_force(spark):
+    rows = [(i, "w " * (i * 7 % 61), "abc"[i % 3]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = {r.source: r for r in mixing.selection(mixing.apportion(mixing.source_targets(mixing.mix_documents(docs).select("source", "size"))), "mix").collect()}
+    order = lambda i: hashlib.md5(f"mix{i}".encode()).hexdigest()
+    want = {}
+    for s, p in plan.items():
+        ring = [d[0] for d in sorted((d for d in rows if d[2] == s), key=lambda d: order(d[0])) for _ in range(d[1].count("w"))]
+        blocks = [ring[at : at + p.block] for at in range(0, len(ring), p.block)]
+        turns = sorted(range(len(blocks)), key=lambda i: (i * p.stride + p["shift"]) % len(blocks))
+        left, pick, took = round(p.target), 0, Counter()
+        while left > 0:
+            block = blocks[turns[pick % len(blocks)]][:left]
+            for doc in block:
+                took[doc, (p["first"] + pick) % mixing.SHARDS] += 1
+            left, pick = left - len(block), pick + 1
+        want |= {d[0]: [took[d[0], k] for k in range(mixing.SHARDS)] for d in rows if d[2] == s}
+    assert {r.doc_id: r.shard_taken for r in mixing.mix_documents(docs).collect()} == want
+
+
 def test_small_sources_get_their_targets_beside_a_large_one(spark):
     rows = [(i, "w " * 20_000, "b") for i in range(26)] + [(100 + i, "w " * 50, "a") for i in range(4)] + [(200 + i, "w " * 20, "c") for i in range(5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -149,6 +214,7 @@ def test_pii(docs, rows, none):
     assert sum(sum(e[1:5]) for e in expected) >= 6
     found = pii.find_personal_data(docs)
     assert got(found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")) == sorted(expected, key=repr)
+    assert Counter(r.doc_id for r in pii.sanitise(docs, found).collect()) == Counter(r[0] for r in rows)
     assert got(pii.find_personal_data(none)) == []
 
 

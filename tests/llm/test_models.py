@@ -147,3 +147,48 @@ def test_more_rotations_keep_the_recall():
         found = np.any([vectors.met(a[:, t], b[:, t]) for t in range(a.shape[1])], axis=0)
         assert found.mean() >= 0.95
     assert [vectors.rotations(n, 64) for n in (100, 10_000, 10**6, 10**9, 10**12)] == [2, 3, 4, 5, 6]
+
+
+def test_discriminant_by_brute_force():
+    """Log densities of two normal distributions, written out with determinants and inverses."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(80, 5)), rng.normal(size=(50, 5)) @ rng.normal(size=(5, 5)) + 0.5])
+    y = np.repeat([0, 1], [80, 50])
+    model = quality.Discriminant.fit(x, y)
+    each = [np.cov(x[y == c].T) for c in (0, 1)]
+    shared = (80 * each[0] + 50 * each[1]) / 130
+    log = []
+    for c in (0, 1):
+        s = (1 - quality.POOLED - quality.UNIT) * each[c] + quality.POOLED * shared + quality.UNIT * np.diag(np.diag(shared)) + 1e-6 * np.eye(5)
+        far = x - x[y == c].mean(axis=0)
+        log.append([-0.5 * (d @ np.linalg.inv(s) @ d) - 0.5 * np.log(np.linalg.det(s)) for d in far])
+    want = 1 / (1 + np.exp(np.array(log[0]) - np.array(log[1]) - np.log(51 / 81)))
+    assert np.allclose(model.score(x), want)
+
+
+def test_string_kernel_by_brute_force():
+    """With all training texts as landmarks the regression is that of the whole kernel, which is solved here from sets of n-grams."""
+    rng = random.Random(7)
+    texts = [sentences(rng, lang, 12) for lang in ["en", "de", "fr"] * 6] + ["\u65e5\u672c\u8a9e\u306e\u6587", "\u043e\u0434\u0438\u043d \u0434\u0432\u0430"]
+    langs = ["en", "de", "fr"] * 6 + ["ja", "ru"]
+
+    def grams(text):
+        s = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+        while "  " in s:
+            s = s.replace("  ", " ")
+        return {s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1)}
+
+    def hashed(text):
+        row = np.zeros(language.SPACE, bool)
+        language.mark(text, row)
+        return np.flatnonzero(row).astype(np.int32)
+
+    sets = [grams(t) for t in texts]
+    assert [len(hashed(t)) for t in texts] == [len(s) for s in sets]  # no two n-grams of these fall together
+    kernel = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    names = sorted(set(langs))
+    target = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
+    want = kernel @ np.linalg.solve(kernel + language.RIDGE * np.eye(len(texts)), target) / language.TEMPERATURE
+    want = np.exp(want - want.max(axis=1, keepdims=True))
+    shares, known = language.StringKernel.fit([hashed(t) for t in texts], langs).score(texts)
+    assert np.allclose(shares, want / want.sum(axis=1, keepdims=True), atol=1e-3) and (known == 1).all()

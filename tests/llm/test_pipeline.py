@@ -30,7 +30,8 @@ def test_stages(spark, docs, folder, tmp_path):
             assert set(Counter(got(after))) <= set(Counter(got(before)))
         if name == "language_id":
             assert all(r.text and any(c.isalpha() for c in r.text) for r in after.collect())
-            assert after.count() == sum(1 for r in before.collect() if r.text and any(c.isalpha() for c in r.text))
+            lost = Counter(r.text for r in before.collect() if r.text and any(c.isalpha() for c in r.text)) - Counter(r.text for r in after.collect())
+            assert set(lost) <= {"é" * 50, "x" * 5000}  # which may be like no landmark
         elif name == "ngram_jaccard":
             sizes = Counter(r.component_id for r in jaccard.join_similar(after).where("doc_id is not null").collect())
             assert max(sizes.values()) == 1
@@ -55,6 +56,12 @@ def test_no_row_has_a_language(spark, docs, folder):
     assert sorted(r.text for r in kept.collect()) == sorted(r.text for r in docs.collect() if r.text and any(c.isalpha() for c in r.text))
 
 
+def test_texts_in_no_known_language_go(spark, docs, folder):
+    odd = docs.limit(2).withColumn("text", F.lit("\u65e5\u672c\u8a9e\u306e\u6587\u7ae0 " * 9))
+    kept = corpus_pipeline.language_id(spark, docs.unionByName(odd.withColumn("lang", F.lit(None).cast("string"))), folder)
+    assert not kept.where("text like '\u65e5%'").count() and kept.count() == corpus_pipeline.language_id(spark, docs, folder).count()
+
+
 def test_an_empty_corpus(spark, docs, folder, tmp_path):
     docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")

@@ -111,6 +111,21 @@ def key_bitmap(keys: Column, df: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+class Filter:
+    """A broadcast bitmap of bounded size of the long `keys` of a written table."""
+
+    def __init__(self, keys: DataFrame, name: str):
+        self.bits = bitmap_bits(keys.count())
+        self.sent = keys.sparkSession.sparkContext.broadcast(key_bitmap(F.col(name), keys, self.bits))
+
+    def has_one(self, key: int) -> bool:
+        at = key % self.bits
+        return bool(self.sent.value[at >> 3] >> (at & 7) & 1)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        return in_bitmap(self.sent.value, keys, self.bits)
+
+
 def wide_hash(*columns: Column) -> Column:
     """16 bytes: two hashes of the columns with different seeds."""
     digits = [F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64(*columns), F.xxhash64(F.lit(0x5DEECE66D), *columns))]

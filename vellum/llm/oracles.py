@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import WINDOW as ITEM_WINDOW
-from .mixing import BLOCK_TOKENS, BLOCKS_A_SOURCE
+from .mixing import BLOCK_TOKENS, BLOCKS_A_SOURCE, SHARDS, STRIDES
 from .secrets import BASE, RULES
 from .substrings import WINDOW as REPEAT_WINDOW
 
@@ -36,17 +36,20 @@ def _secrets() -> str:
     parts = []
     for rank, rule in enumerate(RULES):
         pattern = rule.pattern.replace("'", "''")
+        marked = f"regexp_replace(text, '{pattern}', chr(1) || '\\0' || chr(1), 'g')"
+        if rule.after:  # the character before, which is none of the class, stands outside the marks
+            marked = f"regexp_replace(text, '(^|[^{rule.after}])({pattern})', '\\1' || chr(1) || '\\2' || chr(1), 'g')"
         held = f"regexp_extract(p, '{pattern}', {rule.group})" if rule.group else "p"
         parts.append(f"""SELECT doc_id, {rank} AS rank, '{rule.kind}' AS kind, s, s + length(p) AS e FROM (
   SELECT doc_id, i, pieces[i] AS p, coalesce(list_sum(list_transform(pieces[1:i-1], lambda x: length(x))), 0)::BIGINT AS s FROM (SELECT doc_id, pieces, unnest(range(2, len(pieces) + 1, 2)) AS i FROM (
-    SELECT doc_id, string_split(regexp_replace(text, '{pattern}', chr(1) || '\\0' || chr(1), 'g'), chr(1)) AS pieces FROM t))) WHERE length({held}) >= {rule.least}""")
+    SELECT doc_id, string_split({marked}, chr(1)) AS pieces FROM t))) WHERE length({held}) >= {rule.least}""")
     counts = ", ".join(f"count(*) FILTER (rank = {i}) AS n_{r.kind}" for i, r in enumerate(BASE))
     return f"""WITH t AS (SELECT doc_id, replace(coalesce(text, ''), chr(1), chr(2)) AS text FROM documents), f AS ({' UNION ALL '.join(parts)}),
 g AS (SELECT doc_id, {counts}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < {len(BASE)}) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans, count(*) AS n_spans FROM f GROUP BY doc_id)
 SELECT doc_id, {', '.join(f'coalesce(n_{r.kind}, 0) AS n_{r.kind}' for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_spans, 0) AS n_spans FROM t LEFT JOIN g USING (doc_id)"""
 
 
-MIX = f"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORDS}')), 0)::BIGINT AS size, md5('mix' || doc_id) AS h FROM documents),
+MIX = f"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORDS}')), 0)::BIGINT AS size, md5('mix' || doc_id) AS h, md5(coalesce(text, '')) AS t FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
 s1 AS (SELECT *, [5.0, 2.0, 1.0][(rank - 1) % 3 + 1]::DOUBLE AS weight, (source_size * 2)::DOUBLE AS lim, sum(source_size) OVER () * 1.5::DOUBLE AS total FROM s0),
 s2 AS (SELECT *, lim / weight <= (total - coalesce(sum(lim) OVER (ORDER BY lim / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY lim / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS full_ FROM s1),
@@ -55,10 +58,20 @@ s3 AS (SELECT *, CASE WHEN full_ THEN lim ELSE weight * ((total - sum(CASE WHEN
 seats AS (SELECT rank, row_number() OVER (ORDER BY target / (k - 0.5::DOUBLE) DESC, rank, k) AS place, round(total / block)::BIGINT AS blocks
   FROM (SELECT *, unnest(range(1, floor(source_size * 2 / block)::BIGINT + 1)) AS k FROM s3) WHERE target > 0),
 q AS (SELECT rank, count(*) AS quota FROM seats WHERE place <= blocks GROUP BY rank),
-src AS (SELECT *, coalesce(quota, 0) * block AS length, ('0x' || substr(md5('mix:' || coalesce(source, '')), 1, 8))::BIGINT % greatest(source_size, 1) AS start FROM s3 LEFT JOIN q USING (rank)),
-r AS (SELECT d.doc_id, d.size, src.*, coalesce(sum(d.size) OVER (PARTITION BY src.rank ORDER BY h, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM d JOIN src ON d.source IS NOT DISTINCT FROM src.source)
-SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN (length // source_size) * size
-  + greatest(0, least(a + size, least(start + length % source_size, source_size)) - greatest(a, start)) + greatest(0, least(a + size, start + length % source_size - source_size) - a) ELSE 0 END::BIGINT AS taken FROM r"""
+s4 AS (SELECT s3.*, coalesce(sum(coalesce(quota, 0)) OVER (ORDER BY s3.rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_, greatest(1, ceil(source_size / block))::BIGINT AS n,
+    ('0x' || substr(md5('mix:' || coalesce(source, '')), 1, 8))::BIGINT AS number, floor(target + 0.5)::BIGINT AS words FROM s3 LEFT JOIN q USING (rank)),
+s5 AS (SELECT *, number % n AS shift, list_filter({list(STRIDES)}, lambda p: n % p <> 0) AS strides FROM s4),
+src AS (SELECT *, strides[number % len(strides) + 1]::BIGINT AS stride, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS laps, CASE WHEN source_size > 0 THEN words % source_size ELSE 0 END AS rest FROM s5),
+-- The blocks of a source in the order of its permutation, and the words of those before each.
+b AS (SELECT rank, i, place, len, sum(len) OVER (PARTITION BY rank ORDER BY place) - len AS before_ FROM (
+  SELECT rank, i, (i * stride + shift) % n AS place, least(block, source_size - i * block) AS len FROM (SELECT *, unnest(range(n)) AS i FROM src))),
+r AS (SELECT d.doc_id, d.size, src.*, row_number() OVER () AS r, coalesce(sum(d.size) OVER (PARTITION BY src.rank ORDER BY h, d.size, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM d JOIN src ON d.source IS NOT DISTINCT FROM src.source),
+cut AS (SELECT r, r.rank, laps, n, first_, rest, block, a, size, unnest(range(a // block, (a + size - 1) // block + 1)) AS i, unnest(range(a // block, (a + size - 1) // block + 1)) * block AS lo FROM r WHERE size > 0),
+picks AS (SELECT r, (first_ + lap * n + place) % {SHARDS} AS shard, CASE WHEN lap < laps THEN least(a + size, lo + len) - greatest(a, lo) ELSE greatest(0, least(a + size, lo + least(len, greatest(0, rest - before_))) - greatest(a, lo)) END AS w
+  FROM (SELECT *, unnest(range(laps + 1)) AS lap FROM cut) JOIN b USING (rank, i)),
+by_shard AS (SELECT r, shard, sum(w)::BIGINT AS w FROM picks GROUP BY r, shard),
+taken AS (SELECT r, sum(w)::BIGINT AS taken, list_transform(range({SHARDS}), lambda s: coalesce(map_from_entries(list({{'k': shard, 'v': w}}))[s], 0)) AS shard_taken FROM by_shard GROUP BY r)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, array_to_string(coalesce(shard_taken, list_transform(range({SHARDS}), lambda s: 0::BIGINT)), ',') AS shard_taken FROM r LEFT JOIN taken USING (r)"""
 
 JACCARD = f"""WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all({LOW.format('text')}, '{WORDS}'), []) AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
@@ -80,7 +93,7 @@ SHARDS = f"""WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduc
 b AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM documents),
 c AS (SELECT doc_id, size, xor(list_reduce(list_concat([4294967295], bytes), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM b, tab),
 p AS (SELECT *, (SELECT arg_max(s, {_DRAW}) FROM range(8) t(s)) AS shard, (SELECT arg_max(s, {_DRAW}) FROM range(9) t(s)) AS grown_shard FROM c)
-SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY md5(doc_id::VARCHAR), size, text_crc32) - 1 AS slot, grown_shard FROM p"""
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY md5(doc_id || ':' || text_crc32), size, text_crc32) - 1 AS slot, grown_shard FROM p"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate, jaccard, language, mixing, pii, quality, secrets, sharding, substrings, vectors
 
+from .base import shared_folder
 from .oracles import oracle_sql as oracle_sql
 
 
@@ -30,15 +33,17 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan_documents(table(spark, sf_dir, "documents"))
+    # Every corpus has a ledger of its own, in the shared folder; a second run finds its blobs there.
+    corpus = hashlib.sha256(sf_dir.encode()).hexdigest()[:16]
+    return secrets.scan_documents(table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/secret-ledger-{corpus}")
 
 
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_documents(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix_documents(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.array_join("shard_taken", ",").alias("shard_taken"))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+    return pii.find_personal_data(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ship
-from .base import arrow_map, bitmap_bits, by_part, dealt, in_bitmap, key_bitmap, save
+from .base import Filter, arrow_map, by_part, dealt, save
 from .textvec import SPACED, Texts, Words, mix
 
 ship(__name__)
@@ -174,17 +174,6 @@ def repeated_anchors(docs: DataFrame, parts: int) -> DataFrame:
     return arrow_map(dealt(arrow_map(docs.select("text"), find, "part int, entries binary"), parts), count, "anchor long, count long")
 
 
-class Filter:
-    """A broadcast bitmap of bounded size of the long `keys` of a written table."""
-
-    def __init__(self, keys: DataFrame, name: str):
-        self.bits = bitmap_bits(keys.count())
-        self.sent = keys.sparkSession.sparkContext.broadcast(key_bitmap(F.col(name), keys, self.bits))
-
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        return in_bitmap(self.sent.value, keys, self.bits)
-
-
 def packed_passages(docs: DataFrame, repeated: Filter, common: Filter, parts: int) -> DataFrame:
     """part, passages, words, spans: passages of repeated anchors for their shards; spans of those that the same task has earlier.
 
