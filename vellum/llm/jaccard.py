@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ship
-from .base import arrow_map, bitmap_bits, by_group, by_part, dealt, in_bitmap, key_bitmap, save, unused, wide_hash
+from .base import Filter, arrow_map, by_group, by_part, dealt, save, unused, wide_hash
 from .graph import components
 from .textvec import LOWER, SPACED, Texts, Words, distinct_in_rows, mix, wide, wide_array
 
@@ -236,16 +236,17 @@ def shared_lists(packed: DataFrame, parts: int) -> DataFrame:
 
 
 def met_by_hub(pairs: DataFrame, items: DataFrame, prepare, test) -> DataFrame:
-    """The distinct pairs (a, b) for whose `items` (cid, value) `test` holds; `prepare` makes a list of comparable objects of a column of values.
+    """The `pairs` (a, b; distinct, from a written table) for whose `items` (node, value) `test` holds; `prepare` makes a list of comparable objects of a column of values.
 
     The pairs of one `a` are dealt to as many tasks as it has SPOKES of them.  Its value goes to each of
     these once, that of every `b` follows, so a task holds one value and a batch, and nothing moves once a pair but the
     value of b.
     """
-    degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SPOKES).alias("tasks"))
-    routed = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), "tasks").alias("salt"))
-    hubs = routed.select("a", "salt").distinct().join(items, F.col("a") == F.col("cid")).select("a", "salt", F.lit(None).cast("binary").alias("b"), "value")
-    spokes = routed.join(items, F.col("b") == F.col("cid")).select("a", "salt", "b", "value")
+    degree = save(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "jaccard-degrees")
+    routed = by_group(pairs, degree, "a", "n").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / SPOKES)).cast("int").alias("salt"))
+    hubs = degree.select("a", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / SPOKES) - 1).cast("int"))).alias("salt"))
+    hubs = hubs.join(items, F.col("a") == F.col("node")).select("a", "salt", F.lit(None).cast("long").alias("b"), "value")
+    spokes = routed.join(items, F.col("b") == F.col("node")).select("a", "salt", "b", "value")
     rows = hubs.unionByName(spokes).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def run(batches):
@@ -259,27 +260,26 @@ def met_by_hub(pairs: DataFrame, items: DataFrame, prepare, test) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), others.filter(mask)], names=["a", "b"])
 
-    return arrow_map(rows, run, "a binary, b binary")
+    return arrow_map(rows, run, "a long, b long")
 
 
 def narrowed(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """The pairs (a, b of cid) that the bitmaps leave possible."""
-    return met_by_hub(pairs, members.select("cid", F.col("map").alias("value")), lambda column: column.to_pylist(), possible)
+    """The pairs (a, b of node) that the bitmaps leave possible."""
+    return met_by_hub(save(pairs, "jaccard-met"), members.select("node", F.col("map").alias("value")), lambda column: column.to_pylist(), possible)
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cid, value (the text) of the classes in `wanted` (cid), once each; a bitmap of bounded size spares moving other texts."""
-    wanted = save(wanted.select(first_bytes(F.col("cid")).alias("head")).distinct(), "jaccard-wanted")
-    bits = bitmap_bits(wanted.count())
-    sent = docs.sparkSession.sparkContext.broadcast(key_bitmap(F.col("head"), wanted, bits))
+    """node, value (the text) of the classes in `wanted` (node, cid), once each; a bitmap of bounded size spares moving other texts."""
+    wanted = save(wanted.select("node", "cid", first_bytes(F.col("cid")).alias("head")), "jaccard-wanted")
+    heads_held = Filter(wanted, "head")
 
     def run(batches):
-        bitmap, seen = sent.value, set()
+        seen = set()
         for batch in batches:
             rows, cids = [], []
             for lo, _, _, ids in sets_of(batch.column(0)):
                 heads = ids.view("<i8").reshape(-1, 2)[:, 0] >> HEAD_SHIFT
-                for i in np.flatnonzero(in_bitmap(bitmap, heads, bits)).tolist():
+                for i in np.flatnonzero(heads_held.has(heads)).tolist():
                     cid = ids[i].item()
                     if cid not in seen:
                         seen.add(cid)
@@ -287,7 +287,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         cids.append(cid)
             yield pa.RecordBatch.from_arrays([pa.array(cids, pa.binary()), batch.column(0).take(pa.array(rows, pa.int64()))], names=["cid", "value"])
 
-    return arrow_map(docs.select("text"), run, "cid binary, value string").dropDuplicates(["cid"])
+    return arrow_map(docs.select("text"), run, "cid binary, value string").dropDuplicates(["cid"]).join(wanted, "cid").select("node", "value")
 
 
 #: The part of a class id that first_bytes() leaves.
@@ -307,20 +307,25 @@ def set_list(column: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b of cid) whose whole sets are similar enough."""
-    texts = save(texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("cid"))), "jaccard-texts")
+def verified(pairs: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b of node; from a written table) whose whole sets are similar enough."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = save(texts_of(docs, members.select("node", "cid").join(ends, "node", "left_semi")), "jaccard-texts")
     return met_by_hub(pairs, texts, set_list, similar)
 
 
-def similar_links(docs: DataFrame, classes: DataFrame, frequent: DataFrame) -> DataFrame:
-    """Links (a, b of cid) that join every component of similar classes."""
+def similar_links(docs: DataFrame, classes: DataFrame, frequent: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b of node) that join every component of similar classes, and node, cid of all classes.
+
+    A node is a number that a class gets when the members are written; from then on it is what the files say.
+    """
     total = classes.agg(F.sum((F.col("n") / 4 + 1).cast("long"))).first()[0] or 0
     parts = max(PARTS, -(-total // PART))
     found = save(shared_lists(prefixes(docs, frequent, parts), parts), "jaccard-lists")
-    members = save(found.where("kind = 2").select("cid", "gid", F.col("value").alias("n"), "map").dropDuplicates(["cid"]), "jaccard-members")
+    members = found.where("kind = 2").select("cid", "gid", F.col("value").alias("n"), "map").dropDuplicates(["cid"])
+    members = save(members.withColumn("node", F.monotonically_increasing_id()), "jaccard-members")
     # Members of a group have one size, but for groups whose names collide.
-    groups = members.groupBy("gid").agg(F.min("cid").alias("rep"), F.min("n").alias("n"), F.max("n").alias("most"), F.count(F.lit(1)).alias("size"))
+    groups = members.groupBy("gid").agg(F.min("node").alias("rep"), F.min("n").alias("n"), F.max("n").alias("most"), F.count(F.lit(1)).alias("size"))
     lists = found.where("kind = 1").groupBy("token", "gid").agg(F.min("value").alias("pos"))
     lists = save(lists.join(groups, "gid").select("token", "gid", "rep", "n", "most", "pos", F.floor(F.log("n") / BAND).cast("int").alias("band")), "jaccard-groups")
     fits = lambda n, m: 4 * F.least(n, m) >= 3 * F.greatest(n, m)
@@ -330,13 +335,13 @@ def similar_links(docs: DataFrame, classes: DataFrame, frequent: DataFrame) -> D
     leaders = lists.join(degree, "gid").groupBy("token", "band").agg(F.max(F.struct("degree", "gid", "rep", "n")).alias("lead"))
     near = leaders.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "lead")
     pairs = lists.join(near, ["token", "band"]).where((F.col("gid") != F.col("lead.gid")) & fits(F.col("n"), F.col("lead.n")))
-    star = members.join(groups.where("size > 1").select("gid", "rep"), "gid").where("cid != rep").select(F.col("rep").alias("a"), F.col("cid").alias("b"))
+    star = members.join(groups.where("size > 1").select("gid", "rep"), "gid").where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     led = pairs.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"))
-    first = save(verified(save(narrowed(led.unionByName(star).distinct(), members), "jaccard-pairs"), docs), "jaccard-links")
+    first = save(verified(save(narrowed(led.unionByName(star).distinct(), members), "jaccard-pairs"), members, docs), "jaccard-links")
 
     # Second round: all pairs that are still apart.
     roots = save(components(first), "jaccard-roots")
-    placed = save(members.join(roots, members["cid"] == roots["node"], "left").select("cid", "gid", F.coalesce("root", "cid").alias("root")), "jaccard-placed")
+    placed = save(members.join(roots, "node", "left").select("node", "gid", F.coalesce("root", "node").alias("root")), "jaccard-placed")
     parted = placed.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     rest = lists.join(parted, "gid")
     mixed = rest.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("greatest")).where("least != greatest").select("token")
@@ -348,11 +353,11 @@ def similar_links(docs: DataFrame, classes: DataFrame, frequent: DataFrame) -> D
     met = x.join(y, "token").where((F.col("gid1") < F.col("gid2")) & apart & (4 * F.col("most1") >= 3 * F.col("n2")) & (4 * F.col("most2") >= 3 * F.col("n1"))
                                    & (F.col("pos1") <= F.col("most1") - need) & (F.col("pos2") <= F.col("most2") - need))
     met = met.select("gid1", "gid2").distinct().unionByName(parted.where("low != high").select(F.col("gid").alias("gid1"), F.col("gid").alias("gid2")))
-    one, two = (placed.select(F.col("gid").alias(f"gid{i}"), F.col("cid").alias(f"cid{i}"), F.col("root").alias(f"root{i}")) for i in (1, 2))
-    wide_pairs = met.join(one, "gid1").join(two, "gid2").where("root1 != root2 and (gid1 != gid2 or cid1 < cid2)")
-    wide_pairs = wide_pairs.select(F.least("cid1", "cid2").alias("a"), F.greatest("cid1", "cid2").alias("b")).distinct()
-    second = verified(save(narrowed(wide_pairs, members), "jaccard-pairs"), docs)
-    return first.unionByName(second)
+    one, two = (placed.select(F.col("gid").alias(f"gid{i}"), F.col("node").alias(f"node{i}"), F.col("root").alias(f"root{i}")) for i in (1, 2))
+    wide_pairs = met.join(one, "gid1").join(two, "gid2").where("root1 != root2 and (gid1 != gid2 or node1 < node2)")
+    wide_pairs = wide_pairs.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
+    second = verified(save(narrowed(wide_pairs, members), "jaccard-pairs"), members, docs)
+    return first.unionByName(second), members.select("node", "cid")
 
 
 def join_similar(docs: DataFrame) -> DataFrame:
@@ -367,14 +372,16 @@ def join_similar(docs: DataFrame) -> DataFrame:
     rows = found.where("kind = 0").select("doc_id", "n", "cid", "text_hash")
     classes = save(rows.where("n > 0").groupBy("cid").agg(F.first("n").alias("n"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")), "jaccard-least")
     frequent = found.where("kind = 1").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_FROM).orderBy(F.desc("n"), "token").limit(FREQUENT)
-    roots = components(similar_links(docs.select("doc_id", "text"), classes, frequent))
-    linked = save(classes.join(roots, classes["cid"] == roots["node"]).select("cid", "root", "least", "rows"), "jaccard-linked")
-    least = save(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("size")), "jaccard-components")
-    merged = by_group(linked.select("cid", "root"), least, "root", "size").select("cid", "component_id", "root")
-    alone = classes.join(roots, classes["cid"] == roots["node"], "left_anti").select("cid", F.col("least").alias("component_id"), F.col("cid").alias("root"))
-    named = save(merged.unionByName(alone).join(classes.select("cid", F.col("rows").alias("size")), "cid"), "jaccard-named")
+    links, members = similar_links(docs.select("doc_id", "text"), classes, frequent)
+    roots = components(links)
+    placed = save(classes.join(members, "cid").join(roots, "node", "left").select("cid", "node", "root", "least", F.col("rows").alias("size")), "jaccard-placed")
+    linked = placed.where("root is not null")
+    least = save(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "jaccard-roots")
+    merged = by_group(linked.select("cid", "root", "size"), least, "root", "n").select("cid", "component_id", "root", "size")
+    named = merged.unionByName(placed.where("root is null").select("cid", F.col("least").alias("component_id"), F.col("node").alias("root"), "size"))
+    named = save(named, "jaccard-named")
     worded = by_group(rows.where("n > 0"), named, "cid", "size").select("doc_id", "n", "component_id", "root", "text_hash")
-    without = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("root"), "text_hash")
+    without = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"), "text_hash")
     return worded.unionByName(without).withColumnRenamed("n", "n_shingles")
 
 
