@@ -58,7 +58,7 @@ def evidence(docs: DataFrame, rules: DataFrame, compiled: int = COMPILED_RULES)
 
     Up to `compiled` rules become one array expression, so texts are read once and
     never shuffled.  Larger sets go through a join of the rules with the documents, whose
-    plan is left to the optimiser.
+    plan is left to the optimiser; the rows are the same.  A rule without keywords is found nowhere.
     """
     head = rules.select("rule_id", "keywords").limit(compiled + 1).collect()
     if len(head) <= compiled:
@@ -70,16 +70,19 @@ def evidence(docs: DataFrame, rules: DataFrame, compiled: int = COMPILED_RULES)
     plain = F.regexp_replace(F.col("keyword"), r"([^A-Za-z0-9_ ])", r"\\$1")
     bounded = F.concat(F.lit("(^|[^A-Za-z0-9_])"), plain, F.lit("($|[^A-Za-z0-9_])"))
     pattern = F.when(F.col("keyword").rlike("^[A-Za-z0-9](.*[A-Za-z0-9])?$"), bounded).otherwise(plain)
-    patterns = rules.select("rule_id", F.explode("keywords").alias("keyword")).groupBy("rule_id").agg(
-        F.concat(F.lit("(?i)("), F.array_join(F.sort_array(F.collect_list(pattern)), "|"), F.lit(")")).alias("pattern"))
-    return docs.join(patterns).select("doc_id", "rule_id", F.regexp_like(F.coalesce(F.col("text"), F.lit("")), F.col("pattern")).alias("found"))
+    patterns = rules.select("rule_id", F.explode_outer("keywords").alias("keyword")).groupBy("rule_id").agg(F.sort_array(F.collect_list(pattern)).alias("any"))
+    either = F.when(F.size("any") > 0, F.concat(F.lit("(?i)("), F.array_join("any", "|"), F.lit(")")))
+    found = F.coalesce(F.regexp_like(F.coalesce(F.col("text"), F.lit("")), F.col("pattern")), F.lit(False))
+    return docs.select("doc_id", "text").join(patterns.select("rule_id", either.alias("pattern"))).select("doc_id", "rule_id", found.alias("found"))
 
 
 def keyword_hits(docs: DataFrame, rules: DataFrame) -> DataFrame:
     """rule_id, keyword, n_docs: in how many documents each keyword is evident."""
-    pairs = sorted({(r["rule_id"], k) for r in rules.select("rule_id", "keywords").collect() for k in r["keywords"]})
-    hit = F.array(*[F.struct(F.lit(r).alias("rule_id"), F.lit(k).alias("keyword"), keyword_test(k).alias("found")) for r, k in pairs])
-    return prepared(docs).select(F.inline(hit)).groupBy("rule_id", "keyword").agg(F.count_if("found").alias("n_docs"))
+    pairs = rules.select("rule_id", F.explode("keywords").alias("keyword")).distinct()
+    # A keyword is a rule of its own, named by its place.
+    named = pairs.select(F.to_json(F.struct("rule_id", "keyword")).alias("rule_id"), F.array("keyword").alias("keywords"))
+    counts = evidence(docs, named).groupBy("rule_id").agg(F.count_if("found").alias("n_docs"))
+    return counts.select(F.get_json_object("rule_id", "$.rule_id").alias("rule_id"), F.get_json_object("rule_id", "$.keyword").alias("keyword"), "n_docs")
 
 
 def status(kind: Column, required: Column, found: Column) -> Column:

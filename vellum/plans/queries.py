@@ -252,12 +252,12 @@ def image_paths(spark, sf):
     return A.match_names(refs, files.select(F.col("title").alias("name")))
 
 
-@query(f"""WITH {T.FILES_SQL}, f AS (SELECT file_id % 200 AS page_id, file_id AS file_pos, title AS name FROM files), i AS (SELECT file_id % 200 AS page_id, file_id AS img_pos, '/download/' || title || '?v=' || (file_id % 9) AS src FROM files WHERE file_id % 2 = 0)
+@query(f"""WITH {T.FILES_SQL}, f AS (SELECT file_id % 200 AS page_id, file_id AS file_pos, title AS name FROM files), i AS (SELECT file_id % 200 AS page_id, file_id AS img_pos, '/download/' || title || '?v=' || (file_id % 9) AS src FROM files)
 SELECT page_id, img_pos, arg_max(name, file_pos) AS file FROM i JOIN f USING (page_id) WHERE contains(src, name) GROUP BY ALL""")
 def embedded_images(spark, sf):
     files, k = T.files(spark, sf), F.col("file_id")
     own = files.select((k % 200).alias("page_id"), k.alias("file_pos"), F.col("title").alias("name"))
-    images = files.where("file_id % 2 = 0").select((k % 200).alias("page_id"), k.alias("img_pos"), F.concat(F.lit("/download/"), "title", F.lit("?v="), k % 9).alias("src"))
+    images = files.select((k % 200).alias("page_id"), k.alias("img_pos"), F.concat(F.lit("/download/"), "title", F.lit("?v="), k % 9).alias("src"))
     return A.contained_names(images, own)
 
 
@@ -581,12 +581,12 @@ def nearest_edge_label(spark, sf):
     return P.labels_to_edges(T.points(spark, sf), T.segments(spark, sf).withColumnRenamed("line_pos", "edge_pos"))
 
 
-@query("""SELECT conv_id AS image_id, role AS line, string_agg(substr(text, 1, 8), ' ' ORDER BY turn) AS label, min(turn * 10)::DOUBLE AS x, max(turn * 10 + 5)::DOUBLE - min(turn * 10)::DOUBLE AS width
-  FROM conversations WHERE turn % 7 <> 3 AND trim(substr(text, 1, 8)) <> '' GROUP BY conv_id, role HAVING length(string_agg(substr(text, 1, 8), ' ' ORDER BY turn)) >= 2""")
+@query("""SELECT conv_id AS image_id, role AS line, string_agg(text, ' ' ORDER BY turn) AS label, min(turn * 10)::DOUBLE AS x, max(turn * 10 + 5)::DOUBLE - min(turn * 10)::DOUBLE AS width
+  FROM conversations WHERE turn % 7 <> 3 AND trim(text) <> '' GROUP BY conv_id, role HAVING length(string_agg(text, ' ' ORDER BY turn)) >= 2""")
 def ocr_line_labels(spark, sf):
     t = F.col("turn")
     words = table(spark, sf, "conversations").select(
-        F.col("conv_id").alias("image_id"), F.lit(0).alias("block"), F.col("role").alias("line"), t.alias("pos"), F.substring("text", 1, 8).alias("text"), F.when(t % 7 == 3, 29.0).otherwise(30.0).alias("conf"),
+        F.col("conv_id").alias("image_id"), F.lit(0).alias("block"), F.col("role").alias("line"), t.alias("pos"), "text", F.when(t % 7 == 3, 29.0).otherwise(30.0).alias("conf"),
         (t * 10).cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(5.0).alias("w"), F.lit(9.0).alias("h"))
     return P.ocr_labels(words).select("image_id", "line", "label", "x", "width")
 

@@ -89,7 +89,7 @@ def event_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def event_groups(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "events").where("event_id % 3 = 0").groupBy(F.col("user_id").alias("diagram_id"), F.col("event_type").alias("label")).agg(
+    rows = table(spark, sf, "events").groupBy(F.col("user_id").alias("diagram_id"), F.col("event_type").alias("label")).agg(
         F.transform(F.array_sort(F.collect_list("event_id")), lambda i: F.concat(F.lit("n"), i)).alias("children"))
     pos = F.row_number().over(Window.partitionBy("diagram_id").orderBy("label")) - 1
     return rows.withColumn("pos", pos).withColumn("id", F.concat(F.lit("g_"), "label")).withColumn("style", F.when(F.col("label") == "click", "dashed").otherwise("solid")).withColumn("fill_color", F.when(F.col("label") == "view", "#ADD8E6"))
@@ -114,7 +114,7 @@ edges AS (
   FROM prior, (VALUES (0), (1)) AS t(k) WHERE source IS NOT NULL AND (k = 0 OR event_id % 40 = 0)),
 groups AS (
   SELECT user_id AS diagram_id, event_type AS label, list('n' || event_id ORDER BY event_id) AS children, row_number() OVER (PARTITION BY user_id ORDER BY event_type) - 1 AS pos
-  FROM events WHERE event_id % 3 = 0 GROUP BY user_id, event_type),
+  FROM events GROUP BY user_id, event_type),
 diagrams AS (SELECT DISTINCT user_id AS diagram_id FROM events UNION ALL SELECT -1)"""
 
 
@@ -133,12 +133,12 @@ def points(spark: SparkSession, sf: str) -> DataFrame:
 
 def segments(spark: SparkSession, sf: str) -> DataFrame:
     s, k = table(spark, sf, "orders"), F.col("o_orderkey")
-    return s.where("o_orderkey % 3 = 0").select((k % 500).alias("diagram_id"), k.alias("line_pos"), *[(k * m % n).cast("double").alias(c) for c, m, n in (("x1", 17, 950), ("y1", 23, 750), ("x2", 41, 950), ("y2", 59, 750))])
+    return s.select((k % 500).alias("diagram_id"), k.alias("line_pos"), *[(k * m % n).cast("double").alias(c) for c, m, n in (("x1", 17, 950), ("y1", 23, 750), ("x2", 41, 950), ("y2", 59, 750))])
 
 
 PLANE_SQL = """boxes AS (SELECT p_partkey % 500 AS diagram_id, p_partkey AS shape_pos, (p_partkey * 37 % 900)::DOUBLE AS x, (p_partkey * 53 % 700)::DOUBLE AS y, (p_size * 3 + 20)::DOUBLE AS width, (p_size * 2 + 15)::DOUBLE AS height FROM part),
 points AS (SELECT event_id % 500 AS diagram_id, event_id AS text_pos, event_type AS text, (event_id * 71 % 1000)::DOUBLE AS px, (event_id * 29 % 800)::DOUBLE AS py FROM events),
-segments AS (SELECT o_orderkey % 500 AS diagram_id, o_orderkey AS line_pos, (o_orderkey * 17 % 950)::DOUBLE AS x1, (o_orderkey * 23 % 750)::DOUBLE AS y1, (o_orderkey * 41 % 950)::DOUBLE AS x2, (o_orderkey * 59 % 750)::DOUBLE AS y2 FROM orders WHERE o_orderkey % 3 = 0)"""
+segments AS (SELECT o_orderkey % 500 AS diagram_id, o_orderkey AS line_pos, (o_orderkey * 17 % 950)::DOUBLE AS x1, (o_orderkey * 23 % 750)::DOUBLE AS y1, (o_orderkey * 41 % 950)::DOUBLE AS x2, (o_orderkey * 59 % 750)::DOUBLE AS y2 FROM orders)"""
 
 
 # File names from parts; page snapshots from documents; a web of nations.
