@@ -1,105 +1,146 @@
 """Macros in the storage format of wiki pages, taken out and put back.
 
-Each function is an expression over one HTML column; a page is never split over rows to
-find its macros.
+The `ac:` elements of a page are walked once, as they open and close, in Arrow batches of pages; what
+a page's text becomes is column expressions again.
 """
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass, field
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Kind, macro name, and the word of its placeholders.
-KINDS = (("markdown", "markdown", "MD"), ("mermaid", "mermaid[^\"]*", "MERMAID"), ("code", "code", "CODE"), ("noformat", "noformat", "NOFORMAT"))
-
-
-def macro_pattern(name: str) -> str:
-    """Groups: parameters, body."""
-    return (rf'(?is)<ac:structured-macro[^>]*ac:name="{name}"[^>]*>((?:(?!</ac:structured-macro>).)*?)<ac:plain-text-body>\s*<!\[CDATA\[(.*?)\]\]>\s*</ac:plain-text-body>.*?</ac:structured-macro>')
-
-
-def parameter(params: Column, name: str) -> Column:
-    return F.trim(F.regexp_extract(params, rf'(?is)<ac:parameter\s+ac:name="{name}"[^>]*>([^<]+)</ac:parameter>', 1))
-
-
-def blocks(html: Column, kind: str) -> Column:
-    """The blocks of a kind as Markdown, in order."""
-    name = {k: n for k, n, _ in KINDS}[kind]
-    params, bodies = (F.regexp_extract_all(html, F.lit(macro_pattern(name)), F.lit(i)) for i in (1, 2))
-    if kind == "markdown":
-        return bodies
-    if kind == "mermaid":
-        return F.transform(bodies, lambda b: F.concat(F.lit("```mermaid\n"), F.regexp_replace(b, r"^\s+|\s+$", ""), F.lit("\n```")))
-    if kind == "noformat":
-        return F.transform(bodies, lambda b: F.concat(F.lit("```\n"), b, F.lit("\n```")))
-
-    def code(p: Column, b: Column) -> Column:
-        title = parameter(p, "title")
-        return F.concat(F.when(title != "", F.concat(F.lit("**"), title, F.lit("**\n\n"))).otherwise(""), F.lit("```"), parameter(p, "language"), F.lit("\n"), b, F.lit("\n```"))
-
-    return F.zip_with(params, bodies, code)
-
-
-def placeholder(kind: str, index: Column) -> Column:
-    word = {k: w for k, _, w in KINDS}[kind]
-    return F.concat(F.lit(f"<!-- {word}_BLOCK_"), index.cast("string"), F.lit(" -->"))
-
-
-def lifted(html: Column, kind: str) -> Column:
-    """The HTML with numbered placeholders for the macros of a kind."""
-    name = {k: n for k, n, _ in KINDS}[kind]
-    pieces = F.split(html, macro_pattern(name), -1)
-    return F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))), F.struct(F.element_at(pieces, 1).alias("t"), F.lit(0).alias("i")),
-                       lambda acc, p: F.struct(F.concat(acc["t"], placeholder(kind, acc["i"]), p).alias("t"), (acc["i"] + 1).alias("i")), lambda acc: acc["t"])
-
-
-def spliced(text: Column, kind: str, found: Column) -> Column:
-    """Placeholders replaced by their blocks; blocks whose placeholder is missing come at the end."""
-    with_index = F.transform(found, lambda b, i: F.struct(b.alias("b"), i.alias("i")))
-    return F.aggregate(with_index, text, lambda acc, x: F.when(acc.contains(placeholder(kind, x["i"])), F.replace(acc, placeholder(kind, x["i"]), x["b"])).otherwise(F.concat(acc, F.lit("\n\n"), x["b"], F.lit("\n"))))
-
-
-EXCERPT = r'(?is)<ac:structured-macro[^>]*ac:name="excerpt"[^>]*>(.*?)<ac:rich-text-body>(.*?)</ac:rich-text-body>.*?</ac:structured-macro>'
-
-
-def excerpts(html: Column) -> Column:
-    """Names of the excerpts, excerpt_0 and so on where there is none."""
-    named = F.transform(F.regexp_extract_all(html, F.lit(EXCERPT), F.lit(1)), lambda p: parameter(p, "(?:name|atlassian-macro-output-type)"))
-    return F.transform(named, lambda n, i: F.when(n != "", n).otherwise(F.concat(F.lit("excerpt_"), i.cast("string"))))
-
-
-def marked_excerpts(html: Column) -> Column:
-    """Excerpt bodies between comments that name them."""
-    names, bodies = excerpts(html), F.regexp_extract_all(html, F.lit(EXCERPT), F.lit(2))
-    texts = F.zip_with(names, bodies, lambda n, b: F.concat(F.lit("<!-- EXCERPT: "), n, F.lit(" -->\n"), b, F.lit("\n<!-- /EXCERPT: "), n, F.lit(" -->")))
-    pieces = F.split(html, EXCERPT, -1)
-    return F.aggregate(F.sequence(F.lit(1), F.size(pieces)), F.lit(""), lambda acc, i: F.concat(acc, F.element_at(pieces, i), F.coalesce(F.get(texts, i - 1), F.lit(""))))
+#: Kinds of macros whose text is lifted out of a page; a name that begins with one of FAMILIES is of that kind.
+KINDS, FAMILIES = ("markdown", "mermaid", "code", "noformat"), ("mermaid",)
+#: An `ac:` tag, or a stretch in which tags are text.
+PIECE = re.compile(r"<!\[CDATA\[(?P<data>.*?)\]\]>|<(?P<close>/?)ac:(?P<tag>[\w-]+)(?P<attributes>[^>]*?)(?P<empty>/?)>", re.S)
+ATTRIBUTE = re.compile(r'ac:name\s*=\s*"([^"]*)"')
+
+
+@dataclass
+class Macro:
+    """A structured macro: where it stands, its parameters, and its body, which is text or, from `rich` on, markup."""
+
+    name: str
+    start: int
+    end: int = 0
+    parameters: dict[str, str] = field(default_factory=dict)
+    text: str | None = None
+    rich: tuple[int, int] | None = None
+
+    def kind(self) -> str | None:
+        """Of KINDS, if there is a text."""
+        if self.text is None:
+            return None
+        return next((k for k in KINDS if self.name == k or (k in FAMILIES and self.name.startswith(k))), None)
+
+    def markdown(self) -> str:
+        kind = self.kind()
+        if kind == "markdown":
+            return self.text
+        title, language, body = "", "", self.text
+        if kind == "code":
+            title, language = (self.parameters.get(x, "") for x in ("title", "language"))
+        elif kind == "mermaid":
+            language, body = "mermaid", body.strip()
+        return (f"**{title}**\n\n" if title else "") + f"```{language}\n{body}\n```"
+
+
+def macros(html: str) -> list[Macro]:
+    """All macros that are closed, in the order in which they begin; those inside others too."""
+    found, path, reading, at = [], [], None, 0
+    for piece in PIECE.finditer(html):
+        tag = (piece["tag"] or "").lower()
+        if piece["data"] is not None:
+            if reading == "plain-text-body" and path:
+                path[-1].text = (path[-1].text or "") + piece["data"]
+        elif tag == "structured-macro" and not piece["close"]:
+            name = ATTRIBUTE.search(piece["attributes"])
+            macro = Macro(name[1].lower() if name else "", piece.start())
+            if piece["empty"]:
+                macro.end = piece.end()
+                found.append(macro)
+            else:
+                path.append(macro)
+        elif tag == "structured-macro" and path:
+            macro = path.pop()
+            macro.end = piece.end()
+            found.append(macro)
+        elif tag in ("parameter", "plain-text-body", "rich-text-body") and path and not piece["empty"]:
+            if not piece["close"]:
+                name = ATTRIBUTE.search(piece["attributes"])
+                reading, at = (f"parameter {name[1] if name else ''}" if tag == "parameter" else tag), piece.end()
+                if tag == "rich-text-body":
+                    path[-1].rich = (at, at)
+            elif tag == "rich-text-body":
+                path[-1].rich = ((path[-1].rich or (piece.start(), 0))[0], piece.start())
+            else:
+                if reading and reading.startswith("parameter "):
+                    path[-1].parameters[reading[10:]] = html[at : piece.start()].strip()
+                reading = None
+    return sorted(found, key=lambda m: m.start)
+
+
+def mark(kind: str, index: int) -> str:
+    """What stands in a page for a block that is lifted out."""
+    return f"<!-- {kind} {index} -->"
+
+
+def lifted(html: str) -> tuple[list[dict], str]:
+    """The blocks of a page (kind, idx, content) by kind, and the page with marks for them and comments around the bodies of excerpts."""
+    changes, blocks, counts, excerpts = [], [], dict.fromkeys(KINDS, 0), 0
+    for macro in macros(html):
+        kind = macro.kind()
+        if kind:
+            blocks.append({"kind": kind, "idx": counts[kind], "content": macro.markdown()})
+            changes.append((macro.start, macro.end, mark(kind, counts[kind])))
+            counts[kind] += 1
+        elif macro.name == "excerpt" and macro.rich:
+            name = macro.parameters.get("name") or macro.parameters.get("atlassian-macro-output-type") or f"excerpt_{excerpts}"
+            changes += [(macro.start, macro.rich[0], f"<!-- EXCERPT: {name} -->\n"), (macro.rich[1], macro.end, f"\n<!-- /EXCERPT: {name} -->")]
+            excerpts += 1
+    out, at = [], 0
+    for start, end, text in sorted(changes):
+        if start >= at:
+            out += [html[at:start], text]
+            at = end
+    blocks.sort(key=lambda b: KINDS.index(b["kind"]))
+    return blocks, "".join(out) + html[at:]
+
+
+def walked(html: Column) -> Column:
+    """struct of blocks and page of lifted()."""
+
+    def run(pages: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([lifted(page or "") for page in pages], columns=["blocks", "page"])
+
+    return F.pandas_udf(run, "blocks array<struct<kind:string,idx:int,content:string>>, page string")(html)
+
+
+def spliced(text: Column, blocks: Column) -> Column:
+    """Marks replaced by their blocks; blocks whose mark is missing come at the end."""
+    place = lambda b: F.concat(F.lit("<!-- "), b["kind"], F.lit(" "), b["idx"].cast("string"), F.lit(" -->"))
+    return F.aggregate(blocks, text, lambda done, b: F.when(done.contains(place(b)), F.replace(done, place(b), b["content"])).otherwise(F.concat(done, F.lit("\n\n"), b["content"], F.lit("\n"))))
 
 
 def macro_blocks(pages: DataFrame, column: str = "storage_html") -> DataFrame:
     """page_id, kind, idx, content of all macros."""
-    out = None
-    for kind, _, _ in KINDS:
-        rows = pages.select("page_id", F.lit(kind).alias("kind"), F.posexplode(blocks(F.col(column), kind)).alias("idx", "content"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return pages.select("page_id", F.inline(walked(F.col(column))["blocks"]))
 
 
 def page_text(pages: DataFrame) -> DataFrame:
     """page_id, markdown: the view, or the storage format where there is no view, with the blocks of all macros."""
     from ..functions.text import html_to_markdown
 
-    storage = F.coalesce(F.col("storage_html"), F.lit(""))
-    raw = storage
-    for kind, _, _ in KINDS:
-        raw = lifted(raw, kind)
-    view = F.coalesce(F.nullif(F.col("view_html"), F.lit("")), marked_excerpts(raw))
+    rows = pages.select("page_id", "view_html", walked(F.col("storage_html")).alias("walked"))
+    view = F.coalesce(F.nullif(F.col("view_html"), F.lit("")), F.col("walked.page"))
     # Comments are kept from the tag stripper by marks of their own.
     guarded = F.regexp_replace(view, r"<!-- (.*?) -->", "\u0001$1\u0002")
     text = F.regexp_replace(html_to_markdown(guarded), "\u0001(.*?)\u0002", "<!-- $1 -->")
-    for kind, _, _ in KINDS:
-        text = spliced(text, kind, blocks(storage, kind))
-    return pages.select("page_id", text.alias("markdown"))
+    return rows.select("page_id", spliced(text, F.col("walked.blocks")).alias("markdown"))
 
 
 def inline_svgs(html: Column) -> Column:

@@ -1,85 +1,175 @@
 """PlantUML as diagrams and as Mermaid.
 
-A block is a list of lines; each kind of diagram has a table of line patterns and
-what they do to the state.  A block is small and its lines depend on those before, so
-this runs as an Arrow-batched function over blocks; finding blocks and everything about arrows is done with
-column expressions.
+A line is read from left to right by a small set of tokens: names, arrows, colours, the
+text after a colon.  Two constructs carry most of the language, the declaration of an element and the link
+of two elements, and all kinds of diagrams share them; what else there is begins with a word that names the method which reads it.
+A block is small and its lines depend on those before, so this runs as an Arrow-batched function over blocks;
+finding blocks and everything about single arrows is done with column expressions.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.diagrams import ARROW
 from ..schemas import AST, COLORS, SCHEMA_VERSION
 
-BLOCK = r"(?s)```(?:plantuml|puml)\s*\n(.*?)```|(@startuml.*?@enduml)"
 FILES = (".puml", ".plantuml", ".pu", ".wsd")
+FENCED, BARE = r"(?s)```(?:plantuml|puml)\s*\n(.*?)```", r"(?s)(@startuml.*?@enduml)"
+
+#: What a token is; blanks before it are skipped.
+TOKENS = {name: re.compile(rf"\s*{pattern}") for name, pattern in {
+    "word": r"(\w+)", "quoted": r'"([^"]*)"', "boxed": r"\[([^\]]+)\]", "title": r'([^"#{<]+?)(?=\s+as\s|\s*[#{<]|\s*$)', "arrow": ARROW + r"(?![-=.<>|])",
+    "stereotype": r"<<\s*(\w+)\s*>>", "color": r"#(\w+)", "open": r"(\{)", "close": r"(\})", "said": r":\s*(.*)$", "comma": r"(,)", "step": r"(\+\+|--)", "rest": r"(.*?)\s*$", "end": "()$"}.items()}
 
 
 def blocks(text: Column) -> Column:
     """Fenced blocks first, whatever they hold; then bare ones."""
-    fenced = F.regexp_extract_all(text, F.lit(r"(?s)```(?:plantuml|puml)\s*\n(.*?)```"), F.lit(1))
-    bare = F.regexp_extract_all(F.regexp_replace(text, r"(?s)```(?:plantuml|puml)\s*\n.*?```", ""), F.lit(r"(?s)(@startuml.*?@enduml)"), F.lit(1))
-    return F.concat(fenced, bare)
+    bare = F.regexp_extract_all(F.regexp_replace(text, FENCED, ""), F.lit(BARE), F.lit(1))
+    return F.concat(F.regexp_extract_all(text, F.lit(FENCED), F.lit(1)), bare)
+
+
+#: Fixed patterns of the kinds of diagrams, over the text in lower case.
+MESSAGES, CLASSES, PARTS = r"participant\s|actor\s+\w+\s|\w+\s*-+>+\s*\w+\s*:", r"\b(class|interface)\s+\w+", "(package|component|node|folder|cloud|database) "
 
 
 def diagram_type(block: Column) -> Column:
     """sequence, class, state, component or activity."""
     low = F.lower(block)
-    sequence = low.rlike(r"participant\s|actor\s+\w+\s|\w+\s*-+>+\s*\w+\s*:") & ~low.contains("class ") & ~low.contains("package ")
-    parts = low.rlike("(package|component|node|folder|cloud|database) ")
+    sequence = low.rlike(MESSAGES) & ~low.contains("class ") & ~low.contains("package ")
     activity = block.rlike(r":[\w\s]+;") | (low.contains("start") & low.contains("stop"))
-    return (F.when(sequence, "sequence").when(low.rlike(r"\b(class|interface)\s+\w+"), "class").when(block.contains("[*] -->") | low.contains("state "), "state")
-            .when(parts, "component").when(activity, "activity").otherwise("component"))
-
-
-def hue(name: str | None) -> str | None:
-    bare = (name or "").strip().lstrip("#")
-    return f"#{bare}" if re.fullmatch("[0-9a-fA-F]{3,8}", bare) else COLORS.get(bare.lower())
-
-
-def ident(name: str) -> str:
-    out = re.sub("[^a-zA-Z0-9_]", "_", name).strip("_")[:25]
-    return out if out and not out[0].isdigit() else f"n_{out}"
-
-
-def arrow(raw: str) -> dict:
-    """As functions.diagrams.parsed_arrow, for one arrow."""
-    tint = re.search(r"\[#([^\]]+)\]", raw)
-    body = re.sub(r"\[#[^\]]+\]", "", raw.strip())
-    step = re.search(r"(?<=[>x])(\+\+|--)$", body)
-    body = body[: step.start()] if step else body
-    lost = bool(re.search(r"[-.>=]x$", body))
-    body = re.sub(r"(?<=[-.>=])[xo]$", "", body)
-    core = body.strip("<>")
-    style = "thick" if "==" in core else "dotted" if ".." in core else "dashed" if re.fullmatch("--+", core) else "solid"
-    return {"style": style, "start": body.startswith("<"), "end": not lost and body.endswith(">"), "color": hue(tint[1]) if tint else None, "lost": lost, "step": {"++": 1, "--": -1}.get(step[1] if step else "", 0)}
-
-
-def relation(raw: str) -> str:
-    dots = ".." in raw
-    if "|>" in raw or "<|" in raw:
-        return "implements" if dots else "extends"
-    return "composition" if "*" in raw else "aggregation" if "o" in raw else "dependency" if dots else "association"
+    return (F.when(sequence, "sequence").when(low.rlike(CLASSES), "class").when(block.contains("[*] -->") | low.contains("state "), "state")
+            .when(low.rlike(PARTS), "component").when(activity, "activity").otherwise("component"))
+
+
+class Line:
+    """A line and how far it has been read."""
+
+    def __init__(self, text: str):
+        self.text, self.at = text, 0
+
+    def match(self, token: str) -> re.Match | None:
+        found = TOKENS[token].match(self.text, self.at)
+        if found:
+            self.at = found.end()
+        return found
+
+    def take(self, token: str) -> str | None:
+        found = self.match(token)
+        return found[1] if found else None
+
+    def word(self, *expected: str) -> str | None:
+        """The next word in lower case, if it is one of `expected`; any if none is given."""
+        at, word = self.at, (self.take("word") or "").lower()
+        if word and (not expected or word in expected):
+            return word
+        self.at = at
+        return None
+
+    def name(self) -> str | None:
+        for token in ("quoted", "word"):
+            if (found := self.take(token)) is not None:
+                return found
+        return None
+
+    def color(self) -> str | None:
+        return color(self.take("color"))
+
+
+def color(name: str | None) -> str | None:
+    """Hex digits with a `#`, or the value of a colour's name."""
+    digits = (name or "").lstrip("#")
+    if 3 <= len(digits) <= 8 and set(digits.lower()) <= set("0123456789abcdef"):
+        return "#" + digits
+    return COLORS.get(digits.lower())
+
+
+def key_of(title: str) -> str:
+    """The id of an element that has a title only: letters, digits and _, 25 at most, no digit first."""
+    key = "".join(c if c.isascii() and (c.isalnum() or c == "_") else "_" for c in title).strip("_")[:25]
+    return f"n_{key}" if not key or key[0].isdigit() else key
+
+
+@dataclass
+class Arrow:
+    left: str
+    shaft: str
+    color: str | None
+    head: str
+    mark: str
+    step: str
+
+    @classmethod
+    def of(cls, found: re.Match) -> Arrow:
+        left, before, hue, after, head, mark, step = (x or "" for x in found.groups()[:7])
+        return cls(left, before + after, color(hue) if hue else None, head, mark, step)
+
+    def style(self) -> str:
+        return "thick" if "==" in self.shaft else "dotted" if ".." in self.shaft else "dashed" if len(self.shaft) > 1 and set(self.shaft) == {"-"} else "solid"
+
+    def ends(self) -> tuple[bool, bool]:
+        """Whether there is a head at the start and at the end; an arrow that is lost has none at its end."""
+        return self.left.startswith("<"), bool(self.head) and self.mark != "x"
+
+    def relation(self) -> str:
+        """What the heads of a class diagram mean."""
+        signs, dotted = {self.left, self.head, self.mark}, ".." in self.shaft
+        if signs & {"<|", "|>"}:
+            return "implements" if dotted else "extends"
+        for sign, meaning in (("*", "composition"), ("o", "aggregation")):
+            if sign in signs:
+                return meaning
+        return "dependency" if dotted else "association"
+
+
+@dataclass
+class Declaration:
+    """`title as key <<stereotype>> #color {`, of which all but the title may be missing."""
+
+    title: str
+    key: str | None
+    stereotype: str
+    color: str | None
+    opens: bool
+
+    @classmethod
+    def read(cls, line: Line) -> Declaration | None:
+        """None where the line says anything more."""
+        quoted = line.take("quoted")
+        title = quoted if quoted is not None else (line.take("title") or "").strip()
+        key = None if quoted is not None or not re.fullmatch(r"\w+", title) else title
+        if line.word("as"):
+            if (other := line.take("quoted")) is not None:
+                title = other  # the title comes last
+            else:
+                key = line.take("word")
+        stereotype, tint, opens = line.take("stereotype") or "", line.color(), line.take("open") is not None
+        return cls(title, key, stereotype.lower(), tint, opens) if line.match("end") else None
 
 
-def code_lines(block: str) -> list[str]:
+def statements(block: str) -> list[str]:
     """Lines without blanks, comments and @ lines."""
-    bare = re.sub(r"(?s)/'.*?'/", "", block)
-    return [x for x in (line.strip() for line in bare.split("\n")) if x and x[0] not in "'@"]
+    text, kept = "", block
+    while "/'" in kept and "'/" in kept[kept.index("/'") :]:
+        before, after = kept.split("/'", 1)
+        text, kept = text + before, after.split("'/", 1)[1]
+    lines = (line.strip() for line in (text + kept).split("\n"))
+    return [line for line in lines if line and line[0] not in "'@"]
 
 
 class Diagram:
     """What a block says: nodes and groups by id, edges in order, and lines of Mermaid for sequences."""
 
-    def __init__(self, kind: str):
-        self.kind = kind
+    kind = "component"
+    ends = ("boxed", "quoted", "word")
+
+    def __init__(self):
         self.nodes: dict[str, dict] = {}
         self.groups: dict[str, dict] = {}
         self.edges: list[dict] = []
@@ -88,213 +178,314 @@ class Diagram:
         self.colors: dict[str, str] = {}
         self.arrow_colors: dict[str, str] = {}
 
-    def node(self, key: str, label: str | None = None, **more) -> dict:
+    def node(self, key: str, label: str | None = None, **more) -> str:
         node = self.nodes.setdefault(key, {"label": label or key, "shape": "rectangle", "color": None, "meta": {}})
         if label:
             node["label"] = label
         node.update(more)
-        return node
-
-    def edge(self, source: str, target: str, label: str = "", **more) -> None:
-        self.edges.append({"source": source, "target": target, "label": label.strip(), "style": "solid", "start": False, "end": True, "color": None, "rel": None} | more)
-
-
-Handler = Callable[[Diagram, re.Match], None]
-
-
-def read(block: str, kind: str) -> Diagram:
-    return {"sequence": read_sequence, "class": read_class, "state": read_state}.get(kind, read_component)(block)
-
-
-def read_component(block: str) -> Diagram:
-    d, open_groups = Diagram("component"), []
-    shapes = {"database": "database", "actor": "circle", "interface": "circle"}
-
-    def add(label: str, alias: str | None, tint: str | None, shape: str = "rectangle") -> None:
-        key = alias or ident(label)
-        d.node(key, label, shape=shape, color=hue(tint))
-        if d.nodes[key]["color"]:
-            d.colors[d.nodes[key]["color"]] = label
-        if open_groups:
-            d.groups[open_groups[-1]]["children"].append(key)
-
-    def named(name: str) -> str:
-        """An end of an edge: an alias or id that is known, or else a new node."""
-        key = name if name in d.nodes else ident(name)
-        if key not in d.nodes:
-            d.node(key, name)
         return key
 
-    for line in code_lines(block):
-        if m := re.match(r'(?i)(package|node|folder|cloud|rectangle|frame)\s+"?([^"{]*)"?\s*(?:as\s+(\w+))?\s*(?:#(\w+))?\s*\{', line):
-            label = m[2].strip()
-            key = m[3] or ident(label)
-            d.groups[key] = {"label": label, "children": []}
-            open_groups.append(key)
-            if hue(m[4]):
-                d.colors[hue(m[4])] = f"{label} ({m[1]})"
-        elif line == "}":
-            if open_groups:
-                open_groups.pop()
-        elif m := re.match(r"\[([^\]]+)\]\s*(?:as\s+(\w+))?\s*(?:#(\w+))?\s*$", line):
-            add(m[1].strip(), m[2], m[3])
-        elif m := re.match(r'(?i)(component|database|cloud|actor|interface)\s+"?([^"]*?)"?\s*(?:as\s+(\w+))?\s*(?:#(\w+))?$', line):
-            add(m[2].strip(), m[3], m[4], shapes.get(m[1].lower(), "rectangle"))
-        elif m := re.match(r"(?:\[([^\]]+)\]|(\w+))\s*(<?[-=.]+(?:\[#\w+\])?[-=.]*>?)\s*(?:\[([^\]]+)\]|(\w+))(?:\s*:\s*(.*))?", line):
-            a = arrow(m[3])
-            d.edge(named(m[1] or m[2]), named(m[4] or m[5]), m[6] or "", style=a["style"], start=a["start"], end=a["end"], color=a["color"])
-    return d
-
-
-def read_class(block: str) -> Diagram:
-    d, inside = Diagram("class"), None
-    for line in code_lines(block):
-        if m := re.match(r'(?i)(?:(abstract)\s+)?(class|interface|enum)\s+"?(\w+)"?\s*(?:<<(\w+)>>)?\s*(\{)?\s*$', line):
-            kind = m[4].lower() if m[4] else "abstract" if m[1] else "" if m[2].lower() == "class" else m[2].lower()
-            d.node(m[3], m[3], meta={"stereotype": kind, "members": [], "methods": []})
-            inside = m[3] if m[5] else None
-        elif line == "}":
-            inside = None
-        elif inside:
-            if "(" in line and ")" in line:
-                d.nodes[inside]["meta"]["methods"].append(line)
-            elif line not in ("{", "--", "==", ".."):
-                d.nodes[inside]["meta"]["members"].append(line)
-        elif m := re.match(r"(\w+)\s+([<>|.*o#x+\-]+)\s+(\w+)(?:\s*:\s*(.*))?", line):
-            for name in (m[1], m[3]):
-                if name not in d.nodes:
-                    d.node(name, name, meta={"stereotype": "", "members": [], "methods": []})
-            d.edge(m[1], m[3], m[4] or "", rel=relation(m[2]))
-    return d
-
-
-def read_state(block: str) -> Diagram:
-    d = Diagram("state")
-    for line in code_lines(block):
-        if m := re.match(r'(?i)state\s+"?([^"]+?)"?\s+as\s+(\w+)', line):
-            d.node(m[2], m[1])
-        elif m := re.match(r"(\[\*\]|\w+)\s*-+>\s*(\[\*\]|\w+)(?:\s*:\s*(.*))?", line):
-            for name in (m[1], m[2]):
-                if name != "[*]" and name not in d.nodes:
-                    d.node(name, name)
-            d.edge(m[1], m[2], m[3] or "")
-        elif m := re.match(r"(?i)state\s+(\w+)\s*\{?$", line):
-            d.node(m[1], m[1])
-    return d
-
-
-KEYWORDS = {"alt": "alt", "opt": "opt", "loop": "loop", "break": "break", "critical": "critical", "par": "par", "group": "rect rgb(240, 240, 240)"}
-SHAFT = r"<?(?:-+|\.\.|==)(?:\[#[^\]]+\])?(?:-+|\.\.|==)?>?>?[xo]?(?:\+\+|--)?"
-
-
-def read_sequence(block: str) -> Diagram:
-    d = Diagram("sequence")
-    say = d.lines.append
-    boxes, note, calls, depth = [], None, [], 0
-    first = lambda: next(iter(d.nodes), "A")
-
-    def part(name: str) -> str:
-        key = ident(name.strip('"'))
-        if key not in d.nodes:
-            d.node(key, name.strip('"'), meta={"role": "participant"})
-        return key
+    def coloured(self, tint: str | None, what: str) -> None:
+        if tint:
+            self.colors[tint] = what
+
+    def edge(self, source: str, target: str, label: str, arrow: Arrow, **more) -> None:
+        start, end = arrow.ends()
+        self.edges.append({"source": source, "target": target, "label": label.strip(), "style": arrow.style(), "start": start, "end": end, "color": arrow.color, "rel": None} | more)
+
+    def link(self, text: str) -> bool:
+        """Reads `one arrow other : label`; False if the line is no link."""
+        line, names = Line(text), []
+        for last in (False, True):
+            name = next((taken for token in self.ends if (taken := line.take(token)) is not None), None)
+            if name is None:
+                return False
+            names.append(name)
+            if not last:
+                found = line.match("arrow")
+                if not found:
+                    return False
+        arrow = Arrow.of(found)
+        arrow.step = line.take("step") or arrow.step
+        said = line.take("said")
+        if said is None and not line.match("end"):
+            return False
+        self.linked(*names, arrow, said or "")
+        return True
+
+    def read(self, block: str) -> Diagram:
+        for text in statements(block):
+            if self.within(text) or self.link(text):
+                continue
+            line = Line(text)
+            word = line.word()
+            reader = getattr(self, f"on_{word}", None) if word else self.other
+            if reader:
+                reader(line) if word is None else reader(word, line)
+        return self
+
+    def within(self, text: str) -> bool:
+        """Reads a line that belongs to something open."""
+        return False
+
+    def other(self, line: Line) -> None:
+        """Reads a line that begins with no word."""
+
+
+class Components(Diagram):
+    #: Shapes of declared elements.
+    shapes = {"database": "database", "actor": "circle", "interface": "circle"}
 
-    for line in code_lines(block):
-        low = line.lower()
-        if note is not None:
-            if re.match(r"end\s*note", low):
-                say(note[0] + "<br/>".join(note[1]))
-                note = None
+    def __init__(self):
+        super().__init__()
+        self.path: list[str] = []
+
+    def add(self, found: Declaration, shape: str = "rectangle") -> None:
+        key = self.node(found.key or key_of(found.title), found.title, shape=shape, color=found.color)
+        self.coloured(found.color, found.title)
+        if self.path:
+            self.groups[self.path[-1]]["children"].append(key)
+
+    def declared(self, word: str, line: Line) -> None:
+        found = Declaration.read(line)
+        if found and found.opens:
+            key = found.key or key_of(found.title)
+            self.groups[key] = {"label": found.title, "children": []}
+            self.path.append(key)
+            self.coloured(found.color, f"{found.title} ({word})")
+        elif found and word not in ("package", "folder", "frame"):
+            self.add(found, self.shapes.get(word, "rectangle"))
+
+    on_package = on_node = on_folder = on_cloud = on_rectangle = on_frame = on_component = on_database = on_actor = on_interface = declared
+
+    def other(self, line: Line) -> None:
+        if line.take("close") and self.path:
+            self.path.pop()
+        elif title := line.take("boxed"):
+            key = line.take("word") if line.word("as") else None
+            tint = line.color()
+            if line.match("end"):
+                self.add(Declaration(title.strip(), key, "", tint, False))
+
+    def linked(self, one: str, other: str, arrow: Arrow, label: str) -> None:
+        keys = [name if name in self.nodes else key_of(name) for name in (one, other)]
+        for key, name in zip(keys, (one, other)):
+            if key not in self.nodes:
+                self.node(key, name)
+        self.edge(*keys, label, arrow)
+
+
+class Classes(Diagram):
+    kind, ends = "class", ("quoted", "word")
+
+    def __init__(self):
+        super().__init__()
+        self.inside: str | None = None
+
+    def member(self, name: str, stereotype: str = "") -> str:
+        return self.node(name, name, meta={"stereotype": stereotype, "members": [], "methods": []})
+
+    def declared(self, word: str, line: Line) -> None:
+        if word == "abstract":
+            line.word("class")
+        found = Declaration.read(line)
+        if found and found.title:
+            name = self.member(found.key or key_of(found.title), found.stereotype or ("" if word == "class" else word))
+            self.inside = name if found.opens else None
+
+    on_class = on_interface = on_enum = on_abstract = declared
+
+    def within(self, text: str) -> bool:
+        if self.inside is None:
+            return False
+        if text == "}":
+            self.inside = None
+        elif not set(text) <= set("-=._{"):  # else a line between compartments
+            self.nodes[self.inside]["meta"]["methods" if "(" in text and ")" in text else "members"].append(text)
+        return True
+
+    def linked(self, one: str, other: str, arrow: Arrow, label: str) -> None:
+        for name in (one, other):
+            if name not in self.nodes:
+                self.member(name)
+        self.edge(one, other, label, arrow, rel=arrow.relation(), style="solid", start=False, end=True, color=None)
+
+
+class States(Diagram):
+    kind, ends = "state", ("boxed", "word")
+
+    def on_state(self, word: str, line: Line) -> None:
+        found = Declaration.read(line)
+        if found and found.title:
+            self.node(found.key or key_of(found.title), found.title)
+
+    def linked(self, one: str, other: str, arrow: Arrow, label: str) -> None:
+        ends = ["[*]" if name == "*" else name for name in (one, other)]
+        for name in ends:
+            if name != "[*]" and name not in self.nodes:
+                self.node(name, name)
+        self.edge(*ends, label, arrow, style="solid", start=False, end=True, color=None)
+
+
+#: Fixed value: how a group without a kind of its own is drawn.
+SHADED = "rect rgb(240, 240, 240)"
+
+
+class Sequence(Diagram):
+    kind, ends = "sequence", ("quoted", "word")
+
+    def __init__(self):
+        super().__init__()
+        self.note: tuple[str, list[str]] | None = None
+        self.calls: list[tuple[str, str]] = []
+        self.depth = 0
+
+    def say(self, *lines: str) -> None:
+        self.lines += [line.rstrip() for line in lines]
+
+    def first(self) -> str:
+        return next(iter(self.nodes), "A")
+
+    def names(self, line: Line) -> str:
+        """Words with commas between them."""
+        found = [line.take("word")]
+        while found[-1] and line.take("comma"):
+            found.append(line.take("word"))
+        return ",".join(x for x in found if x)
+
+    def within(self, text: str) -> bool:
+        line = Line(text)
+        if self.note:
+            if line.word("endnote") or (line.word("end") and line.word("note")):
+                self.say(self.note[0] + "<br/>".join(self.note[1]))
+                self.note = None
             else:
-                note[1].append(line)
-        elif depth:
-            depth += line.count("{") - line.count("}")
-            if m := re.match(r"(\w+)\s+(#\w+)", line):
-                if hue(m[2]):
-                    d.colors[hue(m[2])] = f"skinparam {m[1]}"
-        elif low.startswith("skinparam "):
-            depth = line.count("{") - line.count("}")
-            if (m := re.match(r"(?i)skinparam\s+\w+\s+(#\w+)", line)) and hue(m[1]):
-                d.colors[hue(m[1])] = "skinparam"
-        elif m := re.match(r"(?i)title\s+(.*)", line):
-            d.title = m[1].strip()
-        elif low.startswith("autonumber"):
-            say("autonumber")
-        elif m := re.match(r"==\s*(.*?)\s*==$", line):
-            say(f"Note over {first()}: --- {m[1]} ---")
-        elif m := re.match(r'(?i)box\s*"?([^"#]*?)"?\s*(?:#(\w+))?$', line):
-            boxes.append(m[1])
-            say(f"box {m[1]}".rstrip())
-        elif re.match(r"end\s*box", low):
-            say("end")
-        elif m := re.match(r'(?i)(create\s+)?(participant|actor|entity|boundary|control|database|collections|queue)\s+(?:"([^"]+)"|(\w+))(?:\s+as\s+(?:"([^"]+)"|(\w+)))?\s*(?:#(\w+))?\s*$', line):
-            label, key = (m[3] or m[4], m[6]) if m[6] else (m[5] or m[3] or m[4], m[4] or ident(m[3]))
-            role = "actor" if m[2].lower() == "actor" else "participant"
-            d.node(key or ident(label), label, color=hue(m[7]), meta={"role": role})
-            if hue(m[7]):
-                d.colors[hue(m[7])] = label
-            say(f"{'create ' if m[1] else ''}{role} {key} as {label}")
-        elif m := re.match(r"(?i)create\s+(\w+)$", line):
-            d.node(m[1], m[1], meta={"role": "participant"})
-            say(f"create participant {m[1]} as {m[1]}")
-        elif m := re.match(r"(?i)(destroy|activate|deactivate)\s+(\w+)", line):
-            say(f"{m[1].lower()} {m[2]}")
-        elif m := re.match(r"(?i)return\s*(.*)", line):
-            if calls:
-                source, target = calls.pop()
-                say(f"{target}-->>{source}: {m[1].strip()}")
+                self.note[1].append(text)
+            return True
+        if self.depth:
+            self.depth += text.count("{") - text.count("}")
+            setting = line.take("word")
+            if setting:
+                self.coloured(line.color(), f"skinparam {setting}")
+            return True
+        return False
+
+    def on_skinparam(self, word: str, line: Line) -> None:
+        self.depth = line.text.count("{") - line.text.count("}")
+        if not self.depth and line.take("word"):
+            self.coloured(line.color(), "skinparam")
+
+    def on_title(self, word: str, line: Line) -> None:
+        self.title = line.take("rest")
+
+    def on_autonumber(self, word: str, line: Line) -> None:
+        self.say("autonumber")
+
+    def on_box(self, word: str, line: Line) -> None:
+        quoted = line.take("quoted")
+        self.say(f"box {quoted if quoted is not None else (line.take('title') or '').strip()}")
+
+    def participant(self, word: str, line: Line, made: str = "") -> None:
+        found = Declaration.read(line)
+        if found and found.title:
+            role, key = "actor" if word == "actor" else "participant", found.key or key_of(found.title)
+            self.node(key, found.title, color=found.color, meta={"role": role})
+            self.coloured(found.color, found.title)
+            self.say(f"{made}{role} {key} as {found.title}")
+
+    on_participant = on_actor = on_entity = on_boundary = on_control = on_database = on_collections = on_queue = participant
+
+    def on_create(self, word: str, line: Line) -> None:
+        role = line.word("participant", "actor", "entity", "boundary", "control", "database", "collections", "queue")
+        self.participant(role or "participant", line, "create ")
+
+    def life(self, word: str, line: Line) -> None:
+        if name := line.name():
+            self.say(f"{word} {name}")
+
+    on_activate = on_deactivate = on_destroy = life
+
+    def on_return(self, word: str, line: Line) -> None:
+        text = line.take("rest")
+        if self.calls:
+            source, target = self.calls.pop()
+            self.say(f"{target}-->>{source}: {text}")
+        else:
+            self.say(f"%% return {text}")
+
+    def on_note(self, word: str, line: Line) -> None:
+        side = line.word("left", "right", "over")
+        if side:
+            line.word("of")
+            whom = self.names(line) or self.first()
+            line.take("color")
+            head = f"Note {side if side == 'over' else side + ' of'} {whom}: "
+            text = line.take("said")
+            if text is None:
+                self.note = (head, [])
             else:
-                say(f"%% return {m[1].strip()}")
-        elif m := re.match(r"(?i)[hr]?note\s+(left|right|over)(?:\s+of)?\s*((?:\w+)(?:\s*,\s*\w+)*)?\s*(?:#\w+)?\s*(?::\s*(.*))?$", line):
-            whom = re.sub(r"\s", "", m[2] or first())
-            head = f"Note {m[1].lower() + ' of' if m[1].lower() != 'over' else 'over'} {whom}: "
-            if m[3] is None:
-                note = (head, [])
-            else:
-                say(head + m[3])
-        elif m := re.match(r"(?i)ref\s+over\s+(\w+(?:\s*,\s*\w+)*)\s*:\s*(.*)", line):
-            for text in ("rect rgb(240, 240, 240)", f"    Note over {re.sub(r'\s', '', m[1])}: ref: {m[2]}", "end"):
-                say(text)
-        elif (m := re.match(r"(?i)(alt|opt|loop|break|critical|par|group)\b\s*(.*)", line)) and not re.search(SHAFT + r"\s*\w", line):
-            word = m[1].lower()
-            say(KEYWORDS[word] if word == "group" else f"{word} {m[2]}".rstrip())
-            if word == "group" and m[2]:
-                say(f"    Note over {first()}: {m[2]}")
-        elif m := re.match(r"(?i)(else|and)\b\s*(.*)", line):
-            say(f"{m[1].lower()} {m[2]}".rstrip())
-        elif low == "end":
-            say("end")
-        elif m := re.match(r"\.\.\.(.*?)(?:\.\.\.)?$", line):
-            say(f"Note over {first()}: ⏳ {m[1].strip() or 'delay'}")
-        elif m := re.match(rf'("[^"]+"|\w+)\s*({SHAFT})\s*("[^"]+"|\w+)(\s*(?:\+\+|--))?(?:\s*:\s*(.*))?$', line):
-            source, target = part(m[1]), part(m[3])
-            a = arrow(m[2] + (m[4] or "").strip())
-            if a["start"] and not a["end"]:
-                source, target, a = target, source, a | {"start": False, "end": True}
-            if a["color"]:
-                d.arrow_colors[a["color"]] = (m[5] or "").strip() or f"{source} to {target}"
-            dashed = a["style"] in ("dashed", "dotted")
-            head = "--x" if a["lost"] and a["style"] == "dashed" else "-x" if a["lost"] else ("--" if dashed else "-") + (">>" if a["end"] else ">")
-            say(f"{source}{head}{'' if a['lost'] else {1: '+', -1: '-'}.get(a['step'], '')}{target}: {(m[5] or '').strip()}".rstrip())
-            calls.append((source, target))
-            d.edge(source, target, m[5] or "", style=a["style"], start=a["start"], end=a["end"], color=a["color"])
-    return d
+                self.say(head + text)
+
+    on_hnote = on_rnote = on_note
+
+    def on_ref(self, word: str, line: Line) -> None:
+        if line.word("over"):
+            whom = self.names(line)
+            self.say(SHADED, f"    Note over {whom}: ref: {line.take('said') or ''}", "end")
+
+    def fragment(self, word: str, line: Line) -> None:
+        self.say(f"{word} {line.take('rest')}")
+
+    on_alt = on_opt = on_loop = on_break = on_critical = on_par = on_else = on_and = fragment
+
+    def on_group(self, word: str, line: Line) -> None:
+        self.say(SHADED)
+        if text := line.take("rest"):
+            self.say(f"    Note over {self.first()}: {text}")
+
+    def on_end(self, word: str, line: Line) -> None:
+        self.say("end")
+
+    on_endbox = on_end
+
+    def other(self, line: Line) -> None:
+        text = line.text
+        if text.startswith("==") and text.endswith("=="):
+            self.say(f"Note over {self.first()}: --- {text.strip('= ')} ---")
+        elif text.startswith("..."):
+            self.say(f"Note over {self.first()}: ⏳ {text.strip('. ') or 'delay'}")
+
+    def linked(self, one: str, other: str, arrow: Arrow, label: str) -> None:
+        keys = [key_of(name) for name in (one, other)]
+        for key, name in zip(keys, (one, other)):
+            if key not in self.nodes:
+                self.node(key, name, meta={"role": "participant"})
+        if arrow.ends() == (True, False):  # an arrow to the left is a message the other way round
+            keys.reverse()
+            arrow = Arrow("", arrow.shaft, arrow.color, ">", arrow.mark, arrow.step)
+        if arrow.color:
+            self.arrow_colors[arrow.color] = label.strip() or f"{keys[0]} to {keys[1]}"
+        style, lost = arrow.style(), arrow.mark == "x"
+        if lost:
+            sign = "--x" if style == "dashed" else "-x"
+        else:
+            sign = ("--" if style in ("dashed", "dotted") else "-") + (">>" if arrow.ends()[1] else ">") + {"++": "+", "--": "-"}.get(arrow.step, "")
+        self.say(f"{keys[0]}{sign}{keys[1]}: {label.strip()}")
+        self.calls.append((keys[0], keys[1]))
+        self.edge(*keys, label, arrow)
+
+
+def read(block: str, kind: str) -> Diagram:
+    return {"sequence": Sequence, "class": Classes, "state": States}.get(kind, Components)().read(block)
 
 
 def legend(d: Diagram) -> list[str]:
-    """Comments on colours and line styles."""
-    out = []
-    if d.colors:
-        out += ["", "    %% Visual Legend:", "    %% Colors:", *(f"    %%   {c} = {what}" for c, what in d.colors.items())]
-    if d.arrow_colors:
-        out += ["    %% Arrow Colors:", *(f"    %%   {c} arrow = {what}" for c, what in d.arrow_colors.items())]
-    styles, both = {e["style"] for e in d.edges}, any(e["start"] and e["end"] for e in d.edges)
-    if d.kind == "component" and (len(styles) > 1 or both):
-        names = {"solid": "Solid (-->) = Synchronous / confirmed dependency", "dashed": "Dashed (-.->) = Async / optional / return", "thick": "Thick (==>) = Critical / primary path"}
-        out += ["    %% Line Styles:", *(f"    %%   {text}" for s, text in names.items() if s in styles)]
-        if both:
-            out.append("    %%   Bidirectional (<-->) = Mutual dependency")
-    return out
+    """Comments that tell what colours and lines stand for."""
+    out = [f"    %% {c}: {what}" for c, what in d.colors.items()] + [f"    %% arrows in {c}: {what}" for c, what in d.arrow_colors.items()]
+    styles = list(dict.fromkeys(e["style"] for e in d.edges))
+    if d.kind == "component" and len(styles) > 1:
+        out += [f"    %% {style} lines: {sum(e['style'] == style for e in d.edges)}" for style in styles]
+    return ["", *out] if out else []
 
 
 def flow_arrow(e: dict) -> str:
@@ -373,16 +564,15 @@ def rewritten(pages: DataFrame, column: str = "markdown") -> DataFrame:
         def fence(m: re.Match) -> str:
             body = m[1]
             low = body.lower()
-            kind = ("sequence" if re.search(r"participant\s|actor\s+\w+\s|\w+\s*-+>+\s*\w+\s*:", low) and "class " not in low and "package " not in low
-                    else "class" if re.search(r"\b(class|interface)\s+\w+", low) else "state" if "[*] -->" in body or "state " in low else "component")
+            messages = re.search(MESSAGES, low) and "class " not in low and "package " not in low
+            kind = "sequence" if messages else "class" if re.search(CLASSES, low) else "state" if "[*] -->" in body or "state " in low else "component"
             try:
                 return f"```mermaid\n{mermaid(read(body, kind))}\n```"
             except Exception:  # noqa: BLE001
                 return m[0]
 
         def one(t: str) -> str:
-            t = re.sub(r"(?s)```(?:plantuml|puml)\s*\n(.*?)```", fence, t)
-            return re.sub(r"(?s)(@startuml.*?@enduml)", fence, t)
+            return re.sub(BARE, fence, re.sub(FENCED, fence, t))
 
         return text.map(one, na_action="ignore")
 
