@@ -279,3 +279,25 @@ def test_repairs_and_pages(spark):
     page = "a\n```mermaid\ngraph LR\n  A —> B\n```\nb —> c\n```mermaid\nnone\n```"
     row = spark.range(1).select(X.autofix_page(F.lit(page)).alias("p"), X.invalid_blocks(F.lit(page)).alias("bad")).first()
     assert row.p == "a\n```mermaid\ngraph LR\n  A --> B\n```\nb —> c\n```mermaid\nnone\n```" and row.bad == [1]
+
+
+def test_rule_evidence_is_the_same_on_both_ways(spark):
+    docs = spark.createDataFrame([(1, "Use TLS; token=abc"), (2, None), (3, "tlsx v1, nothing")], "doc_id long, text string")
+    rules = spark.createDataFrame([("a", ["tls"]), ("b", []), ("c", ["token=", "zz"]), ("d", ["v1"])], "rule_id string, keywords array<string>")
+    one, many = (sorted(map(tuple, validation.evidence(docs, rules, n).collect())) for n in (500, 1))
+    assert one == many and len(one) == 12 and [r for r in one if r[2]] == [(1, "a", True), (1, "c", True), (3, "d", True)]
+
+
+def test_plantuml_links_and_declarations():
+    assert [plantuml.key_of(t) for t in ("Web App", "9x", "é", "a" * 30)] == ["Web_App", "n_9x", "n_", "a" * 25]
+    d = plantuml.read("A <|.. B\nabstract class C {\n  x\n  --\n  f()\n}\nC o-- \"many\"\n/' note\n over lines '/\nenum E", "class")
+    assert [e["rel"] for e in d.edges] == ["implements", "aggregation"] and d.nodes["C"]["meta"] == {"stereotype": "abstract", "members": ["x"], "methods": ["f()"]} and "E" in d.nodes
+    d = plantuml.read("A -[#red]->x B ++ : gone\nB <- A : back", "sequence")
+    assert d.lines == ["A--xB: gone", "A->>B: back"] and d.arrow_colors == {"#FF0000": "gone"}
+
+
+def test_nested_macros():
+    inner = '<ac:structured-macro ac:name="code"><ac:parameter ac:name="language">sql</ac:parameter><ac:plain-text-body><![CDATA[a </ac:structured-macro> b]]></ac:plain-text-body></ac:structured-macro>'
+    page = f'x<ac:structured-macro ac:name="panel"><ac:rich-text-body>y{inner}z</ac:rich-text-body></ac:structured-macro>'
+    blocks, text = macros.lifted(page)
+    assert blocks == [{"kind": "code", "idx": 0, "content": "```sql\na </ac:structured-macro> b\n```"}] and "y<!-- code 0 -->z" in text

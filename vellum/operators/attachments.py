@@ -91,3 +91,14 @@ def mermaid_for_images(refs: DataFrame, manifest: DataFrame, files: DataFrame) -
     ast = kept.where(F.col("name").endswith(".ast.json")).groupBy("stem").agg(F.min_by("mermaid", "name").alias("fs_ast"))
     out = refs.withColumn("stem", stem(F.col("image"))).join(manifest, "image", "left").join(mmd, "stem", "left").join(ast, "stem", "left")
     return out.select("image", F.coalesce("mmd", "ast_mmd", "fs_mmd", "fs_ast").alias("mermaid"))
+
+
+def known_files(scanned: DataFrame, listed: DataFrame) -> DataFrame:
+    """page_id, pos, name: the files of either table (page_id, pos, name), each name once a page, in order of its least place."""
+    rows = scanned.select("page_id", "pos", "name").unionByName(listed.select("page_id", "pos", "name"))
+    return rows.groupBy("page_id", "name").agg(F.min("pos").alias("pos")).select("page_id", "pos", "name")
+
+
+def rendered_summary(images: DataFrame) -> DataFrame:
+    """page_id, n_images, n_diagrams: the images of a page (page_id, name, rendered) and the different diagrams that they are rendered as."""
+    return images.groupBy("page_id").agg(F.count("name").alias("n_images"), F.count_distinct("rendered").alias("n_diagrams"))

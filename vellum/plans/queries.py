@@ -316,6 +316,33 @@ def link_closure(spark, sf):
     return L.closure(T.links(spark, sf))
 
 
+@query(f"""WITH RECURSIVE {T.LINKS_SQL}, e AS (SELECT DISTINCT page_id AS a, linked_page_id AS b FROM links WHERE page_id <> linked_page_id),
+walk AS (SELECT DISTINCT a AS root, a AS page_id, 0 AS depth FROM e UNION SELECT root, b, depth + 1 FROM walk JOIN e ON page_id = a WHERE depth < 3),
+best AS (SELECT root, page_id, min(depth) AS depth FROM walk WHERE page_id <> root GROUP BY ALL),
+places AS (SELECT root, page_id, depth FROM best QUALIFY row_number() OVER (PARTITION BY root ORDER BY depth, page_id) <= 15 UNION ALL SELECT n_nationkey, n_nationkey, 0 FROM nation),
+outward AS (SELECT p.root, p.page_id, p.depth, e.b, q.depth AS to_depth FROM places p JOIN e ON e.a = p.page_id LEFT JOIN places q ON q.root = p.root AND q.page_id = e.b),
+brings AS (SELECT root, b, min(page_id) AS page_id FROM outward WHERE to_depth = depth + 1 GROUP BY ALL),
+notes AS (SELECT root, page_id, string_agg(b, ', ' ORDER BY b) AS refs FROM outward o WHERE NOT EXISTS (SELECT 1 FROM brings x WHERE x.root = o.root AND x.b = o.b AND x.page_id = o.page_id) GROUP BY ALL),
+sections AS (SELECT root, depth, page_id, CASE WHEN depth = 0 THEN '' ELSE '## Page ' || page_id || chr(10) || chr(10) END || n_comment || coalesce(chr(10) || chr(10) || 'See pages ' || refs, '') AS t
+  FROM places JOIN nation ON n_nationkey = page_id LEFT JOIN notes USING (root, page_id))
+SELECT root, count(*) AS n_pages, string_agg(t, chr(10) || chr(10) ORDER BY depth, page_id) AS markdown FROM sections GROUP BY root""".replace("n_comment", "n_name"))
+def inlined_pages(spark, sf):
+    return L.inlined(table(spark, sf, "nation").select(F.col("n_nationkey").alias("page_id"), F.col("n_name").alias("text")), T.links(spark, sf))
+
+
+@query("""SELECT l_partkey AS page_id, l_returnflag AS name, min(pos) AS pos FROM (SELECT l_partkey, l_returnflag, l_linenumber::BIGINT AS pos FROM lineitem UNION ALL SELECT l_partkey, l_linestatus, 100 + l_linenumber FROM lineitem) GROUP BY ALL""")
+def known_files(spark, sf):
+    rows, n = table(spark, sf, "lineitem"), F.col("l_linenumber").cast("long")
+    page = F.col("l_partkey").alias("page_id")
+    return A.known_files(rows.select(page, n.alias("pos"), F.col("l_returnflag").alias("name")), rows.select(page, (n + 100).alias("pos"), F.col("l_linestatus").alias("name")))
+
+
+@query("SELECT l_orderkey AS page_id, count(*) AS n_images, count(DISTINCT CASE WHEN l_linenumber % 4 <> 0 THEN l_returnflag END) AS n_diagrams FROM lineitem GROUP BY l_orderkey")
+def rendered_summary(spark, sf):
+    rows = table(spark, sf, "lineitem")
+    return A.rendered_summary(rows.select(F.col("l_orderkey").alias("page_id"), F.lit("image").alias("name"), F.when(F.col("l_linenumber") % 4 != 0, F.col("l_returnflag")).alias("rendered")))
+
+
 # Graphs.
 
 @query(f"WITH {T.GRAPH_SQL} SELECT diagram_id, pos, id, label, shape, x, y FROM nodes")
@@ -568,10 +595,12 @@ def line_edges(spark, sf):
     return P.lines_to_edges(T.segments(spark, sf), T.boxes(spark, sf))
 
 
-@query(f"""WITH {T.PLANE_SQL} SELECT o.diagram_id, o.shape_pos, string_agg(i.shape_pos, ',' ORDER BY i.shape_pos) AS children FROM boxes o JOIN boxes i ON o.diagram_id = i.diagram_id AND o.shape_pos <> i.shape_pos
+# Boxes near each other, so that some hold others.
+@query(f"""WITH {T.PLANE_SQL}, near AS (SELECT * REPLACE (x % 100 AS x, y % 100 AS y) FROM boxes) SELECT o.diagram_id, o.shape_pos, string_agg(i.shape_pos, ',' ORDER BY i.shape_pos) AS children FROM near o JOIN near i ON o.diagram_id = i.diagram_id AND o.shape_pos <> i.shape_pos
   AND i.x >= o.x AND i.y >= o.y AND i.x + i.width <= o.x + o.width AND i.y + i.height <= o.y + o.height AND o.width * o.height > 1.5 * i.width * i.height GROUP BY ALL HAVING count(*) >= 1""")
 def containment_groups(spark, sf):
-    return P.containment_groups(T.boxes(spark, sf), least=1).withColumn("children", F.array_join(F.col("children").cast("array<string>"), ","))
+    near = T.boxes(spark, sf).withColumn("x", F.col("x") % 100).withColumn("y", F.col("y") % 100)
+    return P.containment_groups(near, least=1).withColumn("children", F.array_join(F.col("children").cast("array<string>"), ","))
 
 
 @query(f"""WITH {T.PLANE_SQL}, t AS (SELECT *, CASE WHEN x1 = x2 AND y1 = y2 THEN 0 ELSE greatest(0, least(1, ((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) END AS t FROM points JOIN segments USING (diagram_id)),

@@ -25,79 +25,68 @@ SEVERITIES = ("critical", "high", "medium", "low")
 WEIGHTS = {"patterns": 30, "standards": 30, "security": 40}
 PASS_FROM, WARN_FROM = 70, 50
 
-# The rules that ship, as id | kind | severity | required | keywords.
-_RULES = """
-PAT-001 | rule | high | Y | repository; data access; persistence; DAO
-PAT-002 | rule | high | Y | dependency injection; DI; IoC; inject; container
-PAT-003 | rule | high | Y | API gateway; gateway; entry point; facade
-PAT-004 | rule | medium | N | factory; create; builder
-PAT-005 | rule | medium | N | circuit breaker; resilience; fallback; retry
-PAT-006 | rule | medium | N | event; message; queue; pub/sub
-ANTI-001 | anti_pattern | high | - | manager; handler; processor
-STD-001 | rule | high | Y | v1; v2; version; API version
-STD-002 | rule | medium | Y | overview; diagram; description; context
-STD-003 | rule | high | Y | error; exception; handling; retry; fallback
-STD-004 | rule | medium | Y | Service; Controller; Repository; Handler
-STD-005 | rule | medium | Y | health; liveness; readiness
-STD-006 | rule | medium | Y | configuration; config; environment
-STD-007 | rule | medium | Y | logging; log; monitoring; observability
-STD-008 | rule | low | N | schema; database; ERD; data model
-SEC-001 | rule | critical | Y | authentication; auth; OAuth; JWT; SSO
-SEC-002 | rule | critical | Y | authorization; RBAC; permission; access control
-SEC-003 | rule | critical | Y | encryption; TLS; HTTPS; AES; at rest
-SEC-004 | rule | critical | Y | secrets; vault; key management
-SEC-005 | rule | high | Y | validation; sanitize; input validation
-SEC-006 | rule | critical | Y | parameterized; prepared statement; ORM
-SEC-007 | rule | high | Y | audit; audit log; security log
-SEC-008 | rule | medium | N | rate limit; throttle
-SEC-009 | rule | medium | N | CORS; cross-origin
-VULN-001 | vulnerability | critical | - | password=; secret=; apikey=; token=
-"""
-#: Rules of our own whose words occur in invented prose, so that every grade is reached.
-_PROBES = """
-PAT-101 | rule | high | Y | that; the; que; die
-PAT-102 | rule | high | Y | with; in; de; der
-PAT-103 | rule | high | Y | this; and; la; und
-PAT-104 | rule | high | Y | from; of; el; das
-PAT-105 | rule | medium | N | ther; les; los; ein
-PAT-106 | rule | medium | N | than; des; del; von
-ANTI-101 | anti_pattern | high | - | thre; tres
-STD-101 | rule | high | Y | it; le; en; ist
-STD-102 | rule | medium | Y | is; un; se; zu
-STD-103 | rule | high | Y | to; et; las; den
-STD-104 | rule | medium | Y | as; qui; por; mit
-STD-105 | rule | medium | Y | at; dans; con; im
-STD-106 | rule | medium | Y | be; pour; para; auf
-STD-107 | rule | low | N | by; sur; su; nicht
-SEC-101 | rule | critical | Y | on; par; al; eine
-SEC-102 | rule | critical | Y | or; au; lo; als
-SEC-103 | rule | critical | Y | for; avec; como; auch
-SEC-104 | rule | high | Y | was; ne; pero; es
-SEC-105 | rule | high | Y | are; pas; sus; an
-SEC-106 | rule | medium | N | an; on; le; ar
-SEC-107 | rule | critical | Y | he; il; ha; er
-VULN-101 | vulnerability | critical | - | password=; secret=; apikey=; token=
-"""
-
-
-def _parsed(text: str) -> list[tuple]:
-    rows = []
-    for line in text.strip().splitlines():
-        rule_id, kind, severity, required, keywords = (part.strip() for part in line.split("|"))
-        category = {"PAT": "patterns", "ANTI": "patterns", "STD": "standards", "SEC": "security", "VULN": "security"}[rule_id.split("-")[0]]
-        rows.append((rule_id, category, kind, severity, required == "Y", [k.strip() for k in keywords.split(";")]))
-    return rows
-
-
 RULE = "rule_id string, category string, kind string, severity string, required boolean, keywords array<string>"
-SHIPPED_RULES, PROBE_RULES = _parsed(_RULES), _parsed(_PROBES)
+# The rules that ship.
+SHIPPED_RULES = [
+    ("PAT-001", "patterns", "rule", "high", True, ["repository", "data access", "persistence", "DAO"]),
+    ("PAT-002", "patterns", "rule", "high", True, ["dependency injection", "DI", "IoC", "inject", "container"]),
+    ("PAT-003", "patterns", "rule", "high", True, ["API gateway", "gateway", "entry point", "facade"]),
+    ("PAT-004", "patterns", "rule", "medium", False, ["factory", "create", "builder"]),
+    ("PAT-005", "patterns", "rule", "medium", False, ["circuit breaker", "resilience", "fallback", "retry"]),
+    ("PAT-006", "patterns", "rule", "medium", False, ["event", "message", "queue", "pub/sub"]),
+    ("ANTI-001", "patterns", "anti_pattern", "high", False, ["manager", "handler", "processor"]),
+    ("STD-001", "standards", "rule", "high", True, ["v1", "v2", "version", "API version"]),
+    ("STD-002", "standards", "rule", "medium", True, ["overview", "diagram", "description", "context"]),
+    ("STD-003", "standards", "rule", "high", True, ["error", "exception", "handling", "retry", "fallback"]),
+    ("STD-004", "standards", "rule", "medium", True, ["Service", "Controller", "Repository", "Handler"]),
+    ("STD-005", "standards", "rule", "medium", True, ["health", "liveness", "readiness"]),
+    ("STD-006", "standards", "rule", "medium", True, ["configuration", "config", "environment"]),
+    ("STD-007", "standards", "rule", "medium", True, ["logging", "log", "monitoring", "observability"]),
+    ("STD-008", "standards", "rule", "low", False, ["schema", "database", "ERD", "data model"]),
+    ("SEC-001", "security", "rule", "critical", True, ["authentication", "auth", "OAuth", "JWT", "SSO"]),
+    ("SEC-002", "security", "rule", "critical", True, ["authorization", "RBAC", "permission", "access control"]),
+    ("SEC-003", "security", "rule", "critical", True, ["encryption", "TLS", "HTTPS", "AES", "at rest"]),
+    ("SEC-004", "security", "rule", "critical", True, ["secrets", "vault", "key management"]),
+    ("SEC-005", "security", "rule", "high", True, ["validation", "sanitize", "input validation"]),
+    ("SEC-006", "security", "rule", "critical", True, ["parameterized", "prepared statement", "ORM"]),
+    ("SEC-007", "security", "rule", "high", True, ["audit", "audit log", "security log"]),
+    ("SEC-008", "security", "rule", "medium", False, ["rate limit", "throttle"]),
+    ("SEC-009", "security", "rule", "medium", False, ["CORS", "cross-origin"]),
+    ("VULN-001", "security", "vulnerability", "critical", False, ["password=", "secret=", "apikey=", "token="]),
+]
+#: Rules of our own whose words occur in invented prose, so that every grade is reached.
+PROBE_RULES = [
+    ("PAT-101", "patterns", "rule", "high", True, ["that", "the", "que", "die"]),
+    ("PAT-102", "patterns", "rule", "high", True, ["with", "in", "de", "der"]),
+    ("PAT-103", "patterns", "rule", "high", True, ["this", "and", "la", "und"]),
+    ("PAT-104", "patterns", "rule", "high", True, ["from", "of", "el", "das"]),
+    ("PAT-105", "patterns", "rule", "medium", False, ["ther", "les", "los", "ein"]),
+    ("PAT-106", "patterns", "rule", "medium", False, ["than", "des", "del", "von"]),
+    ("ANTI-101", "patterns", "anti_pattern", "high", False, ["thre", "tres"]),
+    ("STD-101", "standards", "rule", "high", True, ["it", "le", "en", "ist"]),
+    ("STD-102", "standards", "rule", "medium", True, ["is", "un", "se", "zu"]),
+    ("STD-103", "standards", "rule", "high", True, ["to", "et", "las", "den"]),
+    ("STD-104", "standards", "rule", "medium", True, ["as", "qui", "por", "mit"]),
+    ("STD-105", "standards", "rule", "medium", True, ["at", "dans", "con", "im"]),
+    ("STD-106", "standards", "rule", "medium", True, ["be", "pour", "para", "auf"]),
+    ("STD-107", "standards", "rule", "low", False, ["by", "sur", "su", "nicht"]),
+    ("SEC-101", "security", "rule", "critical", True, ["on", "par", "al", "eine"]),
+    ("SEC-102", "security", "rule", "critical", True, ["or", "au", "lo", "als"]),
+    ("SEC-103", "security", "rule", "critical", True, ["for", "avec", "como", "auch"]),
+    ("SEC-104", "security", "rule", "high", True, ["was", "ne", "pero", "es"]),
+    ("SEC-105", "security", "rule", "high", True, ["are", "pas", "sus", "an"]),
+    ("SEC-106", "security", "rule", "medium", False, ["an", "on", "le", "ar"]),
+    ("SEC-107", "security", "rule", "critical", True, ["he", "il", "ha", "er"]),
+    ("VULN-101", "security", "vulnerability", "critical", False, ["password=", "secret=", "apikey=", "token="]),
+]
 
 # Colour names.
-_COLORS = """
-red #FF0000 blue #0000FF green #008000 orange #FFA500 yellow #FFFF00 purple #800080 pink #FFC0CB black #000000 white #FFFFFF
-gray #808080 grey #808080 lightblue #ADD8E6 darkblue #00008B lightgreen #90EE90 darkgreen #006400 lightgray #D3D3D3
-lightgrey #D3D3D3 darkgray #A9A9A9 darkgrey #A9A9A9 cyan #00FFFF magenta #FF00FF brown #A52A2A navy #000080 teal #008080
-maroon #800000 olive #808000 aqua #00FFFF coral #FF7F50 salmon #FA8072 gold #FFD700 silver #C0C0C0 skyblue #87CEEB
-tomato #FF6347 wheat #F5DEB3 beige #F5F5DC ivory #FFFFF0 linen #FAF0E6 crimson #DC143C indigo #4B0082
-"""
-COLORS = dict(zip(_COLORS.split()[::2], _COLORS.split()[1::2]))
+COLORS = {
+    "red": "#FF0000", "blue": "#0000FF", "green": "#008000", "orange": "#FFA500", "yellow": "#FFFF00", "purple": "#800080",
+    "pink": "#FFC0CB", "black": "#000000", "white": "#FFFFFF", "gray": "#808080", "grey": "#808080", "lightblue": "#ADD8E6",
+    "darkblue": "#00008B", "lightgreen": "#90EE90", "darkgreen": "#006400", "lightgray": "#D3D3D3", "lightgrey": "#D3D3D3", "darkgray": "#A9A9A9",
+    "darkgrey": "#A9A9A9", "cyan": "#00FFFF", "magenta": "#FF00FF", "brown": "#A52A2A", "navy": "#000080", "teal": "#008080",
+    "maroon": "#800000", "olive": "#808000", "aqua": "#00FFFF", "coral": "#FF7F50", "salmon": "#FA8072", "gold": "#FFD700",
+    "silver": "#C0C0C0", "skyblue": "#87CEEB", "tomato": "#FF6347", "wheat": "#F5DEB3", "beige": "#F5F5DC", "ivory": "#FFFFF0",
+    "linen": "#FAF0E6", "crimson": "#DC143C", "indigo": "#4B0082",
+}
