@@ -89,16 +89,14 @@ def searchers(items: list[tuple[str, bytes]]) -> list[WuManber]:
     return [WuManber(flat, *found, m) for m, found in sorted(by_length.items()) if m]
 
 
-class Block:
-    """Some items; a worker that has got the broadcast makes their searchers once."""
+def made(block: dict) -> list[WuManber]:
+    """The searchers of a broadcast block; a worker that has got the broadcast makes them once and keeps them with it.
 
-    def __init__(self, items: list[tuple[str, bytes]]):
-        self.items, self.made = items, None
-
-    def searchers(self) -> list[WuManber]:
-        if self.made is None:
-            self.made = searchers(self.items)
-        return self.made
+    A block is a plain dict, so that workers without this package can read it.
+    """
+    if "searchers" not in block:
+        block["searchers"] = searchers(block["items"])
+    return block["searchers"]
 
 
 def find(seq: list[bytes], machines: list[WuManber]) -> tuple[list[tuple[int, int]], set[str]]:
@@ -171,10 +169,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int =
     block, first, last = next(blocks), True, False
     while not last:
         following = next(blocks, None)
-        sent, last = spark.sparkContext.broadcast(Block(block)), following is None
+        sent, last = spark.sparkContext.broadcast({"items": block}), following is None
 
         def run(batches, sent=sent, first=first, last=last):
-            machines = sent.value.searchers()
+            machines = made(sent.value)
             for batch in batches:
                 texts = batch.column(place).cast(pa.binary())
                 kept = batch.columns if first else batch.columns[:-2]
