@@ -23,6 +23,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 PART_TASKS = 20_000
 #: Bits of a broadcast filter at most, and rows of a key from which it may be joined apart from the others.
 MOST_BITS, HOT_ROWS = 1 << 30, 2_000
+#: Whether the shuffle files of a query go when it ends, rather than when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,11 +42,18 @@ def save(df: DataFrame, name: str) -> DataFrame:
     """`df` written once as Parquet in the shared folder and read back.
 
     This cuts the lineage: the files outlive any executor, several consumers read
-    them instead of repeating the work, and the planner knows their true size.
+    them instead of repeating the work, and the planner knows their true size.  The
+    shuffles behind it have then served their purpose and go at once, so the disk
+    holds those of one write at a time.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
