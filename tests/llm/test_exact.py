@@ -9,8 +9,9 @@ import zlib
 from collections import Counter, defaultdict
 
 from conftest_llm import got, low
+from pyspark.sql import functions as F
 
-from vellum.llm import decontaminate, jaccard, mixing, pii, secrets, sharding, substrings
+from vellum.llm import base, decontaminate, jaccard, mixing, pii, secrets, sharding, substrings
 
 
 def key(doc_id):
@@ -411,3 +412,15 @@ def test_hashes_of_words():
         for hashes in (words.hashes, words.second()):
             assert len(np.unique(hashes)) == 8 and hashes[0] == hashes[6] == hashes[9]
         assert not set(words.hashes.tolist()) & set(words.second().tolist())
+
+
+def test_a_saved_table_outlives_its_shuffles(spark):
+    """save() clears the shuffles of its own write only: the frame itself can be run again, and the session's setting stays as it was."""
+    before = spark.conf.get(base.CLEANUP, "false")
+    frame = spark.range(10_000).groupBy((F.col("id") % 97).alias("k")).count()
+    saved = base.save(frame, "outlives")
+    assert spark.conf.get(base.CLEANUP, "false") == before
+    want = sorted((k, 10_000 // 97 + (k < 10_000 % 97)) for k in range(97))
+    assert sorted(map(tuple, saved.collect())) == want
+    assert sorted(map(tuple, frame.collect())) == want
+    assert sorted(map(tuple, base.save(frame, "outlives").collect())) == want
