@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, mixing, pii, quality, secrets, sharding, substrings, vectors
+from . import alignment, compression, decontaminate, jaccard, language, mixing, pii, quality, secrets, sharding, substrings, toxicity, vectors
 
 from .base import shared_folder
 from .oracles import oracle_sql as oracle_sql
@@ -62,5 +62,17 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents")).documents
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("strongest")
+
+
+def op13_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_vectors, op3_decontaminate, op4_secrets, op5_mix, op6_pii, op7_jaccard, op8_substrings, op9_language, op10_shard)}
+    return {f.__name__: f for f in (op1_quality, op2_vectors, op3_decontaminate, op4_secrets, op5_mix, op6_pii, op7_jaccard, op8_substrings, op9_language, op10_shard, op11_alignment, op12_toxicity, op13_compression)}
