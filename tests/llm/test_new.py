@@ -54,7 +54,7 @@ def test_alignment(spark, pair, monkeypatch):
     assert sum(r[1] > 0 for r in want) > 25 and any(r[5] < r[4] for r in want)
     assert got(found.documents) == want
     assert found.pairs.where("best").count() > 0 and found.documents.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
-    monkeypatch.setattr(alignment, "TEXT_BYTES", 50)  # many blocks
+    monkeypatch.setattr(alignment, "BLOCK_BYTES", 50)  # many blocks
     monkeypatch.setattr(alignment, "REMEMBERED", 20)
     assert got(alignment.align_tokenizers(table).documents) == want
     assert got(alignment.align_tokenizers(table.limit(0)).documents) == []
@@ -139,8 +139,10 @@ def test_machine_is_the_sum_over_landmarks():
     rng = random.Random(4)
     clean = [set(neutral(rng, 20)) for _ in range(40)]
     toxic = [set(neutral(rng, 20)) | {rng.choice(INSULTS)} for _ in range(20)]
-    model = toxicity.fit(toxic, clean)
-    words = sorted(set.union(*toxic, *clean)) + ["x" * 90, "no"]
+    names = sorted(set.union(*toxic, *clean))
+    bags = [np.array([names.index(w) for w in sorted(bag)]) for bag in toxic + clean]
+    model = toxicity.fit(bags, np.repeat([True, False], [20, 40]), names)
+    words = [*names, "x" * 90, "no"]
     for w, value in zip(words, model.of_words(words)):
         if len(w) <= toxicity.WINDOW - 2:
             own = subsequences(w)
@@ -152,7 +154,7 @@ def test_machine_is_the_sum_over_landmarks():
     x, y = np.array([[1.0, 0], [0.8, 0.1], [-1, 0], [-0.7, 0.3]]), np.array([1.0, 1, -1, -1])
     w = toxicity.machine(x, y, np.full(4, 10.0))
     assert ((np.c_[x, np.ones(4)] @ w > 0) == (y > 0)).all()
-    assert toxicity.fit([], clean) is None and toxicity.fit([set()], clean) is None
+    assert toxicity.fit(bags[20:], np.zeros(40, bool), names) is None and toxicity.fit([], np.zeros(0, bool), []) is None
 
 
 def codes(rows, rounds=6):

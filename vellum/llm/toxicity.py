@@ -43,8 +43,8 @@ BEGIN, END = "\1", "\2"
 LETTERS = np.array([0, 62, 63, 0])
 #: Longer words are looked at in windows of so many letters, each beginning half a window after the one before.
 WINDOW = 24
-#: Words scored at a time, and words remembered by a worker.
-AT_ONCE, REMEMBERED = 20_000, 400_000
+#: Words scored at a time, words of a matrix, and words remembered by a worker.
+AT_ONCE, ROWS, REMEMBERED = 10_000, 512, 300_000
 SPLIT = re.compile(r"\s+")
 #: Lone letters with anything but letters and figures between them are one word too.
 LONE = re.compile(r"(?<![^\W\d_])[^\W\d_](?:[\W_]{1,3}[^\W\d_](?![^\W\d_])){2,}")
@@ -103,14 +103,17 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     """Words by landmarks."""
     mark, triple, weight = features(landmarks)
-    dense = np.zeros((len(landmarks), TRIPLES), np.float32)
-    dense[mark, triple] = weight
-    out = np.zeros((len(words), len(landmarks)), np.float32)
-    word, triple, weight = features(words)
-    own = np.searchsorted(word, np.arange(len(words) + 1))
-    for i in range(len(words)):
-        at = slice(own[i], own[i + 1])
-        out[i] = dense[:, triple[at]] @ weight[at].astype(np.float32)
+    known = np.unique(triple)
+    dense = np.zeros((len(known), len(landmarks)))
+    dense[np.searchsorted(known, triple), mark] = weight
+    out = np.zeros((len(words), len(landmarks)))
+    for lo in range(0, len(words), ROWS):
+        word, triple, weight = features(words[lo : lo + ROWS])
+        at = np.searchsorted(known, triple)
+        there = known[np.minimum(at, len(known) - 1)] == triple if len(known) else np.zeros(len(at), bool)
+        own = np.zeros((len(words[lo : lo + ROWS]), len(known)))
+        own[word[there], at[there]] = weight[there]
+        out[lo : lo + ROWS] = own @ dense
     return out
 
 
@@ -151,43 +154,42 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(self.slope * value + self.shift, -500, 500))))
 
 
-def fit(toxic: list[set[str]], clean: list[set[str]]) -> Machine | None:
-    """From the words of the documents of both kinds; None without a word of either."""
-    toxic, clean = [b for b in map(usable, toxic) if b], [b for b in map(usable, clean) if b]
-    if not toxic or not clean:
+def fit(bags: list[np.ndarray], toxic: np.ndarray, names: list[str]) -> Machine | None:
+    """From the words of documents, as numbers in `names`, and whether each is toxic; None without a word of either kind."""
+    used = np.array([len(bag) > 0 for bag in bags], bool)
+    bags, toxic = [bag for bag in bags if len(bag)], np.asarray(toxic, bool)[used] if len(bags) else np.zeros(0, bool)
+    if toxic.all() or not toxic.any():
         return None
-    seen: dict[str, list[int]] = {}
-    for side, bags in enumerate((toxic, clean)):
-        for bag in bags:
-            for w in bag:
-                seen.setdefault(w, [0, 0])[side] += 1
-    names = sorted(seen)
-    place = {w: i for i, w in enumerate(names)}
-    counts = np.array([seen[w] for w in names], float)
+    sizes = toxic.sum(), (~toxic).sum()
+    counts = np.stack([np.bincount(np.concatenate([bag for bag, t in zip(bags, toxic) if t == kind]), minlength=len(names)) for kind in (True, False)], axis=1).astype(float)
     # Before there is a machine, a word is as toxic as the documents that it stands in, and its subsequences as their words.
-    excess = np.log((counts[:, 0] + 0.1) / (len(toxic) + 1)) - np.log((counts[:, 1] + 0.1) / (len(clean) + 1))
-    word, triple, weight = features(names)
-    share = [np.bincount(triple, np.minimum(counts[word, side], 5) * weight, TRIPLES) / max((np.minimum(counts[:, side], 5)).sum(), 1) for side in (0, 1)]
+    excess = np.log((counts[:, 0] + 0.1) / (sizes[0] + 1)) - np.log((counts[:, 1] + 0.1) / (sizes[1] + 1))
+    often = np.minimum(counts, 5)
+    share, value = np.zeros((2, TRIPLES)), np.zeros(len(names))
+    for lo in range(0, len(names), AT_ONCE):
+        word, triple, weight = features(names[lo : lo + AT_ONCE])
+        for side in (0, 1):
+            share[side] += np.bincount(triple, often[lo + word, side] * weight, TRIPLES)
+    share /= np.maximum(often.sum(axis=0), 1)[:, None]
     tilt = np.log((share[0] + 1e-5) / (share[1] + 1e-5))
-    value = np.bincount(word, weight * tilt[triple], len(names)) / np.maximum(np.bincount(word, weight, len(names)), 1e-9) + excess
-    del word, triple, weight
+    for lo in range(0, len(names), AT_ONCE):
+        word, triple, weight = features(names[lo : lo + AT_ONCE])
+        n = len(names[lo : lo + AT_ONCE])
+        value[lo : lo + n] = np.bincount(word, weight * tilt[triple], n) / np.maximum(np.bincount(word, weight, n), 1e-9)
+    value += excess
     # Labels err: a word that clean documents use as well can't be what makes one toxic, and a document of such words alone teaches nothing.
-    telling = counts[:, 0] * len(clean) >= PURITY * counts[:, 1] * len(toxic)
-    bags = [own[telling[own]] for own in (np.array([place[w] for w in sorted(bag)]) for bag in toxic)]
-    bags = [own for own in bags if len(own)]
-    if not bags:
+    telling = counts[:, 0] * sizes[1] >= PURITY * counts[:, 1] * sizes[0]
+    leads = [own for own in (bag[telling[bag]] for bag, t in zip(bags, toxic) if t) if len(own)]
+    if not leads:
         return None
     others = np.flatnonzero(counts[:, 1] > 0)
     mixed = np.random.default_rng(7).permutation(others)
-    model = None
     for _ in range(ROUNDS):
-        strongest = np.array([bag[np.argmax(value[bag])] for bag in bags])
-        chosen, often = np.unique(strongest, return_counts=True)
+        chosen, often = np.unique([own[np.argmax(value[own])] for own in leads], return_counts=True)
         hard = others[np.argsort(-value[others], kind="stable")[: CLEAN // 2]]
         against = np.unique(np.concatenate([hard, mixed[: CLEAN // 2]]))
         lead = chosen[np.argsort(-often, kind="stable")][: LANDMARKS // 2]
-        marks = [names[i] for i in [*lead, *hard[: LANDMARKS // 4], *mixed[: LANDMARKS // 4]]]
-        marks = list(dict.fromkeys(marks))
+        marks = [names[i] for i in dict.fromkeys([*lead.tolist(), *hard[: LANDMARKS // 4].tolist(), *mixed[: LANDMARKS // 4].tolist()])]
         rows = [names[i] for i in [*chosen, *against]]
         y = np.repeat([1.0, -1.0], [len(chosen), len(against)])
         cost = np.concatenate([often / often.sum(), np.full(len(against), 1 / len(against))]) * COST * len(rows) / 2
@@ -197,9 +199,7 @@ def fit(toxic: list[set[str]], clean: list[set[str]]) -> Machine | None:
         mark, triple, weight = features(marks)
         model = Machine(np.bincount(triple, weight * (half @ w[:-1])[mark], TRIPLES), float(w[-1]))
         value = model.of_words(names)
-    top = [np.array([max(value[place[w]] for w in bag) for bag in side]) for side in (toxic, clean)]
-    x, y = np.concatenate(top), np.repeat([1.0, 0.0], [len(toxic), len(clean)])
-    model.slope, model.shift = logistic(x, y)
+    model.slope, model.shift = logistic(np.array([value[bag].max() for bag in bags]), toxic.astype(float))
     return model
 
 
@@ -246,10 +246,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, fold: i
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(bags, pa.list_(pa.string()))], names=["toxic", "h", "words"])
 
     got = arrow_map(rows, run, "toxic int, h long, words array<string>").orderBy("h", "toxic", "words").limit(2 * (TOXIC_ROWS + CLEAN_ROWS)).toArrow()
-    sides: tuple[list[set[str]], list[set[str]]] = ([], [])
-    for label, own in zip(got.column("toxic").to_pylist(), got.column("words")):
-        sides[label].append(set(own.as_py()))
-    return fit(sides[1][:TOXIC_ROWS], sides[0][:CLEAN_ROWS])
+    own = got.column("words").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.string()))
+    words_of = own.flatten().dictionary_encode()
+    order = np.argsort(np.array(words_of.dictionary.to_pylist(), object), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    ends = np.concatenate([[0], np.cumsum(own.value_lengths().to_numpy(zero_copy_only=False))]).astype(int)
+    place = rank[words_of.indices.to_numpy(zero_copy_only=False)] if len(words_of) else np.zeros(0, np.int64)
+    bags = [np.sort(place[lo:hi]) for lo, hi in zip(ends[:-1], ends[1:])]
+    return fit(bags, np.array(got.column("toxic").to_pylist(), bool), [words_of.dictionary[int(i)].as_py() for i in order])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
