@@ -23,15 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ship
-from .base import TEXT_BYTES, arrow_map, save
+from .base import arrow_map, save
 
 ship(__name__)
 
 #: Where the public tokenizers lie on the driver, and the two that are aligned.
 FOLDER, A_FILE, B_FILE = "/opt/tokenizers", "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: A space where both tokenizers begin anew, characters of pieces that a worker remembers the ids of, and characters encoded at a time.
+#: A space where both tokenizers begin anew, characters of pieces that a worker remembers the ids of, characters encoded at a time, and bytes of text of a block, unless one text is longer.
 FRESH = re.compile(r"(?<=[^\W_]) (?=[^\W_])")
-REMEMBERED, AT_ONCE = 1 << 22, 1 << 19
+REMEMBERED, AT_ONCE, BLOCK_BYTES = 1 << 23, 1 << 18, 1 << 21
 #: Bits of an id in a pair.
 ID_BITS = 32
 
@@ -199,7 +199,7 @@ def blocks(docs: DataFrame, sent) -> DataFrame:
             lo = 0
             while lo < len(raw):
                 hi, held = lo, 0
-                while hi < len(raw) and (hi == lo or held + len(raw[hi] or b"") <= TEXT_BYTES):
+                while hi < len(raw) and (hi == lo or held + len(raw[hi] or b"") <= BLOCK_BYTES):
                     held += len(raw[hi] or b"")
                     hi += 1
                 found, n = align(raw[lo:hi], pair), hi - lo
