@@ -181,7 +181,7 @@ def sums(vectors: DataFrame, books: Codebooks) -> dict[tuple[int, int], list[int
     parts = arrow_map(vectors.select("embedding"), run, "part int, entry int, at int, place int, value long")
     edges = bounds(sum(e.shape[1] for e in books.entries))
     out: dict[tuple[int, int], list[int]] = {}
-    for row in parts.groupBy("part", "entry", "at", "place").agg(F.sum(F.col("value").cast("decimal(38,0)")).alias("value")).toLocalIterator():
+    for row in parts.groupBy("part", "entry", "at", "place").agg(F.sum(F.col("value").cast("decimal(38,0)")).alias("value")).collect():
         lo, hi = edges[row["part"]]
         held = out.setdefault((row["part"], row["entry"]), [0] * (hi - lo + 1))
         held[row["at"]] += int(row["value"]) << (LIMB * row["place"])
