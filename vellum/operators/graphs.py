@@ -34,23 +34,30 @@ def nested(diagrams: DataFrame, nodes: DataFrame, edges: DataFrame, groups: Data
 def unique_ids(rows: DataFrame, base: str = "base", out: str = "safe_id") -> DataFrame:
     """`rows` (diagram_id, pos, base) with ids made unique in each diagram: base, base_1, and so on, in the order of pos.
 
-    Numbers by base are right unless a base looks like another's numbered id; diagrams
-    where that gives an id twice are numbered once more, one row after the other.
+    Numbers by base are right unless a base looks like another's numbered id.  Only bases that are alike but for numbers at their end
+    can clash; such families are numbered once more, each apart from all others and in time that grows with its rows.
     """
     n = F.row_number().over(Window.partitionBy("diagram_id", base).orderBy("pos")) - 1
-    numbered = lambda b, k: F.when(k == 0, b).otherwise(F.concat(b, F.lit("_"), k.cast("string")))
-    quick = rows.withColumn(out, numbered(F.col(base), n))
+    quick = rows.withColumn(out, F.when(n == 0, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_"), n.cast("string"))))
+    quick = quick.withColumn("_family", F.regexp_replace(base, "(_[0-9]+)+$", ""))
     quick = quick.withColumn("_twice", F.count(F.lit(1)).over(Window.partitionBy("diagram_id", out)) > 1)
-    quick = quick.withColumn("_clash", F.max("_twice").over(Window.partitionBy("diagram_id"))).drop("_twice")
-
-    def name(used: Column, item: Column) -> Column:
-        tries = F.transform(F.sequence(F.lit(0), F.size(used)), lambda k: numbered(item["b"], k))
-        return F.concat(used, F.array(F.element_at(F.filter(tries, lambda t: ~F.array_contains(used, t)), 1)))
-
-    items = F.array_sort(F.collect_list(F.struct("pos", F.col(base).alias("b"))))
-    slow = quick.where("_clash").groupBy("diagram_id").agg(items.alias("i")).select(
-        "diagram_id", F.explode(F.arrays_zip(F.transform("i", lambda x: x["pos"]).alias("pos"), F.aggregate("i", F.array().cast("array<string>"), name).alias("id"))).alias("z"))
-    slow = slow.select("diagram_id", F.col("z.pos").alias("pos"), F.col("z.id").alias("_own"))
+    quick = quick.withColumn("_clash", F.max("_twice").over(Window.partitionBy("diagram_id", "_family"))).drop("_twice")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    again = quick.where("_clash").select("diagram_id", "pos", F.col(base).alias("_base"), "_family")
+
+    def numbered(family):
+        used, number, ids = set(), {}, []
+        family = family.sort_values("pos", kind="stable")
+        for own in family["_base"]:
+            k = number.get(own, 0)
+            while (name := f"{own}_{k}" if k else own) in used:
+                k += 1
+            number[own] = k + 1
+            used.add(name)
+            ids.append(name)
+        return family[["diagram_id", "pos"]].assign(_own=ids)
+
+    slow = again.groupBy("diagram_id", "_family").applyInPandas(numbered, f"diagram_id {kinds['diagram_id']}, pos {kinds['pos']}, _own string")
     done = quick.join(slow, ["diagram_id", "pos"], "left").withColumn(out, F.coalesce("_own", out))
     return done.select(*rows.columns, *([out] if out not in rows.columns else []))
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import keywords
 from ..schemas import SEVERITIES
+from ..session import settled
+from ..storage import BUCKETS, BucketTable
 
 
 def severity_order(severity: Column) -> Column:
@@ -30,19 +33,40 @@ def batches(rules: DataFrame, size: int = 50) -> DataFrame:
     return rules.withColumn("batch", F.floor(n / size).cast("long"))
 
 
+def low_keywords() -> Column:
+    return F.array_distinct(F.transform(F.filter(F.coalesce("keywords", F.array().cast("array<string>")), lambda k: k.isNotNull()), F.lower))
+
+
+def condition_words() -> Column:
+    return F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower(F.coalesce("condition", F.lit(""))), r"\s+", " ")), " "))
+
+
+def leading(rules: DataFrame, shared: int) -> DataFrame:
+    """rule_id, keyword: the keywords by which rules find each other: all but the last `shared` - 1 in one order of all keywords, the longest first.
+
+    Rules with `shared` keywords in common have one of these in common, and the short keywords, which many rules have, bring few together.
+    """
+    order = F.transform(F.array_sort(F.transform(low_keywords(), lambda k: F.struct((-F.length(k)).alias("n"), k.alias("k")))), lambda s: s["k"])
+    return rules.select("rule_id", F.explode(F.slice(order, F.lit(1), F.greatest(F.size(order) - shared + 1, F.lit(0)))).alias("keyword"))
+
+
+def alike(pairs: DataFrame, left: DataFrame, right: DataFrame, shared: int, likeness: float) -> DataFrame:
+    """The pairs a, b, of rules of `left` and `right`, that are similar."""
+    of = lambda rules, end: rules.select(F.col("rule_id").alias(end), low_keywords().alias(f"k{end}"), condition_words().alias(f"w{end}"))
+    rows = pairs.select("a", "b").distinct().join(of(left, "a"), "a").join(of(right, "b"), "b")
+    index = F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb"))
+    return rows.where((F.size(F.array_intersect("ka", "kb")) >= shared) & (index >= likeness)).select("a", "b")
+
+
 def similar_rules(rules: DataFrame, shared: int = 3, likeness: float = 0.6) -> DataFrame:
     """a, b: pairs of rules with `shared` keywords or more in common and the same constraint.
 
     Found by the keywords, not by comparing all pairs.  Constraints are the same if equal after
     lower-casing and closing up blanks, or if their words have a Jaccard index of `likeness`.
     """
-    words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce("condition", F.lit(""))), r"\s+", " ")), " ")
-    each = rules.select("rule_id", F.explode(F.array_distinct(F.transform("keywords", F.lower))).alias("keyword"))
-    pairs = each.alias("l").join(each.alias("r"), "keyword").where("l.rule_id < r.rule_id").groupBy(F.col("l.rule_id").alias("a"), F.col("r.rule_id").alias("b")).count().where(F.col("count") >= shared)
-    cond = rules.select("rule_id", F.array_distinct(words).alias("w"))
-    rows = pairs.join(cond.select(F.col("rule_id").alias("a"), F.col("w").alias("wa")), "a").join(cond.select(F.col("rule_id").alias("b"), F.col("w").alias("wb")), "b")
-    index = F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb"))
-    return rows.where(index >= likeness).select("a", "b")
+    each = leading(rules, shared)
+    pairs = each.alias("l").join(each.alias("r"), "keyword").where("l.rule_id < r.rule_id").select(F.col("l.rule_id").alias("a"), F.col("r.rule_id").alias("b"))
+    return alike(pairs, rules, rules, shared, likeness)
 
 
 def merge_groups(rules: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -51,14 +75,91 @@ def merge_groups(rules: DataFrame, pairs: DataFrame) -> DataFrame:
     Each round takes the least root of the neighbours and then that root's own root, so paths shorten as they go.
     """
     root = rules.select("rule_id", F.col("rule_id").alias("root"))
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = settled(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "rule-pairs")
     while True:
         near = both.join(root, both["b"] == root["rule_id"]).groupBy("a").agg(F.min("root").alias("other"))
-        new = root.join(near, root["rule_id"] == near["a"], "left").select("rule_id", F.least("root", F.coalesce("other", "root")).alias("new"), "root").checkpoint()
+        new = settled(root.join(near, root["rule_id"] == near["a"], "left").select("rule_id", F.least("root", F.coalesce("other", "root")).alias("new"), "root"), "rule-roots")
         if new.where("new != root").isEmpty():
             return root
-        jump = new.groupBy(F.col("rule_id").alias("via")).agg(F.min("new").alias("beyond"))
-        root = new.join(jump, new["new"] == jump["via"], "left").select("rule_id", F.coalesce("beyond", "new").alias("root")).checkpoint()
+        root = settled(shortened(new.select("rule_id", F.col("new").alias("root"))), "rule-roots")
+
+
+def shortened(root: DataFrame) -> DataFrame:
+    """rule_id, root where each root is replaced by its own."""
+    jump = root.select(F.col("rule_id").alias("via"), F.col("root").alias("beyond"))
+    return root.join(jump, F.col("root") == F.col("via"), "left").select("rule_id", F.coalesce("beyond", "root").alias("root"))
+
+
+#: What is kept of a rule between increments; parent is another rule of its group, or itself in the group's root.
+KEPT = "rule_id string, severity string, keywords array<string>, condition string, sources array<string>, parent string"
+
+
+class Consolidation:
+    """The groups of similar rules, kept between runs in the folder `path` and brought up to date with each increment of new rules.
+
+    Two tables of buckets hold the rules, with a parent each, and which rules have a leading keyword.  An increment reads the buckets of its
+    own keywords and of the rules that these lead to, follows their parents to the roots, joins the groups that new rules connect, and
+    writes the new rules and the roots that have got a new parent; rules of other groups are neither read nor written.  After any
+    increments the groups are those of one run over all rules.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, shared: int = 3, likeness: float = 0.6, buckets: int = BUCKETS):
+        self.shared, self.likeness = shared, likeness
+        self.rules = BucketTable(spark, f"{path}/rules", "rule_id", KEPT, buckets)
+        self.keywords = BucketTable(spark, f"{path}/keywords", "keyword", "keyword string, rule_id string", buckets)
+
+    def add(self, rules: DataFrame, version: int) -> None:
+        """Adds `rules` (rule_id, severity, keywords, condition, sources) as increment `version`, which replaces itself if it is added again.
+
+        A rule whose id is known stays as it is; of rows of one id the first in the order of their values counts; rules without id are left out.
+        """
+        columns = ["rule_id", "severity", "keywords", "condition", "sources"]
+        first = rules.where("rule_id is not null").groupBy("rule_id").agg(F.min(F.struct(*columns[1:])).alias("r")).select("rule_id", "r.*")
+        before = self.rules.read(below=version, only=self.rules.touched(first))
+        new = settled(first.join(before.select("rule_id"), "rule_id", "left_anti"), "new-rules")
+        lead = settled(leading(new, self.shared), "new-keywords")
+        touched = self.keywords.touched(lead)
+        held = self.keywords.read(below=version, only=touched)
+        met = settled(lead.withColumnRenamed("rule_id", "a").join(held.withColumnRenamed("rule_id", "b"), "keyword").select("a", "b").distinct(), "met-rules")
+        old = settled(self.known(met.select(F.col("b").alias("rule_id")), version), "old-rules")
+        links = alike(met, new, old, self.shared, self.likeness)
+        roots = self.roots(old.select("rule_id", F.col("parent").alias("root")), version)
+        links = links.join(roots, F.col("b") == F.col("rule_id")).select("a", F.col("root").alias("b"))
+        links = settled(links.unionByName(similar_rules(new, self.shared, self.likeness)).distinct(), "new-links")
+        nodes = new.select("rule_id").unionByName(links.join(new, F.col("b") == F.col("rule_id"), "left_anti").select(F.col("b").alias("rule_id"))).distinct()
+        joined = merge_groups(nodes, links)
+        moved = joined.where("rule_id != root").join(new.select("rule_id"), "rule_id", "left_anti")
+        again = self.known(moved, version).drop("parent").join(moved.withColumnRenamed("root", "parent"), "rule_id")
+        added = new.join(joined.withColumnRenamed("root", "parent"), "rule_id")
+        self.rules.upsert(settled(added.unionByName(again), "changed-rules"), version)
+        self.keywords.replace(held.unionByName(lead.select("keyword", "rule_id")), version, touched)
+
+    def known(self, ids: DataFrame, version: int) -> DataFrame:
+        """The rows of rules before `version`, from their buckets alone."""
+        return self.rules.read(below=version, only=self.rules.touched(ids)).join(ids.select("rule_id").distinct(), "rule_id", "left_semi")
+
+    def roots(self, root: DataFrame, version: int) -> DataFrame:
+        """rule_id, root: parents followed until they are roots."""
+        root = settled(root, "roots")
+        while True:
+            up = self.known(root.select(F.col("root").alias("rule_id")), version).select(F.col("rule_id").alias("via"), "parent")
+            new = settled(root.join(up, F.col("root") == F.col("via")).select("rule_id", F.col("parent").alias("root"), (F.col("parent") != F.col("root")).alias("moved")), "roots")
+            if new.where("moved").isEmpty():
+                return new.drop("moved")
+            root = new.drop("moved")
+
+    def groups(self) -> DataFrame:
+        """rule_id, root of all rules."""
+        root = self.rules.read().select("rule_id", F.col("parent").alias("root"))
+        while True:
+            new = settled(shortened(root), "roots")
+            if new.join(root.withColumnRenamed("root", "old"), "rule_id").where("root != old").isEmpty():
+                return new
+            root = new
+
+    def consolidated(self) -> DataFrame:
+        """One rule for each group, as consolidate() has it."""
+        return consolidate(self.rules.read().drop("parent"), self.groups())
 
 
 def consolidate(rules: DataFrame, root: DataFrame) -> DataFrame:
@@ -89,10 +190,13 @@ def parsed_condition(condition: Column) -> Column:
             .when(condition.rlike(fan), of(F.lit("fan_out"), get(fan, 1), get(fan, 2))))
 
 
-def conditions_met(rules: DataFrame, diagrams: DataFrame, nodes: DataFrame, edges: DataFrame, groups: DataFrame) -> DataFrame:
-    """diagram_id, rule_id, met for rules with an ast_condition; labels are compared in lower case."""
+def structures_found(conditions: DataFrame, nodes: DataFrame, edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """diagram_id, rule_id for `conditions` (rule_id, ast_condition) whose node, edge, member or fan-out a diagram has; a missing edge counts where it is there.
+
+    Labels are compared in lower case.
+    """
     low = lambda c: F.lower(F.trim(F.col(c)))
-    cond = rules.where(F.col("ast_condition").isNotNull()).select("rule_id", parsed_condition(F.col("ast_condition")).alias("c")).where("c is not null").select("rule_id", "c.*").withColumn("a", low("a")).withColumn("b", low("b"))
+    cond = conditions.select("rule_id", parsed_condition(F.col("ast_condition")).alias("c")).where("c is not null").select("rule_id", "c.*").withColumn("a", low("a")).withColumn("b", low("b"))
     named = nodes.select("diagram_id", "id", low("label").alias("name"))
     ends = edges.join(named.select("diagram_id", F.col("id").alias("source"), F.col("name").alias("s")), ["diagram_id", "source"]).join(named.select("diagram_id", F.col("id").alias("target"), F.col("name").alias("t")), ["diagram_id", "target"])
     member = groups.select("diagram_id", low("label").alias("g"), F.explode("children").alias("id")).join(named, ["diagram_id", "id"])
@@ -106,10 +210,53 @@ def conditions_met(rules: DataFrame, diagrams: DataFrame, nodes: DataFrame, edge
     for h in hits:
         part = h.select("diagram_id", "rule_id").distinct()
         found = part if found is None else found.unionByName(part)
-    every = diagrams.select("diagram_id").join(cond.select("rule_id", "kind"))
-    out = every.join(found.withColumn("_hit", F.lit(True)), ["diagram_id", "rule_id"], "left")
-    hit = F.coalesce("_hit", F.lit(False))
-    return out.select("diagram_id", "rule_id", F.when(F.col("kind") == "edge_missing", ~hit).otherwise(hit).alias("met"))
+    return found.distinct()
+
+
+def conditions_met(rules: DataFrame, diagrams: DataFrame, nodes: DataFrame, edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """diagram_id, rule_id, met for rules with an ast_condition that is one; a row for each diagram and rule."""
+    cond = rules.where(F.col("ast_condition").isNotNull()).select("rule_id", "ast_condition", parsed_condition(F.col("ast_condition"))["kind"].alias("kind")).where("kind is not null")
+    found = structures_found(cond, nodes, edges, groups).withColumnRenamed("diagram_id", "doc_id")
+    rows = keywords.listed(diagrams.select(F.col("diagram_id").alias("doc_id")), cond, found.join(diagrams.select(F.col("diagram_id").alias("doc_id")), "doc_id", "left_semi"))
+    rows = rows.join(keywords.few(cond.select("rule_id", "kind")), "rule_id")
+    return rows.select(F.col("doc_id").alias("diagram_id"), "rule_id", F.when(F.col("kind") == "edge_missing", ~F.col("found")).otherwise(F.col("found")).alias("met"))
+
+
+#: A condition is clauses between OR, of literals between AND, each with NOT before it or not: a test of a diagram or a keyword.
+OR, AND, NOT = r"\s+OR\s+", r"\s+AND\s+", r"^NOT\s+"
+
+
+def literals(rules: DataFrame) -> DataFrame:
+    """rule_id, clause, literal, negated: the conditions (rule_id, condition) in disjunctive form; "edge:A->B missing" is "NOT edge:A->B exists"."""
+    clause = rules.where(F.trim(F.coalesce("condition", F.lit(""))) != "").select("rule_id", F.posexplode(F.split(F.trim("condition"), OR)).alias("clause", "c"))
+    rows = clause.select("rule_id", "clause", F.explode(F.split("c", AND)).alias("l")).withColumn("l", F.trim("l"))
+    plain = F.regexp_replace("l", NOT, "")
+    missing = plain.rlike("^edge:.+ missing$")
+    return rows.select("rule_id", "clause", F.regexp_replace(plain, "^(edge:.+) missing$", "$1 exists").alias("literal"), (F.col("l").rlike(NOT) != missing).alias("negated")).distinct()
+
+
+def joint_findings(rules: DataFrame, docs: DataFrame, diagrams: DataFrame, nodes: DataFrame, edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """doc_id, rule_id: the rules (rule_id, condition) that documents meet by their text and their diagrams (doc_id, diagram_id) together.
+
+    Each different literal is looked for once, keywords by their index and tests in the diagrams, and found where any diagram of the document has it.  Documents meet
+    clauses by the literals that they have: one is met with all of its plain literals and none of its negated ones.  Clauses of negated literals
+    alone are met where nothing is found; they alone are listed for every document.  Literals that contradict each other are never met together.
+    """
+    parts = settled(literals(rules), "literals")
+    distinct = parts.select("literal").distinct()
+    tests = distinct.where(parsed_condition(F.col("literal")).isNotNull())
+    words = distinct.where(parsed_condition(F.col("literal")).isNull())
+    there = structures_found(tests.select(F.col("literal").alias("rule_id"), F.col("literal").alias("ast_condition")), nodes, edges, groups)
+    there = diagrams.select("doc_id", "diagram_id").join(there, "diagram_id").select("doc_id", F.col("rule_id").alias("literal")).distinct()
+    said = keywords.hits(docs, words.select(F.col("literal").alias("rule_id"), F.array("literal").alias("keywords"))).select("doc_id", F.col("rule_id").alias("literal"))
+    found = there.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").unionByName(said)
+    wants = parts.groupBy("rule_id", "clause").agg(F.count_if(~F.col("negated")).alias("plain"))
+    got = found.join(keywords.few(parts), "literal").groupBy("doc_id", "rule_id", "clause").agg(F.count_if(~F.col("negated")).alias("n"), F.count_if("negated").alias("against"))
+    met = got.where("against = 0").join(keywords.few(wants.where("plain > 0")), ["rule_id", "clause"]).where("n = plain").select("doc_id", "rule_id")
+    bare = wants.where("plain = 0").select(F.to_json(F.struct("rule_id", "clause")).alias("rule_id"))
+    broken = got.where("against > 0").join(keywords.few(wants.where("plain = 0")), ["rule_id", "clause"]).select("doc_id", F.to_json(F.struct("rule_id", "clause")).alias("rule_id"))
+    free = keywords.listed(docs, bare, broken).where("not found").select("doc_id", F.get_json_object("rule_id", "$.rule_id").alias("rule_id"))
+    return met.unionByName(free).distinct()
 
 
 def probe_questions(rules: DataFrame) -> DataFrame:

@@ -8,9 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import keywords as K
 from ..schemas import PASS_FROM, PROBE_RULES, RULE, SHIPPED_RULES, WARN_FROM, WEIGHTS
 
-#: Rules that are compiled into expressions of one pass over the texts; a larger set is joined instead.
+#: Rules that are compiled into expressions of one pass over the texts; a larger set goes through an index.
 COMPILED_RULES = 500
 
 
@@ -26,26 +27,15 @@ def keyword_pattern(keyword: str) -> str:
     return plain
 
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def spread(rows: DataFrame) -> DataFrame:
-    """`rows` in as many partitions as there are cores at least; a table of many files is left as it is."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
-
 def prepared(docs: DataFrame) -> DataFrame:
     """doc_id, _low (a-z for A-Z) and _words (runs of other characters than letters, digits and _ as one blank, blanks around)."""
-    docs = spread(docs.select("doc_id", "text"))
-    low = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
-    rows = docs.select("doc_id", low.alias("_low"))
+    rows = docs.select("doc_id", K.low(F.col("text")).alias("_low"))
     return rows.withColumn("_words", F.concat(F.lit(" "), F.regexp_replace("_low", "[^a-z0-9_]+", " "), F.lit(" ")))
 
 
 def keyword_test(keyword: str) -> Column:
     """Over prepared(): plain searches; a pattern only for keywords of several words, and only where their text occurs."""
-    low = keyword.translate(str.maketrans(UPPER, LOWER))
+    low = keyword.translate(str.maketrans(K.UPPER, K.LOWER))
     if re.fullmatch("[a-z0-9][a-z0-9_]*[a-z0-9]|[a-z0-9]", low):
         return F.col("_words").contains(f" {low} ")
     pattern = keyword_pattern(low)
@@ -57,23 +47,17 @@ def evidence(docs: DataFrame, rules: DataFrame, compiled: int = COMPILED_RULES)
     """doc_id, rule_id, found: each rule against each text (null: empty), misses included.
 
     Up to `compiled` rules become one array expression, so texts are read once and
-    never shuffled.  Larger sets go through a join of the rules with the documents, whose
-    plan is left to the optimiser; the rows are the same.  A rule without keywords is found nowhere.
+    never shuffled.  Larger sets are found by an index over the keywords (keywords.hits()), where rows
+    of one doc_id are one document.  A rule without keywords is found nowhere.
     """
     head = rules.select("rule_id", "keywords").limit(compiled + 1).collect()
     if len(head) <= compiled:
-        any_of = lambda words: reduce(lambda a, b: a | b, map(keyword_test, words), F.lit(False))
-        tests = [F.struct(F.lit(r["rule_id"]).alias("rule_id"), any_of(r["keywords"]).alias("found")) for r in sorted(head)]
+        any_of = lambda words: reduce(lambda a, b: a | b, (keyword_test(w) for w in words or () if w is not None), F.lit(False))
+        tests = [F.struct(F.lit(r["rule_id"]).alias("rule_id"), any_of(r["keywords"]).alias("found")) for r in sorted(head, key=lambda r: r["rule_id"])]
         if not tests:
             return docs.select("doc_id", F.lit("").alias("rule_id"), F.lit(False).alias("found")).limit(0)
         return prepared(docs).select("doc_id", F.inline(F.array(*tests)))
-    plain = F.regexp_replace(F.col("keyword"), r"([^A-Za-z0-9_ ])", r"\\$1")
-    bounded = F.concat(F.lit("(^|[^A-Za-z0-9_])"), plain, F.lit("($|[^A-Za-z0-9_])"))
-    pattern = F.when(F.col("keyword").rlike("^[A-Za-z0-9](.*[A-Za-z0-9])?$"), bounded).otherwise(plain)
-    patterns = rules.select("rule_id", F.explode_outer("keywords").alias("keyword")).groupBy("rule_id").agg(F.sort_array(F.collect_list(pattern)).alias("any"))
-    either = F.when(F.size("any") > 0, F.concat(F.lit("(?i)("), F.array_join("any", "|"), F.lit(")")))
-    found = F.coalesce(F.regexp_like(F.coalesce(F.col("text"), F.lit("")), F.col("pattern")), F.lit(False))
-    return docs.select("doc_id", "text").join(patterns.select("rule_id", either.alias("pattern"))).select("doc_id", "rule_id", found.alias("found"))
+    return K.listed(docs, rules, K.hits(docs, rules))
 
 
 def keyword_hits(docs: DataFrame, rules: DataFrame) -> DataFrame:
@@ -100,7 +84,11 @@ def findings(docs: DataFrame, rules: DataFrame, origin: str = "builtin") -> Data
 
 def points() -> Column:
     """Additive points of a finding."""
-    kind, sev, req, found = F.col("kind"), F.col("severity"), F.col("required"), F.col("found")
+    return points_of(F.col("found"))
+
+
+def points_of(found: Column) -> Column:
+    kind, sev, req = F.col("kind"), F.col("severity"), F.col("required")
     rule = (F.when(F.col("category") == "patterns", F.when(req, 15).otherwise(5)).when(F.col("category") == "standards", F.when(req, 12).otherwise(4))
             .otherwise(F.when(sev == "critical", 15).when(sev == "high", 10).otherwise(5)))
     return F.when(~found, 0).when(kind == "rule", rule).when(kind == "anti_pattern", -10).otherwise(-20)
@@ -122,6 +110,44 @@ def category_reports(found: DataFrame, scoring: str = "add", error_weight: int =
         is_("CRITICAL").alias("n_critical"), is_("SKIPPED").alias("n_skipped"), F.when(missing, "FAIL").otherwise("PASS").alias("required_status"))
 
 
+def hits(docs: DataFrame, rules: DataFrame, compiled: int = COMPILED_RULES) -> DataFrame:
+    """doc_id, rule_id: the rules that are evident in each document; rows of one doc_id are one document."""
+    if rules.limit(compiled + 1).count() > compiled:
+        return K.hits(docs, rules)
+    return evidence(docs, rules, compiled).where("found").select("doc_id", "rule_id").distinct()
+
+
+def reports_of_hits(docs: DataFrame, rules: DataFrame, found: DataFrame, scoring: str = "add", error_weight: int = 10, warning_weight: int = 5) -> DataFrame:
+    """The rows of category_reports(), from hits alone: what the misses add is the same for every document and is counted once, over the rules.
+
+    A document has a row for each category that has rules.
+    """
+    facts = rules.select("rule_id", "category", "kind", "severity", "required")
+    of = lambda found, name: status(F.col("kind"), F.col("required"), F.lit(found)).alias(name)
+    required = ((F.col("kind") == "rule") & F.col("required")).cast("int").alias("need")
+    facts = facts.select("rule_id", "category", of(True, "if_found"), of(False, "if_missed"), points_of(F.lit(True)).alias("points"), required)
+    names = ("PASS", "WARN", "ERROR", "CRITICAL")
+    misses = facts.groupBy("category").agg(F.count(F.lit(1)).alias("total"), F.sum("need").alias("needed"), *[F.count_if(F.col("if_missed") == s).alias(f"base_{s}") for s in names])
+    gain = [F.sum((F.col("if_found") == s).cast("int") - (F.col("if_missed") == s).cast("int")).alias(f"more_{s}") for s in names]
+    got = found.join(K.few(facts), "rule_id").groupBy("doc_id", "category").agg(F.sum("points").alias("points"), F.sum("need").alias("met"), *gain)
+    # The categories are a handful of rows, which every document gets as one value.
+    base = [F.struct(*[F.lit(v).alias(k) for k, v in r.asDict().items()]) for r in misses.collect()]
+    if not base:
+        return category_reports(docs.select("doc_id", *[F.lit(None).cast(t).alias(n) for n, t in (("category", "string"), ("status", "string"), ("kind", "string"), ("severity", "string"), ("required", "boolean"), ("found", "boolean"))]).limit(0))
+    every = docs.select("doc_id").distinct().select("doc_id", F.inline(F.array(*base)))
+    rows = every.join(got, ["doc_id", "category"], "left")
+    n = lambda s: (F.col(f"base_{s}") + F.coalesce(F.col(f"more_{s}"), F.lit(0)))
+    raw = F.coalesce("points", F.lit(0)) if scoring == "add" else 100 - (n("ERROR") + n("CRITICAL")) * error_weight - n("WARN") * warning_weight
+    return rows.select(
+        "doc_id", "category", F.least(F.lit(100), F.greatest(F.lit(0), raw)).cast("long").alias("score"), "total", n("PASS").alias("n_pass"), n("WARN").alias("n_warn"), n("ERROR").alias("n_error"),
+        n("CRITICAL").alias("n_critical"), F.lit(0).cast("long").alias("n_skipped"), F.when(F.col("needed") > F.coalesce("met", F.lit(0)), "FAIL").otherwise("PASS").alias("required_status"))
+
+
+def reports(docs: DataFrame, rules: DataFrame, scoring: str = "add") -> DataFrame:
+    """The category reports of documents, with no row for what is not found."""
+    return reports_of_hits(docs, rules, hits(docs, rules), scoring)
+
+
 def grade(score: Column) -> Column:
     return F.when(score >= PASS_FROM, "PASS").when(score >= WARN_FROM, "WARN").otherwise("FAIL")
 

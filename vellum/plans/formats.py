@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import base64
 import json
-import tempfile
-import uuid
 import zlib
 from urllib.parse import quote
 
 from pyspark.sql import functions as F
 
 from ..operators import attachments, graphs
+from ..session import new_folder
 from ..sources import drawings, drawio, files, html, macros, plantuml, svg
 from ..streaming import refresh
 
@@ -130,16 +129,16 @@ def mermaid_lookup(spark, sf):
 
 def incremental_refresh(spark, sf):
     """Three micro-batches of page versions; a page whose content is the same is not derived again."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="vellum-refresh-")
-    root = f"{base.rstrip('/')}/refresh-{uuid.uuid4().hex}"
+    root = new_folder(spark, "refresh")
     rows = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("page_id"), F.col("text").alias("content"))
     for version, keep in ((1, "true"), (2, "page_id % 3 = 0"), (3, "page_id % 5 = 0")):
         text = F.col("content") if version == 2 else F.concat("content", F.lit(f" v{version}"))
         rows.where(keep).select("page_id", F.lit(version).alias("version"), text.alias("content")).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    kept = "page_id long, version int, print string, n_chars int"
     stream = spark.readStream.schema("page_id long, version int, content string").option("maxFilesPerTrigger", "1").parquet(f"{root}/in")
-    done = refresh.refresh(stream, f"{root}/out", f"{root}/state", lambda d: d.select("page_id", "version", "print", F.length("content").alias("n_chars")))
+    done = refresh.refresh(stream, f"{root}/out", f"{root}/state", lambda d: d.select("page_id", "version", "print", F.length("content").alias("n_chars")), kept)
     done.awaitTermination()
-    return refresh.current(spark, f"{root}/out").select("page_id", "version", "n_chars")
+    return refresh.current(spark, f"{root}/out", kept).select("page_id", "version", "n_chars")
 
 
 QUERIES = {f.__name__: f for f in (

@@ -622,9 +622,10 @@ def ocr_line_labels(spark, sf):
 
 # Formats that need a parser: rows only.
 
-from . import formats  # noqa: E402
+from . import formats, kept  # noqa: E402
 
-QUERIES |= formats.QUERIES
+QUERIES |= formats.QUERIES | kept.QUERIES
+ORACLES |= kept.ORACLES
 
 
 @query()
