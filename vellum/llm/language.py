@@ -10,7 +10,9 @@ of their presence matrix with the landmarks' and then with the regressions' matr
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+import unicodedata
+from dataclasses import dataclass, field
+from string import ascii_letters as ASCII_LETTERS
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,28 @@ def has_letter(text: str) -> bool:
     return bool(found) and (found[0].isalpha() or any(map(str.isalpha, text)))  # the class also holds figures such as a raised 2
 
 
+_scripts: dict[int, str] = {}
+
+
+def script(code: int) -> str:
+    """The script of a letter, which its name in the Unicode tables begins with."""
+    if code not in _scripts:
+        _scripts[code] = unicodedata.name(chr(code), "").partition(" ")[0]
+    return _scripts[code]
+
+
+def scripts(text: str) -> dict[str, int]:
+    """How many letters of each script a text has."""
+    if text.isascii():
+        return {"LATIN": sum(map(text.count, ASCII_LETTERS))}
+    out: dict[str, int] = {}
+    for at in range(0, len(text), SLICE):
+        codes, n = np.unique(np.frombuffer(text[at : at + SLICE].encode("utf-32-le", "replace"), np.uint32), return_counts=True)
+        for code, times in zip(codes[letters()[codes]].tolist(), n[letters()[codes]].tolist()):
+            out[script(code)] = out.get(script(code), 0) + times
+    return out
+
+
 _letters: list[np.ndarray] = []
 
 
@@ -72,12 +96,13 @@ def mark(text: str, row: np.ndarray) -> None:
 
 @dataclass
 class StringKernel:
-    """vocabulary: the landmarks' n-grams; landmarks: their presence, scaled; weights: landmarks by languages."""
+    """vocabulary: the landmarks' n-grams; landmarks: their presence, scaled; weights: landmarks by languages; scripts: those of the training texts."""
 
     languages: list[str]
     vocabulary: np.ndarray
     landmarks: np.ndarray
     weights: np.ndarray
+    scripts: frozenset[str] = field(default=frozenset())
 
     @classmethod
     def fit(cls, sets: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> StringKernel:
@@ -101,8 +126,13 @@ class StringKernel:
         solved = np.linalg.solve(features.T @ features + ridge * np.eye(half.shape[1]), features.T @ target)
         return cls(languages, vocabulary, marks, (half @ solved).astype(np.float32))
 
-    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Shares of 1 for each text and language, and for each text the share of its n-grams that some landmark has."""
+    def known_share(self, text: str) -> float:
+        """The share of a text's letters that are of a script that some training text has."""
+        found = scripts(text)
+        return sum(n for s, n in found.items() if s in self.scripts) / max(sum(found.values()), 1)
+
+    def score(self, texts: list[str]) -> np.ndarray:
+        """Shares of 1 for each text and language."""
         rows = np.zeros((len(texts), SPACE), bool)
         for row, text in zip(rows, texts):
             mark(text, row)
@@ -111,7 +141,7 @@ class StringKernel:
         kernel = (seen.astype(np.float32) @ self.landmarks.T) / np.sqrt(size)[:, None]
         out = (kernel @ self.weights) / TEMPERATURE
         out = np.exp(out - out.max(axis=1, keepdims=True))
-        return out / out.sum(axis=1, keepdims=True), seen.sum(axis=1) / size
+        return out / out.sum(axis=1, keepdims=True)
 
 
 def decoded(value: pa.Scalar) -> str | None:
@@ -135,27 +165,31 @@ def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE, train_rows:
     def run(batches):
         row = np.zeros(SPACE, bool)
         for batch in batches:
-            sets = []
+            sets, kinds = [], []
             for value in batch.column(3).cast(pa.binary()):
                 text = decoded(value)
                 row[:] = False
                 if has_letter(text):
                     mark(text, row)
                 sets.append(np.packbits(row).tobytes() if row.any() else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], names=["id", "lang", "place", "grams"])
+                kinds.append(sorted(scripts(text)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary()), pa.array(kinds, pa.list_(pa.string()))], names=["id", "lang", "place", "grams", "scripts"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     # Of rows that share a doc_id and language the one with the least n-grams by their bits counts, so reruns agree.
-    got = arrow_map(texts, run, f"id {kind}, lang string, place int, grams binary").where("grams is not null").groupBy("id", "lang").agg(F.min("place").alias("place"), F.min("grams").alias("grams")).toArrow()
+    got = arrow_map(texts, run, f"id {kind}, lang string, place int, grams binary, scripts array<string>").where("grams is not null").groupBy("id", "lang").agg(
+        F.min("place").alias("place"), F.min("grams").alias("grams"), F.array_distinct(F.flatten(F.collect_list("scripts"))).alias("scripts")).toArrow()
     if not got.num_rows:
         return None
     unpacked = (np.flatnonzero(np.unpackbits(np.frombuffer(g.as_buffer(), np.uint8))).astype(np.int32) for g in got.column("grams"))
     rows = sorted(zip(got.column("place").to_pylist(), got.column("lang").to_pylist(), unpacked), key=lambda r: r[:2])
-    return StringKernel.fit([r[2] for r in rows], [r[1] for r in rows])
+    model = StringKernel.fit([r[2] for r in rows], [r[1] for r in rows])
+    model.scripts = frozenset(s for own in got.column("scripts").to_pylist() for s in own)
+    return model
 
 
 def identify(docs: DataFrame, model: StringKernel | None, pred_name: str = "lang_pred", score_name: str = "score", known_name: str = "known_share") -> DataFrame:
-    """`docs` with lang_pred, score and known_share, the share of the n-grams that some landmark has (columns of these names are replaced).
+    """`docs` with lang_pred, score and known_share, the share of the letters that are of a script of the training texts (columns of these names are replaced).
 
     `und`, 0 and 0 for a text that is null or has no letter, or without a model; long texts are read whole.
     """
@@ -171,10 +205,10 @@ def identify(docs: DataFrame, model: StringKernel | None, pred_name: str = "lang
             known = [i for i, t in enumerate(texts) if model and t and has_letter(t)]
             for at in range(0, len(known), BATCH):
                 part = known[at : at + BATCH]
-                shares, seen = model.score([texts[i] for i in part])
+                shares = model.score([texts[i] for i in part])
                 best = shares.argmax(axis=1)
-                for i, b, s, k in zip(part, best, shares[np.arange(len(part)), best], seen):
-                    pred[i], score[i], share[i] = model.languages[b], s, k
+                for i, b, s in zip(part, best, shares[np.arange(len(part)), best]):
+                    pred[i], score[i], share[i] = model.languages[b], s, model.known_share(texts[i])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(share)], names=[*names, *added])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
@@ -193,15 +227,16 @@ def with_letters(docs: DataFrame) -> DataFrame:
     return arrow_map(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
 
 
-#: Share of a text's n-grams that a landmark must have for the text to be in a language that the model knows.
-LEAST_KNOWN = 0.25
+#: Share of a text's letters that must be of a script of the training texts.  A language that was learned is written as they are, however many characters
+#: it has and however few of its n-grams the landmarks hold.
+LEAST_KNOWN = 0.5
 
 
 def in_known_languages(docs: DataFrame, least_known: float = LEAST_KNOWN) -> DataFrame:
     """The rows of `docs` (doc_id, text, lang and other columns) whose text is in a language that the model tells.
 
-    Texts that are null, empty or without a letter are rejected, and those of whose n-grams less than `least_known` stand in any
-    landmark, as in a script that no training row has.  Where no row can train a model, all texts with a letter stay.
+    Texts that are null, empty or without a letter are rejected, and those of whose letters less than `least_known` are of a
+    script that some training row has.  Where no row can train a model, all texts with a letter stay.
     Long texts are read whole, repeated rows judged alike, columns of any name kept; an empty table gives an empty one.
     """
     model = fit_languages(docs)

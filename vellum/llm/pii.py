@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ship
@@ -38,6 +38,8 @@ KINDS = ("email", "ip", "card", "phone", "term")
 NEAR, TERM_LETTERS = 8, 4
 #: Different contexts that a term and an entity share at least, and the share of the entity's information from which a term discloses it.
 SUPPORT, DISCLOSED = 3, 0.8
+#: Standard deviations by which the share of a term's documents that hold the entity is taken too low, against chance.
+DOUBT = 1.645
 TERM = re.compile(r"[^\W\d_]{%d,}" % TERM_LETTERS)
 
 
@@ -225,8 +227,18 @@ def shared_contexts(docs: DataFrame, strong: DataFrame, support: int, held: int
     return rows.agg(F.size(F.array_distinct(F.flatten(F.collect_list("shared")))).alias("contexts"), F.sum("n").alias("n_both"))
 
 
+def surely(part: Column, whole: Column, doubt: float = DOUBT) -> Column:
+    """The lower bound of Wilson's interval for the probability behind `part` of `whole`."""
+    share, z = part / whole, doubt * doubt
+    return (share + z / (2 * whole) - doubt * F.sqrt(share * (1 - share) / whole + z / (4 * whole * whole))) / (1 + z / whole)
+
+
 def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
-    """term: those whose mutual information with an entity reaches `disclosed` of the entity's information.
+    """term: those whose mutual information with an entity reaches `disclosed` of the entity's information, surely.
+
+    The probability of the entity beside the term is the lower bound of its confidence interval.  An entity that many documents
+    have, as a footer's address, has little information, and only a term that goes along with it far more often than
+    chance would have it comes near; one that stands in every document has none and is disclosed by nothing.
 
     All counts are of whole documents, so copies of a text raise them alike; the support is
     of different contexts, so copies alone do not make a term disclosing.
@@ -240,7 +252,7 @@ def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, disclo
     n = float(max(docs.count(), 1))
     rows = joint.join(document_counts(docs, joint.select("term")), "term")
     information = -F.log(F.col("n_entity") / n)
-    mutual = F.log(F.col("n_both") * n / (F.greatest("n_docs", "n_both") * F.col("n_entity")))
+    mutual = F.log(surely(F.col("n_both"), F.greatest("n_docs", "n_both")) * n / F.col("n_entity"))
     return rows.where(mutual >= disclosed * information).select("term").distinct()
 
 
