@@ -78,6 +78,7 @@ def shapes_at(spark, rows):
 
 
 def test_nearest_shapes_on_sheets_of_every_density(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "FEW", 8)
     rng = random.Random(1)
     boxes = [(0, i, rng.uniform(0, 60), rng.uniform(0, 60), rng.uniform(1, 4), rng.uniform(1, 4)) for i in range(300)]
     boxes += [(0, 300, -500.0, -500.0, 2000.0, 2000.0), (0, 301, 20.0, 20.0, 3.0, 3.0), (0, 302, 20.0, 20.0, 3.0, 3.0)]
@@ -95,8 +96,9 @@ def test_nearest_shapes_on_sheets_of_every_density(spark, monkeypatch):
                     out[t] = min(near)[1]
         return out
 
-    for pairs in (spatial.PAIRS, 50):
+    for pairs, crowd in ((spatial.PAIRS, spatial.CROWD), (50, 5)):
         monkeypatch.setattr(spatial, "PAIRS", pairs)
+        monkeypatch.setattr(spatial, "CROWD", crowd)
         assert {r.text_pos: r.shape_pos for r in spatial.texts_to_shapes(texts, shapes).collect()} == want((0, 10), math.inf)
         first = want((15, 15), math.inf)
         assert {r.text_pos: (r.shape_pos, r["pass"]) for r in spatial.labels_to_shapes(texts, shapes).collect()} == {t: (s, 2) for t, s in want(None, 80).items()} | {t: (s, 1) for t, s in first.items()}

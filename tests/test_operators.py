@@ -2,12 +2,12 @@
 
 import re
 
+import samples
 from pyspark.sql import functions as F
 
 from vellum.functions import diagrams as D
 from vellum.functions import text as X
 from vellum.operators import attachments, graphs, links, rules, spatial, staleness, validation
-from vellum.plans import formats
 from vellum.schemas import SHIPPED_RULES
 from vellum.sources import drawio, files, html, macros, plantuml, svg
 from vellum.streaming import refresh
@@ -190,19 +190,19 @@ def test_arrows_and_colours(spark):
 
 
 def test_drawio(spark):
-    nodes, edges, groups = drawio.graph(drawio.cells(spark.createDataFrame(formats.DRAWIO, "diagram_id string, content string")))
+    nodes, edges, groups = drawio.graph(drawio.cells(spark.createDataFrame(samples.DRAWIO, "diagram_id string, content string")))
     rows = nodes.collect()
     per = lambda d: sorted((r.id, r.label, r.shape, r.fill_color) for r in rows if r.diagram_id == d)
     assert per("plain#0") == per("packed#0") == per("pages#1") == [("a", "A one", "stadium", "#dae8fc"), ("b", "Store", "database", None)]
     assert {(r.source, r.target, r.style, r.arrow_start, r.arrow_end) for r in edges.collect()} == {("a", "b", "dashed", False, True)}
     assert {tuple(r.children) for r in groups.collect()} == {("a", "b")}
-    compat = drawio.graph(drawio.cells(spark.createDataFrame(formats.DRAWIO[:1], "diagram_id string, content string")), compat=True)[1]
+    compat = drawio.graph(drawio.cells(spark.createDataFrame(samples.DRAWIO[:1], "diagram_id string, content string")), compat=True)[1]
     assert compat.first().arrow_start
     assert drawio.cells(spark.createDataFrame([("bad", "garbage"), ("null", None)], "diagram_id string, content string")).where("error is not null").count() == 2
 
 
 def test_svg(spark):
-    nodes, edges, ways = svg.graph(svg.parse(spark.createDataFrame([("s", formats.SVG)], "diagram_id string, content string")))
+    nodes, edges, ways = svg.graph(svg.parse(spark.createDataFrame([("s", samples.SVG)], "diagram_id string, content string")))
     assert [(r.id, r.shape) for r in nodes.orderBy("pos").collect()] == [("Web_App", "rectangle"), ("API", "stadium")]
     assert [(r.source, r.target, r.style, r.arrow_end) for r in edges.collect()] == [("Web_App", "API", "dashed", True)] and ways.first().direction == "LR"
 
@@ -216,7 +216,7 @@ def test_plantuml(spark):
 
 
 def test_macros(spark):
-    rows = {r.page_id: r.markdown for r in macros.page_text(formats._pages(spark)).collect()}
+    rows = {r.page_id: r.markdown for r in macros.page_text(spark.createDataFrame(samples.PAGES, "page_id string, storage_html string, view_html string")).collect()}
     assert "BLOCK" not in rows["p1"] and rows["p1"].count("```sql") == 1 and "  kept  " in rows["p1"] and "<!-- EXCERPT: excerpt_0 -->" in rows["p1"]
     assert rows["p2"].startswith("view only") and all(x in rows["p2"] for x in ("# Raw *md*", "A --> B", "select 1"))
     assert rows["p3"] == "plain" and rows["p4"] == ""
@@ -229,7 +229,7 @@ def test_images(spark):
 
 
 def test_diagram_json(spark, tmp_path):
-    made = plantuml.diagrams(spark.createDataFrame(formats.PLANTUML[:3], "diagram_id string, block string")).drop("block", "kind", "mermaid", "error")
+    made = plantuml.diagrams(spark.createDataFrame(samples.PLANTUML[:3], "diagram_id string, block string")).drop("block", "kind", "mermaid", "error")
     files.write_diagrams(made, str(tmp_path / "ast"))
     again = files.read_diagrams(spark, str(tmp_path / "ast"))
     back = lambda df: sorted((r.diagram_id, len(r.nodes), [e.source for e in r.edges], r.diagram_type) for r in df.collect())

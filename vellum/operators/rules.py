@@ -169,7 +169,12 @@ def consolidate(rules: DataFrame, root: DataFrame) -> DataFrame:
     merged = rows.groupBy("root").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("keywords")))).alias("keywords"))
     best = rows.where("_n = 1").drop("sources", "keywords", "_n").join(merged, "root")
     number = F.row_number().over(Window.orderBy(severity_order(F.col("severity")), "rule_id"))
-    return best.withColumn("number", F.concat(F.lit("R-"), F.lpad(number.cast("string"), 3, "0"))).drop("root")
+    return best.withColumn("number", F.format_string("R-%03d", number)).drop("root")
+
+
+def dispatched(agents: DataFrame, skills: DataFrame) -> DataFrame:
+    """agent, skill: the agents (agent, category) that run each skill (skill, category), by category; a skill without one is run by none."""
+    return agents.join(skills, "category").select("agent", "skill")
 
 
 def cross_document(sightings: DataFrame, least: int = 2) -> DataFrame:

@@ -103,12 +103,12 @@ def sheet_edge_labels(spark, sf):
     return spatial.labels_to_edges(points, far).select("text_pos", "edge_pos", F.round("distance", 6).alias("distance"))
 
 
-@query("""WITH near AS (SELECT p_partkey AS shape_pos, (p_partkey * 37 % 1800)::DOUBLE AS x, (p_partkey * 53 % 1400)::DOUBLE AS y, (p_size * 3 + 20)::DOUBLE AS width, (p_size * 2 + 15)::DOUBLE AS height FROM part)
+@query("""WITH near AS (SELECT p_partkey AS shape_pos, (p_partkey * 37 % 600)::DOUBLE AS x, (p_partkey * 53 % 500)::DOUBLE AS y, (p_size * 3 + 20)::DOUBLE AS width, (p_size * 2 + 15)::DOUBLE AS height FROM part)
 SELECT o.shape_pos, string_agg(i.shape_pos, ',' ORDER BY i.shape_pos) AS children FROM near o JOIN near i ON o.shape_pos <> i.shape_pos
   AND i.x >= o.x AND i.y >= o.y AND i.x + i.width <= o.x + o.width AND i.y + i.height <= o.y + o.height AND o.width * o.height > 1.5 * i.width * i.height GROUP BY o.shape_pos HAVING count(*) >= 2""")
 def sheet_containment(spark, sf):
     k = F.col("shape_pos")
-    boxes = one_sheet(T.boxes(spark, sf)).withColumn("x", (k * 37 % 1800).cast("double")).withColumn("y", (k * 53 % 1400).cast("double"))
+    boxes = one_sheet(T.boxes(spark, sf)).withColumn("x", (k * 37 % 600).cast("double")).withColumn("y", (k * 53 % 500).cast("double"))
     return spatial.containment_groups(boxes).select("shape_pos", F.array_join(F.col("children").cast("array<string>"), ",").alias("children"))
 
 
@@ -123,20 +123,32 @@ def similar_document_rules(spark: SparkSession, sf: str) -> DataFrame:
                     F.array_join(F.slice("w", 1, 12), " ").alias("condition"), F.array("source").alias("sources"))
 
 
-@query(f"""WITH RECURSIVE d AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all({LOW_SQL}, '[a-z]{{5,}}'))) AS w FROM documents),
-r AS (SELECT 'D' || lpad(doc_id::VARCHAR, 12, '0') AS rule_id, w[1:6] AS k, CASE WHEN len(w) = 0 THEN [''] ELSE w[1:12] END AS c FROM d),
+ROOTS_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, source, list_sort(list_distinct(regexp_extract_all({LOW_SQL}, '[a-z]{{5,}}'))) AS w FROM documents),
+r AS (SELECT 'D' || lpad(doc_id::VARCHAR, 12, '0') AS rule_id, source, doc_id % 4 AS severity, array_to_string(w[1:12], ' ') AS condition, w[1:6] AS k, CASE WHEN len(w) = 0 THEN [''] ELSE w[1:12] END AS c FROM d),
 kw AS (SELECT rule_id, unnest(k) AS k FROM r), near AS (SELECT x.rule_id AS a, y.rule_id AS b FROM kw x JOIN kw y USING (k) WHERE x.rule_id < y.rule_id GROUP BY ALL HAVING count(*) >= 3),
 pairs AS (SELECT a, b FROM near JOIN r x ON x.rule_id = a JOIN r y ON y.rule_id = b WHERE len(list_intersect(x.c, y.c)) / len(list_distinct(list_concat(x.c, y.c))) >= 0.6),
-ways AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs), reach AS (SELECT a, b FROM ways UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a)
-SELECT rule_id, coalesce(least(rule_id, (SELECT min(b) FROM reach WHERE a = rule_id)), rule_id) AS root FROM r""")
+ways AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs), reach AS (SELECT a, b FROM ways UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a),
+roots AS (SELECT r.rule_id, least(r.rule_id, coalesce(min(b), r.rule_id)) AS root FROM r LEFT JOIN reach ON a = r.rule_id GROUP BY r.rule_id)"""
+
+
+@query(f"{ROOTS_SQL} SELECT rule_id, root FROM roots")
 def rules_incremental(spark, sf):
     rules = similar_document_rules(spark, sf)
-    state = U.Consolidation(spark, new_folder(spark, "consolidation"))
+    state = U.Consolidation(spark, new_folder(spark, "consolidation"), buckets=8)
     for version in range(3):
         state.add(rules.where(F.col("doc_id") % 3 == version), version)
     return state.groups()
 
 
+@query(f"""{ROOTS_SQL}, best AS (SELECT rule_id, root, severity, condition FROM r JOIN roots USING (rule_id) QUALIFY row_number() OVER (PARTITION BY root ORDER BY length(condition) DESC, severity, rule_id) = 1),
+merged AS (SELECT root, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM r JOIN roots USING (rule_id) GROUP BY root)
+SELECT rule_id, ['critical', 'high', 'medium', 'low'][severity + 1] AS severity, condition, coalesce(sources, '') AS sources, printf('R-%03d', row_number() OVER (ORDER BY severity, rule_id)) AS number FROM best JOIN merged USING (root)""")
+def rules_consolidated(spark, sf):
+    rules = similar_document_rules(spark, sf).drop("doc_id")
+    out = U.consolidate(rules, U.merge_groups(rules, U.similar_rules(rules)))
+    return out.select("rule_id", "severity", "condition", F.array_join("sources", ",").alias("sources"), "number")
+
+
 # Versions of pages come as a stream of events: a page for each user.
 
 REFRESHED = "page_id long, version long, print string, n_chars int"
@@ -154,6 +166,20 @@ def pages_refreshed(spark, sf):
     return refresh.current(spark, f"{folder}/out", REFRESHED, 8)
 
 
+@query("SELECT doc_id AS page_id, CASE WHEN doc_id % 5 = 0 THEN 3 WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS version, (length(text) + CASE WHEN doc_id % 5 = 0 OR doc_id % 3 <> 0 THEN 3 ELSE 0 END)::INT AS n_chars FROM documents WHERE text IS NOT NULL")
+def incremental_refresh(spark, sf):
+    """Three micro-batches of page versions; the second and third hold a part of the pages."""
+    folder = new_folder(spark, "refresh")
+    rows = table(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("page_id"), F.col("text").alias("content"))
+    for version, keep in ((1, "true"), (2, "page_id % 3 = 0"), (3, "page_id % 5 = 0")):
+        text = F.col("content") if version == 2 else F.concat("content", F.lit(f" v{version}"))
+        rows.where(keep).select("page_id", F.lit(version).cast("long").alias("version"), text.alias("content")).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema("page_id long, version long, content string").option("maxFilesPerTrigger", "1").parquet(f"{folder}/in")
+    done = refresh.refresh(stream, f"{folder}/out", f"{folder}/state", lambda d: d.select("page_id", "version", "print", F.length("content").alias("n_chars")), REFRESHED, 8)
+    done.awaitTermination()
+    return refresh.current(spark, f"{folder}/out", REFRESHED, 8).select("page_id", F.col("version").cast("int").alias("version"), "n_chars")
+
+
 # The pages as an export of a wiki.
 
 def _wiki(spark: SparkSession, sf: str) -> str:

@@ -17,7 +17,7 @@ from ..operators import rules as U
 from ..operators import spatial as P
 from ..operators import staleness as S
 from ..operators import validation as V
-from ..schemas import COLORS, SHIPPED_RULES
+from ..schemas import SHIPPED_RULES
 from . import tables as T
 from .tables import table
 
@@ -41,11 +41,6 @@ def docs(spark, sf):
 
 # Rules against documents.
 
-@query(f"SELECT * FROM ({T.values([(r[0], r[1], r[2], r[3], r[4], len(r[5])) for r in SHIPPED_RULES], 'rule_id, category, kind, severity, required, n_keywords')})")
-def rule_catalog(spark, sf):
-    return V.rule_table(spark).select("rule_id", "category", "kind", "severity", "required", F.size("keywords").alias("n_keywords"))
-
-
 @query(f"WITH {T.rules_sql(False)} SELECT rule_id, keyword, count(*) FILTER (regexp_matches(coalesce(text, ''), pattern, 'i')) AS n_docs FROM kw, documents GROUP BY ALL")
 def keyword_evidence(spark, sf):
     return V.keyword_hits(docs(spark, sf), V.rule_table(spark))
@@ -65,12 +60,12 @@ REPORT = ["doc_id", "category", "score", "total", "n_pass", "n_warn", "n_error",
 
 @query(f"WITH {T.reports_sql(True)} SELECT {', '.join(REPORT)} FROM reports")
 def category_scores(spark, sf):
-    return V.category_reports(_found(spark, sf)).select(*REPORT)
+    return V.reports(docs(spark, sf), V.rule_table(spark, True)).select(*REPORT)
 
 
 @query(f"WITH {T.findings_sql(True)} SELECT doc_id, category, greatest(0, least(100, 100 - 10 * count(*) FILTER (status IN ('ERROR', 'CRITICAL')) - 5 * count(*) FILTER (status = 'WARN')))::BIGINT AS score FROM findings GROUP BY ALL")
 def deducted_scores(spark, sf):
-    return V.category_reports(_found(spark, sf), "deduct").select("doc_id", "category", "score")
+    return V.reports(docs(spark, sf), V.rule_table(spark, True), "deduct").select("doc_id", "category", "score")
 
 
 GRADE_SQL = "CASE WHEN overall >= 70 THEN 'PASS' WHEN overall >= 50 THEN 'WARN' ELSE 'FAIL' END"
@@ -78,12 +73,12 @@ GRADE_SQL = "CASE WHEN overall >= 70 THEN 'PASS' WHEN overall >= 50 THEN 'WARN'
 
 @query(f"WITH {T.reports_sql(True)} SELECT *, {GRADE_SQL} AS grade FROM cards")
 def governance_scorecard(spark, sf):
-    return V.scorecards(V.category_reports(_found(spark, sf)))
+    return V.scorecards(V.reports(docs(spark, sf), V.rule_table(spark, True)))
 
 
 @query(f"WITH {T.reports_sql(False)} SELECT *, {GRADE_SQL} AS grade FROM cards")
 def shipped_scorecard(spark, sf):
-    return V.scorecards(V.category_reports(_found(spark, sf, False)))
+    return V.scorecards(V.reports(docs(spark, sf), V.rule_table(spark)))
 
 
 @query(f"WITH {T.reports_sql(True)} SELECT grade, count(*) AS n FROM (SELECT {GRADE_SQL} AS grade FROM cards) GROUP BY grade")
@@ -104,30 +99,13 @@ def status_pivot(spark, sf):
     return V.status_pivot(_found(spark, sf))
 
 
-@query(f"WITH {T.rules_sql(False)} SELECT coalesce(severity, 'all') AS severity, count(*) AS n_rules FROM rules GROUP BY ROLLUP (severity)")
-def severity_rollup(spark, sf):
-    return V.severity_rollup(V.rule_table(spark))
-
-
 @query(f"""WITH {T.findings_sql(True)} SELECT doc_id, coalesce(string_agg(rule_id, ',' ORDER BY rule_id) FILTER (status IN ('ERROR', 'CRITICAL')), '') AS critical_issues,
   coalesce(string_agg(rule_id, ',' ORDER BY rule_id) FILTER (status = 'WARN'), '') AS quick_wins FROM findings GROUP BY doc_id""")
 def issue_lists(spark, sf):
     return V.issue_lists(_found(spark, sf))
 
 
-@query(f"WITH {T.rules_sql(False)} SELECT rule_id, category, ((row_number() OVER (PARTITION BY category ORDER BY rule_id) - 1) // 5)::BIGINT AS batch FROM rules")
-def rule_batches(spark, sf):
-    return U.batches(V.rule_table(spark), 5).select("rule_id", "category", "batch")
-
-
 SKILLS = [("iam", "security"), ("tls-audit", "security"), ("naming", "standards"), ("layers", "patterns"), ("notes", None)]
-AGENTS = [("patterns-agent", "patterns"), ("standards-agent", "standards"), ("security-agent", "security")]
-
-
-@query(f"SELECT a.name AS agent, s.name AS skill FROM ({T.values(AGENTS, 'name, category')}) a JOIN ({T.values(SKILLS, 'name, category')}) s USING (category)")
-def skill_dispatch(spark, sf):
-    agents, skills = spark.createDataFrame(AGENTS, "agent string, category string"), spark.createDataFrame(SKILLS, "skill string, category string")
-    return agents.join(skills, "category").select("agent", "skill")
 
 
 @query(f"""WITH {T.findings_sql(True)}, outside AS (SELECT doc_id, 'EXT-' || (doc_id % 3) AS rule_id, CASE doc_id % 3 WHEN 0 THEN 'iam' WHEN 1 THEN 'tls-audit' ELSE 'naming' END AS origin,
@@ -142,21 +120,6 @@ def external_collation(spark, sf):
     return V.collate(_found(spark, sf).where("category = 'security'"), outside, registry, "security").groupBy("origin", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-CONDITIONS = [
-    ("a1", "high", ["tls", "https", "encryption"], "all traffic is encrypted", ["p1"]), ("a2", "critical", ["tls", "https", "encryption", "aes"], "All  traffic is encrypted", ["p2"]),
-    ("a3", "low", ["tls", "https", "encryption"], "certificates rotate monthly", ["p3"]), ("a4", "medium", ["log", "audit"], "audit log kept", ["p1", "p2"]),
-    ("a5", "medium", ["log", "audit", "trail"], "audit log kept for a year", ["p4"]), ("a6", "high", ["log", "audit", "trail", "retention"], "audit log kept for a full year", ["p5"])]
-RULE_SETS = "rule_id string, severity string, keywords array<string>, condition string, sources array<string>"
-
-
-@query("""SELECT * FROM (VALUES ('a2', 'critical', 'All  traffic is encrypted', 'p1,p2', 'R-001'), ('a6', 'high', 'audit log kept for a full year', 'p4,p5', 'R-002'),
-  ('a4', 'medium', 'audit log kept', 'p1,p2', 'R-003'), ('a3', 'low', 'certificates rotate monthly', 'p3', 'R-004')) AS v(rule_id, severity, condition, sources, number)""")
-def rules_consolidated(spark, sf):
-    rules = spark.createDataFrame(CONDITIONS, RULE_SETS)
-    out = U.consolidate(rules, U.merge_groups(rules, U.similar_rules(rules)))
-    return out.select("rule_id", "severity", "condition", F.array_join("sources", ",").alias("sources"), "number")
-
-
 @query(f"""WITH {T.findings_sql(True)} SELECT rule_id, count(DISTINCT source) AS n_sources, any_value(severity) AS severity FROM findings JOIN (SELECT doc_id, source FROM documents) USING (doc_id)
   WHERE status IN ('ERROR', 'CRITICAL') GROUP BY rule_id HAVING count(DISTINCT source) >= 2""")
 def cross_document_rules(spark, sf):
@@ -517,46 +480,6 @@ def rule_conditions(spark, sf):
     return U.conditions_met(rules, diagrams, T.event_nodes(spark, sf), T.event_edges(spark, sf), T.event_groups(spark, sf))
 
 
-# Inline values.
-
-ARROWS = [
-    ("->", "solid", False, True, None, False, 0), ("-->", "dashed", False, True, None, False, 0), ("..>", "dotted", False, True, None, False, 0), ("<==>", "thick", True, True, None, False, 0),
-    ("--", "dashed", False, False, None, False, 0), ("-", "solid", False, False, None, False, 0), ("-[#red]>", "solid", False, True, "#FF0000", False, 0), ("->++", "solid", False, True, None, False, 1),
-    ("-->--", "dashed", False, True, None, False, -1), ("->x", "solid", False, False, None, True, 0), ("->o", "solid", False, True, None, False, 0), ("<->", "solid", True, True, None, False, 0)]
-
-
-@query(T.values(ARROWS, "arrow, style, has_start, has_end, color, lost, activate"))
-def arrow_parse(spark, sf):
-    return spark.createDataFrame([(a[0],) for a in ARROWS], "arrow string").select("arrow", F.inline(F.array(D.parsed_arrow(F.col("arrow")))))
-
-
-@query(T.values([(k, v) for k, v in COLORS.items()] + [("#abc", "#abc"), ("FF00AA", "#FF00AA"), ("nocolour", None)], "name, hex"))
-def colour_resolve(spark, sf):
-    names = [*COLORS, "#abc", "FF00AA", "nocolour"]
-    return spark.createDataFrame([(n,) for n in names], "name string").select("name", D.color(F.col("name")).alias("hex"))
-
-
-RELATIONS = [("--|>", "extends", "<|--"), ("..|>", "implements", "<|.."), ("<|--", "extends", "<|--"), ("*--", "composition", "*--"), ("o--", "aggregation", "o--"), ("..>", "dependency", "<.."), ("--", "association", "--"), ("-->", "association", "--")]
-
-
-@query(T.values(RELATIONS, "arrow, relation, mermaid"))
-def class_relations(spark, sf):
-    r = D.class_relation(F.col("arrow"))
-    return spark.createDataFrame([(a[0],) for a in RELATIONS], "arrow string").select("arrow", r.alias("relation"), D.relation_text(r).alias("mermaid"))
-
-
-CODES = [
-    ("graph LR\n  A --→ B\n  subgraph S\n  C[x(y)]", "graph LR\n  A --> B\n  subgraph S\n  C[\"x(y)\"]\n    end", True, 3, 1, 1), ("", "", False, 0, 0, 0), ("flowchart TB", "flowchart TB", False, 0, 0, 0),
-    ("hello\nworld", "hello\nworld", False, 0, 0, 0), ("flowchart LR\n    A[\"a\"] -.-> B(b)\n    B ==> C\n%% no\nstyle A fill:#fff", "flowchart LR\n    A[\"a\"] -.-> B(b)\n    B ==> C\n%% no\nstyle A fill:#fff", True, 3, 2, 0)]
-
-
-@query(T.values(CODES, "code, fixed, valid, node_count, edge_count, subgraph_count"))
-def mermaid_autofix(spark, sf):
-    fixed = X.autofix(F.col("code"))
-    counts = X.mermaid_counts(fixed)
-    return spark.createDataFrame([(c[0],) for c in CODES], "code string").select("code", fixed.alias("fixed"), X.mermaid_valid(fixed).alias("valid"), F.inline(F.array(counts)))
-
-
 # The plane.
 
 CENTRE_SQL = "sqrt((px - (x + width / 2)) * (px - (x + width / 2)) + (py - (y + height / 2)) * (py - (y + height / 2)))"
@@ -620,12 +543,12 @@ def ocr_line_labels(spark, sf):
     return P.ocr_labels(words).select("image_id", "line", "label", "x", "width")
 
 
-# Formats that need a parser: rows only.
+# State between runs, and formats.
 
-from . import formats, kept  # noqa: E402
+from . import kept, written  # noqa: E402
 
-QUERIES |= formats.QUERIES | kept.QUERIES
-ORACLES |= kept.ORACLES
+QUERIES |= kept.QUERIES | written.QUERIES
+ORACLES |= kept.ORACLES | written.ORACLES
 
 
 @query()

@@ -45,7 +45,7 @@ def with_defaults(diagrams: DataFrame) -> DataFrame:
 
 
 def frontmatter(text: Column, key: str) -> Column:
-    return F.trim(F.regexp_extract(F.regexp_extract(text, r"(?s)^---\s*\n(.*?)\n---", 1), rf"(?m)^{key}:\s*(.*)$", 1))
+    return F.trim(F.regexp_extract(F.regexp_extract(text, r"(?s)^---\s*\n(.*?)\n---", 1), rf"(?m)^{key}:[ \t]*(.*)$", 1))
 
 
 def skills(files: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import diagrams as D
 from ..operators import graphs, spatial
+from ..session import settled
 
 ELEMENTS = "diagram_id string, kind string, pos int, tag string, text string, x double, y double, width double, height double, x2 double, y2 double, rx double, ry double, fill string, stroke string, dashed boolean, stroke_width double, arrow_end boolean, arrow_start boolean"
 
@@ -68,6 +69,7 @@ def parse(drawings: DataFrame) -> DataFrame:
 
 def graph(found: DataFrame, tolerance: float = 30.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """nodes, edges and diagrams (diagram_id, direction); drawings without shapes, such as wrapped images, have none."""
+    found = settled(found, "svg-elements")
     shapes = found.where("kind = 'shape' and width > 5 and height > 5").where(~(F.coalesce(F.lower("fill"), F.lit("white")).isin("#ffffff", "white") & F.col("stroke").isNull()))
     shapes = shapes.select("diagram_id", F.col("pos").alias("shape_pos"), "x", "y", "width", "height", "fill", "stroke", D.svg_shape(F.col("tag"), F.col("rx"), F.col("ry")).alias("shape"))
     texts = found.where("kind = 'text'").select("diagram_id", F.col("pos").alias("text_pos"), "text", F.col("x").alias("px"), F.col("y").alias("py"))
