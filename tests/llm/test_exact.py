@@ -424,3 +424,19 @@ def test_a_saved_table_outlives_its_shuffles(spark):
     assert sorted(map(tuple, saved.collect())) == want
     assert sorted(map(tuple, frame.collect())) == want
     assert sorted(map(tuple, base.save(frame, "outlives").collect())) == want
+
+
+def test_a_footer_masks_nothing(spark):
+    """Random common words and an address in half, nine tenths and all of the documents; beside it a term that goes along with a rare address."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(300)]
+    texts = [" ".join(rng.sample(vocabulary, 42)) for _ in range(200)]
+    for share in (0.5, 0.9, 1.0):
+        rows = [(i, t + (" contact info@site.org today" if i < share * len(texts) else " ends here today")) for i, t in enumerate(texts)]
+        found = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sum(r.n_email for r in found) == share * len(texts)
+        marked = sum(r.n_terms for r in found)
+        assert marked <= (share * len(texts) if share < 1 else 0)  # "contact" goes with the address wherever that stands
+    told = [(1000 + i, f"{' '.join(rng.sample(vocabulary, 20))} quokka {rng.choice(vocabulary)} rare@site.org {' '.join(rng.sample(vocabulary, 20))}") for i in range(8)]
+    found = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)) + told, "doc_id long, text string")).collect()}
+    assert all(found[i].n_terms == 1 for i, _ in told) and not any(found[i].n_terms for i in range(len(texts)))

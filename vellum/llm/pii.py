@@ -38,8 +38,8 @@ KINDS = ("email", "ip", "card", "phone", "term")
 NEAR, TERM_LETTERS = 8, 4
 #: Different contexts that a term and an entity share at least, and the share of the entity's information from which a term discloses it.
 SUPPORT, DISCLOSED = 3, 0.8
-#: Standard deviations by which the share of a term's documents that hold the entity is taken too low, against chance.
-DOUBT = 1.645
+#: Standard deviations by which the share of a term's documents that hold the entity is taken too low, and by which their number must exceed what chance has.
+DOUBT, BEYOND = 1.0, 4.0
 TERM = re.compile(r"[^\W\d_]{%d,}" % TERM_LETTERS)
 
 
@@ -236,9 +236,9 @@ def surely(part: Column, whole: Column, doubt: float = DOUBT) -> Column:
 def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
     """term: those whose mutual information with an entity reaches `disclosed` of the entity's information, surely.
 
-    The probability of the entity beside the term is the lower bound of its confidence interval.  An entity that many documents
-    have, as a footer's address, has little information, and only a term that goes along with it far more often than
-    chance would have it comes near; one that stands in every document has none and is disclosed by nothing.
+    The probability of the entity beside the term is the lower bound of its confidence interval, and the two must meet far more often than
+    chance would have it.  An entity that many documents have, as a footer's address, so needs a term that goes along with it nearly
+    everywhere; one that stands in every document has no information and is disclosed by nothing.
 
     All counts are of whole documents, so copies of a text raise them alike; the support is
     of different contexts, so copies alone do not make a term disclosing.
@@ -253,7 +253,9 @@ def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, disclo
     rows = joint.join(document_counts(docs, joint.select("term")), "term")
     information = -F.log(F.col("n_entity") / n)
     mutual = F.log(surely(F.col("n_both"), F.greatest("n_docs", "n_both")) * n / F.col("n_entity"))
-    return rows.where(mutual >= disclosed * information).select("term").distinct()
+    often = F.col("n_entity") / n
+    chance = F.greatest("n_docs", "n_both") * often
+    return rows.where((mutual >= disclosed * information) & (F.col("n_both") - chance >= BEYOND * F.sqrt(chance * (1 - F.least(often, F.lit(1.0)))))).select("term").distinct()
 
 
 def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
