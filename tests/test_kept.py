@@ -319,3 +319,54 @@ def test_joint_conditions(spark):
     table = [("R1", "tls AND node:lb exists"), ("R2", "audit log OR node:DB exists AND NOT tls"), ("R3", "edge:App->DB missing"), ("R4", "NOT tls AND NOT plain OR tls  AND audit log"), ("R5", "tls AND NOT tls"), ("R6", ""), ("R7", None)]
     found = rules.joint_findings(spark.createDataFrame(table, "rule_id string, condition string"), docs, diagrams, nodes, edges, groups)
     assert sorted(map(tuple, found.collect())) == [(1, "R1"), (2, "R2"), (2, "R3"), (3, "R3"), (3, "R4"), (4, "R2"), (4, "R3"), (4, "R4")]
+
+
+def test_kinds_of_plantuml(spark):
+    from vellum.sources import plantuml
+
+    blocks = {"participant A\nA -> B": "sequence", "a -> b : x": "sequence", "package p {\na -> b : x\n}": "component", "class A\nA -> B : x": "class", "interface I": "class", "[*] --> A": "state", "state S": "state",
+              "database d": "component", "start\n:do it;\nstop": "activity", "stop start": "activity", "a --> b": "component", "": "component"}
+    rows = spark.createDataFrame([(k,) for k in blocks], "block string").withColumn("kind", plantuml.diagram_type(F.col("block"))).collect()
+    assert {r.block: r.kind for r in rows} == blocks == {k: plantuml.kind_of(k) for k in blocks}
+
+
+def test_shapes_of_contours(spark):
+    from vellum.functions import diagrams
+
+    cases = [((0, None, 1.0, None), ("rectangle", 0.3)), ((12, 0.9, 1.0, 0.0), ("circle", 0.9)), ((12, 1.2, 1.0, 0.0), ("circle", 1.0)), ((4, 0.7, 1.0, 45.0), ("diamond", 0.7)), ((4, 0.7, 1.0, None), ("rectangle", 0.9)),
+             ((4, 0.7, 3.0, 45.0), ("rectangle", 0.8)), ((6, 0.7, 1.0, 0.0), ("hexagon", 0.7)), ((3, 0.5, 1.0, 0.0), ("diamond", 0.5)), ((9, 0.5, 1.0, 0.0), ("stadium", 0.5)), ((5, 0.5, 1.0, 0.0), ("rectangle", 0.4))]
+    rows = spark.createDataFrame([c[0] for c in cases], "v int, c double, a double, g double").select("*", diagrams.cv_shape(F.col("v"), F.col("c"), F.col("a"), F.col("g")).alias("s")).collect()
+    assert [tuple(r.s) for r in sorted(rows, key=lambda r: [c[0] for c in cases].index((r.v, r.c, r.a, r.g)))] == [c[1] for c in cases]
+
+
+def test_skills(spark, tmp_path):
+    from vellum.operators.skills import SKILL, SkillRegistry
+
+    rows = lambda *r: spark.createDataFrame(list(r), SKILL)
+    registry = SkillRegistry(spark, str(tmp_path / "skills"))
+    registry.add(rows(("iam", "security", ["role"]), ("names", "standards", ["naming"])), 0)
+    registry.update(rows(("iam", "security", ["role", "policy"])), 1)
+    registry.remove(rows(("names", None, None)).select("name"), 2)
+    for change, version in ((lambda v: registry.add(rows(("iam", "x", [])), v), 3), (lambda v: registry.update(rows(("gone", "x", [])), v), 3), (lambda v: registry.remove(rows(("names", None, None)).select("name"), v), 3)):
+        with pytest.raises(ValueError, match="iam|gone|names"):
+            change(version)
+    assert [r.name for r in registry.list().collect()] == ["iam"] and registry.list(0).count() == 2 and registry.list(1, "standards").count() == 1
+    docs = spark.createDataFrame([(1, "a policy"), (2, "Naming of a role")], "doc_id long, text string")
+    assert {tuple(r) for r in registry.findings(docs, 0).collect()} == {(2, "iam"), (2, "names")}
+    assert {tuple(r) for r in registry.findings(docs).collect()} == {(1, "iam"), (2, "iam")}
+
+
+def test_attempts(spark):
+    from vellum.operators.steps import Steps, retried
+
+    tried = []
+
+    def attempt(left, n):
+        tried.append(left.count())
+        return left.withColumn("error", F.when(F.col("id") % 3 >= n, F.concat(F.lit("no "), F.repeat(F.lit("y"), 900))))
+
+    steps = Steps(spark)
+    found = steps.count(retried(steps.count(spark.range(9), "all"), attempt, 2), "tried").collect()
+    assert tried == [9, 6] and {(r.id % 3, r.attempts, len(r.error or "")) for r in found} == {(0, 1, 0), (1, 2, 0), (2, 2, 500)}
+    assert steps.table().where("step = 'tried'").first().line == "[2] tried: 9 rows"
+    assert retried(spark.range(3), lambda left, n: left.withColumn("error", F.lit(None).cast("string")), 5).select("attempts").distinct().collect()[0][0] == 1

@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import keywords as K
 from ..operators import rules as U
 from ..operators import sinks, spatial
+from ..operators.skills import SkillRegistry
+from ..operators.steps import Steps, retried
 from ..session import new_folder
 from ..sources import wiki
 from ..streaming import refresh
@@ -234,3 +237,48 @@ def joint_conditions(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     diagrams = T.event_diagrams(spark, sf).select(F.col("diagram_id").alias("doc_id"), "diagram_id")
     return U.joint_findings(spark.createDataFrame(JOINT, "rule_id string, condition string"), docs, diagrams, T.event_nodes(spark, sf), T.event_edges(spark, sf), T.event_groups(spark, sf))
+
+
+# Steps, attempts and skills.
+
+@query(f"""SELECT 1 AS pos, 'documents' AS step, count(*) AS n FROM documents UNION ALL SELECT 2, 'with the', count(*) FILTER ({_has('the')}) FROM documents
+UNION ALL SELECT 3, 'sources', count(DISTINCT coalesce(source, 'none')) FILTER ({_has('the')}) FROM documents""")
+def observed_counts(spark, sf):
+    steps = Steps(spark)
+    rows = steps.count(table(spark, sf, "documents").select("text", F.coalesce("source", F.lit("none")).alias("source")), "documents")
+    rows = steps.count(rows.where(K.low(F.col("text")).rlike("(^|[^a-z0-9_])the($|[^a-z0-9_])")), "with the")
+    steps.count(rows.groupBy("source").count(), "sources").write.format("noop").mode("overwrite").save()
+    return steps.table().select("pos", "step", "n")
+
+
+@query("SELECT user_id AS diagram_id, CASE user_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS attempts, CASE WHEN user_id % 4 = 3 THEN 500 END AS error_length FROM (SELECT DISTINCT user_id FROM events)")
+def mermaid_attempts(spark, sf):
+    """By the user's number: fine at once, after a first line is put before it, after a node is put into it, never."""
+    code = F.element_at(F.array(*map(F.lit, ("graph LR\n  A --> B", "  A --> B", "graph LR", ""))), (F.col("diagram_id") % 4 + 1).cast("int"))
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("diagram_id")).distinct().select("diagram_id", code.alias("code"))
+
+    def attempt(left: DataFrame, n: int) -> DataFrame:
+        c = F.col("code")
+        if n >= 2:
+            c = F.when((c != "") & ~c.startswith("graph"), F.concat(F.lit("graph LR\n"), c)).otherwise(c)
+        if n >= 3:
+            c = F.when(c == "graph LR", F.concat(c, F.lit("\n  A[empty]"))).otherwise(c)
+        return left.withColumn("error", F.when(~F.coalesce(X.mermaid_valid(c), F.lit(False)), F.concat(F.lit("not valid: "), F.repeat(F.lit("x"), 600))))
+
+    return retried(rows, attempt, 3).select("diagram_id", "attempts", F.length("error").alias("error_length"))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k, s_name AS name, ['patterns', 'standards', 'security'][s_suppkey % 3 + 1] AS category FROM supplier)
+SELECT 1 AS at, name, CASE WHEN k % 3 = 0 THEN 'moved' ELSE category END AS category FROM s WHERE k % 5 < 4 UNION ALL
+SELECT 3, name, CASE WHEN k % 3 = 0 AND k % 5 < 4 THEN 'moved' ELSE category END FROM s WHERE k % 5 = 4 OR k % 4 <> 0""")
+def skill_registry(spark, sf):
+    """Some suppliers' skills are added, some of these updated, some removed and the others added; the list after the update and at the end."""
+    k = F.col("s_suppkey")
+    category = F.element_at(F.array(*map(F.lit, ("patterns", "standards", "security"))), (k % 3 + 1).cast("int"))
+    rows = table(spark, sf, "supplier").select(k, F.col("s_name").alias("name"), category.alias("category"), F.split("s_name", "#").alias("keywords"))
+    registry = SkillRegistry(spark, new_folder(spark, "skills"))
+    registry.add(rows.where(k % 5 < 4).drop("s_suppkey"), 0)
+    registry.update(rows.where((k % 5 < 4) & (k % 3 == 0)).drop("s_suppkey").withColumn("category", F.lit("moved")), 1)
+    registry.remove(rows.where((k % 5 < 4) & (k % 4 == 0)).select("name"), 2)
+    registry.add(rows.where(k % 5 == 4).drop("s_suppkey"), 3)
+    return registry.list(1).select(F.lit(1).alias("at"), "name", "category").unionByName(registry.list().select(F.lit(3).alias("at"), "name", "category"))

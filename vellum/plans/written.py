@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import diagrams as D
 from ..functions import text as X
-from ..operators import attachments, graphs
+from ..operators import attachments, graphs, spatial
 from ..operators import rules as U
+from ..operators import staleness as S
 from ..operators import validation as V
 from ..session import settled
 from ..sources import drawings, drawio, files, html, macros, plantuml, svg
@@ -336,3 +337,56 @@ def mermaid_autofix(spark, sf):
     codes = joined(nodes, text("  ", F.col("before"), " --→ ", F.col("id")), "lines").select("diagram_id", text("graph LR\n", F.col("lines"), "\n  subgraph S\n  C[x(y)]").alias("code"))
     fixed = codes.select("diagram_id", X.autofix(F.col("code")).alias("fixed"))
     return fixed.select("diagram_id", "fixed", X.mermaid_valid(F.col("fixed")).alias("valid"), F.inline(F.array(X.mermaid_counts(F.col("fixed")))))
+
+
+# What is left: reports, questions, sizes and colours.
+
+@query(f"WITH {T.findings_sql(True)} SELECT rule_id, status, count(*) AS n FROM findings WHERE severity = 'high' GROUP BY ALL")
+def findings_grounded(spark, sf):
+    """Findings whose rule is in a rule set that holds those of high severity alone."""
+    rules = V.rule_table(spark, True)
+    found = V.findings(table(spark, sf, "documents").select("doc_id", "text"), rules)
+    return V.grounded(found, rules.where("severity = 'high'")).groupBy("rule_id", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {T.SNAPSHOT_SQL} SELECT page_id, page_id AS in_line, status FROM status")
+def staleness_lines(spark, sf):
+    pages, rules, _ = T.snapshot(spark, sf)
+    of = lambda name: F.get_json_object("line", f"$.{name}")
+    return S.report_json(S.file_status(pages, rules)).select("page_id", of("page_id").cast("long").alias("in_line"), of("status").alias("status"))
+
+
+@query(f"""WITH {T.FILES_SQL}, r AS (SELECT title LIKE 'drawio-backup-%' OR title LIKE 'tmp%' OR title LIKE '~%' AS b, regexp_matches(lower(title), '[.](pdf|docx|txt)$') AS u FROM files)
+SELECT count(*) FILTER (b) AS backup, count(*) FILTER (u AND NOT b) AS unnecessary, count(*) FILTER (NOT u AND NOT b) AS kept FROM r""")
+def prune_summary(spark, sf):
+    return attachments.prune_counts(T.files(spark, sf))
+
+
+@query("""SELECT 'Does the document describe ' || array_to_string(string_split(p_name, ' ')[1:3], ', ') || '?' AS question, string_agg('P' || lpad(p_partkey::VARCHAR, 9, '0'), ',' ORDER BY p_partkey) AS rule_ids FROM part GROUP BY ALL""")
+def probe_questions(spark, sf):
+    rules = table(spark, sf, "part").select(F.concat(F.lit("P"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("rule_id"), F.split("p_name", " ").alias("keywords"))
+    return U.probe_questions(rules).select("question", F.array_join("rule_ids", ",").alias("rule_ids"))
+
+
+@query("""WITH c AS (SELECT p_partkey, p_partkey % 9 AS v, CASE WHEN p_partkey % 13 > 0 THEN (p_partkey % 13) / 12.0 END AS c, (p_size % 20) / 10.0 AS a, CASE WHEN p_partkey % 5 > 0 THEN p_partkey % 180 END AS g, p_size * 40.0 AS area FROM part),
+s AS (SELECT *, (abs(g) % 90 > 25) AND (abs(g) % 90 < 65) AND a > 0.6 AND a < 1.6 AS turned FROM c WHERE area BETWEEN 100000 * 0.0008 AND 100000 * 0.5)
+SELECT p_partkey, CASE WHEN c IS NULL THEN 'rectangle' WHEN c > 0.8 THEN 'circle' WHEN v = 4 AND coalesce(turned, false) THEN 'diamond' WHEN v = 4 THEN 'rectangle' WHEN v = 6 THEN 'hexagon' WHEN v = 3 THEN 'diamond' WHEN v > 6 THEN 'stadium' ELSE 'rectangle' END AS shape FROM s""")
+def contour_shapes(spark, sf):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    rows = table(spark, sf, "part").select(k, (k % 9).alias("v"), F.when(k % 13 > 0, (k % 13) / F.lit(12.0)).alias("c"), ((size % 20) / F.lit(10.0)).alias("a"), F.when(k % 5 > 0, (k % 180).cast("double")).alias("g"), (size * 40.0).alias("area"), F.lit(100000.0).alias("image_area"))
+    return spatial.contours(rows).select("p_partkey", D.cv_shape(F.col("v"), F.col("c"), F.col("a"), F.col("g"))["shape"].alias("shape"))
+
+
+@query("SELECT p_partkey, least(960.0 / w, 540.0 / h) AS scale, (960.0 - w * least(960.0 / w, 540.0 / h)) / 2 AS dx, (540.0 - h * least(960.0 / w, 540.0 / h)) / 2 AS dy FROM (SELECT p_partkey, (p_partkey % 1900 + 1)::DOUBLE AS w, (p_size * 37 + 1)::DOUBLE AS h FROM part)")
+def slide_fit(spark, sf):
+    """Drawings of the sizes of parts on slides of 960 by 540."""
+    wide, high = (F.col("p_partkey") % 1900 + 1).cast("double"), (F.col("p_size") * 37 + 1).cast("double")
+    return table(spark, sf, "part").select("p_partkey", F.inline(F.array(D.fit_scale(wide, high, 960.0, 540.0))))
+
+
+@query("""SELECT o_orderkey, printf('#%02X%02X%02X', r, g, b) AS hex, r > 230 AND g > 230 AND b > 230 AS white, r < 30 AND g < 30 AND b < 30 AS black
+FROM (SELECT o_orderkey, o_orderkey % 7 * 42 AS r, o_orderkey % 5 * 63 AS g, o_orderkey % 3 * 127 AS b FROM orders)""")
+def near_colours(spark, sf):
+    k = F.col("o_orderkey")
+    r, g, b = k % 7 * 42, k % 5 * 63, k % 3 * 127
+    return table(spark, sf, "orders").select(k, D.rgb_hex(r, g, b).alias("hex"), D.near_white(r, g, b).alias("white"), D.near_black(r, g, b).alias("black"))

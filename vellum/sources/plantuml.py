@@ -35,17 +35,26 @@ def blocks(text: Column) -> Column:
     return F.concat(F.regexp_extract_all(text, F.lit(FENCED), F.lit(1)), bare)
 
 
-#: Fixed patterns of the kinds of diagrams, over the text in lower case.
-MESSAGES, CLASSES, PARTS = r"participant\s|actor\s+\w+\s|\w+\s*-+>+\s*\w+\s*:", r"\b(class|interface)\s+\w+", "(package|component|node|folder|cloud|database) "
+#: Fixed patterns: the kinds of diagrams, statements of which one must be in the text in lower case, and words that must not; the first kind that fits holds.
+KINDS = (
+    ("sequence", (r"participant\s", r"actor\s+\w+\s", r"\w+\s*-+>+\s*\w+\s*:"), r"(class|package) "),
+    ("class", (r"\b(class|interface)\s+\w+",), None),
+    ("state", (r"\[\*\] -->", "state "), None),
+    ("component", ("(package|component|node|folder|cloud|database) ",), None),
+    ("activity", (r":[\w\s]+;", r"(?s)start.*stop", r"(?s)stop.*start"), None),
+    ("component", ("",), None))
 
 
 def diagram_type(block: Column) -> Column:
     """sequence, class, state, component or activity."""
     low = F.lower(block)
-    sequence = low.rlike(MESSAGES) & ~low.contains("class ") & ~low.contains("package ")
-    activity = block.rlike(r":[\w\s]+;") | (low.contains("start") & low.contains("stop"))
-    return (F.when(sequence, "sequence").when(low.rlike(CLASSES), "class").when(block.contains("[*] -->") | low.contains("state "), "state")
-            .when(low.rlike(PARTS), "component").when(activity, "activity").otherwise("component"))
+    return F.coalesce(*[F.when(low.rlike("|".join(f"({p})" for p in one)) & (F.lit(True) if none is None else ~low.rlike(none)), kind) for kind, one, none in KINDS], F.lit(KINDS[-1][0]))
+
+
+def kind_of(block: str) -> str:
+    """diagram_type() of one text."""
+    low = block.lower()
+    return next(kind for kind, one, none in KINDS if any(re.search(p, low) for p in one) and not (none and re.search(none, low)))
 
 
 class Line:
@@ -562,12 +571,8 @@ def rewritten(pages: DataFrame, column: str = "markdown") -> DataFrame:
 
     def edit(text: pd.Series) -> pd.Series:
         def fence(m: re.Match) -> str:
-            body = m[1]
-            low = body.lower()
-            messages = re.search(MESSAGES, low) and "class " not in low and "package " not in low
-            kind = "sequence" if messages else "class" if re.search(CLASSES, low) else "state" if "[*] -->" in body or "state " in low else "component"
             try:
-                return f"```mermaid\n{mermaid(read(body, kind))}\n```"
+                return f"```mermaid\n{mermaid(read(m[1], kind_of(m[1])))}\n```"
             except Exception:  # noqa: BLE001
                 return m[0]
 
