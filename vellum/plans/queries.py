@@ -551,12 +551,22 @@ QUERIES |= kept.QUERIES | written.QUERIES
 ORACLES |= kept.ORACLES | written.ORACLES
 
 
-@query()
+ISSUES_SQL = """issues AS (SELECT doc_id, coalesce(string_agg(rule_id, ',' ORDER BY rule_id) FILTER (status IN ('ERROR', 'CRITICAL')), '') AS critical_issues,
+  coalesce(string_agg(rule_id, ',' ORDER BY rule_id) FILTER (status = 'WARN'), '') AS quick_wins FROM findings GROUP BY doc_id)"""
+
+
+@query(f"""WITH {T.reports_sql(True)}, {ISSUES_SQL} SELECT doc_id, '# Governance report ' || doc_id || chr(10) || chr(10) || 'Overall: ' || printf('%.2f', overall) || ' (' || {GRADE_SQL} || ')' || chr(10) || chr(10) || '| Category | Score |' || chr(10) || '|---|---|' || chr(10)
+  || '| patterns | ' || patterns_score || ' |' || chr(10) || '| standards | ' || standards_score || ' |' || chr(10) || '| security | ' || security_score || ' |' || chr(10) || chr(10) || 'Critical issues: ' || critical_issues || chr(10) || chr(10) || 'Quick wins: ' || quick_wins AS markdown
+FROM cards JOIN issues USING (doc_id)""")
 def report_markdown(spark, sf):
     return R.merged_report(governance_scorecard(spark, sf), issue_lists(spark, sf))
 
 
-@query()
+@query(f"""WITH {T.reports_sql(True)}, tables AS (SELECT doc_id, category, '<details><summary>' || category || '</summary><pre>| Rule | Severity | Status |' || chr(10) || '|---|---|---|' || chr(10)
+  || string_agg('| ' || rule_id || ' | ' || severity || ' | ' || status || ' |', chr(10) ORDER BY rule_id) || '</pre></details>' AS part FROM findings GROUP BY doc_id, category),
+parts AS (SELECT doc_id, string_agg(part, chr(10) ORDER BY category) AS parts FROM tables GROUP BY doc_id)
+SELECT doc_id, '<!DOCTYPE html>' || chr(10) || '<html><head><meta charset="utf-8"><title>Governance report</title></head><body>' || chr(10) || '<h1 class="' || CASE WHEN overall >= 70 THEN 'score-pass' WHEN overall >= 50 THEN 'score-warn' ELSE 'score-fail' END || '">'
+  || printf('%.2f', overall) || ' ' || {GRADE_SQL} || '</h1>' || chr(10) || parts || chr(10) || '</body></html>' AS html FROM cards JOIN parts USING (doc_id)""")
 def html_dashboard(spark, sf):
     return R.dashboard(governance_scorecard(spark, sf), R.report_rows(_found(spark, sf)))
 
