@@ -157,29 +157,32 @@ def rules_consolidated(spark, sf):
 REFRESHED = "page_id long, version long, print string, n_chars int"
 
 
+def _refreshed(spark: SparkSession, folder: str, parts: list[DataFrame]) -> None:
+    """Each part is written to the folder of the stream, in as many files as it has partitions, and is a micro-batch of its own."""
+    for rows in parts:
+        rows.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema("page_id long, version long, content string").parquet(f"{folder}/in")
+        done = refresh.refresh(stream, f"{folder}/out", f"{folder}/state", lambda d: d.select("page_id", "version", "print", F.length("content").alias("n_chars")), REFRESHED, 8)
+        done.awaitTermination()
+
+
 @query("SELECT user_id AS page_id, max(event_id) AS version, sha256(arg_max(event_type || ' ' || event_id, event_id)) AS print, length(arg_max(event_type || ' ' || event_id, event_id))::INT AS n_chars FROM events GROUP BY user_id")
 def pages_refreshed(spark, sf):
     folder, i = new_folder(spark, "pages"), F.col("event_id")
     rows = table(spark, sf, "events").select(F.col("user_id").alias("page_id"), i.alias("version"), F.concat("event_type", F.lit(" "), i).alias("content"))
-    for part in range(3):
-        rows.where(i % 3 == part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema("page_id long, version long, content string").option("maxFilesPerTrigger", "1").parquet(f"{folder}/in")
-    done = refresh.refresh(stream, f"{folder}/out", f"{folder}/state", lambda d: d.select("page_id", "version", "print", F.length("content").alias("n_chars")), REFRESHED, 8)
-    done.awaitTermination()
+    _refreshed(spark, folder, [rows.where(i % 3 == part) for part in range(3)])
     return refresh.current(spark, f"{folder}/out", REFRESHED, 8)
 
 
 @query("SELECT doc_id AS page_id, CASE WHEN doc_id % 5 = 0 THEN 3 WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS version, (length(text) + CASE WHEN doc_id % 5 = 0 OR doc_id % 3 <> 0 THEN 3 ELSE 0 END)::INT AS n_chars FROM documents WHERE text IS NOT NULL")
 def incremental_refresh(spark, sf):
     """Three micro-batches of page versions; the second and third hold a part of the pages."""
-    folder = new_folder(spark, "refresh")
+    folder, parts = new_folder(spark, "refresh"), []
     rows = table(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("page_id"), F.col("text").alias("content"))
     for version, keep in ((1, "true"), (2, "page_id % 3 = 0"), (3, "page_id % 5 = 0")):
         text = F.col("content") if version == 2 else F.concat("content", F.lit(f" v{version}"))
-        rows.where(keep).select("page_id", F.lit(version).cast("long").alias("version"), text.alias("content")).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema("page_id long, version long, content string").option("maxFilesPerTrigger", "1").parquet(f"{folder}/in")
-    done = refresh.refresh(stream, f"{folder}/out", f"{folder}/state", lambda d: d.select("page_id", "version", "print", F.length("content").alias("n_chars")), REFRESHED, 8)
-    done.awaitTermination()
+        parts.append(rows.where(keep).select("page_id", F.lit(version).cast("long").alias("version"), text.alias("content")))
+    _refreshed(spark, folder, parts)
     return refresh.current(spark, f"{folder}/out", REFRESHED, 8).select("page_id", F.col("version").cast("int").alias("version"), "n_chars")
 
 
