@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows and bytes of an Arrow batch that goes to a parser.
+BATCH_ROWS, BATCH_BYTES = 64, 1 << 20
+
 
 def session(master: str | None = None, partitions: int | None = None, **conf: str) -> SparkSession:
     """Adaptive plans, UTC, skew handling; a cluster's own settings win where given."""
@@ -32,6 +35,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small_batches() -> None:
+    """Arrow batches of whole files and pages hold a few MB: a worker's memory depends on these, not on the rows of a task.
+
+    Spark reads the limits when it runs a plan, so they stay set for the session; smaller ones of the caller's are kept.
+    """
+    spark = SparkSession.active()
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        try:
+            now = int(spark.conf.get(name))
+        except (TypeError, ValueError):
+            now = 0
+        if now <= 0 or now > most:
+            spark.conf.set(name, str(most))
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 

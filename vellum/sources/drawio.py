@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import diagrams as D
 from ..functions.text import clean_label
+from ..session import small_batches
 
 CELLS = "diagram_id string, page int, pos int, id string, parent string, value string, style string, vertex string, edge string, source string, target string, x double, y double, width double, height double, error string"
 
@@ -78,6 +79,7 @@ def cells(diagrams: DataFrame) -> DataFrame:
                         rows.append((diagram, page, pos, *[cell.get(k) for k in ("id", "parent", "value", "style", "vertex", "edge", "source", "target")], *at, None))
             yield pd.DataFrame(rows, columns=names)
 
+    small_batches()
     return diagrams.select("diagram_id", "content").mapInPandas(run, CELLS)
 
 

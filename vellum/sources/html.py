@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small_batches
+
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -102,6 +104,7 @@ def flatten_tabs(html: Column) -> Column:
     def edit(text: pd.Series) -> pd.Series:
         return text.map(Tabs.rewrite, na_action="ignore")
 
+    small_batches()
     return F.pandas_udf(edit, "string")(html)
 
 
@@ -137,6 +140,7 @@ def drawio_images(pages: DataFrame, matches: DataFrame) -> DataFrame:
 
         return pd.Series([one(t, n) for t, n in zip(html, files)])
 
+    small_batches()
     return rows.withColumn("html", edit("html", "_files")).drop("_files")
 
 
@@ -169,4 +173,5 @@ def first_image_replaced(markdown: Column, file: Column, block: Column) -> Colum
     def edit(texts: pd.Series, names: pd.Series, blocks: pd.Series) -> pd.Series:
         return pd.Series([one(*x) for x in zip(texts, names, blocks)])
 
+    small_batches()
     return F.pandas_udf(edit, "string")(markdown, file, block)

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small_batches
+
 #: Kinds of macros whose text is lifted out of a page; a name that begins with one of FAMILIES is of that kind.
 KINDS, FAMILIES = ("markdown", "mermaid", "code", "noformat"), ("mermaid",)
 #: An `ac:` tag, or a stretch in which tags are text.
@@ -117,6 +119,7 @@ def walked(html: Column) -> Column:
     def run(pages: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([lifted(page or "") for page in pages], columns=["blocks", "page"])
 
+    small_batches()
     return F.pandas_udf(run, "blocks array<struct<kind:string,idx:int,content:string>>, page string")(html)
 
 

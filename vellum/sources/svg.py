@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import diagrams as D
 from ..operators import graphs, spatial
-from ..session import settled
+from ..session import settled, small_batches
 
 ELEMENTS = "diagram_id string, kind string, pos int, tag string, text string, x double, y double, width double, height double, x2 double, y2 double, rx double, ry double, fill string, stroke string, dashed boolean, stroke_width double, arrow_end boolean, arrow_start boolean"
 
@@ -64,6 +64,7 @@ def parse(drawings: DataFrame) -> DataFrame:
         for frame in frames:
             yield pd.DataFrame([(i, *row) for i, content in zip(frame["diagram_id"], frame["content"]) for row in elements(content or "")], columns=names)
 
+    small_batches()
     return drawings.select("diagram_id", "content").mapInPandas(run, ELEMENTS)
 
 
