@@ -82,3 +82,35 @@ def test_no_task_reads_all_pages_of_a_refresh(spark, tmp_path, monkeypatch):
     kept._refreshed(spark, f"file://{tmp_path}", [rows, rows.where("page_id < 100").withColumn("version", F.lit(2).cast("long")).withColumn("content", F.lit("yy"))])
     assert len([f for f in (tmp_path / "in").iterdir() if f.suffix == ".parquet"]) > 2
     assert {(r.page_id, r.version, r.n_chars) for r in kept.refresh.current(spark, f"file://{tmp_path}/out", kept.REFRESHED, 8).collect()} == {(i, 2 if i < 100 else 1, 2 if i < 100 else 1) for i in range(400)}
+
+
+def test_similar_rules_by_brute_force_and_copies_by_stars(spark):
+    import random
+
+    from vellum.operators import rules as U
+
+    rng, words = random.Random(5), ["a", "bb", "ccc", "dddd", "eeeee", "ffffff", "ggggggg", "hhhhhhhh"]
+    rows = [(f"r{i:03d}", rng.sample(words, rng.randint(2, 6)), " ".join(rng.sample(words, rng.randint(1, 7)))) for i in range(150)]
+    table = spark.createDataFrame(rows, "rule_id string, keywords array<string>, condition string")
+    near = lambda x, y: len(set(x[1]) & set(y[1])) >= 3 and len(set(x[2].split()) & set(y[2].split())) / len(set(x[2].split()) | set(y[2].split())) >= 0.6
+    want = {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and near(x, y)}
+    assert {tuple(r) for r in U.similar_rules(table).collect()} == want and len(want) > 50
+    groups = lambda pairs, of: {tuple(r) for r in U.merge_groups(of, pairs).collect()}
+    assert groups(U.linking_pairs(table), table) == groups(U.similar_rules(table), table)
+    same = spark.range(2000).select(F.format_string("s%05d", "id").alias("rule_id"), F.array(*map(F.lit, ("one", "two", "three"))).alias("keywords"), F.lit("three two one").alias("condition"))
+    pairs = U.linking_pairs(same)
+    assert pairs.count() == 1999 and {r.root for r in U.merge_groups(same, pairs).collect()} == {"s00000"}
+
+
+def test_parsers_get_small_batches(spark, monkeypatch):
+    from vellum import session
+    from vellum.sources import svg
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "10000")
+        svg.parse(spark.createDataFrame([("a", "<svg/>")], "diagram_id string, content string"))
+        assert int(spark.conf.get(name)) == session.BATCH_ROWS and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= session.BATCH_BYTES
+    finally:
+        spark.conf.set(name, before)

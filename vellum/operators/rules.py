@@ -41,13 +41,24 @@ def condition_words() -> Column:
     return F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower(F.coalesce("condition", F.lit(""))), r"\s+", " ")), " "))
 
 
-def leading(rules: DataFrame, shared: int) -> DataFrame:
-    """rule_id, keyword: the keywords by which rules find each other: all but the last `shared` - 1 in one order of all keywords, the longest first.
+def longest_first(words: Column) -> Column:
+    """Words in one order for all rules, whose first ones few rules have."""
+    return F.transform(F.array_sort(F.transform(words, lambda k: F.struct((-F.length(k)).alias("n"), k.alias("k")))), lambda s: s["k"])
 
-    Rules with `shared` keywords in common have one of these in common, and the short keywords, which many rules have, bring few together.
+
+def leading(rules: DataFrame, shared: int, likeness: float) -> DataFrame:
+    """rule_id, keyword: what rules find each other by: a leading keyword and a leading word of the constraint together.
+
+    Leading keywords are all but the last `shared` - 1 in longest_first(), so rules with `shared` keywords in common have one of them in common. Leading
+    words are as many as two constraints with a Jaccard index of `likeness` can't differ in. Few rules have both in common that are not similar.
     """
-    order = F.transform(F.array_sort(F.transform(low_keywords(), lambda k: F.struct((-F.length(k)).alias("n"), k.alias("k")))), lambda s: s["k"])
-    return rules.select("rule_id", F.explode(F.slice(order, F.lit(1), F.greatest(F.size(order) - shared + 1, F.lit(0)))).alias("keyword"))
+    order, words = longest_first(low_keywords()), longest_first(condition_words())
+    keyword = rules.select("rule_id", words.alias("_words"), F.explode(F.slice(order, F.lit(1), F.greatest(F.size(order) - shared + 1, F.lit(0)))).alias("keyword"))
+    if likeness <= 0:
+        return keyword.select("rule_id", "keyword")
+    n = F.size("_words")
+    first = (n - F.ceil(n * likeness - 1e-9) + 1).cast("int")
+    return keyword.select("rule_id", "keyword", F.explode(F.slice("_words", F.lit(1), F.greatest(first, F.lit(0)))).alias("word")).select("rule_id", F.concat("keyword", F.lit("\n"), "word").alias("keyword"))
 
 
 def alike(pairs: DataFrame, left: DataFrame, right: DataFrame, shared: int, likeness: float) -> DataFrame:
@@ -64,11 +75,24 @@ def similar_rules(rules: DataFrame, shared: int = 3, likeness: float = 0.6) -> D
     Found by the keywords, not by comparing all pairs.  Constraints are the same if equal after
     lower-casing and closing up blanks, or if their words have a Jaccard index of `likeness`.
     """
-    each = leading(rules, shared)
+    each = settled(leading(rules, shared, likeness), "leading")
     pairs = each.alias("l").join(each.alias("r"), "keyword").where("l.rule_id < r.rule_id").select(F.col("l.rule_id").alias("a"), F.col("r.rule_id").alias("b"))
     return alike(pairs, rules, rules, shared, likeness)
 
 
+def linking_pairs(rules: DataFrame, shared: int = 3, likeness: float = 0.6) -> DataFrame:
+    """Pairs a, b of similar rules that connect all that similar_rules() does: rules with the same keywords and words go by the first of them, to which each is linked."""
+    looks = F.xxhash64(F.array_sort(low_keywords()), F.array_sort(condition_words())), F.hash(F.array_sort(condition_words()), F.array_sort(low_keywords()))
+    class_of = rules.where("rule_id is not null").select("*", looks[0].alias("_h"), looks[1].alias("_g"), F.size(low_keywords()).alias("_n"))
+    class_of = settled(class_of.where(F.col("_n") >= shared), "rule-looks")
+    first = settled(class_of.groupBy("_h", "_g").agg(F.min("rule_id").alias("a")), "first-rules")
+    stars = class_of.join(first, ["_h", "_g"]).where("rule_id != a").select("a", F.col("rule_id").alias("b"))
+    # Hashes may collide, so a star's pairs are looked at like any others.
+    stars = settled(alike(stars, class_of, class_of, shared, likeness), "alike-rules")
+    rest = class_of.join(stars.select(F.col("b").alias("rule_id")), "rule_id", "left_anti").select(*rules.columns)
+    return stars.unionByName(similar_rules(rest, shared, likeness))
+
+
 def merge_groups(rules: DataFrame, pairs: DataFrame) -> DataFrame:
     """rule_id, root: the least id that similar pairs lead to; a loop of joins that ends when nothing changes.
 
@@ -117,7 +141,7 @@ class Consolidation:
         first = rules.where("rule_id is not null").groupBy("rule_id").agg(F.min(F.struct(*columns[1:])).alias("r")).select("rule_id", "r.*")
         before = self.rules.read(below=version, only=self.rules.touched(first))
         new = settled(first.join(before.select("rule_id"), "rule_id", "left_anti"), "new-rules")
-        lead = settled(leading(new, self.shared), "new-keywords")
+        lead = settled(leading(new, self.shared, self.likeness), "new-keywords")
         touched = self.keywords.touched(lead)
         held = self.keywords.read(below=version, only=touched)
         met = settled(lead.withColumnRenamed("rule_id", "a").join(held.withColumnRenamed("rule_id", "b"), "keyword").select("a", "b").distinct(), "met-rules")
@@ -125,7 +149,7 @@ class Consolidation:
         links = alike(met, new, old, self.shared, self.likeness)
         roots = self.roots(old.select("rule_id", F.col("parent").alias("root")), version)
         links = links.join(roots, F.col("b") == F.col("rule_id")).select("a", F.col("root").alias("b"))
-        links = settled(links.unionByName(similar_rules(new, self.shared, self.likeness)).distinct(), "new-links")
+        links = settled(links.unionByName(linking_pairs(new, self.shared, self.likeness)).distinct(), "new-links")
         nodes = new.select("rule_id").unionByName(links.join(new, F.col("b") == F.col("rule_id"), "left_anti").select(F.col("b").alias("rule_id"))).distinct()
         joined = merge_groups(nodes, links)
         moved = joined.where("rule_id != root").join(new.select("rule_id"), "rule_id", "left_anti")

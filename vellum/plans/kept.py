@@ -148,7 +148,7 @@ merged AS (SELECT root, string_agg(DISTINCT source, ',' ORDER BY source) AS sour
 SELECT rule_id, ['critical', 'high', 'medium', 'low'][severity + 1] AS severity, condition, coalesce(sources, '') AS sources, printf('R-%03d', row_number() OVER (ORDER BY severity, rule_id)) AS number FROM best JOIN merged USING (root)""")
 def rules_consolidated(spark, sf):
     rules = similar_document_rules(spark, sf).drop("doc_id")
-    out = U.consolidate(rules, U.merge_groups(rules, U.similar_rules(rules)))
+    out = U.consolidate(rules, U.merge_groups(rules, U.linking_pairs(rules)))
     return out.select("rule_id", "severity", "condition", F.array_join("sources", ",").alias("sources"), "number")
 
 
