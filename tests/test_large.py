@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from vellum.operators import keywords
 from vellum.operators.validation import keyword_pattern
@@ -34,3 +35,26 @@ def test_the_query_of_rules_lists_no_hits(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(keywords, "hits", None)
     spark.createDataFrame([(1, "the cat. A cat"), (2, "the Cat."), (3, "dog"), (4, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {tuple(r) for r in QUERIES["keyword_index"](spark, str(tmp_path)).collect()} == {("D1", 2), ("D2", 2), ("D3", 1)}
+
+
+def test_many_elements_are_not_broadcast(spark, monkeypatch):
+    from vellum import session
+    from vellum.operators import spatial
+    from vellum.sources import svg
+
+    k, n = F.col("id"), 300
+    box = F.format_string('<rect x="%d" y="0" width="100" height="50" fill="#dae8fc"/><text x="%d" y="25">N%d</text><line x1="%d" y1="25" x2="%d" y2="25"/>', k * 200, k * 200 + 50, k, k * 200 - 100, k * 200)
+    rows = spark.range(n).groupBy((k % 2).cast("string").alias("diagram_id")).agg(F.array_join(F.collect_list(box), "").alias("boxes"))
+    drawn = rows.select("diagram_id", F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg">'), "boxes", F.lit("</svg>")).alias("content"))
+    points = spark.range(n).select(F.lit(0).alias("diagram_id"), k.alias("text_pos"), (k * 20.0 + 1).alias("px"), F.lit(1.0).alias("py"))
+    boxes = spark.range(n).select(F.lit(0).alias("diagram_id"), k.alias("shape_pos"), (k * 20.0).alias("x"), F.lit(0.0).alias("y"), F.lit(9.0).alias("width"), F.lit(9.0).alias("height"))
+    want = sorted(map(tuple, svg.graph(svg.parse(drawn))[0].collect()))
+    monkeypatch.setattr(session, "SENT", 100)
+    found = spatial.texts_to_shapes(points, boxes)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.select("text_pos", "shape_pos").collect())) == [(i, i) for i in range(n)]
+    nodes, _, _ = svg.graph(svg.parse(drawn))
+    assert sorted(map(tuple, nodes.collect())) == want and len(want) == n
+    # Only the ids that clash, of which there are few, may be broadcast.
+    sent = [line for line in nodes._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line]
+    assert all(re.search(r"BroadcastHashJoin \[diagram_id#\d+, pos#", line) for line in sent), sent

@@ -10,9 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import diagrams as D
 from ..operators import graphs, spatial
-from ..session import settled, small_batches
+from ..session import settled, shuffled, small_batches
 
 ELEMENTS = "diagram_id string, kind string, pos int, tag string, text string, x double, y double, width double, height double, x2 double, y2 double, rx double, ry double, fill string, stroke string, dashed boolean, stroke_width double, arrow_end boolean, arrow_start boolean"
 
@@ -71,16 +72,17 @@ def parse(drawings: DataFrame) -> DataFrame:
 def graph(found: DataFrame, tolerance: float = 30.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """nodes, edges and diagrams (diagram_id, direction); drawings without shapes, such as wrapped images, have none."""
     found = settled(found, "svg-elements")
+    many = found.limit(session.SENT + 1).count() > session.SENT
     shapes = found.where("kind = 'shape' and width > 5 and height > 5").where(~(F.coalesce(F.lower("fill"), F.lit("white")).isin("#ffffff", "white") & F.col("stroke").isNull()))
     shapes = shapes.select("diagram_id", F.col("pos").alias("shape_pos"), "x", "y", "width", "height", "fill", "stroke", D.svg_shape(F.col("tag"), F.col("rx"), F.col("ry")).alias("shape"))
     texts = found.where("kind = 'text'").select("diagram_id", F.col("pos").alias("text_pos"), "text", F.col("x").alias("px"), F.col("y").alias("py"))
-    labels = spatial.shape_labels(spatial.texts_to_shapes(texts, shapes), texts)
+    labels = shuffled(spatial.shape_labels(spatial.texts_to_shapes(texts, shapes), shuffled(texts, many)), many)
     shapes = spatial.labelled_only(shapes.join(labels, ["diagram_id", "shape_pos"], "left"))
     named = graphs.unique_ids(shapes.withColumn("base", D.svg_id_base(F.col("label"))).withColumn("pos", F.col("shape_pos")), out="id")
     nodes = named.select("diagram_id", "pos", "id", "label", "shape", "x", "y", "width", "height", F.col("fill").alias("fill_color"), F.col("stroke").alias("stroke_color"), F.lit(1.0).alias("confidence"))
     lines = found.where("kind = 'line'").select("diagram_id", F.col("pos").alias("line_pos"), F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2", "dashed", "stroke_width", "arrow_end", "arrow_start")
-    ends = spatial.lines_to_edges(lines, shapes, tolerance).join(lines, ["diagram_id", "line_pos"])
-    ids = nodes.select("diagram_id", "pos", "id")
+    ends = spatial.lines_to_edges(lines, shapes, tolerance).join(shuffled(lines, many), ["diagram_id", "line_pos"])
+    ids = shuffled(nodes.select("diagram_id", "pos", "id"), many)
     ends = ends.join(ids.select("diagram_id", F.col("pos").alias("source"), F.col("id").alias("s")), ["diagram_id", "source"]).join(ids.select("diagram_id", F.col("pos").alias("target"), F.col("id").alias("t")), ["diagram_id", "target"])
     style = F.when(F.col("stroke_width") > 2.5, "thick").when(F.col("dashed"), "dashed").otherwise("solid")
     nth = F.row_number().over(Window.partitionBy("diagram_id").orderBy("line_pos"))
