@@ -58,3 +58,18 @@ def test_many_elements_are_not_broadcast(spark, monkeypatch):
     # Only the ids that clash, of which there are few, may be broadcast.
     sent = [line for line in nodes._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line]
     assert all(re.search(r"BroadcastHashJoin \[diagram_id#\d+, pos#", line) for line in sent), sent
+
+
+def test_pages_are_made_once(spark, tmp_path):
+    from vellum.operators import sinks
+
+    made = spark.sparkContext.accumulator(0)
+
+    def of(page):
+        made.add(1)
+        return page
+
+    table = sinks.page_table(spark, f"file://{tmp_path}/pages", "page_id long, n long", 4)
+    rows = spark.range(40).select(F.udf(of, "long")("id").alias("page_id"), F.col("id").alias("n"))
+    sinks.overwrite_pages(table, rows, 0)
+    assert made.value == 40 and sorted(map(tuple, table.read().collect())) == [(i, i) for i in range(40)]

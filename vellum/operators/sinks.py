@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fingerprint, html_to_markdown
+from ..session import settled
 from ..storage import BUCKETS, BucketTable
 from .attachments import cache_additions
 
@@ -31,8 +32,11 @@ def page_table(spark: SparkSession, path: str, schema: str = STORED, buckets: in
 
 
 def overwrite_pages(table: BucketTable, rows: DataFrame, version: int) -> None:
-    """Replaces the pages that `rows` holds and leaves others as they are; a version that fails half-way leaves all as they are."""
-    table.upsert(rows, version)
+    """Replaces the pages that `rows` holds and leaves others as they are; a version that fails half-way leaves all as they are.
+
+    The table goes through the rows several times, so they are made once.
+    """
+    table.upsert(settled(rows, "pages"), version)
 
 
 def add_to_cache(converted: DataFrame, cache: DataFrame, path: str) -> None:
