@@ -114,3 +114,27 @@ def test_parsers_get_small_batches(spark, monkeypatch):
         assert int(spark.conf.get(name)) == session.BATCH_ROWS and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= session.BATCH_BYTES
     finally:
         spark.conf.set(name, before)
+
+
+def test_cells_of_drawings_are_classified_once(spark, capsys):
+    import re
+
+    from vellum.functions import diagrams as D
+    from vellum.sources import drawio
+
+    cell = '<mxCell id="{}" parent="{}" style="{}" value="v" vertex="1"/>'
+    one = "<mxGraphModel><root>" + "".join(cell.format(*c) for c in (("p", "1", "html=1"), ("a", "p", "shape=mxgraph.Flowchart.Decision"), ("b", "p", "SHAPE=x;rounded=0;rounded=1"), ("p", "1", "ellipse"))) + "</root></mxGraphModel>"
+    other = "<mxGraphModel><root>" + "".join(cell.format(*c) for c in (("p", "1", "shape=processCylinder"), ("a", "q", "shape=;rhombus"))) + "</root></mxGraphModel>"
+    rows = drawio.cells(spark.createDataFrame([("x", f"<mxfile><diagram>{one}</diagram><diagram>{other}</diagram></mxfile>")], "diagram_id string, content string"))
+    once = drawio.classified(rows)
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("map_from_entries") == 1 and plan.count("split(") == 1 and "Join" not in plan
+    once.explain("codegen")
+    assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out))) < 8000  # longer methods are never compiled
+    nodes, edges, groups = drawio.graph(rows)
+    for part in (nodes, edges, groups):
+        assert not re.search("map_from_entries|MapIn", part._jdf.queryExecution().optimizedPlan().toString())
+    assert sorted((r.diagram_id, r.id, r.shape, r.parent_group) for r in nodes.collect()) == [("x#0", "a", "diamond", "p"), ("x#0", "b", "stadium", "p"), ("x#1", "a", "diamond", "q"), ("x#1", "p", "database", None)]
+    assert sorted((r.diagram_id, r.pos, r.id, r.children) for r in groups.collect()) == [("x#0", 0, "p", ["a", "b"]), ("x#0", 3, "p", ["a", "b"])]
+    odd = {None: {}, ";": {}, " a ; b=1;a=2": {"b": "1", "a": "2"}, "=x": {"": "x"}, "a=b=c;a": {"a": "true"}, "x=;=2;x": {"": "2", "x": "true"}}
+    assert {r.s: r.m for r in spark.createDataFrame([(s,) for s in odd], "s string").select("s", D.style_map(F.col("s")).alias("m")).collect()} == odd

@@ -102,7 +102,7 @@ def drawio_ast(spark, sf):
     line = text('<mxCell id="e', F.col("pos").cast("string"), '" style="', F.when(F.col("pos") % 2 == 0, "dashed=1").otherwise("html=1"), '" edge="1" source="', F.col("source"), '" target="', F.col("target"), '" parent="1"/>')
     both = joined(nodes, cell, "cells").join(joined(edges, line, "lines"), "diagram_id", "left")
     content = text('<mxGraphModel><root><mxCell id="0"/><mxCell id="1" parent="0"/>', F.col("cells"), F.coalesce("lines", F.lit("")), "</root></mxGraphModel>")
-    n, e, _ = drawio.graph(settled(drawio.cells(both.select(F.col("diagram_id").cast("string").alias("diagram_id"), content.alias("content"))), "cells"))
+    n, e, _ = drawio.graph(drawio.cells(both.select(F.col("diagram_id").cast("string").alias("diagram_id"), content.alias("content"))))
     part = lambda rows, kind, detail: rows.select("diagram_id", F.lit(kind).alias("kind"), "id", detail.alias("detail"))
     return part(n, "node", F.concat_ws("|", "label", "shape")).unionByName(part(e, "edge", F.concat_ws("|", "source", "target", "style")))
 
