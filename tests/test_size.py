@@ -102,6 +102,39 @@ def test_similar_rules_by_brute_force_and_copies_by_stars(spark):
     assert pairs.count() == 1999 and {r.root for r in U.merge_groups(same, pairs).collect()} == {"s00000"}
 
 
+def test_rules_do_not_meet_by_common_words(spark, monkeypatch):
+    from vellum.operators import rules as U
+
+    n = 400
+    rows = [(f"r{i:03d}", ["commonestkeyword", "quitecommonword", f"k{i}", f"l{i // 2}"], "commonestkeyword quitecommonword " + " ".join(f"{c}{i // 2 if c < 'j' else i}" for c in "abcdefghijk")) for i in range(n)]
+    table = spark.createDataFrame(rows, "rule_id string, keywords array<string>, condition string")
+    looked, alike = [], U.alike
+
+    def counted(pairs, *rest):
+        looked.append(pairs.distinct().count())
+        return alike(pairs, *rest)
+
+    monkeypatch.setattr(U, "alike", counted)
+    found = {tuple(r) for r in U.linking_pairs(table).collect()}
+    assert found == {(f"r{i:03d}", f"r{i + 1:03d}") for i in range(0, n, 2)} and sum(looked) < 2 * n
+
+
+@pytest.mark.parametrize("long, crowd", [(24, 64), (24, 1), (3, 64), (2, 1)])
+def test_rules_meet_in_crowds_and_by_long_constraints(spark, monkeypatch, long, crowd):
+    import random
+
+    from vellum.operators import rules as U
+
+    monkeypatch.setattr(U, "LONG", long)
+    monkeypatch.setattr(U, "CROWD", crowd)
+    rng, words = random.Random(8), [f"w{i}" for i in range(12)]
+    rows = [(f"r{i:03d}", rng.sample(words[:7], rng.randint(2, 6)), " ".join(rng.sample(words[:9] if i % 2 else words, rng.randint(0, 9)))) for i in range(160)]
+    table = spark.createDataFrame([*rows, (None, ["w1", "w2", "w3"], "w1")], "rule_id string, keywords array<string>, condition string")
+    of = [set(r[2].split(" ")) for r in rows]
+    want = {(y[0], x[0]) for i, x in enumerate(rows) for j, y in enumerate(rows[:i]) if len(set(x[1]) & set(y[1])) >= 3 and len(of[i] & of[j]) / len(of[i] | of[j]) >= 0.6}
+    assert {tuple(r) for r in U.similar_rules(table).collect()} == want and len(want) > 50
+
+
 def test_parsers_get_small_batches(spark, monkeypatch):
     from vellum import session
     from vellum.sources import svg

@@ -7,10 +7,16 @@ from pyspark.sql import functions as F
 
 from . import keywords
 from ..schemas import SEVERITIES
-from ..session import settled
+from ..session import settled, shuffled
 from ..storage import BUCKETS, BucketTable
 
 
+#: Words of a constraint up to which rules find each other by pairs of them, and rules at one key from which keywords count too.
+LONG, CROWD = 24, 64
+#: What leading() returns.
+LEADING = "keyword long, rule_id string, lead array<bigint>, n_keywords int, keyword_marks long, n_words int, word_marks long"
+
+
 def severity_order(severity: Column) -> Column:
     """1 to 4 for words or the letters C, H, M, L; 5 for others."""
     first = F.upper(F.substring(severity, 1, 1))
@@ -46,19 +52,57 @@ def longest_first(words: Column) -> Column:
     return F.transform(F.array_sort(F.transform(words, lambda k: F.struct((-F.length(k)).alias("n"), k.alias("k")))), lambda s: s["k"])
 
 
-def leading(rules: DataFrame, shared: int, likeness: float) -> DataFrame:
-    """rule_id, keyword: what rules find each other by: a leading keyword and a leading word of the constraint together.
+def word_counts(rules: DataFrame) -> DataFrame:
+    """word, n: how many constraints have each word."""
+    return rules.select(F.explode(condition_words()).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def marks(words: Column) -> Column:
+    """64 bits of a set of words: two sets differ in as many words as bits, or in more."""
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))
+    return F.aggregate(words, F.lit(0).cast("long"), lambda all, w: all.bitwiseXOR(bit(w)))
+
 
-    Leading keywords are all but the last `shared` - 1 in longest_first(), so rules with `shared` keywords in common have one of them in common. Leading
-    words are as many as two constraints with a Jaccard index of `likeness` can't differ in. Few rules have both in common that are not similar.
+def leading(rules: DataFrame, counts: DataFrame, shared: int, likeness: float) -> DataFrame:
+    """LEADING, a row for each of the keys that rules find each other by: two of the rarest words of the constraint together.
+
+    `counts` (word, n) say how rare a word is; it must have all words, and any figures give the same pairs if all rules go by the same.  The words are as many as two constraints with a
+    Jaccard index of `likeness` have two of in common; one is a key where one may be all that they have in common, or where they are too many for pairs. `lead` are all but
+    the last `shared` - 1 keywords in longest_first(), so rules with `shared` keywords in common have one of them in common.
     """
-    order, words = longest_first(low_keywords()), longest_first(condition_words())
-    keyword = rules.select("rule_id", words.alias("_words"), F.explode(F.slice(order, F.lit(1), F.greatest(F.size(order) - shared + 1, F.lit(0)))).alias("keyword"))
+    each = rules.where("rule_id is not null").select("rule_id", low_keywords().alias("_k"), condition_words().alias("_w")).where(F.size("_k") >= shared)
+    lead = F.transform(F.slice(longest_first(F.col("_k")), F.lit(1), F.size("_k") - shared + 1), lambda k: F.xxhash64(k))
+    own = ["rule_id", "lead", "n_keywords", "keyword_marks", "n_words", "word_marks"]
+    each = each.select("rule_id", lead.alias("lead"), F.size("_k").alias("n_keywords"), marks(F.col("_k")).alias("keyword_marks"), F.size("_w").alias("n_words"), marks(F.col("_w")).alias("word_marks"), "_w")
     if likeness <= 0:
-        return keyword.select("rule_id", "keyword")
-    n = F.size("_words")
-    first = (n - F.ceil(n * likeness - 1e-9) + 1).cast("int")
-    return keyword.select("rule_id", "keyword", F.explode(F.slice("_words", F.lit(1), F.greatest(first, F.lit(0)))).alias("word")).select("rule_id", F.concat("keyword", F.lit("\n"), "word").alias("keyword"))
+        return each.select(F.explode("lead").alias("keyword"), *own)
+    ranked = each.withColumn("_h", F.xxhash64("_w")).withColumn("word", F.explode("_w")).drop("_w").join(counts, "word").groupBy(*own, "_h").agg(F.array_sort(F.collect_set(F.struct("n", "word"))).alias("_w"))
+    n, need = F.col("n_words"), F.ceil(F.col("n_words") * likeness - 1e-9).cast("int")
+    first = lambda size: F.slice(F.transform("_w", lambda w: w["word"]), F.lit(1), F.greatest(size, F.lit(0)))
+    two, none = first(n - F.greatest(need, F.lit(2)) + 2), F.array().cast("array<bigint>")
+    pairs = F.flatten(F.transform(two, lambda x, i: F.transform(F.slice(two, i + 2, F.size(two)), lambda y: F.xxhash64(x, y))))
+    # A constraint of more words than LONG is like none of less than `likeness` times as many.
+    keys = F.concat(F.when(n <= LONG, pairs).otherwise(none), F.when((need <= 1) | (n >= LONG * likeness), F.transform(first(n - need + 1), lambda w: F.xxhash64(w))).otherwise(none))
+    return ranked.select(F.explode(F.array_distinct(keys)).alias("keyword"), *own)
+
+
+def meeting(left: DataFrame, right: DataFrame, shared: int, likeness: float) -> DataFrame:
+    """a, b: the rules of two settled tables of leading() that may be similar by their numbers of words and their marks.
+
+    Rules in a crowd at one key must have a leading keyword in common as well.
+    """
+    of = lambda rows, end: rows.select("keyword", *[F.col(c).alias(f"{c}_{end}") for c in rows.columns if c != "keyword"])
+    rows, others, by = of(left, "a"), of(right, "b"), ["keyword"]
+    crowded = settled(right.groupBy("keyword").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CROWD), "crowded-keys")
+    if likeness > 0 and not crowded.isEmpty():
+        parts = lambda rows, end: rows.join(shuffled(crowded), "keyword", "left").withColumn("part", F.explode(F.when(F.col("_n").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.col(f"lead_{end}"))))
+        rows, others, by = parts(rows, "a").drop("_n", "lead_a"), parts(others, "b").drop("_n", "lead_b"), ["keyword", "part"]
+    apart = lambda name: F.bit_count(F.col(f"{name}_a").bitwiseXOR(F.col(f"{name}_b")))
+    words = (F.col("n_words_a") + F.col("n_words_b")) * ((1 - likeness) / (1 + likeness)) + 1e-6 if likeness > 0 else F.lit(64)
+    near = (apart("word_marks") <= words) & (apart("keyword_marks") <= F.col("n_keywords_a") + F.col("n_keywords_b") - 2 * shared)
+    if left is right:
+        near &= F.col("rule_id_a") < F.col("rule_id_b")
+    return rows.join(others, by).where(near).select(F.col("rule_id_a").alias("a"), F.col("rule_id_b").alias("b")).distinct()
 
 
 def alike(pairs: DataFrame, left: DataFrame, right: DataFrame, shared: int, likeness: float) -> DataFrame:
@@ -72,16 +116,15 @@ def alike(pairs: DataFrame, left: DataFrame, right: DataFrame, shared: int, like
 def similar_rules(rules: DataFrame, shared: int = 3, likeness: float = 0.6) -> DataFrame:
     """a, b: pairs of rules with `shared` keywords or more in common and the same constraint.
 
-    Found by the keywords, not by comparing all pairs.  Constraints are the same if equal after
+    Found by rare words, not by comparing all pairs.  Constraints are the same if equal after
     lower-casing and closing up blanks, or if their words have a Jaccard index of `likeness`.
     """
-    each = settled(leading(rules, shared, likeness), "leading")
-    pairs = each.alias("l").join(each.alias("r"), "keyword").where("l.rule_id < r.rule_id").select(F.col("l.rule_id").alias("a"), F.col("r.rule_id").alias("b"))
-    return alike(pairs, rules, rules, shared, likeness)
+    each = settled(leading(rules, word_counts(rules), shared, likeness), "leading")
+    return alike(settled(meeting(each, each, shared, likeness), "met-rules"), rules, rules, shared, likeness)
 
 
-def linking_pairs(rules: DataFrame, shared: int = 3, likeness: float = 0.6) -> DataFrame:
-    """Pairs a, b of similar rules that connect all that similar_rules() does: rules with the same keywords and words go by the first of them, to which each is linked."""
+def copies(rules: DataFrame, shared: int = 3, likeness: float = 0.6) -> tuple[DataFrame, DataFrame]:
+    """Pairs a, b of a rule and another with the same keywords and words, the first of which is a, and the rules that are no such b and may be similar to others."""
     looks = F.xxhash64(F.array_sort(low_keywords()), F.array_sort(condition_words())), F.hash(F.array_sort(condition_words()), F.array_sort(low_keywords()))
     class_of = rules.where("rule_id is not null").select("*", looks[0].alias("_h"), looks[1].alias("_g"), F.size(low_keywords()).alias("_n"))
     class_of = settled(class_of.where(F.col("_n") >= shared), "rule-looks")
@@ -89,23 +132,29 @@ def linking_pairs(rules: DataFrame, shared: int = 3, likeness: float = 0.6) -> D
     stars = class_of.join(first, ["_h", "_g"]).where("rule_id != a").select("a", F.col("rule_id").alias("b"))
     # Hashes may collide, so a star's pairs are looked at like any others.
     stars = settled(alike(stars, class_of, class_of, shared, likeness), "alike-rules")
-    rest = class_of.join(stars.select(F.col("b").alias("rule_id")), "rule_id", "left_anti").select(*rules.columns)
+    return stars, class_of.join(stars.select(F.col("b").alias("rule_id")), "rule_id", "left_anti").select(*rules.columns)
+
+
+def linking_pairs(rules: DataFrame, shared: int = 3, likeness: float = 0.6) -> DataFrame:
+    """Pairs a, b of similar rules that connect all that similar_rules() does: rules with the same keywords and words go by the first of them, to which each is linked."""
+    stars, rest = copies(rules, shared, likeness)
     return stars.unionByName(similar_rules(rest, shared, likeness))
 
 
 def merge_groups(rules: DataFrame, pairs: DataFrame) -> DataFrame:
     """rule_id, root: the least id that similar pairs lead to; a loop of joins that ends when nothing changes.
 
-    Each round takes the least root of the neighbours and then that root's own root, so paths shorten as they go.
+    Each round takes the least root of the neighbours and then that root's own root, so paths shorten as they go. Rules without a pair take no part in it.
     """
-    root = rules.select("rule_id", F.col("rule_id").alias("root"))
     both = settled(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "rule-pairs")
+    root = settled(rules.select("rule_id").distinct().join(both, F.col("rule_id") == F.col("a"), "left_semi").select("rule_id", F.col("rule_id").alias("root")), "rule-roots")
     while True:
         near = both.join(root, both["b"] == root["rule_id"]).groupBy("a").agg(F.min("root").alias("other"))
         new = settled(root.join(near, root["rule_id"] == near["a"], "left").select("rule_id", F.least("root", F.coalesce("other", "root")).alias("new"), "root"), "rule-roots")
         if new.where("new != root").isEmpty():
-            return root
+            break
         root = settled(shortened(new.select("rule_id", F.col("new").alias("root"))), "rule-roots")
+    return rules.select("rule_id").join(root, "rule_id", "left").select("rule_id", F.coalesce("root", "rule_id").alias("root"))
 
 
 def shortened(root: DataFrame) -> DataFrame:
@@ -121,8 +170,8 @@ KEPT = "rule_id string, severity string, keywords array<string>, condition strin
 class Consolidation:
     """The groups of similar rules, kept between runs in the folder `path` and brought up to date with each increment of new rules.
 
-    Two tables of buckets hold the rules, with a parent each, and which rules have a leading keyword.  An increment reads the buckets of its
-    own keywords and of the rules that these lead to, follows their parents to the roots, joins the groups that new rules connect, and
+    Tables of buckets hold the rules, with a parent each, which rules have a key of leading(), and how rare words are.  An increment reads the buckets of its
+    own words and keys and of the rules that these lead to, follows their parents to the roots, joins the groups that new rules connect, and
     writes the new rules and the roots that have got a new parent; rules of other groups are neither read nor written.  After any
     increments the groups are those of one run over all rules.
     """
@@ -130,7 +179,8 @@ class Consolidation:
     def __init__(self, spark: SparkSession, path: str, shared: int = 3, likeness: float = 0.6, buckets: int = BUCKETS):
         self.shared, self.likeness = shared, likeness
         self.rules = BucketTable(spark, f"{path}/rules", "rule_id", KEPT, buckets)
-        self.keywords = BucketTable(spark, f"{path}/keywords", "keyword", "keyword string, rule_id string", buckets)
+        self.keywords = BucketTable(spark, f"{path}/keywords", "keyword", LEADING, buckets)
+        self.words = BucketTable(spark, f"{path}/words", "word", "word string, n long", buckets)
 
     def add(self, rules: DataFrame, version: int) -> None:
         """Adds `rules` (rule_id, severity, keywords, condition, sources) as increment `version`, which replaces itself if it is added again.
@@ -138,25 +188,37 @@ class Consolidation:
         A rule whose id is known stays as it is; of rows of one id the first in the order of their values counts; rules without id are left out.
         """
         columns = ["rule_id", "severity", "keywords", "condition", "sources"]
-        first = rules.where("rule_id is not null").groupBy("rule_id").agg(F.min(F.struct(*columns[1:])).alias("r")).select("rule_id", "r.*")
+        first = settled(rules.where("rule_id is not null").groupBy("rule_id").agg(F.min(F.struct(*columns[1:])).alias("r")).select("rule_id", "r.*"), "added-rules")
         before = self.rules.read(below=version, only=self.rules.touched(first))
         new = settled(first.join(before.select("rule_id"), "rule_id", "left_anti"), "new-rules")
-        lead = settled(leading(new, self.shared, self.likeness), "new-keywords")
+        stars, rest = copies(new, self.shared, self.likeness)
+        rest = settled(rest, "different-rules")
+        lead = settled(leading(rest, self.counts(rest, version), self.shared, self.likeness), "new-keywords")
         touched = self.keywords.touched(lead)
         held = self.keywords.read(below=version, only=touched)
-        met = settled(lead.withColumnRenamed("rule_id", "a").join(held.withColumnRenamed("rule_id", "b"), "keyword").select("a", "b").distinct(), "met-rules")
+        met = settled(meeting(lead, held, self.shared, self.likeness), "met-rules")
         old = settled(self.known(met.select(F.col("b").alias("rule_id")), version), "old-rules")
-        links = alike(met, new, old, self.shared, self.likeness)
+        links = alike(met, rest, old, self.shared, self.likeness)
         roots = self.roots(old.select("rule_id", F.col("parent").alias("root")), version)
         links = links.join(roots, F.col("b") == F.col("rule_id")).select("a", F.col("root").alias("b"))
-        links = settled(links.unionByName(linking_pairs(new, self.shared, self.likeness)).distinct(), "new-links")
+        own = alike(settled(meeting(lead, lead, self.shared, self.likeness), "met-rules"), rest, rest, self.shared, self.likeness)
+        links = settled(links.unionByName(stars).unionByName(own).distinct(), "new-links")
         nodes = new.select("rule_id").unionByName(links.join(new, F.col("b") == F.col("rule_id"), "left_anti").select(F.col("b").alias("rule_id"))).distinct()
-        joined = merge_groups(nodes, links)
+        joined = settled(merge_groups(nodes, links), "joined-rules")
         moved = joined.where("rule_id != root").join(new.select("rule_id"), "rule_id", "left_anti")
         again = self.known(moved, version).drop("parent").join(moved.withColumnRenamed("root", "parent"), "rule_id")
         added = new.join(joined.withColumnRenamed("root", "parent"), "rule_id")
         self.rules.upsert(settled(added.unionByName(again), "changed-rules"), version)
-        self.keywords.replace(held.unionByName(lead.select("keyword", "rule_id")), version, touched)
+        self.keywords.replace(held.unionByName(lead.select(*held.columns)), version, touched)
+
+    def counts(self, rules: DataFrame, version: int) -> DataFrame:
+        """word, n for the words of the rules of an increment: how rare a word was when it came first, which orders it for good, so that keys of all increments meet."""
+        seen = settled(word_counts(rules), "seen-words")
+        touched = self.words.touched(seen)
+        held = self.words.read(below=version, only=touched)
+        every = settled(held.unionByName(seen.join(held, "word", "left_anti")), "words")
+        self.words.replace(every, version, touched)
+        return every
 
     def known(self, ids: DataFrame, version: int) -> DataFrame:
         """The rows of rules before `version`, from their buckets alone."""
@@ -176,10 +238,12 @@ class Consolidation:
         """rule_id, root of all rules."""
         root = self.rules.read().select("rule_id", F.col("parent").alias("root"))
         while True:
-            new = settled(shortened(root), "roots")
-            if new.join(root.withColumnRenamed("root", "old"), "rule_id").where("root != old").isEmpty():
-                return new
-            root = new
+            jump = root.select(F.col("rule_id").alias("via"), F.col("root").alias("beyond"))
+            end = F.coalesce("beyond", "root")
+            new = settled(root.join(jump, F.col("root") == F.col("via"), "left").select("rule_id", end.alias("root"), (end != F.col("root")).alias("moved")), "roots")
+            root = new.drop("moved")
+            if new.where("moved").isEmpty():
+                return root
 
     def consolidated(self) -> DataFrame:
         """One rule for each group, as consolidate() has it."""
@@ -188,10 +252,10 @@ class Consolidation:
 
 def consolidate(rules: DataFrame, root: DataFrame) -> DataFrame:
     """One rule for each group: the more specific one, with the sources and keywords of all, sorted by severity and numbered R-001 on."""
-    order = Window.partitionBy("root").orderBy(F.length(F.coalesce("condition", F.lit(""))).desc(), severity_order(F.col("severity")), "rule_id")
-    rows = rules.join(root, "rule_id").withColumn("_n", F.row_number().over(order))
-    merged = rows.groupBy("root").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("keywords")))).alias("keywords"))
-    best = rows.where("_n = 1").drop("sources", "keywords", "_n").join(merged, "root")
+    order = F.struct(-F.length(F.coalesce("condition", F.lit(""))), severity_order(F.col("severity")), "rule_id")
+    kept = [c for c in rules.columns if c not in ("sources", "keywords")]
+    every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    best = rules.join(root, "rule_id").groupBy("root").agg(F.min_by(F.struct(*kept), order).alias("_r"), every("sources"), every("keywords")).select("root", "_r.*", "sources", "keywords")
     number = F.row_number().over(Window.orderBy(severity_order(F.col("severity")), "rule_id"))
     return best.withColumn("number", F.format_string("R-%03d", number)).drop("root")
 

@@ -13,7 +13,7 @@ from ..operators import rules as U
 from ..operators import sinks, spatial
 from ..operators.skills import SkillRegistry
 from ..operators.steps import Steps, retried
-from ..session import new_folder
+from ..session import new_folder, settled
 from ..sources import wiki
 from ..streaming import refresh
 from . import tables as T
@@ -136,7 +136,7 @@ roots AS (SELECT r.rule_id, least(r.rule_id, coalesce(min(b), r.rule_id)) AS roo
 
 @query(f"{ROOTS_SQL} SELECT rule_id, root FROM roots")
 def rules_incremental(spark, sf):
-    rules = similar_document_rules(spark, sf)
+    rules = settled(similar_document_rules(spark, sf), "document-rules")
     state = U.Consolidation(spark, new_folder(spark, "consolidation"), buckets=8)
     for version in range(3):
         state.add(rules.where(F.col("doc_id") % 3 == version), version)
@@ -147,7 +147,7 @@ def rules_incremental(spark, sf):
 merged AS (SELECT root, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM r JOIN roots USING (rule_id) GROUP BY root)
 SELECT rule_id, ['critical', 'high', 'medium', 'low'][severity + 1] AS severity, condition, coalesce(sources, '') AS sources, printf('R-%03d', row_number() OVER (ORDER BY severity, rule_id)) AS number FROM best JOIN merged USING (root)""")
 def rules_consolidated(spark, sf):
-    rules = similar_document_rules(spark, sf).drop("doc_id")
+    rules = settled(similar_document_rules(spark, sf).drop("doc_id"), "document-rules")
     out = U.consolidate(rules, U.merge_groups(rules, U.linking_pairs(rules)))
     return out.select("rule_id", "severity", "condition", F.array_join("sources", ",").alias("sources"), "number")
 
