@@ -119,6 +119,28 @@ def test_rules_do_not_meet_by_common_words(spark, monkeypatch):
     assert found == {(f"r{i:03d}", f"r{i + 1:03d}") for i in range(0, n, 2)} and sum(looked) < 2 * n
 
 
+def test_increments_of_rules_do_not_meet_by_common_words(spark, monkeypatch, tmp_path):
+    from vellum.operators import rules as U
+
+    n = 300
+    rows = [(i, f"r{i:03d}", "low", ["commonestkeyword", "quitecommonword", f"k{i}", f"l{i // 2}"], "commonestkeyword quitecommonword " + " ".join(f"{c}{i // 2 if c < 'j' else i}" for c in "abcdefghijk"), ["p"]) for i in range(n)]
+    table = spark.createDataFrame(rows, "i int, rule_id string, severity string, keywords array<string>, condition string, sources array<string>")
+    looked, alike = [], U.alike
+
+    def counted(pairs, *rest):
+        looked.append(pairs.distinct().count())
+        return alike(pairs, *rest)
+
+    monkeypatch.setattr(U, "alike", counted)
+    state = U.Consolidation(spark, f"file://{tmp_path}/c", buckets=4)
+    for k in range(2):
+        state.add(table.where(F.col("i") % 2 == k).drop("i"), k)
+    assert {tuple(r) for r in state.groups().collect()} == {(f"r{i:03d}", f"r{i // 2 * 2:03d}") for i in range(n)} and sum(looked) < 2 * n
+    # A word keeps the place in the order that it had when it came first.
+    first, last = ({r.word: r.n for r in state.words.read(below=v).collect()} for v in (1, 2))
+    assert first.items() <= last.items() and last["commonestkeyword"] == n // 2 and "j1" in last.keys() - first.keys()
+
+
 @pytest.mark.parametrize("long, crowd", [(24, 64), (24, 1), (3, 64), (2, 1)])
 def test_rules_meet_in_crowds_and_by_long_constraints(spark, monkeypatch, long, crowd):
     import random
