@@ -37,6 +37,25 @@ def test_the_query_of_rules_lists_no_hits(spark, monkeypatch, tmp_path):
     assert {tuple(r) for r in QUERIES["keyword_index"](spark, str(tmp_path)).collect()} == {("D1", 2), ("D2", 2), ("D3", 1)}
 
 
+def test_two_keywords_of_many_rules_are_counted_once(monkeypatch):
+    import numpy as np
+
+    n, k, looked, count = 2000, 300, [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, **more: looked.append(len(x)) or count(x, **more))
+    # Keyword 0 is in the first two thirds of the documents, 1 in the last, and each of the others in one more document, in the first and in the last.
+    docs = np.r_[np.arange(2 * n), np.arange(2 * n, 3 * n), 3 * n + np.arange(k), np.zeros(k, int), np.full(k, 3 * n - 1)]
+    kids = np.r_[np.zeros(2 * n, int), np.ones(n, int), np.tile(2 + np.arange(k), 3)]
+    of = np.concatenate([[0, 1, 2 + i] for i in range(k)])
+    ids, found = keywords.counted(docs, kids, np.arange(k), np.full(k, 3), of)
+    assert ids.tolist() == list(range(k)) and set(found.tolist()) == {3 * n + 1} and sum(looked) <= n + k
+
+
+def test_pieces_of_a_text():
+    kinds = [("w", 0, {"a"}), ("b", 0, {"a"}), ("s", 2, {"."}), ("s", 3, {"-"}), ("p", 2, {"."}), ("c", 4, {"?"})]
+    assert sorted(keywords.pieces_in("a. b-é.c?", kinds)) == sorted(["", "wa", "wb", "wc", "ba. b", "bb-é.c", "sa.", "sb-", "p.c", "ca. b", "c. b-", "c b-é", "cb-é.", "c-é.c", "cé.c?"])
+    assert keywords.pieces_in("", kinds) == [""]
+
+
 def test_many_elements_are_not_broadcast(spark, monkeypatch):
     from vellum import session
     from vellum.operators import spatial
