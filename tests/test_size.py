@@ -44,6 +44,18 @@ def test_stacked_boxes_are_compared_once(spark, monkeypatch):
     assert twins == {(a, b) for a in range(6) for b in range(6) if a != b and (a % 3 > b % 3 or a % 3 == b % 3 and a % 3)}
 
 
+def test_children_of_a_stack_are_made_a_text_once(spark, tmp_path):
+    from vellum.plans.kept import QUERIES
+
+    # Keys 3000 apart lie at one place; every other one there is larger.
+    spark.range(40).select((F.col("id") * 3000).alias("p_partkey"), F.when(F.col("id") % 2 == 0, 1).otherwise(20).alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
+    found = QUERIES["sheet_containment"](spark, str(tmp_path))
+    small = ",".join(str(i * 3000) for i in range(0, 40, 2))
+    assert {tuple(r) for r in found.collect()} == {(i * 3000, small) for i in range(1, 40, 2)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("array_join")
+
+
 def test_fingerprint_of_a_long_text_is_of_all_of_it(spark, tmp_path):
     import hashlib
 
